@@ -16,5 +16,34 @@ kept AS (SELECT doc_id, len(w) AS n, coalesce(len(ats), 0) AS n_removed,
 SELECT doc_id, n::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
        sha256(coalesce(list_aggregate(k, 'string_agg', ' '), '')) AS kept_sha256
 FROM kept
+""",
+    "op3_decontamination": r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS size FROM items WHERE len(w) > 0),
+iwin AS (SELECT DISTINCT item_id, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS win
+         FROM (SELECT item_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT size FROM iwin),
+dwin AS (SELECT doc_id, i, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS win
+         FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM low, sizes WHERE len(w) >= size)),
+found AS (SELECT doc_id, i, iwin.size AS size, item_id FROM dwin JOIN iwin ON dwin.win = iwin.win AND dwin.size = iwin.size),
+words AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT low.doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM low LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
+""",
+    "op9_line_dedup": r"""
+WITH lines AS (SELECT doc_id, l, i,
+                      trim(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k
+               FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+                            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+often AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(often.k)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE often.k IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN often ON lines.k = often.k GROUP BY doc_id
 """,
 }
