@@ -45,5 +45,19 @@ often AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTI
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(often.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE often.k IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN often ON lines.k = often.k GROUP BY doc_id
+""",
+    "op6_minhash_dedup": r"""
+WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(list_aggregate(w[i:i + least(len(w), 5) - 1], 'string_agg', ' '), least(len(w), 5)) AS s
+       FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM low WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM low UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.doc_id),
+comp AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT low.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, low.doc_id = component_id AS kept
+FROM low JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
 }

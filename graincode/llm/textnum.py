@@ -51,10 +51,11 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 class Words:
     """Words of a batch: start and end in ``raw``, index of the text, 64-bit hash."""
 
-    __slots__ = ("doc", "end", "hash", "raw", "start", "texts")
+    __slots__ = ("doc", "end", "hash", "raw", "sizes", "start", "texts")
 
     def __init__(self, blobs: list[bytes]):
         self.texts = len(blobs)
+        self.sizes = [len(b) + 1 for b in blobs]  # bytes, with the separator
         self.raw = b"\n".join(blobs) + b"\n"
         buf = np.frombuffer(self.raw, dtype=np.uint8)
         space = SPACE[buf]
