@@ -214,5 +214,33 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
+def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens, ids (array<int>) and round_trip: whether decoding the ids gives the text again."""
+
+    def run(batches):
+        own = codec(vocabulary)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            at = 0
+            while at < len(texts):
+                to, size, flat, edge, same = at, 0, [], [0], []
+                while to < len(texts) and (to == at or size < 1 << 20):
+                    text = texts[to] or ""
+                    ids = own.encode(text)
+                    same.append(own.decode(ids) == text)
+                    flat.append(np.array(ids, dtype=np.int32))
+                    edge.append(edge[-1] + len(ids))
+                    size += len(text)
+                    to += 1
+                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(flat)))
+                part = batch.slice(at, to - at)
+                for name, column in (("n_tokens", pa.array(np.diff(edge).astype(np.int64))), ("ids", lists), ("round_trip", pa.array(same))):
+                    part = part.append_column(name, column)
+                yield part
+                at = to
+
+    return docs.mapInArrow(run, _schema(docs.schema.fields, "n_tokens long, ids array<int>, round_trip boolean"))
+
+
 def _schema(fields, more: str) -> str:
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [more])

@@ -133,3 +133,14 @@ def decontaminate(
         F.coalesce("items", F.lit("")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs without any occurrence of a benchmark window; all their columns stay as they are."""
+    text = F.col(text_col)
+    slim = docs.select(F.col(id_col).alias("doc"), _tag(text).alias("tag"), words_of(text).alias("words"))
+    found = hits(slim, benchmark_windows(benchmark, window, item_id_col, item_text_col), window).select(F.col("doc").alias("_doc"), F.col("tag").alias("_hit")).distinct()
+    own = docs.withColumn("_tag", _tag(text))
+    return own.join(found, own[id_col].eqNullSafe(found["_doc"]) & (own["_tag"] == found["_hit"]), "left_anti").drop("_tag")

@@ -199,13 +199,35 @@ def _across(apart: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id and kept (it is its component's smallest id)."""
+    out = _classes(docs, shingle, percent, id_col, text_col).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, of its smallest id; rows with a null id, and those without words, stay."""
+    gone = _classes(docs, shingle, percent, id_col, text_col).where("doc <> least").select(F.col("doc").alias("_doc"), F.col("tag").alias("_gone")).distinct()
+    own = docs.withColumn("_tag", _tag(F.col(text_col)))
+    own = own.join(gone, (own[id_col] == gone["_doc"]) & (own["_tag"] == gone["_gone"]), "left_anti")
+    again = own.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    if again:  # repeated rows of one document
+        named = own.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_tag"])
+        own = named.unionByName(own.where(F.col(id_col).isNull()))
+    return own.drop("_tag")
+
+
+def _tag(text):
+    return F.crc32(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc, tag of the text, n and least, the smallest id of the component."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed_rows = cut(slim.mapInArrow(_signatures(shingle), "doc long, tag long, n long, k1 long, k2 long, bands array<bigint>"))
     usable = signed_rows.where("n > 0 AND doc IS NOT NULL")
     unique = not usable.groupBy("doc").count().where("count > 1").limit(1).count()
     classes = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "tag")).alias("least"), F.first("bands").alias("bands"))
     sets = cut(classes.select(F.xxhash64("k1", "k2", "n").alias("rep"), "n", "least.doc", "least.tag", "bands"))
-    texts = slim.select("doc", F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+    texts = slim.select("doc", _tag(F.col("text")).alias("tag"), "text")
     check = lambda pairs: cut(_linked(pairs, sets, texts, unique, shingle, percent))
     members = sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("band"))
     tested = cut(_star(members))
@@ -226,9 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         pairs = cut(_star(members).join(tested, ["a", "b"], "left_anti"))
         tested, links = tested.union(pairs), links.union(check(pairs))
     comps = components(sets, links)
-    known = usable.select("doc", "n", F.xxhash64("k1", "k2", "n").alias("rep")).join(comps, "rep").select("doc", "n", "comp")
+    known = usable.select("doc", "tag", "n", F.xxhash64("k1", "k2", "n").alias("rep")).join(comps, "rep").select("doc", "tag", "n", "comp")
     least = sets.join(comps, "rep").groupBy("comp").agg(F.min("doc").alias("least"))
-    known = known.join(least, "comp").select("doc", "n", "least")
-    lone = signed_rows.where("n = 0 OR doc IS NULL").select("doc", "n", F.col("doc").alias("least"))
-    out = known.union(lone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    known = known.join(least, "comp").select("doc", "tag", "n", "least")
+    return known.union(signed_rows.where("n = 0 OR doc IS NULL").select("doc", "tag", "n", F.col("doc").alias("least")))

@@ -48,6 +48,12 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
@@ -83,7 +89,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_substring_dedup, op2_quality_classifier, op3_decontamination, op4_bpe_round_trip, op6_minhash_dedup, op7_quality_rules, op8_token_counts, op9_line_dedup, op10_url_filter)
+        for f in (op1_substring_dedup, op2_quality_classifier, op3_decontamination, op4_bpe_round_trip, op5_toxicity, op6_minhash_dedup, op7_quality_rules, op8_token_counts, op9_line_dedup, op10_url_filter)
     }
 
 
