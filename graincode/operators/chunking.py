@@ -118,10 +118,7 @@ def chunk(files: DataFrame, symbols: DataFrame, imports: DataFrame | None = None
     split_raw splits large symbols of other kinds (whole raw files) too.
     """
     tokens = token_estimate(F.col("code"))
-    classes = symbols.where(F.col("kind").isin(*CLASSES) & F.col("parent").isNull()).select("file", F.col("name").alias("parent")).distinct()
-    nested = symbols.join(classes, ["file", "parent"], "left_semi")
-    plain = symbols.where(F.col("parent").isNull() & ~F.col("kind").isin(*CLASSES))
-    work = plain.unionByName(nested).withColumn("_t", tokens)
+    work = symbols.where(~(F.col("kind").isin(*CLASSES) & F.col("parent").isNull())).withColumn("_t", tokens)
     may_split = F.col("parent").isNotNull() | F.col("kind").isin(*FUNCTIONS) | F.lit(split_raw)
     large, small = work.where(may_split & (F.col("_t") > LARGE_TOKENS)), work.where(F.col("_t") < MIN_TOKENS)
     rest = work.where((F.col("_t") >= MIN_TOKENS) & ~(may_split & (F.col("_t") > LARGE_TOKENS)))

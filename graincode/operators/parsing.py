@@ -13,6 +13,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graincode.functions.scalars import file_stem
 
@@ -150,6 +152,7 @@ def _one(file: str, language: str | None, source: str | None):
 
 def parse(files: DataFrame) -> DataFrame:
     """files (file, language, content) to one row a file, with nested results and error. A null content is an empty file."""
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
 
     def run(batches):
         for batch in batches:
@@ -166,11 +169,7 @@ def parse(files: DataFrame) -> DataFrame:
                 )
             yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    frame = files.select("file", "language", "content").mapInArrow(run, PARSED)
-    schema = to_arrow_schema(frame.schema)
-    return frame
+    return files.select("file", "language", "content").mapInArrow(run, PARSED)
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:
