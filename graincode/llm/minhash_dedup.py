@@ -6,9 +6,10 @@ bucket, in a fixed order. Four registers are one band; sets that share a band ar
 estimate is hopeless are left out, the others are verified on their full shingle sets.
 
 Groups: equal sets are one class, linked through its smallest id. A band's members are first compared with one hub only (as many pairs
-as rows, whatever the size of the group), which joins the copies of one text. Members that remain apart are compared in
-small bands with each other; large bands are first split by a second and a third band of the pair (a linked pair shares
-many), compared with a hub again, and what then remains apart is compared in full. No pair is left out for the size of a group.
+as rows, whatever the size of the group), which joins the copies of one text. Jaccard distance is a metric: a member that is more
+than twice the linking distance from the hub can't be linked to one that is linked to the hub. Only what this leaves open is looked at
+again: in small bands all pairs of it; large ones are first split by a second and a third band (a linked pair shares many), compared
+with a hub again, and what then remains is compared in full. No pair is left out for the size of a group.
 
 With 32 bands of 4 registers a pair of similarity 0.85 shares no band once in 2e10 pairs.
 
@@ -109,12 +110,12 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
-def _promising(least: float):
+def _promising(least: float, ratio: float):
     def run(batches):
         for batch in batches:
             a, b = (np.asarray(batch.column(i).flatten()).view(np.uint16).reshape(-1, BUCKETS) for i in (4, 5))
             na, nb = (np.asarray(batch.column(i)).astype(float) for i in (2, 3))
-            keep = (np.minimum(na, nb) >= np.maximum(na, nb) * (least + MARGIN - 0.02)) & (estimate(a, b, na, nb) >= least)
+            keep = (np.minimum(na, nb) >= np.maximum(na, nb) * ratio) & (estimate(a, b, na, nb) >= least)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
@@ -124,7 +125,7 @@ def _verify(shingle: int, percent: int):
     def run(batches):
         for batch in batches:
             one, two = blobs_of(batch.column(2)), blobs_of(batch.column(3))
-            keep = np.zeros(batch.num_rows, dtype=bool)
+            linked, near = np.zeros(batch.num_rows, dtype=bool), np.zeros(batch.num_rows, dtype=bool)
             at = 0
             while at < batch.num_rows:
                 to, size = at, 0
@@ -136,28 +137,33 @@ def _verify(shingle: int, percent: int):
                 order = np.lexsort((h, d))
                 h, d = h[order], d[order]
                 both = np.bincount(d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])], minlength=to - at)
-                keep[at:to] = 100 * both >= percent * (np.diff(ex) + np.diff(ey) - both)
+                union = np.diff(ex) + np.diff(ey) - both
+                linked[at:to] = 100 * both >= percent * union
+                near[at:to] = 100 * both >= (2 * percent - 100) * union
                 at = to
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1]).append_column("linked", pa.array(linked)).filter(pa.array(near))
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, unique: bool, shingle: int, percent: int) -> DataFrame:
-    """Of distinct candidate pairs (a, b) those whose full sets are similar enough. unique: no two rows of texts share an id."""
+def _judged(pairs: DataFrame, sets: DataFrame, texts: DataFrame, unique: bool, shingle: int, percent: int) -> DataFrame:
+    """a, b, linked of the distinct candidate pairs (a, b) that are near: at most twice as far apart as linked ones, on full sets.
+
+    unique: no two rows of texts share an id.
+    """
     one, two = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bands").alias(f"s{c}")) for c in "ab")
-    close = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_promising(percent / 100 - MARGIN), "a long, b long")
+    close = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_promising(percent / 100 - MARGIN, (2 * percent - 100) / 100 - 0.02), "a long, b long")
     close = cut(close)
     ids = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets.select("rep", "doc", "tag"), "rep")
     ids = cut(ids)
     few = ids.count()
     if few == 0:
-        return close
+        return close.withColumn("linked", F.lit(True))
     picked = texts.join(F.broadcast(ids) if few <= BROADCAST_IDS else ids, ["doc", "tag"]).select("rep", "text")
     if not unique:
         picked = picked.dropDuplicates(["rep"])
     ta, tb = (picked.select(F.col("rep").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return close.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a long, b long")
+    return close.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle, percent), "a long, b long, linked boolean")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -183,18 +189,30 @@ def _star(members: DataFrame) -> DataFrame:
     return members.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with component and size, of the bands that still hold more than one component."""
-    own = members.join(comps, "rep")
-    bands = own.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1 AND size > 2").select("band", "size")
-    return own.join(bands, "band")
+def _apart(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (with comp, kind and size) whose links the comparison with the hub leaves open.
+
+    kind is 2 for the hub and what is linked to it, 1 for what is near it, 0 for what is far. Distance is a metric, so a far
+    member can't be linked to one of kind 2; those of kind 2 are one component. They stay only where a near member is of another.
+    """
+    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("all")).where("all > 2").select("band", "hub")
+    own = members.join(hubs, "band").join(near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "linked"), ["hub", "rep"], "left").join(comps, "rep")
+    kind = F.when((F.col("rep") == F.col("hub")) | F.coalesce("linked", F.lit(False)), 2).when(F.col("linked").isNotNull(), 1).otherwise(0)
+    own = own.select("band", "rep", "comp", kind.alias("kind"))
+    of = lambda k: F.when(F.col("kind") == k, F.col("comp"))
+    loose = F.when(F.col("kind") < 2, F.col("comp"))
+    bands = own.groupBy("band").agg(
+        F.max(of(2)).alias("h"), F.min(of(1)).alias("n0"), F.max(of(1)).alias("n1"), F.min(loose).alias("u0"), F.max(loose).alias("u1"), F.count(loose).alias("loose"), F.count(F.lit(1)).alias("all")
+    )
+    bands = bands.withColumn("tie", F.coalesce((F.col("n0") != F.col("h")) | (F.col("n1") != F.col("h")), F.lit(False)))
+    bands = bands.where("tie OR u0 < u1").select("band", "tie", F.when(F.col("tie"), F.col("all")).otherwise(F.col("loose")).alias("size"))
+    return own.join(bands, "band").where("tie OR kind < 2").select("band", "rep", "comp", "kind", "size")
 
 
 def _across(apart: DataFrame) -> DataFrame:
-    """All pairs of members of different components of a band."""
-    x = apart.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    y = apart.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    return x.join(y, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
+    """All pairs of members of different components of a band, but those of a far and a linked one."""
+    x, y = (apart.select("band", F.col("rep").alias(c), F.col("comp").alias(f"c{c}"), F.col("kind").alias(f"k{c}")) for c in "ab")
+    return x.join(y, "band").where("a < b AND ca <> cb AND abs(ka - kb) < 2").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,26 +246,26 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     classes = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "tag")).alias("least"), F.first("bands").alias("bands"))
     sets = cut(classes.select(F.xxhash64("k1", "k2", "n").alias("rep"), "n", "least.doc", "least.tag", "bands"))
     texts = slim.select("doc", _tag(F.col("text")).alias("tag"), "text")
-    check = lambda pairs: cut(_linked(pairs, sets, texts, unique, shingle, percent))
+    judge = lambda pairs: cut(_judged(pairs, sets, texts, unique, shingle, percent))
     members = sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("band"))
     tested = cut(_star(members))
-    links = check(tested)
+    near = judge(tested)
     for level in range(3):
-        comps = cut(components(sets, links))
-        apart = cut(_apart(members, comps))
+        comps = cut(components(sets, near.where("linked")))
+        apart = cut(_apart(members, near, comps))
         if not apart.limit(1).count():
             break
         small = apart if level == 2 else apart.where(F.col("size") <= SMALL)
         pairs = cut(_across(small).join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.union(pairs), links.union(check(pairs))
+        tested, near = tested.union(pairs), near.union(judge(pairs))
         large = apart.where(F.col("size") > SMALL).select("rep", "band")
         if level == 2 or not large.limit(1).count():
             break
         other = sets.select("rep", F.explode("bands").alias("v"))
         members = cut(large.join(other, "rep").select("rep", F.xxhash64("band", "v").alias("band")).distinct())
         pairs = cut(_star(members).join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.union(pairs), links.union(check(pairs))
-    comps = components(sets, links)
+        tested, near = tested.union(pairs), near.union(judge(pairs))
+    comps = components(sets, near.where("linked"))
     known = usable.select("doc", "tag", "n", F.xxhash64("k1", "k2", "n").alias("rep")).join(comps, "rep").select("doc", "tag", "n", "comp")
     least = sets.join(comps, "rep").groupBy("comp").agg(F.min("doc").alias("least"))
     known = known.join(least, "comp").select("doc", "tag", "n", "least")
