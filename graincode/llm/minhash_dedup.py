@@ -34,6 +34,8 @@ BUCKETS, BAND, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // BAND
 #: Members up to which a band's remaining members are compared with each other at once.
 SMALL = 48
+#: Times that large bands are taken apart; what is left after the last is compared in full.
+LEVELS = 3
 #: Ids that may be broadcast to pick texts for verification.
 BROADCAST_IDS = 1_000_000
 #: Estimates this far (in similarity) below the threshold are not verified; six standard deviations at 128 registers are 0.19.
@@ -156,7 +158,7 @@ def _judged(pairs: DataFrame, sets: DataFrame, texts: DataFrame, unique: bool, s
     close = cut(close)
     ids = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets.select("rep", "doc", "tag"), "rep")
     ids = cut(ids)
-    few = ids.count()
+    few = ids.limit(BROADCAST_IDS + 1).count()
     if few == 0:
         return close.withColumn("linked", F.lit(True))
     picked = texts.join(F.broadcast(ids) if few <= BROADCAST_IDS else ids, ["doc", "tag"]).select("rep", "text")
@@ -169,20 +171,29 @@ def _judged(pairs: DataFrame, sets: DataFrame, texts: DataFrame, unique: bool, s
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """rep and comp, the smallest rep reachable over links (a, b), of all nodes: minimum labels with pointer jumping."""
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    linked = both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "rep")
-    labels = cut(linked)
+    labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "rep"))
     while True:
-        near = both.join(labels.select(F.col("rep").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low"))
-        step = labels.join(near, labels["rep"] == near["a"]).select("rep", F.col("comp").alias("was"), F.least("comp", "low").alias("mid"))
-        jump = step.join(labels.select(F.col("rep").alias("mid"), F.col("comp").alias("far")), "mid").select("rep", "was", F.least("mid", "far").alias("comp"))
-        jump = cut(jump)
-        changed = jump.where("comp <> was").limit(1).count()
+        near = both.join(labels.select(F.col("rep").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("comp").alias("low"))
+        step = labels.join(near, "rep").select("rep", F.col("comp").alias("was"), F.least("comp", "low").alias("mid"))
+        far = labels.select(F.col("rep").alias("mid"), F.col("comp").alias("far"))
+        jump = cut(step.join(far, "mid").select("rep", "was", F.least("mid", "far").alias("comp")))
         labels = jump.select("rep", "comp")
-        if not changed:
+        if not jump.where("comp <> was").limit(1).count():
             break
     return nodes.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after more links: only the components that the links connect are looked at."""
+    one, two = (comps.select(F.col("rep").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+    between = cut(links.join(one, "a").join(two, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not between.limit(1).count():
+        return comps
+    nodes = between.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    moved = components(nodes, between).select(F.col("rep").alias("comp"), F.col("comp").alias("to"))
+    return cut(comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")))
+
+
 def _star(members: DataFrame) -> DataFrame:
     """Each member with the smallest member of its band."""
     hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -250,22 +261,24 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     members = sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("band"))
     tested = cut(_star(members))
     near = judge(tested)
-    for level in range(3):
-        comps = cut(components(sets, near.where("linked")))
+    comps = cut(components(sets, near.where("linked")))
+    for level in range(LEVELS):
         apart = cut(_apart(members, near, comps))
-        if not apart.limit(1).count():
+        largest = apart.agg(F.max("size")).first()[0]
+        if largest is None:
             break
-        small = apart if level == 2 else apart.where(F.col("size") <= SMALL)
-        pairs = cut(_across(small).join(tested, ["a", "b"], "left_anti"))
-        tested, near = tested.union(pairs), near.union(judge(pairs))
-        large = apart.where(F.col("size") > SMALL).select("rep", "band")
-        if level == 2 or not large.limit(1).count():
+        deeper = largest > SMALL and level < LEVELS - 1
+        pairs = _across(apart.where(F.col("size") <= SMALL) if deeper else apart)
+        if deeper:
+            other = sets.select("rep", F.explode("bands").alias("v"))
+            members = cut(apart.where(F.col("size") > SMALL).select("rep", "band").join(other, "rep").select("rep", F.xxhash64("band", "v").alias("band")).distinct())
+            pairs = pairs.union(_star(members)).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        fresh = judge(pairs)
+        tested, near = tested.union(pairs), near.union(fresh)
+        comps = _joined(comps, fresh.where("linked"))
+        if not deeper:
             break
-        other = sets.select("rep", F.explode("bands").alias("v"))
-        members = cut(large.join(other, "rep").select("rep", F.xxhash64("band", "v").alias("band")).distinct())
-        pairs = cut(_star(members).join(tested, ["a", "b"], "left_anti"))
-        tested, near = tested.union(pairs), near.union(judge(pairs))
-    comps = components(sets, near.where("linked"))
     known = usable.select("doc", "tag", "n", F.xxhash64("k1", "k2", "n").alias("rep")).join(comps, "rep").select("doc", "tag", "n", "comp")
     least = sets.join(comps, "rep").groupBy("comp").agg(F.min("doc").alias("least"))
     known = known.join(least, "comp").select("doc", "tag", "n", "least")
