@@ -8,8 +8,8 @@ estimate is hopeless are left out, the others are verified on their full shingle
 Groups: equal sets are one class, linked through its smallest id. A band's members are first compared with one hub only (as many pairs
 as rows, whatever the size of the group), which joins the copies of one text. Jaccard distance is a metric: a member that is more
 than twice the linking distance from the hub can't be linked to one that is linked to the hub. Only what this leaves open is looked at
-again: in small bands all pairs of it; large ones are first split by a second and a third band (a linked pair shares many), compared
-with a hub again, and what then remains is compared in full. No pair is left out for the size of a group.
+again: in small bands all pairs of it; large ones are first split by a second band (a linked pair shares many) and compared with a hub
+again, and what then remains is compared in full. No pair is left out for the size of a group.
 
 With 32 bands of 4 registers a pair of similarity 0.85 shares no band once in 2e10 pairs.
 
@@ -35,7 +35,7 @@ BANDS = BUCKETS // BAND
 #: Members up to which a band's remaining members are compared with each other at once.
 SMALL = 48
 #: Times that large bands are taken apart; what is left after the last is compared in full.
-LEVELS = 3
+LEVELS = 2
 #: Ids that may be broadcast to pick texts for verification.
 BROADCAST_IDS = 1_000_000
 #: Estimates this far (in similarity) below the threshold are not verified; six standard deviations at 128 registers are 0.19.
@@ -270,8 +270,9 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         deeper = largest > SMALL and level < LEVELS - 1
         pairs = _across(apart.where(F.col("size") <= SMALL) if deeper else apart)
         if deeper:
-            other = sets.select("rep", F.explode("bands").alias("v"))
-            members = cut(apart.where(F.col("size") > SMALL).select("rep", "band").join(other, "rep").select("rep", F.xxhash64("band", "v").alias("band")).distinct())
+            other = sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("other"))
+            twice = apart.where(F.col("size") > SMALL).select("rep", "band").join(other, "rep").where("band <> other")
+            members = cut(twice.select("rep", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band")).distinct())
             pairs = pairs.union(_star(members)).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         fresh = judge(pairs)
