@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut
+
 _A, _B = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Frequent keys that may be broadcast.
+BROADCAST_KEYS = 500_000
 _WHITE = " \t\n\x0b\f\r"
 
 
@@ -55,7 +59,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     key (by id, then position) stays; without it all of them leave.
     """
     rows = line_rows(docs, id_col, text_col, min_chars)
-    gone = rows.join(frequent_keys(rows, min_docs), ["h", "g"])
+    keys = cut(frequent_keys(rows, min_docs))
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    gone = rows.join(F.broadcast(keys) if few else keys, ["h", "g"])  # by shuffle, AQE splits a frequent key
     if keep_first:
         gone = gone.where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
     words = gone.groupBy("doc", "tag", F.shiftright("pos", 6).alias("stretch")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
