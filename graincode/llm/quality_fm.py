@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-Method: a text is a sparse vector of hashed lower-cased words (log counts, unit length), of its structure statistics (each in
-one of ``BINS`` bins) and of metadata (the bin of the stated length, or its absence). Pairwise interactions have rank ``RANK`` and
+Method: a text is a sparse vector of hashed lower-cased words (log counts, unit length), of its structure statistics (each as
+the bins, of ``BINS``, up to its own) and of metadata (the bin of the stated length, or its absence). Pairwise interactions have rank ``RANK`` and
 are scored in linear time as half of (square of sums less sum of squares). Learned by AdaGrad on the logistic loss from at most
 ``TRAIN_ROWS`` labelled rows; the model is a fixed-size table, so broadcasting it is bounded.
 
@@ -21,7 +21,7 @@ from .textnum import Words, blobs_of, pieces
 
 #: Labelled rows to learn from, at most.
 TRAIN_ROWS = 6000
-WORD_BITS, RANK, BINS, EPOCHS, BATCH = 16, 8, 24, 14, 128
+WORD_BITS, RANK, BINS, EPOCHS, BATCH = 16, 8, 16, 14, 128
 _STATS = 13
 SIZE = (1 << WORD_BITS) + (_STATS + 1) * (BINS + 1)
 _TABLES = np.zeros((6, 256), dtype=np.uint8)
@@ -68,11 +68,13 @@ def features(blobs: list[bytes], n_chars: list[int | None]) -> tuple[np.ndarray,
     stats = _statistics(Words(blobs))
     stated = np.array([-1.0 if c is None else min(1.0, np.log2(max(c, 0) + 1) / 30) for c in n_chars])
     bins = np.concatenate((np.round(stats**0.5 * (BINS - 1)), np.where(stated < 0, BINS, np.round(stated * (BINS - 1)))[:, None]), axis=1).astype(np.int64)
-    width = _STATS + 1
-    index = (1 << WORD_BITS) + np.arange(width) * (BINS + 1) + bins
-    doc = np.concatenate((doc, np.repeat(np.arange(len(blobs)), width)))
-    index = np.concatenate((key & ((1 << WORD_BITS) - 1), index.ravel()))
-    value = np.concatenate((value, np.full(len(blobs) * width, 0.5)))
+    width, place = _STATS + 1, np.arange(BINS + 1)
+    reached = (place <= bins[:, :, None]) & (place < BINS) | (place == bins[:, :, None])  # all bins up to the own one
+    reached[:, -1, :-1] &= bins[:, -1, None] < BINS  # an absent length is in its own bin only
+    text, stat, cell = np.nonzero(reached)
+    doc = np.concatenate((doc, text))
+    index = np.concatenate((key & ((1 << WORD_BITS) - 1), (1 << WORD_BITS) + stat * (BINS + 1) + cell))
+    value = np.concatenate((value, np.full(len(text), 0.5)))
     order = np.argsort(doc, kind="stable")
     return doc[order], index[order], value[order].astype(np.float32)
 
