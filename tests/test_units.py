@@ -32,7 +32,7 @@ def test_names(spark):
     assert one(spark, detect_language(F.lit("a/B.PY"))) == "python"
     assert one(spark, detect_language(F.lit("a/b.bin"))) is None
     assert one(spark, detect_language(F.lit(".py"))) is None
-    assert sum(len(e.split()) for e in EXTENSIONS.values()) == 46
+    assert sum(len(e.split()) for e in EXTENSIONS.values()) == 47
 
 
 @pytest.mark.parametrize(
