@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
-from .textnum import Words, blobs_of, mix, ngrams, pieces, signed
+from .runtime import arrow_rows, cut
+from .textnum import Words, blobs_of, mix, ngrams, signed, slices
 
 BUCKETS, BAND, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // BAND
+#: Rows that go to Python at once.
+BATCH_ROWS = 500
 #: Members up to which a band's remaining members are compared with each other at once.
 SMALL = 48
 #: Times that large bands are taken apart; what is left after the last is compared in full.
@@ -89,17 +91,16 @@ def _registers(h: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
 
 def _signatures(shingle: int):
     def run(batches):
-        for batch in batches:
-            blobs = blobs_of(batch.column(1))
-            for a, b in pieces(blobs):
-                h, doc, edge = _shingles(blobs[a:b], shingle)
-                n = np.diff(edge)
-                total = [np.concatenate(([0], np.cumsum(mix(h, salt)))).astype(np.uint64) for salt in (71, 72)]
-                keys = [signed(t[edge[1:]] - t[edge[:-1]]) for t in total]  # sums of hashes: equal for equal sets
-                bands = _registers(h, doc, b - a).view(np.uint64).view(np.int64)
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                tag = pa.array([zlib.crc32(x) for x in blobs[a:b]], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), tag, pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), sig], ["doc", "tag", "n", "k1", "k2", "bands"])
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            blobs = blobs_of(part.column(1))
+            h, doc, edge = _shingles(blobs, shingle)
+            n = np.diff(edge)
+            total = [np.concatenate(([0], np.cumsum(mix(h, salt)))).astype(np.uint64) for salt in (71, 72)]
+            keys = [signed(t[edge[1:]] - t[edge[:-1]]) for t in total]  # sums of hashes: equal for equal sets
+            bands = _registers(h, doc, len(blobs)).view(np.uint64).view(np.int64)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(blobs) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
+            tag = pa.array([zlib.crc32(x) for x in blobs], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), tag, pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), sig], ["doc", "tag", "n", "k1", "k2", "bands"])
 
     return run
 
@@ -125,25 +126,15 @@ def _promising(least: float, ratio: float):
 
 def _verify(shingle: int, percent: int):
     def run(batches):
-        for batch in batches:
-            one, two = blobs_of(batch.column(2)), blobs_of(batch.column(3))
-            linked, near = np.zeros(batch.num_rows, dtype=bool), np.zeros(batch.num_rows, dtype=bool)
-            at = 0
-            while at < batch.num_rows:
-                to, size = at, 0
-                while to < batch.num_rows and (to == at or size < 1 << 20):
-                    size += len(one[to]) + len(two[to])
-                    to += 1
-                (x, dx, ex), (y, dy, ey) = _shingles(one[at:to], shingle), _shingles(two[at:to], shingle)
-                h, d = np.concatenate((x, y)), np.concatenate((dx, dy))
-                order = np.lexsort((h, d))
-                h, d = h[order], d[order]
-                both = np.bincount(d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])], minlength=to - at)
-                union = np.diff(ex) + np.diff(ey) - both
-                linked[at:to] = 100 * both >= percent * union
-                near[at:to] = 100 * both >= (2 * percent - 100) * union
-                at = to
-            yield batch.select([0, 1]).append_column("linked", pa.array(linked)).filter(pa.array(near))
+        for part in (x for batch in batches for x in slices(batch, 2, 3)):
+            (x, dx, ex), (y, dy, ey) = (_shingles(blobs_of(part.column(c)), shingle) for c in (2, 3))
+            h, d = np.concatenate((x, y)), np.concatenate((dx, dy))
+            order = np.lexsort((h, d))
+            h, d = h[order], d[order]
+            both = np.bincount(d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])], minlength=part.num_rows)
+            union = np.diff(ex) + np.diff(ey) - both
+            linked, near = 100 * both >= percent * union, 100 * both >= (2 * percent - 100) * union
+            yield part.select([0, 1]).append_column("linked", pa.array(linked)).filter(pa.array(near))
 
     return run
 
@@ -251,13 +242,18 @@ def _tag(text):
 def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc, tag of the text, n and least, the smallest id of the component."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    signed_rows = cut(slim.mapInArrow(_signatures(shingle), "doc long, tag long, n long, k1 long, k2 long, bands array<bigint>"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        signed_rows = cut(slim.mapInArrow(_signatures(shingle), "doc long, tag long, n long, k1 long, k2 long, bands array<bigint>"))
     usable = signed_rows.where("n > 0 AND doc IS NOT NULL")
     unique = not usable.groupBy("doc").count().where("count > 1").limit(1).count()
     classes = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "tag")).alias("least"), F.first("bands").alias("bands"))
     sets = cut(classes.select(F.xxhash64("k1", "k2", "n").alias("rep"), "n", "least.doc", "least.tag", "bands"))
     texts = slim.select("doc", _tag(F.col("text")).alias("tag"), "text")
-    judge = lambda pairs: cut(_judged(pairs, sets, texts, unique, shingle, percent))
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        with arrow_rows(docs.sparkSession, BATCH_ROWS):  # rows hold two texts each
+            return cut(_judged(pairs, sets, texts, unique, shingle, percent))
+
     members = sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("band"))
     tested = cut(_star(members))
     near = judge(tested)

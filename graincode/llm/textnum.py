@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text for which work arrays are held at once.
 PIECE = 1 << 20
@@ -127,5 +128,16 @@ def pieces(blobs: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def slices(batch: pa.RecordBatch, *columns: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most limit bytes of text in the given columns, one row at least."""
+    size = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0)).astype(np.int64) for c in columns)
+    end, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = int(end[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(end, before + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
