@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import Words, blobs_of, mix, ngrams, pieces, signed, sliding_min
+from .textnum import Words, blobs_of, mix, ngrams, signed, slices, sliding_min
 
 ANCHOR = 10
 SKETCH_ROWS = 2
@@ -47,19 +47,17 @@ def _cells(anchor: np.ndarray, row: int, bits: int) -> np.ndarray:
 def _partial_sketch(bits: int, window: int):
     def run(batches):
         sketch = np.zeros((SKETCH_ROWS, 1 << bits), dtype=np.uint8)
-        for batch in batches:
-            blobs = blobs_of(batch.column(0))
-            for a, b in pieces(blobs):
-                words = Words(blobs[a:b])
-                at, anchor = _anchors(words, window)
-                if not len(at):
-                    continue
-                doc = words.doc[at]
-                new = np.ones(len(at), dtype=bool)  # an anchor counts once for the run of windows that share it
-                new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                for row in range(SKETCH_ROWS):
-                    cell, n = np.unique(_cells(anchor[new], row, bits), return_counts=True)
-                    sketch[row, cell] = np.minimum(sketch[row, cell] + n, 2)
+        for part in (x for batch in batches for x in slices(batch, 0)):
+            words = Words(blobs_of(part.column(0)))
+            at, anchor = _anchors(words, window)
+            if not len(at):
+                continue
+            doc = words.doc[at]
+            new = np.ones(len(at), dtype=bool)  # an anchor counts once for the run of windows that share it
+            new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            for row in range(SKETCH_ROWS):
+                cell, n = np.unique(_cells(anchor[new], row, bits), return_counts=True)
+                sketch[row, cell] = np.minimum(sketch[row, cell] + n, 2)
         size = min(BLOCK, 1 << bits)
         flat = sketch.reshape(-1, size)
         used = np.flatnonzero(flat.any(axis=1))
@@ -118,25 +116,24 @@ def _windows(bits: int, window: int, shared):
 
     def run(batches):
         sketch = np.frombuffer(shared.value, dtype=np.uint8).reshape(SKETCH_ROWS, -1)
-        for batch in batches:
-            ids, blobs = np.asarray(batch.column(0)), blobs_of(batch.column(1))
-            for a, b in pieces(blobs):
-                words = Words(blobs[a:b])
-                at = _candidates(words, window, bits, sketch)
-                if not len(at):
-                    continue
-                doc = words.doc[at]
-                first = np.searchsorted(words.doc, np.arange(b - a))
-                tag = np.array([_tag(x) for x in blobs[a:b]], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(ngrams(words.hash, window, 11)[at])),
-                        pa.array((ngrams(words.hash, window, 23)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(ids[a:b][doc].astype(np.int64)),
-                        pa.array((tag[doc] << 31) | (at - first[doc])),
-                    ],
-                    ["h", "g", "doc", "at"],
-                )
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            ids, blobs = np.asarray(part.column(0)), blobs_of(part.column(1))
+            words = Words(blobs)
+            at = _candidates(words, window, bits, sketch)
+            if not len(at):
+                continue
+            doc = words.doc[at]
+            first = np.searchsorted(words.doc, np.arange(len(blobs)))
+            tag = np.array([_tag(x) for x in blobs], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(signed(ngrams(words.hash, window, 11)[at])),
+                    pa.array((ngrams(words.hash, window, 23)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array(ids[doc].astype(np.int64)),
+                    pa.array((tag[doc] << 31) | (at - first[doc])),
+                ],
+                ["h", "g", "doc", "at"],
+            )
 
     return run
 
@@ -146,46 +143,41 @@ def _split(bits: int, window: int, shared, repeated: bool):
 
     def run(batches):
         sketch = np.frombuffer(shared.value, dtype=np.uint8).reshape(SKETCH_ROWS, -1)
-        for batch in batches:
-            blobs = blobs_of(batch.column(1))
-            null = np.asarray(batch.column(0).is_null())
-            for a, b in pieces(blobs):
-                words = Words(blobs[a:b])
-                touched = np.zeros(b - a, dtype=bool)
-                touched[words.doc[_candidates(words, window, bits, sketch)]] = True
-                touched &= ~null[a:b]
-                keep = np.flatnonzero(touched == repeated)
-                ids = batch.column(0).slice(a, b - a).take(pa.array(keep))
-                if repeated:
-                    rest = [pa.array([_tag(blobs[a + i]) for i in keep], pa.int64()), pa.array([blobs[a + i] for i in keep], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([ids, *rest], ["doc", "tag", "blob"])
-                else:
-                    n = words.counts()[keep]
-                    text = [b" ".join(blobs[a + i].split()) for i in keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(n.astype(np.int64)), pa.array(np.zeros(len(keep), dtype=np.int64)), pa.array(text, pa.binary()).cast(pa.string())],
-                        ["doc", "n_words", "n_removed", "kept_text"],
-                    )
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            blobs = blobs_of(part.column(1))
+            words = Words(blobs)
+            touched = np.zeros(len(blobs), dtype=bool)
+            touched[words.doc[_candidates(words, window, bits, sketch)]] = True
+            touched &= ~np.asarray(part.column(0).is_null())
+            keep = np.flatnonzero(touched == repeated)
+            ids = part.column(0).take(pa.array(keep))
+            if repeated:
+                rest = [pa.array([_tag(blobs[i]) for i in keep], pa.int64()), pa.array([blobs[i] for i in keep], pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids, *rest], ["doc", "tag", "blob"])
+            else:
+                text = pa.array([b" ".join(blobs[i].split()) for i in keep], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts()[keep].astype(np.int64)), pa.array(np.zeros(len(keep), dtype=np.int64)), text], ["doc", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
 def _remove(window: int):
     def run(batches):
-        for batch in batches:
-            ids, n, gone, text = batch.column(0), [], [], []
-            for blob, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            n, gone, text = [], [], []
+            for blob, starts in zip(part.column(1).to_pylist(), part.column(2)):
                 words = (blob or b"").split()
                 edge = np.zeros(len(words) + 1, dtype=np.int32)
-                if starts:
-                    at = np.unique(np.asarray(starts, dtype=np.int64))
+                if starts.is_valid:
+                    at = np.unique(np.asarray(starts.values, dtype=np.int64))
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                 kept = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 n.append(len(words))
                 gone.append(len(words) - len(kept))
                 text.append(b" ".join([words[i] for i in kept.tolist()]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept_text"])
+            out = [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["doc", "n_words", "n_removed", "kept_text"])
 
     return run
 
