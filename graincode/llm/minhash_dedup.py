@@ -5,8 +5,8 @@ leading-zero count (6 bits) and the ``MANTISSA`` bits that follow the first one.
 bucket, in a fixed order. Four registers are one band; sets that share a band are candidates. Candidates whose collision-corrected Jaccard
 estimate is hopeless are left out, the others are verified on their full shingle sets.
 
-Groups: equal sets are one class, linked through its smallest id. A band's members are first compared with one hub only (as many pairs
-as rows, whatever the size of the group), which joins the copies of one text. Jaccard distance is a metric: a member that is more
+Groups: equal sets are one class, linked through its smallest id. A band's members are first compared with one hub only, the one that shares
+bands with most others (as many pairs as rows, whatever the size of the group), which joins the copies of one text. Jaccard distance is a metric: a member that is more
 than twice the linking distance from the hub can't be linked to one that is linked to the hub. Only what this leaves open is looked at
 again: in small bands all pairs of it; large ones are first split by a second band (a linked pair shares many) and compared with a hub
 again, and what then remains is compared in full. No pair is left out for the size of a group.
@@ -185,10 +185,21 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return cut(comps.join(moved, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")))
 
 
+def _ranked(members: DataFrame) -> DataFrame:
+    """Members of bands that are shared, with score: how many members share their bands. The text that copies were made of has the highest."""
+    shared = members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band")
+    return cut(shared.join(shared.groupBy("rep").agg(F.sum("n").alias("score")), "rep").select("rep", "band", "score"))
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """band, hub and all: the member of the highest score, and the number of members."""
+    return members.groupBy("band").agg(F.max(F.struct("score", "rep")).alias("top"), F.count(F.lit(1)).alias("all")).select("band", F.col("top.rep").alias("hub"), "all")
+
+
 def _star(members: DataFrame) -> DataFrame:
-    """Each member with the smallest member of its band."""
-    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return members.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    """Each member with the hub of its band, as pairs a < b."""
+    own = members.join(_hubs(members), "band").where("rep <> hub")
+    return own.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
 
 def _apart(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFrame:
@@ -197,8 +208,8 @@ def _apart(members: DataFrame, near: DataFrame, comps: DataFrame) -> DataFrame:
     kind is 2 for the hub and what is linked to it, 1 for what is near it, 0 for what is far. Distance is a metric, so a far
     member can't be linked to one of kind 2; those of kind 2 are one component. They stay only where a near member is of another.
     """
-    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("all")).where("all > 2").select("band", "hub")
-    own = members.join(hubs, "band").join(near.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "linked"), ["hub", "rep"], "left").join(comps, "rep")
+    own = members.join(_hubs(members).where("all > 2").drop("all"), "band").withColumns({"a": F.least("hub", "rep"), "b": F.greatest("hub", "rep")})
+    own = own.join(near, ["a", "b"], "left").join(comps, "rep")
     kind = F.when((F.col("rep") == F.col("hub")) | F.coalesce("linked", F.lit(False)), 2).when(F.col("linked").isNotNull(), 1).otherwise(0)
     own = own.select("band", "rep", "comp", kind.alias("kind"))
     of = lambda k: F.when(F.col("kind") == k, F.col("comp"))
@@ -254,7 +265,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         with arrow_rows(docs.sparkSession, BATCH_ROWS):  # rows hold two texts each
             return cut(_judged(pairs, sets, texts, unique, shingle, percent))
 
-    members = sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("band"))
+    members = _ranked(sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("band")))
     tested = cut(_star(members))
     near = judge(tested)
     comps = cut(components(sets, near.where("linked")))
@@ -268,7 +279,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         if deeper:
             other = sets.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("other"))
             twice = apart.where(F.col("size") > SMALL).select("rep", "band").join(other, "rep").where("band <> other")
-            members = cut(twice.select("rep", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band")).distinct())
+            members = _ranked(twice.select("rep", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band")).distinct())
             pairs = pairs.union(_star(members)).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         fresh = judge(pairs)
