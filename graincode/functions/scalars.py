@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the namespace of shared-store point ids.
 POINT_NAMESPACE = "a1b2c3d4-e5f6-7890-abcd-ef1234567890"
-#: Fixed value: prefix of shared collection names.
-COLLECTION_PREFIX = "devai_"
+#: Prefix of shared collection names; a setting, to be given where collections of another tool are read.
+COLLECTION_PREFIX = "code_"
 #: What text.split() separates at: Unicode white space and the four information separators.
 _WHITE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -39,8 +39,8 @@ def uuid5(name: Column, namespace: str = POINT_NAMESPACE) -> Column:
     )
 
 
-def collection_name(repo: Column) -> Column:
-    return F.concat(F.lit(COLLECTION_PREFIX), sha_prefix(repo, 16))
+def collection_name(repo: Column, prefix: str = COLLECTION_PREFIX) -> Column:
+    return F.concat(F.lit(prefix), sha_prefix(repo, 16))
 
 
 def trim_slashes(path: Column) -> Column:

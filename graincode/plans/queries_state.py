@@ -210,7 +210,7 @@ def sync_apply(spark, d):
     return sync.apply(*p.stores(spark, d))[0].select("id", "content_hash")
 
 
-@query("SELECT DISTINCT source AS repo, 'devai_' || sha256(source)[1:16] AS collection FROM documents")
+@query("SELECT DISTINCT source AS repo, 'code_' || sha256(source)[1:16] AS collection FROM documents")
 def sync_collection_name(spark, d):
     return p.table(spark, d, "documents").select(F.col("source").alias("repo"), fn.collection_name(F.col("source")).alias("collection")).distinct()
 

@@ -21,7 +21,7 @@ def test_ids(spark):
     assert one(spark, fn.deterministic_id(F.lit("repo"), F.lit("main"), F.lit("a.py"), F.lit(10))) == "c1601ecccaccac0df6d66f1f7cf0489a"
     assert one(spark, fn.content_hash(F.lit("hello world"))) == "b94d27b9934d3e08"
     assert one(spark, fn.normalized_hash(F.lit("  Hello\t WORLD \n")))[:24] == "b94d27b9934d3e08a52e52d7"
-    assert one(spark, fn.collection_name(F.lit("my-repo"))) == "devai_aa38d26caf184b79"
+    assert one(spark, fn.collection_name(F.lit("my-repo"), "x_")) == "x_aa38d26caf184b79"
     assert one(spark, fn.uuid5(F.lit("abc123"))) == str(uuid.uuid5(uuid.UUID(fn.POINT_NAMESPACE), "abc123"))
 
 
