@@ -1,10 +1,12 @@
 """URL filters: allow and block rules by host suffix and path prefix, and a character language-model ratio for the rest.
 
 Method: two smoothed variable-order Markov models, one of accepted and one of rejected urls, learned from all urls that a rule
-judges. A model holds the counts of every context of up to ``ORDER`` characters in ``2**BITS`` hashed cells, so its size does not
-follow the input; orders are blended by Witten-Bell smoothing. The score of a url is its log-likelihood difference (accepted less
-rejected) by character. The cut is calibrated on a histogram of the scores of all urls that a rule judges, as the one with
-the best balanced accuracy.
+judges. A model holds the counts of every context of up to ``ORDER`` characters and of what follows it, by the exact characters,
+in a table that grows with the urls; orders are blended by Witten-Bell smoothing with the counted number of different followers.
+The logarithm of the ratio of both models follows from a character and the ``ORDER`` before it, a gram. Urls are dealt into
+buckets, each of which asks the table for its distinct grams, so that a gram of all urls is joined once a bucket. The score of a
+url is its log-likelihood difference (accepted less rejected) by character. The cut is calibrated on a histogram of the scores of
+all urls that a rule judges, as the one with the best balanced accuracy.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an empty host fits no rule; the longest rule wins
 and of equally long ones the one with the longer host; with no urls of one of the classes to learn from, urls without a rule are
@@ -13,15 +15,19 @@ allowed; every input row gives one output row, other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textnum import mix
+from .runtime import cut
 
-ORDER, BITS = 5, 18
+ORDER = 5
+#: Urls of a bucket, on average.
+BUCKET_ROWS = 500
 #: Histogram of scores: range and cells.
 REACH, CELLS = 4.0, 800
 _A, _B = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,93 +62,65 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
     return slim.select("*", rule.alias("rule"), verdict.alias("verdict"))
 
 
-def _codes(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all characters of all urls, each url ended by a line feed: a hash of the character, of each context, and the url."""
-    text = np.frombuffer("".join(u.replace("\n", " ") + "\n" for u in urls).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    size = np.array([len(u) + 1 for u in urls])
-    owner = np.repeat(np.arange(len(urls)), size)
-    start = np.repeat(np.cumsum(size) - size, size)
-    place = np.arange(len(text)) - start
-    contexts = [np.full(len(text), 7, dtype=np.uint64)]
-    for k in range(1, ORDER + 1):
-        back = np.roll(text, k)
-        back[:k] = 0
-        back = np.where(place >= k, back, np.uint64(2))
-        contexts.append(mix(contexts[-1] * np.uint64(0x100000001B3) ^ back, k))
-    return text, np.array(contexts), owner
-
-
-def _cell(contexts: np.ndarray, text: np.ndarray | None) -> np.ndarray:
-    x = contexts if text is None else mix(contexts ^ (text * np.uint64(0x9E3779B97F4A7C15)), 5)
-    return (mix(x, 9 if text is None else 10) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _count(batches):
-    """Partial counts: kind 0 is context and character, kind 1 the context."""
-    total = np.zeros((2, 2, 1 << BITS), dtype=np.int64)
-    for batch in batches:
-        urls, good = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-        for lo in range(0, len(urls), 2000):
-            text, contexts, owner = _codes(urls[lo : lo + 2000])
-            label = good[lo : lo + 2000][owner]
-            for y in (0, 1):
-                pick = label == y
-                total[y, 0] += np.bincount(_cell(contexts[:, pick], text[pick]).ravel(), minlength=1 << BITS)
-                total[y, 1] += np.bincount(_cell(contexts[:, pick], None).ravel(), minlength=1 << BITS)
-    for y in (0, 1):
-        for kind in (0, 1):
-            at = np.flatnonzero(total[y, kind])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), y * 2 + kind, dtype=np.int32)), pa.array(at), pa.array(total[y, kind][at])], ["part", "cell", "n"])
-
-
-class Models:
-    """Counts of both classes; ``scores`` gives the log-likelihood difference by character."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-
-    def scores(self, urls: list[str]) -> np.ndarray:
-        if not urls:
-            return np.zeros(0)
-        text, contexts, owner = _codes(urls)
-        pair, ctx = _cell(contexts, text), _cell(contexts, None)
-        diff = np.zeros(len(text))
-        for y, sign in ((1, 1.0), (0, -1.0)):
-            p = np.full(len(text), 1 / 256)
-            for k in range(ORDER + 1):
-                both, seen = self.counts[y, 0][pair[k]], self.counts[y, 1][ctx[k]]
-                kinds = np.minimum(seen, 4 + seen // 8)  # stands for the number of different followers
-                p = (np.minimum(both, seen) + kinds * p + 1e-9) / (seen + kinds + 1e-9)
-            diff += sign * np.log(p)
-        n = np.bincount(owner, minlength=len(urls))
-        return np.bincount(owner, weights=diff, minlength=len(urls)) / n
-
-
-def learn(labelled: DataFrame) -> Models | None:
-    """Models from all rows of (url, good 0/1). 4 * 2**BITS counts at most come to the driver."""
-    sums = labelled.select("url", "good").mapInArrow(_count, "part int, cell long, n long").groupBy("part", "cell").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()
-    counts = np.zeros((4, 1 << BITS), dtype=np.int64)
-    counts[np.asarray(got["part"]), np.asarray(got["cell"])] = np.asarray(got["n"])
-    counts = counts.reshape(2, 2, -1)
-    return Models(counts) if counts[0].any() and counts[1].any() else None
-
-
-def _score(models, column: int):
-    def run(batches):
-        own = models.value
-        for batch in batches:
-            urls = batch.column(column).to_pylist()
-            score = np.concatenate([own.scores(urls[lo : lo + 2000]) for lo in range(0, len(urls), 2000)] or [np.zeros(0)])
-            yield batch.append_column("llr", pa.array(score, pa.float64()))
-
-    return run
-
-
-def calibrate(labelled: DataFrame, models) -> float:
-    """The cut with the best balanced accuracy on the histogram of all labelled rows' scores."""
+def _grams(url: str) -> Iterator[str]:
+    """For each character of the url and its end: the ORDER characters before it and itself. A line feed is the start and the end."""
+    text = "\n" * ORDER + url.replace("\n", " ") + "\n"
+    return (text[i : i + ORDER + 1] for i in range(len(text) - ORDER))
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Distinct grams of a bucket, and how often they are in rejected and in accepted urls (0 where no rule judged)."""
+    counts = Counter(), Counter(), Counter()
+    for url, good in zip(table["url"].to_pylist(), table["good"].to_pylist()):
+        counts[2 if good is None else good].update(_grams(url))
+    grams = list(set().union(*counts))
+    n0, n1 = (pa.array([counts[y][g] for g in grams], pa.int64()) for y in (0, 1))
+    return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(grams), pa.int64()), "gram": pa.array(grams, pa.string()), "n0": n0, "n1": n1})
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """gram and diff, the log of the ratio of both models, from gram, n0 and n1: one row for each gram, counted or not.
+
+    Order k is a table of the distinct last k + 1 characters of the grams; a key of a join or window has at most one row for each character.
+    """
+    counts = cut(counts)
+    lower = None
+    for k in range(ORDER + 1):
+        own = counts.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        context = Window.partitionBy(F.substring("gram", 1, k))
+        own = own.withColumns({f"{name}{y}": value.over(context) for y in (0, 1) for name, value in (("seen", F.sum(f"n{y}")), ("kinds", F.count_if(F.col(f"n{y}") > 0)))})
+        if lower is None:
+            own = own.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            own = own.join(lower, F.substring("gram", 2, k) == F.col("suffix"))
+        blend = lambda y: F.when(F.col(f"seen{y}") > 0, (F.col(f"n{y}") + F.col(f"kinds{y}") * F.col(f"q{y}")) / (F.col(f"seen{y}") + F.col(f"kinds{y}"))).otherwise(F.col(f"q{y}"))
+        lower = own.select(F.col("gram").alias("suffix"), blend(0).alias("q0"), blend(1).alias("q1"))
+    return lower.select(F.col("suffix").alias("gram"), (F.log("q1") - F.log("q0")).alias("diff"))
+
+
+def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
+    diff = dict(zip(answers["gram"].to_pylist(), answers["diff"].to_pylist()))
+    llr = [float(np.mean([diff[g] for g in _grams(url)])) for url in table["url"].to_pylist()]
+    return table.drop_columns(["bucket", "good"]).append_column("llr", pa.array(llr, pa.float64()))
+
+
+def scored(rows: DataFrame, n: int) -> DataFrame:
+    """rows (``judged``, about n of them) with llr, by models of those that a rule judges."""
+    buckets = max(1, -(-n // BUCKET_ROWS))
+    good = F.when(F.col("rule").isNotNull(), (F.col("verdict") == "allow").cast("int"))
+    dealt = rows.withColumns({"good": good, "bucket": F.pmod(F.xxhash64("url", "id"), F.lit(buckets)).cast("long")})
+    asked = cut(dealt.select("bucket", "url", "good").groupBy("bucket").applyInArrow(_count, "bucket long, gram string, n0 long, n1 long"))
+    table = ratios(asked.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    answers = asked.select("bucket", "gram").join(table, "gram")
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, url string, host string, path string, rule string, verdict string, llr double"
+    return cut(dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score, schema))
+
+
+def calibrate(labelled: DataFrame) -> float:
+    """The cut with the best balanced accuracy on the histogram of all labelled rows' scores (good 0/1, llr)."""
     bucket = F.floor((F.least(F.greatest("llr", F.lit(-REACH)), F.lit(REACH - 1e-9)) + REACH) * (CELLS / (2 * REACH))).cast("int")
-    got = labelled.select("url", "good").mapInArrow(_score(models, 0), "url string, good int, llr double").groupBy("good", bucket.alias("b")).count().collect()
+    got = labelled.groupBy("good", bucket.alias("b")).count().collect()
     hist = np.zeros((2, CELLS))
     for r in got:
         hist[r["good"], r["b"]] += r["count"]
@@ -155,14 +133,11 @@ def calibrate(labelled: DataFrame, models) -> float:
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, verdict, and llr (null where a rule decided)."""
     rows = judged(pages, rules, id_col, url_col)
-    labelled = rows.where("rule IS NOT NULL").select("url", (F.col("verdict") == "allow").cast("int").alias("good"))
-    kind = pages.schema[id_col].dataType.simpleString()
-    models = learn(labelled)
-    if models is None:
+    n, allowed, blocked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("verdict") == "allow"), F.count_if(F.col("verdict") == "block")).first()
+    if not allowed or not blocked:
         out = rows.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("llr"))
         return out.withColumnRenamed("id", id_col)
-    shared = pages.sparkSession.sparkContext.broadcast(models)
-    cut = calibrate(labelled, shared)
-    scored = rows.mapInArrow(_score(shared, 1), f"id {kind}, url string, host string, path string, rule string, verdict string, llr double")
-    verdict = F.coalesce("verdict", F.when(F.col("llr") >= cut, "allow").otherwise("block"))
-    return scored.select("id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("llr")).alias("llr")).withColumnRenamed("id", id_col)
+    rows = scored(rows, n)
+    least = calibrate(rows.where("rule IS NOT NULL").select((F.col("verdict") == "allow").cast("int").alias("good"), "llr"))
+    verdict = F.coalesce("verdict", F.when(F.col("llr") >= least, "allow").otherwise("block"))
+    return rows.select("id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("llr")).alias("llr")).withColumnRenamed("id", id_col)

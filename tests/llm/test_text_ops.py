@@ -1,6 +1,7 @@
 """Operators on texts against plain Python on odd inputs: nulls, empty and long texts, repeats, clashing columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -334,6 +335,40 @@ def test_url_rules_and_models(spark):
     assert len(got) == len(rows) and got[300]["verdict"] == "allow" and got[301]["verdict"] == "block"
 
 
+def plain_llr(judged, url, order=5):
+    """Witten-Bell blend of orders 0 to order in plain Python, from (url, good) that a rule judged."""
+    def padded(u):
+        return "\n" * order + u.replace("\n", " ") + "\n"
+
+    follow = [defaultdict(Counter), defaultdict(Counter)]
+    for u, good in judged:
+        t = padded(u)
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                follow[good][t[i - k : i]][t[i]] += 1
+    t, total = padded(url), 0.0
+    for i in range(order, len(t)):
+        for y, sign in ((1, 1), (0, -1)):
+            p = 1 / 256
+            for k in range(order + 1):
+                c = follow[y].get(t[i - k : i])
+                p = (c[t[i]] + len(c) * p) / (c.total() + len(c)) if c else p
+            total += sign * math.log(p)
+    return total / (len(t) - order)
+
+
+def test_url_models_hold_every_context(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(3, 12)))
+    urls = [f"http://{word()}.example.com/{rng.choice(['fr', 'en'])}/{word()}" for _ in range(1500)] + [f"http://{word()}.org/{word()}é\n" for _ in range(40)] + [None]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    judged = [(urls[r["page_id"]], int(r["verdict"] == "allow")) for r in got if r["rule"] is not None]
+    free = [r for r in got if r["rule"] is None]
+    assert len(got) == len(urls) and len(free) == 41
+    for r in free:
+        assert abs(r["llr"] - plain_llr(judged, urls[r["page_id"]] or "")) < 1e-9
+
+
 def test_url_models_need_both_classes(spark):
     df = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://a.com/x")], "page_id long, url string")
     assert {r["verdict"] for r in url_filter.filter_urls(df, RULES).collect()} == {"allow"}
