@@ -2,7 +2,8 @@
 
 quality: documents that the classifier rejects (score under 0.3) leave. lines: lines found in ten documents or more leave, text
 and n_chars follow (a null text stays null). near_dedup: one document of each group of near duplicates stays, the one of the
-smallest id. decontaminate: documents that hold a window of ten words of the benchmark leave. tokens: byte-level BPE ids.
+smallest id; near means that the sets of five-word shingles have a Jaccard similarity of 0.8 or more. decontaminate: documents
+that hold a window of ten words of the benchmark leave. tokens: byte-level BPE ids.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs, shingle=5, percent=85)
+    return keep_one(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,22 @@ def test_run_is_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_dedup", "decontaminate", "tokens"]
 
 
+def test_near_dedup_links_from_080(spark):
+    base = [f"w{i}" for i in range(200)]
+    near, far = list(base), list(base)
+    for n, at in enumerate((20, 60, 100, 140)):
+        near[at] = far[at] = f"x{n}"
+    far[180], far[190] = "y", "z"
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    a, b, c = shingles(base), shingles(near), shingles(far)
+    assert 0.8 < len(a & b) / len(a | b) < 0.85 and len(a & c) / len(a | c) < 0.8
+    schema = table(spark, SF, "documents").schema
+    rows = lambda texts: spark.createDataFrame([(i, " ".join(t), "en", "s", 9) for i, t in enumerate(texts)], schema)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert {r["doc_id"] for r in stage(spark, rows([base, near]), SF).collect()} == {0}
+    assert {r["doc_id"] for r in stage(spark, rows([base, far]), SF).collect()} == {0, 1}
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_odd_rows(spark, k):
     docs = table(spark, SF, "documents").limit(0).union(
