@@ -188,6 +188,56 @@ def test_packing(spark):
     assert [r["c"] for r in context.pack_greedy(rows, ["g"], "o", "c", 100).orderBy("o").collect()] == [40, 50, 5]
 
 
+def plain_context(memories, hits, found, budget):
+    """The reference's loops; found gives the chunks of a hint."""
+    out, used, hints = [], 0, []
+    cost = lambda note: len(note.encode()) // 4
+    for _, score, text in memories:
+        if text and score < 1.5:
+            note = f"// [memory] {text}\n\n"
+            if used + cost(note) <= budget:
+                out.append(note)
+                used += cost(note)
+            for w in text.split():
+                w = w.strip(context.HINT_TRIM)
+                hints += [w] * (w.endswith(context.HINT_SUFFIXES) + ("/" in w and len(w.encode()) > 3))
+    for file, line, text in (c for h in hints for c in found(h)):
+        note = f"// {file}:{line}\n{text}\n\n"
+        if used + cost(note) <= budget:
+            out.append(note)
+            used += cost(note)
+    there = "".join(out)
+    for _, file, line, text in hits:
+        note = f"// {file}:{line}\n{text}\n\n"
+        if f"// {file}:" in there:
+            continue
+        if used + cost(note) > budget:
+            break
+        out.append(note)
+        used += cost(note)
+    return out
+
+
+@pytest.mark.parametrize("budget", [4096, 150, 90, 40])
+def test_build_context_hints(spark, budget):
+    memories = [(1, 0.1, "see src/a.ts, and (b.service)."), (2, 0.2, ""), (3, 0.3, "x" * 300 + " c/d"), (4, 1.6, "far.js"), (5, 0.4, "known // m.md: é b.service")]
+    places = {"src/a.ts": 0.0, "b.service": 10.0, "c/d": 20.0}
+    points = [(f"p{i:02}", [float(i)], f"f{i % 7}.md", i % 3, "t" * (5 + 40 * (i % 4))) for i in range(25)]
+    hits = [(i + 1, *points[i][2:]) for i in (3, 0, 4, 10, 5, 6)]
+    hits = [(k + 1, *h[1:]) for k, h in enumerate([*hits, (0, "m.md", 1, "t"), (0, "n.md", 1, "é" * 9)])]
+
+    def found(hint):
+        three = sorted(points, key=lambda p: ((p[1][0] - places[hint]) ** 2, p[0]))[:3]
+        return [c for i, c in enumerate(p[2:] for p in three) if c[:2] not in [x[2:4] for x in three[:i]]]
+
+    embed = lambda hints: hints.withColumn("q", F.array(F.create_map(*[F.lit(x) for kv in places.items() for x in kv])[F.col("hint")]))
+    m = spark.createDataFrame(memories, "pos int, score double, text string")
+    hinted = context.hint_hits(m, spark.createDataFrame(points, "id string, vector array<double>, file string, start_line int, text string"), embed)
+    got = context.build_context(m, spark.createDataFrame(hits, "pos int, file string, start_line int, text string"), budget, hinted=hinted).collect()
+    got.sort(key=lambda r: (["memory", "hint", "code"].index(r["part"]), r["pos"]))
+    assert [r["note"] for r in got] == plain_context(memories, hits, found, budget)
+
+
 SYMBOL = "file string, ord int, name string, kind string, parent string, signature string, docstring string, code string, start_line int, end_line int"
 
 
