@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import repo_name, trim_slashes
+from graincode.plans.lineage import cut
 
 
 def last_records(state: DataFrame) -> DataFrame:
@@ -36,26 +37,27 @@ def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return own.where(~F.col("content_hash").eqNullSafe(F.col("known_hash")))
 
 
-def lineage(base: DataFrame, start: str | None = None, limit: int = 64) -> DataFrame:
-    """branch, ancestor, depth: chains from each branch (or one) to its root, by repeated look-ups; a cycle ends a chain.
+def lineage(base: DataFrame, start: str | None = None) -> DataFrame:
+    """branch, ancestor, depth: chains from each branch (or one) to its root, however long; a cycle ends a chain.
 
-    base (branch, base_branch) has a row for each branch of a repository and is small beside the data; each step is one join.
+    base (branch, base_branch) has a row for each branch of a repository and is small beside the data. Each round doubles the
+    length that is known of all chains, until nothing new comes.
     """
-    spark = base.sparkSession
-    name = "_graincode_lineage"
-    base.createOrReplaceTempView(name)
-    where = "" if start is None else "WHERE branch = :start"
-    return spark.sql(
-        f"""
-        WITH RECURSIVE chain(branch, ancestor, depth, seen) AS (
-            SELECT branch, branch, 0, array(branch) FROM {name} {where}
-            UNION ALL
-            SELECT c.branch, b.base_branch, c.depth + 1, concat(c.seen, array(b.base_branch))
-            FROM chain c JOIN {name} b ON b.branch = c.ancestor
-            WHERE b.base_branch IS NOT NULL AND NOT array_contains(c.seen, b.base_branch) AND c.depth < {int(limit)})
-        SELECT branch, ancestor, depth FROM chain""",
-        args={} if start is None else {"start": start},
-    )
+    base = cut(base.select("branch", "base_branch").distinct())
+    jump = base.where("branch IS NOT NULL AND base_branch IS NOT NULL").select("branch", F.col("base_branch").alias("to"))
+    own = base.select("branch").distinct()
+    known = own.union(jump.select("to")).distinct().select("branch", F.col("branch").alias("ancestor"), F.lit(0).alias("depth"))
+    length, count = 1, known.count()
+    while True:
+        far = jump.join(known.withColumnRenamed("branch", "to"), "to").select("branch", "ancestor", (F.col("depth") + length).alias("depth"))
+        known = cut(known.union(far).groupBy("branch", "ancestor").agg(F.min("depth").alias("depth")))
+        before, count = count, known.count()
+        if count == before:
+            break
+        jump = cut(jump.join(jump.select(F.col("branch").alias("to"), F.col("to").alias("_to")), "to").select("branch", F.col("_to").alias("to")).distinct())
+        length *= 2
+    own = own if start is None else own.where(F.col("branch") == start)
+    return known.join(own, "branch", "left_semi")
 
 
 def history(state: DataFrame, limit: int = 50) -> DataFrame:

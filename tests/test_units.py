@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graincode.functions import scalars as fn
-from graincode.operators import chunking, context, graph, memory, overlay, parsing, sync, vector
+from graincode.operators import chunking, context, graph, index_state, memory, overlay, parsing, sync, vector
 from graincode.sources import changes, config, store
 from graincode.sources.languages import EXTENSIONS, detect_language
 from graincode.streaming import operators as streams
@@ -238,6 +238,19 @@ def test_build_context_hints(spark, budget):
     assert [r["note"] for r in got] == plain_context(memories, hits, found, budget)
 
 
+def test_lineage_of_long_chains_and_cycles(spark):
+    parent = {f"b{i}": f"b{i + 1}" for i in range(150)} | {"c0": "c1", "c1": "c2", "c2": "c0", "in": "c1", "own": "own", "root": None, "last": "gone"}
+    want = []
+    for b in parent:
+        chain = [b]
+        while (up := parent.get(chain[-1])) is not None and up not in chain:
+            chain.append(up)
+        want += [(b, a, k) for k, a in enumerate(chain)]
+    base = spark.createDataFrame(list(parent.items()), "branch string, base_branch string")
+    assert sorted(tuple(r) for r in index_state.lineage(base).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in index_state.lineage(base, "b0").collect()) == sorted(w for w in want if w[0] == "b0")
+
+
 SYMBOL = "file string, ord int, name string, kind string, parent string, signature string, docstring string, code string, start_line int, end_line int"
 
 
