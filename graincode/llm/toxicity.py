@@ -4,9 +4,11 @@ Method: words are mapped to symbols by a lexicon transducer (exact words and ste
 clause transducers rewrite the symbols: negation marks what follows it within ``SCOPE`` words, reported speech marks
 the rest of its clause, a target marks the clause from there on. They are composed to one transducer, which reads
 every clause that holds an insult or a threat and writes one event for each of them, named by its marks. A text's score is the
-logistic function of the weighted event counts; isolated words outside a matched clause count for nothing.
+logistic function of the weighted event counts. This is weaker than clause patterns: one insult or threat word is a match by itself,
+and target, negation and report only name its event.
 
-The insult words and stems are learned: terms that hardly occur in texts labelled as not toxic, chosen by greedy cover of the toxic ones. Weights of events are fitted by logistic regression. Both use at most ``TRAIN_ROWS`` labelled rows and give
+The insult words and stems are learned: terms that hardly occur in texts labelled as not toxic, chosen by greedy cover of the toxic ones.
+Texts count once for it, however often they are copied; the ``TOP_TERMS`` terms of most distinct toxic texts are candidates. Weights of events are fitted by logistic regression. Both use at most ``TRAIN_ROWS`` labelled rows and give
 a model of at most ``MAX_TERMS`` terms. The closed word classes are fixed values, below.
 
 Defined cases: a null or empty text has no clause and gets the base score; without labels of both classes the lexicon is empty and
@@ -222,7 +224,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = training_rows(slim, labels.select(F.col(id_col).cast("string").alias("id"), label), label, folds, held, rows, "id").select("text", "y", "id")
-    parts = sample.select("text", "y").mapInArrow(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    distinct = sample.groupBy(F.coalesce("text", F.lit("")).alias("text"), "y").agg(F.min("id").alias("id"))  # copies of a text are no evidence
+    parts = distinct.select("text", "y").mapInArrow(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     pure = parts.where((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))))
     top = {r["term"]: r["toxic"] for r in pure.orderBy(F.desc("toxic"), "term").limit(TOP_TERMS).collect()}
 
@@ -230,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(_terms(t or "") & top.keys()) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["id", "terms"])
 
-    toxic = sample.where("y = 1").select("text", "id").mapInArrow(terms, "id string, terms array<string>").toArrow().sort_by("id")
+    toxic = distinct.where("y = 1").select("text", "id").mapInArrow(terms, "id string, terms array<string>").toArrow().sort_by("id")
     words, stems = choose_terms([set(t) for t in toxic["terms"].to_pylist()], top)
     model = Grammar(words, stems)
 

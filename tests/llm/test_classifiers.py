@@ -65,6 +65,19 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in got if r["doc_id"] in (9000, 9001)} == {0}
 
 
+def test_toxic_terms_count_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOP_TERMS", 50)
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9))
+    copied = " ".join(name() for _ in range(200))
+    texts = [(copied, 1)] * 80 + [(good(rng) + " zounderkite " + name(), 1) for _ in range(30)] + [(good(rng), 0) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, None, 0.0, 0) for i, (t, _) in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert dict(model.events("a zounderkite")) == {"insult": 1}
+    assert dict(model.events(copied)) == {}
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = labelled(spark, toxic, good, "toxic", 20)
     assert {round(r["score"], 3) for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.5}
