@@ -1,8 +1,9 @@
 """Line dedup: lines whose key is found in many documents, or was seen before, leave; the result is a bitmap, not a text.
 
 Method: (key hash, document, position) of every line is range-partitioned, so that a frequent line is spread over as many
-partitions as its rows need, and sorted by hash, document and position inside each; a streaming aggregate reduces each partition to one row a
-key (documents, first occurrence), and those rows are merged by key. The positions of dropped lines come back as
+partitions as its rows need, and sorted by hash, document and position inside each; a window streams the sorted rows and lets
+the first of each key and document through, partitions are reduced to one row a key (documents, first occurrence), and those rows
+are merged by key. The positions of dropped lines come back as
 compressed bitmaps: one 64-bit mask for each stretch of 64 lines that loses any, and nothing for the others.
 
 All of it is DataFrame and SQL functions. Keys are compared by 128 bits of hash.
@@ -14,7 +15,7 @@ rows with equal id and text share a bitmap and each keeps its row; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut
@@ -46,8 +47,10 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 def frequent_keys(rows: DataFrame, min_docs: int) -> DataFrame:
     """h, g, first (document, position) of keys found in at least min_docs documents."""
     dealt = rows.select("h", "g", "doc", "pos").repartitionByRange("h", "g", "doc").sortWithinPartitions("h", "g", "doc", "pos")
-    # all rows of a key and document are in one partition: equal values of the partitioning columns are never parted
-    each = dealt.groupBy("h", "g", "doc").agg(F.min("pos").alias("pos"))
+    # all rows of a key and document are in one partition: equal values of the partitioning columns are never parted, and the
+    # window reads the rows as they are dealt and sorted, without another exchange
+    turn = F.row_number().over(Window.partitionBy("h", "g", "doc").orderBy("pos"))
+    each = dealt.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
     whole = each.groupBy("h", "g").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc", "pos")).alias("first"))
     return whole.where(F.col("docs") >= min_docs).select("h", "g", "first")
 

@@ -314,6 +314,19 @@ def test_line_dedup_null_ids(spark):
     assert sorted(r["kept_text"] for r in line_dedup.drop_frequent_lines(docs, 2).collect()) == ["a", "b", "c"]
 
 
+# 9 line dedup again
+
+
+def test_line_rows_are_streamed_in_order(spark):
+    rows = line_dedup.line_rows(frame(spark, ["a\nb\na", "b\na", None]), "doc_id", "text", 1)
+    plan = line_dedup.frequent_keys(rows, 2)._jdf.queryExecution().optimizedPlan().toString()
+    physical = line_dedup.frequent_keys(rows, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and re.search(r"Sort \[h#.* ASC NULLS FIRST, g#.* ASC NULLS FIRST, doc#.* ASC NULLS FIRST, pos#", physical)
+    assert physical.count("Exchange rangepartitioning") == 1 and physical.count("Exchange") == 2
+    got = {(r["first"]["doc"], r["first"]["pos"]) for r in line_dedup.frequent_keys(rows, 2).collect()}
+    assert got == {(0, 0), (0, 1)}
+
+
 # 10 urls
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
