@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is named, one of our own (local tests)."""
+    """Use the cluster's shared checkpoint folder; only in local mode, where none is named, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graincode-ckpt-"))
 
 
@@ -23,6 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it is counted to have at most so many rows; otherwise as it is. df must be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name that is neither a column of df nor the start of one."""
+    taken, name = [c.lower() for c in df.columns], f"_{stem}"
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -235,16 +235,48 @@ def test_near_duplicates(spark):
     assert near_duplicates(frame(spark, []), 5, 85).count() == 0
 
 
-def test_near_duplicates_in_large_bands(spark, monkeypatch):
-    """Chains, hubs and unlinked texts of one template, through every level of splitting."""
-    from graincode.llm import minhash_dedup
-
-    monkeypatch.setattr(minhash_dedup, "SMALL", 4)
+def test_near_duplicates_in_large_bands(spark):
+    """Chains, hubs, unlinked texts of one template, and groups of its far copies that are linked to each other only."""
     rng, base = random.Random(6), prose(9, 150, 5000)
     texts = [base, *(edited(base, rng, k % 9) for k in range(60))]
     for _ in range(12):
         texts.append(edited(texts[-1], rng, 2))
-    assert Counter(tuple(r) for r in near_duplicates(frame(spark, texts), 5, 85).collect()) == plain_components(list(enumerate(texts)), 5, 85)
+    for _ in range(6):
+        far = edited(base, rng, 5)
+        texts += [far, *(edited(far, rng, 1) for _ in range(3))]
+    want = plain_components(list(enumerate(texts)), 5, 85)
+    assert len({r[2] for r in want}) < len(want) - 20
+    assert Counter(tuple(r) for r in near_duplicates(frame(spark, texts), 5, 85).collect()) == want
+
+
+def test_near_duplicates_recall():
+    """Pairs at the threshold share a band, for small and large sets."""
+    import numpy as np
+
+    from graincode.llm import minhash_dedup as m
+
+    rng = np.random.default_rng(5)
+    for percent in (80, 85):
+        band, missed = m.band_size(percent), 0
+        for n in (7, 20, 60, 300, 3000):
+            h, doc = [], []
+            for pair in range(100):
+                both = -(-percent * n // 100)
+                rows = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)  # n shingles in the union
+                left = (n - both) // 2
+                for side, own in ((0, rows[: both + left]), (1, np.concatenate((rows[:both], rows[both + left :])))):
+                    h.append(own)
+                    doc.append(np.full(len(own), 2 * pair + side))
+            registers = m._registers(np.concatenate(h), np.concatenate(doc), 200)
+            same = registers[0::2] == registers[1::2]
+            count = m.BUCKETS // band
+            missed += int((~np.logical_and.reduce([same[:, k : count * band : band] for k in range(band)]).any(axis=1)).sum())
+        assert missed == 0
+
+
+def test_keep_one_leaves_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 7, "x"), (2, "a b c d e f g", 8, "y"), (3, "", 9, "z")], "doc_id long, text string, _tag long, _Doc string")
+    assert sorted(tuple(r) for r in keep_one(docs, 5, 85).collect()) == [(1, "a b c d e f g", 7, "x"), (3, "", 9, "z")]
 
 
 # 7 quality rules
