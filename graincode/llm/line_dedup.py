@@ -1,16 +1,18 @@
 """Line dedup: lines whose key is found in many documents, or was seen before, leave; the result is a bitmap, not a text.
 
-Method: (key hash, document, position) of every line is range-partitioned, so that a frequent line is spread over as many
-partitions as its rows need, and sorted by hash, document and position inside each; a window streams the sorted rows and lets
-the first of each key and document through, partitions are reduced to one row a key (documents, first occurrence), and those rows
-are merged by key. The positions of dropped lines come back as
-compressed bitmaps: one 64-bit mask for each stretch of 64 lines that loses any, and nothing for the others.
+Method: (key hash, document, position) of every line is taken from the texts once and written; the rows are range-partitioned, so that a
+frequent line is spread over as many partitions as its rows need, and sorted by hash, document and position inside each; a window
+streams the sorted rows and lets the first of each key and document through, partitions are reduced to one row a key (documents,
+first occurrence), and those rows are merged by key. The positions of dropped lines come back as compressed bitmaps: one 64-bit mask
+for each stretch of 64 lines that loses any, and nothing for the others. ``apply_bitmaps`` broadcasts them up to ``BROADCAST_MASKS``
+masks and joins by shuffle beyond that.
 
 All of it is DataFrame and SQL functions. Keys are compared by 128 bits of hash.
 
 Defined cases: a null or empty text is one empty line; the key of a line is the line without ASCII white space at both ends and
 with A-Z lower-cased; keys shorter than ``min_chars`` never leave; documents are counted by distinct id (a null id is one document);
-rows with equal id and text share a bitmap and each keeps its row; other columns are kept by ``apply_bitmaps`` and not read.
+rows with equal id and text share a bitmap and each keeps its row; a text of any length is read whole; an empty table gives no rows; other
+columns are kept by ``apply_bitmaps`` and not read, but for those named like its results, which the results replace.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import broadcast_if, cut, fresh
 
 _A, _B = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Frequent keys that may be broadcast.
 BROADCAST_KEYS = 500_000
+#: Masks of bitmaps that may be broadcast, at some 50 bytes each.
+BROADCAST_MASKS = 400_000
 _WHITE = " \t\n\x0b\f\r"
 
 
@@ -35,17 +39,22 @@ def _tag(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _lower(x: Column) -> Column:
+    """A-Z lower-cased; the two agree on ASCII, and ``translate`` looks every character up."""
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, _A, _B))
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """doc, tag, pos, h, g of every line that may leave; a key once a document row, with all its positions' hashes alike."""
-    key = F.btrim(F.translate("line", _A, _B), F.lit(_WHITE))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc", _tag(F.col("text")).alias("tag"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    rows = rows.select("doc", "tag", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
+    rows = rows.select("doc", "tag", "pos", F.btrim("line", F.lit(_WHITE)).alias("line")).where(F.char_length("line") >= min_chars)
+    rows = rows.select("doc", "tag", "pos", _lower(F.col("line")).alias("key"))
     return rows.select("doc", "tag", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"))
 
 
 def frequent_keys(rows: DataFrame, min_docs: int) -> DataFrame:
-    """h, g, first (document, position) of keys found in at least min_docs documents."""
+    """h, g, first (document, position) of keys found in at least min_docs documents. rows: written, as their ranges are sampled first."""
     dealt = rows.select("h", "g", "doc", "pos").repartitionByRange("h", "g", "doc").sortWithinPartitions("h", "g", "doc", "pos")
     # all rows of a key and document are in one partition: equal values of the partitioning columns are never parted, and the
     # window reads the rows as they are dealt and sorted, without another exchange
@@ -61,10 +70,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     Bit ``p % 64`` of the mask of stretch ``p / 64`` is set where line p leaves. With keep_first the first occurrence of a
     key (by id, then position) stays; without it all of them leave.
     """
-    rows = line_rows(docs, id_col, text_col, min_chars)
+    rows = cut(line_rows(docs, id_col, text_col, min_chars))
     keys = cut(frequent_keys(rows, min_docs))
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    gone = rows.join(F.broadcast(keys) if few else keys, ["h", "g"])  # by shuffle, AQE splits a frequent key
+    gone = rows.join(broadcast_if(keys, BROADCAST_KEYS), ["h", "g"])  # by shuffle, AQE splits a frequent key
     if keep_first:
         gone = gone.where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
     words = gone.groupBy("doc", "tag", F.shiftright("pos", 6).alias("stretch")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
@@ -79,22 +87,24 @@ def _dense(masks: Column) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept_text") -> DataFrame:
     """docs with kept_col, n_lines and n_dropped."""
-    own = docs.withColumns({"_tag": _tag(F.col(text_col).cast("string"))})
-    b = bitmaps.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag2"), _dense(F.col("masks")).alias("_mask"))
-    both = own.join(b, own[id_col].eqNullSafe(b["_doc"]) & (own["_tag"] == b["_tag2"]), "left").drop("_doc", "_tag", "_tag2")
-    lines, mask = _lines(F.col(text_col).cast("string")), F.col("_mask")
+    own = docs.drop(*[c for c in docs.columns if c.lower() in (kept_col.lower(), "n_lines", "n_dropped") and c not in (id_col, text_col)])
+    at = fresh(own, "line")
+    names = own.columns
+    bitmaps = cut(bitmaps)
+    few = (bitmaps.agg(F.sum(F.size("masks"))).first()[0] or 0) <= BROADCAST_MASKS
+    b = bitmaps.select(F.col("doc").alias(f"{at}_doc"), F.col("tag").alias(f"{at}_tag2"), _dense(F.col("masks")).alias(f"{at}_mask"))
+    text = F.col(f"`{text_col}`").cast("string")
+    own = own.withColumn(f"{at}_tag", _tag(text))
+    both = own.join(F.broadcast(b) if few else b, own[id_col].eqNullSafe(F.col(f"{at}_doc")) & (F.col(f"{at}_tag") == F.col(f"{at}_tag2")), "left")
+    mask = F.col(f"{at}_mask")
     stays = lambda line, i: F.getbit(F.coalesce(F.try_element_at(mask, F.shiftright(i, 6) + 1), F.lit(0).cast("long")), i % 64) == 0
-    both = both.withColumn("_lines", lines)
-    both = both.withColumn("_kept", F.when(mask.isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays)))
-    return both.withColumns(
-        {
-            kept_col: F.array_join("_kept", "\n"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
-        }
-    ).drop("_lines", "_kept", "_mask")
+    both = both.withColumn(f"{at}_all", _lines(text)).withColumn(f"{at}_kept", F.when(mask.isNotNull(), F.filter(f"{at}_all", stays)))
+    kept = F.when(mask.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(f"{at}_kept", "\n"))
+    total = F.size(f"{at}_all")
+    dropped = F.when(mask.isNull(), 0).otherwise(total - F.size(f"{at}_kept"))
+    return both.select(*[F.col(f"`{c}`") for c in names], kept.alias(kept_col), total.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped."""
+    """docs with kept_text, n_lines and n_dropped, which replace columns of these names."""
     return apply_bitmaps(docs, drop_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col)
