@@ -1,23 +1,25 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Method: words are mapped to symbols by a lexicon transducer (exact words and stems): INSULT, THREAT, TARGET, NEGATION, REPORT, other. Three
-clause transducers rewrite the symbols: negation marks what follows it within ``SCOPE`` words, reported speech marks
-the rest of its clause, a target marks the clause from there on. They are composed to one transducer, which reads
-every clause that holds an insult or a threat and writes one event for each of them, named by its marks. A text's score is the
-logistic function of the weighted event counts. This is weaker than clause patterns: one insult or threat word is a match by itself,
-and target, negation and report only name its event.
-
-The insult words and stems are learned: terms that hardly occur in texts labelled as not toxic, chosen by greedy cover of the toxic ones.
-Texts count once for it, however often they are copied; the ``TOP_TERMS`` terms of most distinct toxic texts are candidates. Weights of events are fitted by logistic regression. Both use at most ``TRAIN_ROWS`` labelled rows and give
-a model of at most ``MAX_TERMS`` terms. The closed word classes are fixed values, below.
-
-Defined cases: a null or empty text has no clause and gets the base score; without labels of both classes the lexicon is empty and
-the score is the share of label 1 (0.5 without any); every input row gives one output row; other columns are not read.
+Method: five transducers. A letter transducer reads a word and writes INSULT or THREAT with the term's weight, or TARGET, INTENT, NEGATION, REPORT or
+OTHER. Over a clause, negation marks what follows within ``SCOPE`` words, reported speech the rest of the clause, intent the
+threats after it, and a target, which reads the clause in both directions, every insult and threat of it. Each arc that marks has a weight. The
+clause transducers are composed, weights multiplied, to one machine for each direction. A clause is matched by a pattern, not by a
+word: an insult, or a threat that is aimed at a target or intended; a threat word by itself matches nothing. An insult without a
+target is the weakest pattern (it stays one because labels mark such texts; see the README). A matched clause counts, for its
+pattern, the weight of its best path. A text's score is the logistic function of the weighted patterns.
+
+Insults are learned: a word's weight is the probability that it is one, from the number of different places (the words before and
+after) in which toxic texts hold it, or of distinct toxic texts if there are fewer, and the number of distinct clean texts that do. Copies of a
+text, exact or near, show a word in one place, however many there are. Pattern weights are fitted by logistic regression on top of the arcs' product. Both use at most
+``TRAIN_ROWS`` labelled rows, which bounds the model. The closed word classes are fixed values, below.
+
+Defined cases: a null or empty text has no clause and gets the base score; a text of any length is read whole, clause by clause; without labels
+of both classes the lexicon is empty and the score is the share of label 1 (0.5 without any); every input row gives one output row, repeated
+rows and null ids too; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -28,238 +30,265 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_rows
-
-#: Labelled rows to learn from, terms to choose from, terms of the lexicon, and words after a negation that it covers.
-TRAIN_ROWS, TOP_TERMS, MAX_TERMS, SCOPE = 10_000, 20_000, 500, 3
-MIN_TOXIC, PURITY, AGAIN, COVERS = 5, 0.97, 0.1, 6
+from .runtime import cut
+
+#: Labelled rows to learn from, and words after a negation that it covers.
+TRAIN_ROWS, SCOPE = 10_000, 3
+#: How rare insults are among words, the share of places of an insult that are toxic, places that it needs, and the least weight of a term.
+PRIOR, TOXIC_PLACES, MIN_PLACES, MIN_WEIGHT = 2e-4, 0.97, 3, 0.3
+#: What the marks count, until labels say otherwise.
+ARCS = {"negated": 0.5, "reported": 0.6, "aimed": 1.2, "intended": 1.2}
 #: Closed word classes in English, German, French and Spanish.
 NEGATIONS = "not never no isn aren don cannot nicht kein keine nie niemals pas jamais non nunca jamás tampoco".split()
 REPORTS = "said says wrote writes quoted quotes reported claimed sagte schrieb zitierte dit écrit cité dijo escribió citó".split()
 TARGETS = "you your yours u du dich dein ihr euch sie tu toi ton vous votre tú tus usted ustedes".split()
+INTENTS = "will gonna going shall ll should must werde werden soll muss vais allons doit voy vamos debe".split()
 THREATS = "kill murder hurt destroy attack shoot stab töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
-EVENTS = tuple(f"{kind}{neg}{rep}{tgt}" for kind in ("insult", "threat") for neg in ("", "_negated") for rep in ("", "_reported") for tgt in ("", "_at_target"))
+_KINDS = ("INSULT", "THREAT", "TARGET", "INTENT", "NEGATION", "REPORT", "OTHER")
+_HEADS = ("INSULT", "THREAT")
+
+
+def _name(kind: str, marks) -> str:
+    return "_".join([kind.lower(), *[m for m in ARCS if m in marks]])
+
+
+PATTERNS = tuple(
+    _name(kind, marks)
+    for kind in _HEADS
+    for marks in [[m for i, m in enumerate(ARCS) if bits >> i & 1] for bits in range(1 << len(ARCS))]
+    if (kind == "THREAT" and ("aimed" in marks or "intended" in marks)) or (kind == "INSULT" and "intended" not in marks)
+)
 
 
 class Transducer:
-    """Deterministic: step(state, symbol) gives (state, symbol)."""
+    """Deterministic and weighted: step(state, symbol) gives (state, symbol, weight)."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
     def then(self, other: "Transducer") -> "Transducer":
-        """Composition: what this one writes the other reads."""
+        """Composition: what this one writes the other reads; weights are multiplied."""
 
         def step(state, symbol):
-            a, out = self.step(state[0], symbol)
-            b, out = other.step(state[1], out)
-            return (a, b), out
+            a, out, x = self.step(state[0], symbol)
+            b, out, y = other.step(state[1], out)
+            return (a, b), out, x * y
 
         return Transducer((self.start, other.start), step)
 
-    def table(self, symbols) -> tuple[dict, object]:
+    def table(self, symbols) -> dict:
         """All reachable transitions, so that running it is one look-up a word."""
         moves, todo, seen = {}, [self.start], {self.start}
         while todo:
             state = todo.pop()
             for symbol in symbols:
-                to, out = moves[state, symbol] = self.step(state, symbol)
+                to, out, weight = moves[state, symbol] = self.step(state, symbol)
                 if to not in seen:
                     seen.add(to)
                     todo.append(to)
-        return moves, self.start
+        return moves
 
 
-def _negation(state: int, symbol):
+def _marked(symbol, mark: str):
     kind, marks = symbol
-    if kind == "NEGATION":
-        return SCOPE, symbol
-    return max(0, state - 1), (kind, (*marks, "negated")) if state and kind in ("INSULT", "THREAT") else symbol
+    return (kind, (*marks, mark)), ARCS[mark]
+
+
+def _negation(state: int, symbol):
+    if symbol[0] == "NEGATION":
+        return SCOPE, symbol, 1.0
+    out, weight = _marked(symbol, "negated") if state and symbol[0] in _HEADS else (symbol, 1.0)
+    return max(0, state - 1), out, weight
+
 
+def _latch(trigger: str, mark: str, heads: tuple[str, ...] = _HEADS):
+    """Marks the heads after a trigger."""
 
-def _latch(trigger: str, mark: str):
     def step(state: bool, symbol):
-        kind, marks = symbol
-        return state or kind == trigger, (kind, (*marks, mark)) if state and kind in ("INSULT", "THREAT") else symbol
+        out, weight = _marked(symbol, mark) if state and symbol[0] in heads and mark not in symbol[1] else (symbol, 1.0)
+        return state or symbol[0] == trigger, out, weight
 
     return step
 
 
-def grammar() -> tuple[dict, object]:
-    whole = Transducer(0, _negation).then(Transducer(False, _latch("REPORT", "reported"))).then(Transducer(False, _latch("TARGET", "at_target")))
-    return whole.table([(k, ()) for k in ("INSULT", "THREAT", "TARGET", "NEGATION", "REPORT", "OTHER")])
+class Machine:
+    """The composed grammar: one machine reads a clause backwards (targets that follow), one forwards (the rest)."""
+
+    def __init__(self):
+        aim = _latch("TARGET", "aimed")
+        self.back = Transducer(False, aim)
+        forth = Transducer(False, aim)
+        for start, step in ((0, _negation), (False, _latch("REPORT", "reported")), (False, _latch("INTENT", "intended", ("THREAT",)))):
+            forth = forth.then(Transducer(start, step))
+        self.forth = forth
+        plain = [(k, ()) for k in _KINDS]
+        self.back_moves = self.back.table(plain)
+        self.forth_moves = self.forth.table(sorted({out for _, out, _ in self.back_moves.values()}))
+
+    def run(self, symbols: list) -> list:
+        """(kind, marks) and the weight of the arcs, of each symbol of a clause."""
+        state, out = self.back.start, []
+        for s in reversed(symbols):
+            state, symbol, weight = self.back_moves[state, s]
+            out.append((symbol, weight))
+        state, both = self.forth.start, []
+        for s, before in reversed(out):
+            state, symbol, weight = self.forth_moves[state, s]
+            both.append((symbol, before * weight))
+        return both
 
 
 class Lexicon:
-    """The word to symbol transducer; words of a stem are found by its prefixes."""
+    """The letter transducer: reads a word, and writes a symbol and a weight."""
+
+    def __init__(self, insults: dict[str, float]):
+        self.insults, self.moves, self.final = insults, {}, {}
+        for kind, words in (("TARGET", TARGETS), ("INTENT", INTENTS), ("NEGATION", NEGATIONS), ("REPORT", REPORTS), ("THREAT", THREATS)):
+            for w in words:
+                self._add(w, kind, 1.0)
+        for w, weight in sorted(insults.items()):
+            self._add(w, "INSULT", weight)
+        self.heads = frozenset([*insults, *THREATS])
+
+    def _add(self, word: str, kind: str, weight: float) -> None:
+        state = 0
+        for letter in word:
+            state = self.moves.setdefault((state, letter), len(self.moves) + 1)
+        self.final[state] = (kind, ()), weight
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.exact = {w: ("TARGET", ()) for w in TARGETS} | {w: ("NEGATION", ()) for w in NEGATIONS} | {w: ("REPORT", ()) for w in REPORTS} | {w: ("THREAT", ()) for w in THREATS}
-        self.exact |= {w: ("INSULT", ()) for w in words}
-        self.stems, self.sizes = set(stems), sorted({len(s) for s in stems})
-        names = [re.escape(w) + r"\b" for w in [*words, *THREATS]] + [re.escape(s) for s in stems]
-        self.find = re.compile(r"\b(?:" + "|".join(sorted(names)) + ")").search
+    def read(self, word: str):
+        state = 0
+        for letter in word:
+            state = self.moves.get((state, letter))
+            if state is None:
+                return _OTHER
+        return self.final.get(state, _OTHER)
 
-    def symbol(self, word: str):
-        got = self.exact.get(word)
-        if got is None:
-            got = ("INSULT", ()) if any(word[:n] in self.stems for n in self.sizes) else ("OTHER", ())
-        return got
+
+_OTHER = ("OTHER", ()), 1.0
 
 
 class Grammar:
-    def __init__(self, words: list[str], stems: list[str], weights: np.ndarray | None = None, bias: float = 0.0):
-        self.lexicon, self.weights, self.bias = Lexicon(words, stems), weights, bias
-        self.moves, self.start = grammar()
+    def __init__(self, insults: dict[str, float], weights: np.ndarray | None = None, bias: float = 0.0):
+        self.lexicon, self.machine, self.weights, self.bias = Lexicon(insults), Machine(), weights, bias
 
-    def events(self, text: str) -> Counter:
-        """Events of all matched clauses of a text."""
+    def patterns(self, text: str) -> Counter:
+        """Matched patterns of all clauses of a text, each with the weight of its terms' best path."""
         out: Counter = Counter()
-        text = text.lower()
-        if not self.lexicon.find(text):
+        text, heads = text.lower(), self.lexicon.heads
+        if heads.isdisjoint(WORD.findall(text)):
             return out
         for clause in CLAUSE.findall(text):
-            if not self.lexicon.find(clause):
+            words = WORD.findall(clause)
+            if heads.isdisjoint(words):
                 continue
-            state = self.start
-            for word in WORD.findall(clause):
-                state, (kind, marks) = self.moves[state, self.lexicon.symbol(word)]
-                if kind in ("INSULT", "THREAT"):
-                    out[kind.lower() + "".join(f"_{m}" for m in ("negated", "reported", "at_target") if m in marks)] += 1
+            read, best = [self.lexicon.read(w) for w in words], {}
+            for ((kind, marks), _), (_, weight) in zip(self.machine.run([s for s, _ in read]), read):
+                if kind == "INSULT" or kind == "THREAT" and ("aimed" in marks or "intended" in marks):
+                    name = _name(kind, marks)
+                    best[name] = max(best.get(name, 0.0), weight)
+            out.update(best)
         return out
 
     def vector(self, text: str) -> np.ndarray:
-        got = self.events(text)
-        return np.array([math.log1p(got[e]) for e in EVENTS]) if got else _NONE
+        got = self.patterns(text)
+        return np.array([math.log1p(got[p]) for p in PATTERNS]) if got else _NONE
 
     def score(self, text: str) -> float:
         margin = self.bias + (float(self.vector(text) @ self.weights) if self.weights is not None else 0.0)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
 
-_NONE = np.zeros(len(EVENTS))
+_NONE = np.zeros(len(PATTERNS))
 
 
-def _terms(text: str) -> set[str]:
-    """Words (ended by a space) and their prefixes."""
-    out = set()
-    for word in set(WORD.findall(text.lower())):
-        out.add(word + " ")
-        out.update(word[:n] for n in range(3, min(len(word), 8) + 1))
-    return out
+def arc_weight(pattern: str) -> float:
+    """The product of the arcs that mark a pattern, as the composed machine has it."""
+    return math.prod(ARCS[m] for m in pattern.split("_")[1:])
 
 
-def _count(batches):
-    toxic, clean = Counter(), Counter()
+def _places(batches):
+    """Of toxic texts: each word with the words before and after it; new marks one row of each word in a text."""
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if y else clean).update(_terms(text or ""))
-        if len(toxic) + len(clean) > 1_000_000:
-            yield _partial(toxic, clean)
-            toxic, clean = Counter(), Counter()
-    yield _partial(toxic, clean)
-
-
-def _partial(toxic: Counter, clean: Counter) -> pa.RecordBatch:
-    terms = sorted(toxic.keys() | clean.keys())
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
-
-
-def choose_terms(texts: list[set[str]], pure: dict[str, int]) -> tuple[list[str], list[str]]:
-    """Words and stems, by greedy cover of the toxic texts (as sets of their pure terms).
-
-    A text counts 1 for the first term that explains it and AGAIN (of 1000 texts; more of fewer) for each of the next COVERS; a term needs MIN_TOXIC together.
-    What a few toxic texts share by being copies of each other is then no evidence, while a frequent insult is, beside
-    other insults. Each term is taken as long as 95 % of what it explains allows.
-    """
-    holders: dict[str, list[int]] = {}
-    for i, terms in enumerate(texts):
-        for t in sorted(terms & pure.keys()):
-            holders.setdefault(t, []).append(i)
-    longer: dict[str, list[str]] = {}
-    for t in holders:
-        longer.setdefault(t[:-1], []).append(t)
-    worth, covers = np.ones(len(texts)), np.zeros(len(texts), dtype=int)
-    again = min(0.5, AGAIN * 1000 / max(1, len(texts)))
-    gain = lambda t: float(worth[holders[t]].sum())
-    words, stems = [], []
-    queue = [(-gain(t), t) for t in holders]
-    heapq.heapify(queue)
-    while queue and len(words) + len(stems) < MAX_TERMS:
-        was, term = heapq.heappop(queue)
-        now = gain(term)
-        if now < MIN_TOXIC or any(term.startswith(s) for s in stems) or term in words:
-            continue
-        if now < -was:
-            heapq.heappush(queue, (-now, term))
-            continue
-        while more := [t for t in longer.get(term, ()) if gain(t) >= 0.95 * now]:
-            term = max(more, key=lambda t: (t.endswith(" "), gain(t), t))
-        (words if term.endswith(" ") else stems).append(term)
-        covers[holders[term]] += 1
-        worth[holders[term]] = np.where(covers[holders[term]] <= COVERS, again, 0.0)
-    return sorted({w.rstrip(" ") for w in words}), sorted(set(stems))
-
-
-def _prior(event: str) -> float:
-    """What an event counts beside a plain one, as far as the labels don't say otherwise."""
-    return (0.5 if "_negated" in event else 1.0) * (0.6 if "_reported" in event else 1.0) * (1.2 if "_at_target" in event else 1.0)
+        terms, places, new = [], [], []
+        for text in batch.column(0).to_pylist():
+            words, seen = ["", *WORD.findall((text or "").lower()), ""], set()
+            for before, word, after in set(zip(words, words[1:], words[2:])):
+                terms.append(word)
+                places.append(f"{before} {after}")
+                new.append(int(word not in seen))
+                seen.add(word)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(places, pa.string()), pa.array(new, pa.int32())], ["term", "place", "new"])
+
+
+def insult_weight(toxic: int, clean: int, share: float) -> float:
+    """The probability that a word of so many toxic and clean texts is an insult, where ``share`` of all texts are toxic."""
+    share = min(share, TOXIC_PLACES - 0.01)
+    logit = math.log(PRIOR) + toxic * math.log(TOXIC_PLACES / share) + clean * math.log((1 - TOXIC_PLACES) / (1 - share))
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit))))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps: a common weight times each event's prior, and a ridged deviation of each event."""
-    prior, n = np.array([_prior(e) for e in EVENTS]), len(y)
-    full = np.concatenate((x, (x @ prior)[:, None], np.ones((n, 1))), axis=1)
+    """Logistic regression by Newton steps: a common weight times each pattern's arcs, and a ridged deviation of each pattern."""
+    arcs, n = np.array([arc_weight(p) for p in PATTERNS]), len(y)
+    full = np.concatenate((x, (x @ arcs)[:, None], np.ones((n, 1))), axis=1)
     w = np.zeros(full.shape[1])
     ridge = np.diag([*np.full(x.shape[1], 1.0), 0.02, 1e-6])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + ridge, full.T @ (p - y) + ridge @ w)
         w = w - np.clip(step, -2, 2)
-    return np.maximum(w[:-2] + w[-2] * prior, 0), float(w[-1])
+    return np.maximum(w[:-2] + w[-2] * arcs, 0), float(w[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = training_rows(slim, labels.select(F.col(id_col).cast("string").alias("id"), label), label, folds, held, rows, "id").select("text", "y", "id")
-    distinct = sample.groupBy(F.coalesce("text", F.lit("")).alias("text"), "y").agg(F.min("id").alias("id"))  # copies of a text are no evidence
-    parts = distinct.select("text", "y").mapInArrow(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pure = parts.where((F.col("toxic") >= MIN_TOXIC) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))))
-    top = {r["term"]: r["toxic"] for r in pure.orderBy(F.desc("toxic"), "term").limit(TOP_TERMS).collect()}
-
-    def terms(batches):
+    distinct = cut(sample.groupBy(F.coalesce("text", F.lit("")).alias("text"), "y").agg(F.min("id").alias("id")))  # copies of a text are no evidence; at most ``rows`` rows
+    sizes = {r["y"]: r["n"] for r in distinct.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not clean:
+        rate = (toxic + 0.5) / (toxic + clean + 1)
+        return Grammar({}, None, math.log(rate / (1 - rate)))
+    places = distinct.where("y = 1").select("text").mapInArrow(_places, "term string, place string, new int")
+    places = places.groupBy("term", "place").agg(F.sum("new").alias("new")).groupBy("term").agg(F.least(F.count(F.lit(1)), F.sum("new")).alias("n"))
+    terms = {r["term"]: r["n"] for r in places.where(F.col("n") >= MIN_PLACES).toLocalIterator()}
+
+    def seen(batches):
+        """How many clean texts hold each term."""
+        held_by: Counter = Counter()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sorted(_terms(t or "") & top.keys()) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["id", "terms"])
+            for text in batch.column(0).to_pylist():
+                held_by.update(terms.keys() & WORD.findall((text or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(held_by.keys(), pa.string()), pa.array(held_by.values(), pa.int64())], ["term", "n"])
 
-    toxic = distinct.where("y = 1").select("text", "id").mapInArrow(terms, "id string, terms array<string>").toArrow().sort_by("id")
-    words, stems = choose_terms([set(t) for t in toxic["terms"].to_pylist()], top)
-    model = Grammar(words, stems)
+    in_clean = {r["term"]: r["n"] for r in distinct.where("y = 0").select("text").mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    share = toxic / (toxic + clean)
+    closed = {*TARGETS, *INTENTS, *NEGATIONS, *REPORTS, *THREATS}
+    insults = {t: w for t, n in terms.items() if t not in closed and (w := insult_weight(n, in_clean.get(t, 0), share)) >= MIN_WEIGHT}
+    model = Grammar(insults)
 
     def vectors(batches):
         for batch in batches:
             x = [model.vector(t or "").tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64())), batch.column(2)], ["y", "x", "id"])
 
-    got = sample.mapInArrow(vectors, "y int, x array<double>, id string").toArrow().sort_by("id")
-    y = np.asarray(got["y"]).astype(float)
-    if len(y) == 0 or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1)
-        return Grammar([], [], None, math.log(rate / (1 - rate)))
-    weights, bias = fit_weights(np.array(got["x"].to_pylist()), y)
-    return Grammar(words, stems, weights, bias)
+    got = distinct.select("text", "y", "id").mapInArrow(vectors, "y int, x array<double>, id string").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    weights, bias = fit_weights(np.array(got["x"].to_pylist()), np.asarray(got["y"]).astype(float))
+    return Grammar(insults, weights, bias)
 
 
 def score(docs: DataFrame, model: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and score in [0, 1]."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.exact, sorted(model.lexicon.stems), model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.insults, model.weights, model.bias))
 
     def run(batches):
-        exact, stems, weights, bias = shared.value
-        own = Grammar([w for w, s in exact.items() if s[0] == "INSULT"], stems, weights, bias)
+        own = Grammar(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t.as_py() or "") for t in batch.column(1)], pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
