@@ -5,12 +5,14 @@ judges. A model holds the counts of every context of up to ``ORDER`` characters
 in a table that grows with the urls; orders are blended by Witten-Bell smoothing with the counted number of different followers.
 The logarithm of the ratio of both models follows from a character and the ``ORDER`` before it, a gram. Urls are dealt into
 buckets, each of which asks the table for its distinct grams, so that a gram of all urls is joined once a bucket. The score of a
-url is its log-likelihood difference (accepted less rejected) by character. The cut is calibrated on a histogram of the scores of
-all urls that a rule judges, as the one with the best balanced accuracy.
+url is its log-likelihood difference (accepted less rejected) by character. One judged url in ``HOLD``, by a hash of the url, is kept from
+learning; the cut is calibrated on a histogram of the scores of these, as the one with the best balanced accuracy (on all judged urls
+where those kept lack a class).
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an empty host fits no rule; the longest rule wins
 and of equally long ones the one with the longer host; with no urls of one of the classes to learn from, urls without a rule are
-allowed; every input row gives one output row, other columns are not read.
+allowed; a url of any length is read whole; every input row gives one output row, repeated rows and null ids too; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .runtime import cut
 ORDER = 5
 #: Urls of a bucket, on average.
 BUCKET_ROWS = 500
+#: One judged url in so many is kept from learning, for the cut.
+HOLD = 5
 #: Histogram of scores: range and cells.
 REACH, CELLS = 4.0, 800
 _A, _B = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +66,11 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
     return slim.select("*", rule.alias("rule"), verdict.alias("verdict"))
 
 
+def held(url: Column) -> Column:
+    """Whether a judged url is kept from learning; equal urls are kept alike."""
+    return F.pmod(F.xxhash64(url, F.lit("held")), F.lit(HOLD)) == 0
+
+
 def _grams(url: str) -> Iterator[str]:
     """For each character of the url and its end: the ORDER characters before it and itself. A line feed is the start and the end."""
     text = "\n" * ORDER + url.replace("\n", " ") + "\n"
@@ -107,7 +116,7 @@ def _score(table: pa.Table, answers: pa.Table) -> pa.Table:
 def scored(rows: DataFrame, n: int) -> DataFrame:
     """rows (``judged``, about n of them) with llr, by models of those that a rule judges."""
     buckets = max(1, -(-n // BUCKET_ROWS))
-    good = F.when(F.col("rule").isNotNull(), (F.col("verdict") == "allow").cast("int"))
+    good = F.when(F.col("rule").isNotNull() & ~held(F.col("url")), (F.col("verdict") == "allow").cast("int"))
     dealt = rows.withColumns({"good": good, "bucket": F.pmod(F.xxhash64("url", "id"), F.lit(buckets)).cast("long")})
     asked = cut(dealt.select("bucket", "url", "good").groupBy("bucket").applyInArrow(_count, "bucket long, gram string, n0 long, n1 long"))
     table = ratios(asked.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
@@ -118,12 +127,12 @@ def scored(rows: DataFrame, n: int) -> DataFrame:
 
 
 def calibrate(labelled: DataFrame) -> float:
-    """The cut with the best balanced accuracy on the histogram of all labelled rows' scores (good 0/1, llr)."""
+    """The cut with the best balanced accuracy on the histogram of labelled rows' scores (good 0/1, kept, llr): of those kept from learning, if they have both classes."""
     bucket = F.floor((F.least(F.greatest("llr", F.lit(-REACH)), F.lit(REACH - 1e-9)) + REACH) * (CELLS / (2 * REACH))).cast("int")
-    got = labelled.groupBy("good", bucket.alias("b")).count().collect()
-    hist = np.zeros((2, CELLS))
-    for r in got:
-        hist[r["good"], r["b"]] += r["count"]
+    hist = np.zeros((2, 2, CELLS))
+    for r in labelled.groupBy("kept", "good", bucket.alias("b")).count().collect():  # at most 4 * CELLS rows
+        hist[int(r["kept"]), r["good"], r["b"]] += r["count"]
+    hist = hist[1] if hist[1].sum(axis=1).all() else hist.sum(axis=0)
     below = np.concatenate((np.zeros((2, 1)), np.cumsum(hist, axis=1)), axis=1)
     gain = below[0] / max(hist[0].sum(), 1) + 1 - below[1] / max(hist[1].sum(), 1)
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
@@ -133,11 +142,11 @@ def calibrate(labelled: DataFrame) -> float:
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, verdict, and llr (null where a rule decided)."""
     rows = judged(pages, rules, id_col, url_col)
-    n, allowed, blocked = rows.agg(F.count(F.lit(1)), F.count_if(F.col("verdict") == "allow"), F.count_if(F.col("verdict") == "block")).first()
+    n, allowed, blocked = rows.agg(F.count(F.lit(1)), *[F.count_if((F.col("verdict") == v) & ~held(F.col("url"))) for v in ("allow", "block")]).first()
     if not allowed or not blocked:
         out = rows.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("llr"))
         return out.withColumnRenamed("id", id_col)
     rows = scored(rows, n)
-    least = calibrate(rows.where("rule IS NOT NULL").select((F.col("verdict") == "allow").cast("int").alias("good"), "llr"))
+    least = calibrate(rows.where("rule IS NOT NULL").select((F.col("verdict") == "allow").cast("int").alias("good"), held(F.col("url")).alias("kept"), "llr"))
     verdict = F.coalesce("verdict", F.when(F.col("llr") >= least, "allow").otherwise("block"))
     return rows.select("id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("rule").isNull(), F.col("llr")).alias("llr")).withColumnRenamed("id", id_col)

@@ -402,16 +402,33 @@ def plain_llr(judged, url, order=5):
     return total / (len(t) - order)
 
 
-def test_url_models_hold_every_context(spark):
+def plain_cut(scores, reach=4.0, cells=800):
+    """The cell edge with the best balanced accuracy of (score, good); the middle one of equally good ones."""
+    cell = lambda x: math.floor((min(max(x, -reach), reach - 1e-9) + reach) * cells / (2 * reach))
+    n = Counter(g for _, g in scores)
+    gains = [sum(cell(x) < edge for x, g in scores if not g) / n[0] + sum(cell(x) >= edge for x, g in scores if g) / n[1] for edge in range(cells + 1)]
+    best = [e for e, gain in enumerate(gains) if gain >= max(gains) - 1e-12]
+    return best[len(best) // 2] * 2 * reach / cells - reach
+
+
+def test_url_models_and_cut_equal_brute_force(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(3, 12)))
-    urls = [f"http://{word()}.example.com/{rng.choice(['fr', 'en'])}/{word()}" for _ in range(1500)] + [f"http://{word()}.org/{word()}é\n" for _ in range(40)] + [None]
-    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
-    judged = [(urls[r["page_id"]], int(r["verdict"] == "allow")) for r in got if r["rule"] is not None]
-    free = [r for r in got if r["rule"] is None]
-    assert len(got) == len(urls) and len(free) == 41
+    urls = [f"http://{word()}.example.com/{rng.choice(['fr', 'en'])}/{word()}" for _ in range(700)] + [f"http://{word()}.org/{word()}é\n" for _ in range(40)] + [None]
+    urls += [urls[0], urls[-2]]  # repeated rows
+    pages = spark.createDataFrame([*enumerate(urls), (None, "http://a.org/x")], "page_id long, url string")
+    got = url_filter.filter_urls(pages, RULES).collect()
+    kept = {r["page_id"] for r in pages.where(url_filter.held(F.coalesce("url", F.lit("")))).collect()}
+    ruled = [(urls[r["page_id"]], int(r["verdict"] == "allow"), r["page_id"] in kept) for r in got if r["rule"] is not None]
+    learned = [(u, g) for u, g, k in ruled if not k]
+    scores = [(plain_llr(learned, u), g) for u, g, k in ruled if k]
+    assert 50 < len(scores) < len(ruled) / 2 and len(got) == len(urls) + 1
+    least, free = plain_cut(scores), [r for r in got if r["rule"] is None]
+    assert len(free) == 43
     for r in free:
-        assert abs(r["llr"] - plain_llr(judged, urls[r["page_id"]] or "")) < 1e-9
+        url = "http://a.org/x" if r["page_id"] is None else urls[r["page_id"]] or ""
+        assert abs(r["llr"] - plain_llr(learned, url)) < 1e-9
+        assert r["verdict"] == ("allow" if r["llr"] >= least else "block")
 
 
 def test_url_models_need_both_classes(spark):
