@@ -6,7 +6,9 @@ are scored in linear time as half of (square of sums less sum of squares). Learn
 ``TRAIN_ROWS`` labelled rows; the model is a fixed-size table, so broadcasting it is bounded.
 
 Defined cases: a null text is an empty one and gets a score; a null length has its own bin; without labels of both classes the score
-is the share of label 1 (0.5 without any); every input row gives one output row; other columns are not read.
+is the share of label 1 (0.5 without any); a text of any length is read whole, in one piece of its own if it is long; every input row
+gives one output row, repeated rows and null ids too; an empty table gives no rows; other columns, whatever their names, are not read,
+but for the length, and ``score`` returns them as they are, but for one named like its result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -154,22 +156,23 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), length.alias("n_chars"))
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with score, in [0, 1]."""
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", as_col: str = "score") -> DataFrame:
+    """docs with as_col, in [0, 1]."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
-    at, stated = names.index(text_col), names.index(length_col) if length_col in names else None
+    kept = [f for f in docs.schema.fields if f.name.lower() != as_col.lower()]
+    n = len(kept)
+    stated = F.col(f"`{length_col}`").cast("long") if length_col in docs.columns else F.lit(None).cast("long")
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            blobs = blobs_of(batch.column(at).cast(pa.string()))
-            lengths = batch.column(stated).cast(pa.int64()).to_pylist() if stated is not None else [None] * len(blobs)
+            blobs, lengths = blobs_of(batch.column(n)), batch.column(n + 1).to_pylist()
             out = [own.scores(*features(blobs[a:b], lengths[a:b]), b - a) for a, b in pieces(blobs)]
-            yield batch.append_column("score", pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64()))
+            scores = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], scores], [*[f.name for f in kept], as_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    read = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("_text"), stated.alias("_stated"))  # what is read goes last, by place
+    return read.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{as_col}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
