@@ -59,5 +59,20 @@ reach(doc_id, c) AS (SELECT doc_id, doc_id FROM low UNION SELECT e.b, r.c FROM r
 comp AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
 SELECT low.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, low.doc_id = component_id AS kept
 FROM low JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op7_quality_rules": rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+wins AS (SELECT doc_id, i, list_aggregate(w[i:i+4], 'string_agg', ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, win FROM wins GROUP BY ALL HAVING count(*) >= 2),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 4)) AS p FROM wins JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(t, '[^A-Z\x{{C0}}-\x{{DE}}]', '', 'g')) AS n_upper,
+             length(regexp_replace(t, '[^A-Za-z\x{{C0}}-\x{{10FFFF}}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclaim
+      FROM docs LEFT JOIN covered USING (doc_id)),
+ledger AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (n_symbols > n_words)::BIGINT
+                      + 8 * (2 * n_dup_lines > n_lines AND n_dup_lines >= 10)::BIGINT + 16 * (word_chars > 40 * n_words)::BIGINT
+                      + 32 * (10 * n_upper > 7 * n_letters AND n_letters >= 40)::BIGINT + 64 * (2 * n_exclaim > n_words AND n_words >= 10)::BIGINT)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM ledger
 """,
 }
