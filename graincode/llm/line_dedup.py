@@ -85,9 +85,10 @@ def _dense(masks: Column) -> Column:
     return F.flatten(F.transform(masks, lambda m, i: F.concat(gap(m, i), F.array(m["mask"]))))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept_text") -> DataFrame:
-    """docs with kept_col, n_lines and n_dropped."""
-    own = docs.drop(*[c for c in docs.columns if c.lower() in (kept_col.lower(), "n_lines", "n_dropped") and c not in (id_col, text_col)])
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept_text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
+    """docs with kept_col, lines_col and dropped_col, which replace columns of these names."""
+    made = {c.lower() for c in (kept_col, lines_col, dropped_col)}
+    own = docs.drop(*[c for c in docs.columns if c.lower() in made and c not in (id_col, text_col)])
     at = fresh(own, "line")
     names = own.columns
     bitmaps = cut(bitmaps)
@@ -102,9 +103,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     kept = F.when(mask.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(f"{at}_kept", "\n"))
     total = F.size(f"{at}_all")
     dropped = F.when(mask.isNull(), 0).otherwise(total - F.size(f"{at}_kept"))
-    return both.select(*[F.col(f"`{c}`") for c in names], kept.alias(kept_col), total.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    return both.select(*[F.col(f"`{c}`") for c in names], kept.alias(kept_col), total.cast("long").alias(lines_col), dropped.cast("long").alias(dropped_col))
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped, which replace columns of these names."""
-    return apply_bitmaps(docs, drop_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col)
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
+    """docs with kept_text, n_lines and n_dropped (or as names has them, like ``apply_bitmaps``), which replace columns of these names."""
+    return apply_bitmaps(docs, drop_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), id_col, text_col, **names)

@@ -5,7 +5,8 @@ versioned mask over the bits, so verdicts of any policy, and ablations of rules,
 read a text again.
 
 Defined cases: a null or empty text has no words (it fails the word-count rule); a line without words is never a duplicate line;
-a text of fewer than five words has no repeated window; every input row gives one output row, other columns are not read.
+a text of fewer than five words has no repeated window; a text of any length is read whole; every input row gives one output row, repeated
+rows and null ids too; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

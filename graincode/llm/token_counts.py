@@ -2,10 +2,11 @@
 
 Method: texts are cut at safe boundaries (``safe_cuts``); the distinct parts whose length is not known yet are put together to
 calls of about ``CALL`` bytes, so that a call's memory depends neither on how long the texts of a batch are nor on how many there
-are, and only the lengths of the encodings leave the function. Lengths of up to ``CACHE_PARTS`` parts are remembered. A text
-without a safe boundary is encoded whole.
+are, and only the lengths of the encodings leave the function. Lengths of up to ``CACHE_PARTS`` parts are remembered. Texts of
+any length are counted whole; what has no safe boundary (one word, to the library) is one part, as the library can't split it either.
 
-A null text is an empty one and has no tokens; nothing is truncated; every input row gives one output row.
+Defined cases: a null text is an empty one and has no tokens; nothing is truncated; every input row gives one output row, repeated
+rows and null ids too; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,13 +36,17 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _bytes(text: str | None) -> int:
+    return 0 if text is None else len(text) if text.isascii() else len(text.encode())
+
+
 def _learn(own, known: dict[str, int], new: list[str], before: str) -> None:
     """Encode the new parts in calls balanced by bytes, and keep their lengths."""
     at = 0
     while at < len(new):
         to, size = at, 0
         while to < len(new) and (to == at or size < CALL):
-            size += len(new[to])
+            size += _bytes(new[to])
             to += 1
         for part, e in zip(new[at:to], own.encode_batch_fast([before + p for p in new[at:to]], add_special_tokens=False)):
             known[part] = len(e)
@@ -59,7 +64,7 @@ class Counter:
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size < GROUP):
-                size += len(texts[to] or "")
+                size += _bytes(texts[to])
                 to += 1
             cut = {i: parts(texts[i]) for i in range(at, to) if texts[i]}
             if len(self.known) > CACHE_PARTS:

@@ -118,10 +118,35 @@ def spark_column(frame, name):
     return F.col(name).cast(frame.schema[name].dataType)
 
 
-@pytest.mark.parametrize("k", range(5))
-def test_odd_rows(spark, k):
-    docs = table(spark, SF, "documents").limit(0).union(
-        spark.createDataFrame([(1, None, "en", None, None), (2, "", None, "s", 0), (None, "a b c", "en", "s", 5), (3, "x y z " * 40, "en", "s", 9), (3, "x y z " * 40, "en", "s", 9)], table(spark, SF, "documents").schema)
-    )
-    assert corpus_pipeline.STAGES[k][1](spark, docs, SF).count() <= 5
-    assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
+ODD = [(1, None, "en", None, None), (2, "", None, "s", 0), (None, "a b c", "en", "s", 5), (3, "x y z " * 40, "en", "s", 9), (3, "x y z " * 40, "en", "s", 9)]
+CLASH = [("score", 7.0), ("kept_text", "k"), ("n_lines", 1), ("n_dropped", 2), ("_tag", 3), ("_line_doc", 4), ("tag", 5), ("rep", 6), ("ids", 8), ("N_TOKENS", 9), ("round_trip", 10), ("h", 11)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, monkeypatch, name):
+    """Exactly the rows that stay of nulls, empty texts, repeated rows and columns of clashing names; no rows of no rows."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(corpus_pipeline, "learn", lambda docs, labels: quality_fm.Machine(5.0))
+    docs = spark.createDataFrame(ODD, table(spark, SF, "documents").schema).withColumns({c: F.lit(v) for c, v in CLASH})
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, SF)
+    if name == "tokens":
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(plain.VOCABULARY)
+        ids = [tuple(lib.encode(r[1] or "", add_special_tokens=False).ids) for r in ODD]
+        want = [(r[0], r[2], r[3], len(x), x, True) for r, x in zip(ODD, ids)]
+        rows = [(r["doc_id"], r["lang"], r["source"], r["n_tokens"], tuple(r["ids"]), r["round_trip"]) for r in got.collect()]
+        assert Counter(rows) == Counter(want)
+    else:
+        extra = tuple(v for _, v in CLASH)
+        want = Counter((*r, *extra) for r in (ODD[:4] if name == "near_dedup" else ODD))
+        assert got.columns == docs.columns and Counter(tuple(r) for r in got.collect()) == want
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rejected_documents_leave(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "learn", lambda docs, labels: quality_fm.Machine(-5.0))
+    docs = spark.createDataFrame(ODD, table(spark, SF, "documents").schema)
+    assert corpus_pipeline.quality(spark, docs, SF).count() == 0

@@ -186,6 +186,37 @@ def test_token_counts(spark, monkeypatch):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 5)
 
 
+def test_counts_and_rules_of_odd_rows(spark):
+    """Empty tables, repeated rows, null ids and clashing columns: a row for each row."""
+    texts, ids = ["a b", "a b", None, "x"], [1, 1, None, None]
+    docs = frame(spark, texts, ids).withColumns({"n_tokens": F.lit(7), "n_bytes": F.lit(8), "n_words": F.lit(9), "fail_bits": F.lit(3), "id": F.lit("z")})
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, VOCABULARY).collect())
+    assert got == Counter({(1, 3, 2): 2, (None, 0, 0): 1, (None, 1, 1): 1})
+    rules = Counter((r["doc_id"], r["n_words"], r["fail_bits"]) for r in quality_rules.ledger(docs).collect())
+    assert rules == Counter({(1, 2, 1): 2, (None, 0, 1): 1, (None, 1, 1): 1})
+    encoded = bpe.encode(docs.withColumn("ids", F.lit("old")), VOCABULARY)
+    assert Counter((r["doc_id"], len(r["ids"]), r["n_tokens"]) for r in encoded.collect()) == Counter({(1, 2, 7): 2, (None, 0, 7): 1, (None, 1, 7): 1})
+    checked = bpe.encode_checked(docs, VOCABULARY).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_bytes"], r["round_trip"]) for r in checked) == Counter({(1, 2, 8, True): 2, (None, 0, 8, True): 1, (None, 1, 8, True): 1})
+    none = docs.limit(0)
+    assert [f(none).count() for f in (lambda d: token_counts.count_tokens(d, VOCABULARY), quality_rules.ledger, lambda d: bpe.encode_checked(d, VOCABULARY))] == [0, 0, 0]
+
+
+def test_token_calls_are_balanced_by_bytes(monkeypatch):
+    sizes, counter = [], token_counts.Counter(VOCABULARY)
+
+    class Spy:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sizes.append(sum(len(t.encode()) for t in texts))
+            return library().encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(token_counts, "CALL", 64)
+    counter.own = Spy()
+    text = " ".join("яйцо%d" % i for i in range(60))
+    assert counter.count([text]) == [len(library().encode(text, add_special_tokens=False))]
+    assert max(sizes) < 64 + 24
+
+
 # 6 near duplicates
 
 
@@ -341,6 +372,19 @@ def test_line_dedup(spark, keep_first):
     assert line_dedup.drop_frequent_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_clashing_columns(spark):
+    docs = frame(spark, ["same\na", "same\nb"]).withColumns({c: F.lit(c) for c in ("kept_text", "n_lines", "_line", "_line_mask", "_tag", "masks")})
+    got = line_dedup.drop_frequent_lines(docs, 2).orderBy("doc_id").collect()
+    assert [(r["kept_text"], r["n_lines"], r["n_dropped"], r["_line"], r["_line_mask"], r["_tag"], r["masks"]) for r in got] == [(t, 2, 1, "_line", "_line_mask", "_tag", "masks") for t in "ab"]
+
+
+def test_line_dedup_joins_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_MASKS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    texts = ["same\na", "same\nb", "c", None]
+    assert sorted(r["kept_text"] for r in line_dedup.drop_frequent_lines(frame(spark, texts), 2).collect()) == ["", "a", "b", "c"]
+
+
 def test_line_dedup_null_ids(spark):
     docs = frame(spark, ["same\na", "same\nb", "same\nc"], [None, None, 1])
     assert sorted(r["kept_text"] for r in line_dedup.drop_frequent_lines(docs, 2).collect()) == ["a", "b", "c"]
