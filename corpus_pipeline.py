@@ -17,21 +17,24 @@ from graincode.llm.line_dedup import drop_frequent_lines
 from graincode.llm.minhash_dedup import keep_one
 from graincode.llm.quality_fm import learn, score
 from graincode.llm.queries import vocabulary_path
-from graincode.llm.runtime import cut, table
+from graincode.llm.runtime import cut, fresh, table
 
 #: Python models decide in two stages, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    machine = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, machine).where("score >= 0.3").drop("score")
+    machine, own = learn(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
+    return score(docs, machine, as_col=own).where(F.col(own) >= 0.3).drop(own)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = drop_frequent_lines(docs, min_docs=10, min_chars=1)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return kept.withColumns({"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    own = fresh(docs, "lines")
+    kept, gone = F.col(f"{own}_kept"), F.col(f"{own}_gone")
+    out = drop_frequent_lines(docs, min_docs=10, min_chars=1, kept_col=f"{own}_kept", lines_col=f"{own}_all", dropped_col=f"{own}_gone")
+    text = F.when(F.col("text").isNotNull(), kept)
+    length = F.when(gone > 0, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return out.select(*[{"text": text, "n_chars": length}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
