@@ -25,7 +25,7 @@ BROADCAST_ROWS = 1_000_000
 GRAM = 5
 _A, _B = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: all of ASCII but digits and letters.
-_BREAK, _WORD = (rf"[{no}\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" for no in ("", "^"))
+_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _NONE = "CAST(array() AS array<bigint>)"
 
 
@@ -111,7 +111,7 @@ def decontaminate(
     lists = combos.join(windows.select("items_id", "items").dropDuplicates(["items_id"]), "items_id").select("combo", F.explode("items").alias("item")).distinct()
     lists = lists.groupBy("combo").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
     result = per_doc.join(lists, "combo", "left").select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "n_hit", "n_items", "items")
-    counts = slim.select("doc", "tag", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"))
+    counts = slim.select("doc", "tag", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = counts.join(result, counts["doc"].eqNullSafe(result["_doc"]) & (counts["tag"] == result["_tag"]), "left")
     return joined.select(
         F.col("doc").alias(id_col),
