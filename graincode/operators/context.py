@@ -22,26 +22,26 @@ def pack_prefix(rows: DataFrame, keys: list[str], order: list, cost: str, budget
     return rows.withColumn("used", run).where(F.col("used") <= budget)
 
 
-def _greedy(costs: Column, budget: Column) -> Column:
-    """Flags of the entries kept when those that do not fit are skipped."""
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("keep"))
+def _greedy(rows: Column, budget: int) -> Column:
+    """Of rows (o, c) of positive cost, those kept when the ones that do not fit are skipped: ``budget`` of them at most."""
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.filter(rows, lambda x: F.lit(False)).alias("kept"))
 
-    def step(acc: Column, c: Column) -> Column:
-        fits = acc["used"] + c <= budget
-        return F.struct((acc["used"] + F.when(fits, c).otherwise(0)).alias("used"), F.concat(acc["keep"], F.array(fits)).alias("keep"))
+    def step(acc: Column, x: Column) -> Column:
+        more = F.struct((acc["used"] + x["c"]).alias("used"), F.concat(acc["kept"], F.array(x)).alias("kept"))
+        return F.when(acc["used"] + x["c"] <= budget, more).otherwise(acc)
 
-    return F.aggregate(costs, zero, step)["keep"]
+    return F.aggregate(rows, zero, step)["kept"]
 
 
-def pack_greedy(rows: DataFrame, keys: list[str], order: str, cost: str, budget: int, bound: int = 1 << 12) -> DataFrame:
-    """keys, order and cost of the rows kept of each key. A row beyond the ``bound``-th positive cost can only be free: it costs nothing.
+def pack_greedy(rows: DataFrame, keys: list[str], order: str, cost: str, budget: int) -> DataFrame:
+    """keys, order and cost of the rows kept of each key, in order, when rows that do not fit are skipped.
 
-    At most ``budget`` rows of positive cost fit a key; all rows of a key are still looked at, in order.
+    Rows that cost nothing always fit and rows dearer than the budget never do; only orders and costs of the others are gathered, by key.
     """
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("_l"))
-    kept = lists.withColumn("_k", _greedy(F.transform("_l", lambda x: x["c"]), F.lit(budget)))
-    out = kept.select(*keys, F.inline(F.arrays_zip(F.col("_l").alias("e"), F.col("_k").alias("k")))).where("k")
-    return out.select(*keys, F.col("e.o").alias(order), F.col("e.c").alias(cost))
+    slim = rows.select(*keys, F.col(order).alias("o"), F.col(cost).cast("long").alias("c")).where(F.col("c").between(0, budget))
+    lists = slim.where("c > 0").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("o", "c"))).alias("_l"))
+    kept = lists.select(*keys, F.inline(_greedy(F.col("_l"), budget)))
+    return kept.unionByName(slim.where("c = 0")).select(*keys, F.col("o").alias(order), F.col("c").alias(cost))
 
 
 def _hints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -70,7 +70,7 @@ def hint_hits(memories: DataFrame, points: DataFrame, embed: Callable[[DataFrame
     k best of a hint in each partition before the shuffle. As in ``search``, one row stays for each file and start line of a hint.
     """
     hints = _hints(_relevant(memories, cutoff).select(F.col("pos").alias("memory"), "text"), ["memory"], "text")
-    score = F.round(squared_l2(F.col("vector"), F.col("q")), 4)
+    score = squared_l2(F.col("vector"), F.col("q"))
     near = points.crossJoin(F.broadcast(embed(hints.select("hint").distinct()))).select("hint", "id", score.alias("score"), "file", "start_line", F.substring("text", 1, 500).alias("text"))
     near = near.withColumn("_r", F.row_number().over(Window.partitionBy("hint").orderBy("score", "id"))).where(F.col("_r") <= k)
     near = near.withColumn("_r", F.row_number().over(Window.partitionBy("hint", "file", "start_line").orderBy("score", "id"))).where("_r = 1")

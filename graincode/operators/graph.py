@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import trim_slashes
-from graincode.plans.lineage import cut
+from graincode.plans.lineage import broadcast_if, cut
 
 KEY = ["source", "target", "kind", "repo", "branch", "source_file"]
 
@@ -55,37 +55,43 @@ def dependencies(edges: DataFrame, file: str) -> DataFrame:
 
 def find_references(edges: DataFrame, symbol: str) -> DataFrame:
     """Edges whose source or target holds the symbol, whatever the case; % and _ in it are wildcards."""
-    return edges.where(F.col("source").ilike(f"%{symbol}%") | F.col("target").ilike(f"%{symbol}%"))
+    return edges.where(_holds(symbol))
+
+
+def _holds(symbol: str):
+    return F.col("source").ilike(f"%{symbol}%") | F.col("target").ilike(f"%{symbol}%")
 
 
 def get_references(edges: DataFrame, symbol: str, file_stem: str | None, repo: str = "", order: str = "ord", limit: int = 200) -> DataFrame:
-    """References by symbol, then by its file's stem, one for each (file, line, kind), the first ``limit`` in order; total counts all."""
-    own = edges.where(F.col("repo").contains(repo))
-    found = find_references(own, symbol).withColumn("pass", F.lit(1))
-    if file_stem:
-        found = found.unionByName(find_references(own, file_stem).withColumn("pass", F.lit(2)))
+    """References by symbol, then by its file's stem, one for each (file, line, kind), the first ``limit`` in order; total counts all.
+
+    One scan: an edge that holds both is of the first pass. What is found is written once, and read for the rows and for the total.
+    """
+    own = edges.where(F.col("repo").contains(repo) & (_holds(symbol) | _holds(file_stem) if file_stem else _holds(symbol)))
+    found = own.withColumn("pass", F.when(_holds(symbol), 1).otherwise(2))
     first = found.groupBy("source_file", "line", "kind").agg(F.min_by(F.struct("source", "target", "repo"), F.struct("pass", order)).alias("e"), F.min(F.struct("pass", order)).alias("o"))
-    first = first.select("source_file", "line", "kind", "e.*", F.col("o.pass").alias("pass"), F.col("o").alias("_o"))
-    total = first.agg(F.count(F.lit(1)).alias("total"))
-    return first.orderBy("_o").limit(limit).drop("_o").crossJoin(F.broadcast(total))
+    first = cut(first.select("source_file", "line", "kind", "e.*", F.col("o.pass").alias("pass"), F.col("o").alias("_o")))
+    return first.orderBy("_o").limit(limit).drop("_o").withColumn("total", F.lit(first.count()))
 
 
 def subgraph(edges: DataFrame, symbol: str, depth: int = 2) -> DataFrame:
     """Edges met by breadth-first rounds in both directions, with the round (an edge may be met again in a later one).
 
-    The set of seen nodes is cut from its lineage each round; a round joins edges with the frontier alone.
+    The first round is a filter. A later one scans the edges once, against the frontier (nodes that the round before met first), which is
+    broadcast if it is counted to be small enough; what a round finds is written once, and read for the next frontier and for the result.
     """
-    spark = edges.sparkSession
-    seen = frontier = spark.createDataFrame([(symbol,)], "node string")
-    out = None
+    touched = edges.where((F.col("source") == symbol) | (F.col("target") == symbol)).withColumn("round", F.lit(1))
+    seen, out = edges.sparkSession.range(1).select(F.lit(symbol).alias("node")), None
     for step in range(1, depth + 1):
-        touched = edges.join(frontier.withColumnRenamed("node", "source"), "source", "left_semi").unionByName(
-            edges.join(frontier.withColumnRenamed("node", "target"), "target", "left_semi").join(frontier.withColumnRenamed("node", "source"), "source", "left_anti")
-        )
-        touched = touched.withColumn("round", F.lit(step))
-        out = touched if out is None else out.unionByName(touched)
+        if step > 1:
+            near = broadcast_if(frontier)
+            ends = [near.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}")) for c in ("source", "target")]
+            met = edges.join(ends[0], "source", "left").join(ends[1], "target", "left").where("_source OR _target")
+            touched = met.select(*edges.columns, F.lit(step).alias("round"))
         if step < depth:
+            touched = cut(touched)
             reached = touched.select(F.explode(F.array("source", "target")).alias("node")).distinct()
             frontier = cut(reached.join(seen, "node", "left_anti"))
-            seen = cut(seen.union(frontier))
+            seen = seen.unionByName(frontier)
+        out = touched if out is None else out.unionByName(touched)
     return out

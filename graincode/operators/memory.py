@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: seconds from the first save during which equal saves are duplicates of it.
 DEDUP_SECONDS = 900
 
 
+def _bursts(saves: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
+    """keys, t and burst: a save ``gap`` or more after the one before starts a burst, and is an anchor whatever came before."""
+    order = Window.partitionBy(*keys).orderBy("t")
+    own = saves.select(*keys, F.col(time).alias("t")).withColumn("_new", F.coalesce(F.col("t") - F.lag("t").over(order) >= gap, F.lit(True)).cast("int"))
+    return own.select(*keys, "t", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("burst"))
+
+
 def anchors(saves: DataFrame, keys: list[str], seconds: int = DEDUP_SECONDS, time: str = "us") -> DataFrame:
     """keys, anchor and n: a save starts a row when it comes ``seconds`` or more after the anchor of the one before; others add to n.
 
-    A fold over the sorted times of a key. Only times are gathered (8 bytes a save), not the saves.
+    Sorted windows cut the saves of a key into bursts, which never share a row; a fold over the sorted times of a burst (8 bytes a save)
+    copies what it has only where a new anchor starts.
     """
     gap = seconds * 1_000_000
-    zero = F.array().cast("array<struct<anchor:bigint,n:bigint>>")
+    none = F.array().cast("array<struct<anchor:bigint,n:bigint>>")
+    zero = F.struct(none.alias("done"), F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("n"))
+
+    def last(acc: Column) -> Column:
+        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["anchor"].alias("anchor"), acc["n"].alias("n"))))).otherwise(acc["done"])
 
     def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(t.alias("anchor"), F.lit(1).cast("long").alias("n"))
-        more = F.struct(last["anchor"].alias("anchor"), (last["n"] + 1).alias("n"))
-        return F.when((F.size(acc) > 0) & (t - last["anchor"] < gap), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(acc, F.array(new)))
+        more = F.struct(acc["done"].alias("done"), acc["anchor"].alias("anchor"), (acc["n"] + 1).alias("n"))
+        new = F.struct(last(acc).alias("done"), t.alias("anchor"), F.lit(1).cast("long").alias("n"))
+        return F.when((acc["n"] > 0) & (t - acc["anchor"] < gap), more).otherwise(new)
 
-    times = saves.groupBy(*keys).agg(F.array_sort(F.collect_list(time)).alias("_t"))
-    return times.select(*keys, F.inline(F.aggregate("_t", zero, step)))
+    times = _bursts(saves, keys, time, gap).groupBy(*keys, "burst").agg(F.array_sort(F.collect_list(F.col("t").cast("long"))).alias("_t"))
+    return times.select(*keys, F.inline(F.aggregate("_t", zero, step, last)))
 
 
 _FOLD = "project string, scope string, row long, first_event long, hash string, topic_key string, created long, updated long, revision long, duplicates long"
@@ -116,5 +127,4 @@ def partial_update(memories: DataFrame, changes: DataFrame) -> DataFrame:
 def stats(memories: DataFrame) -> DataFrame:
     """Live rows in all, by type, and by project, in one pass."""
     live = memories.where(~F.col("deleted"))
-    live.createOrReplaceTempView("_graincode_live")
     return live.groupingSets([["memory_type"], ["project"], []], "memory_type", "project").agg(F.count(F.lit(1)).alias("n"))

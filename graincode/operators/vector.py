@@ -21,27 +21,36 @@ def where_metadata(points: DataFrame, **conditions) -> DataFrame:
     return points.where(reduce(Column.__and__, parts)) if parts else points
 
 
-def top_k(points: DataFrame, query: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def nearest(points: DataFrame, query: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """points with score, the k best: squared L2 (lower is better) or cosine (higher is better); ties by id. query: one row, q."""
-    score = F.round(squared_l2(F.col("vector"), F.col("q")) if metric == "l2" else cosine(F.col("vector"), F.col("q")), 4)
+    score = squared_l2(F.col("vector"), F.col("q")) if metric == "l2" else cosine(F.col("vector"), F.col("q"))
     scored = points.crossJoin(F.broadcast(query.limit(1))).withColumn("score", score).drop("q")  # one row is broadcast
     return scored.orderBy(F.asc("score") if metric == "l2" else F.desc("score"), "id").limit(k)
 
 
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 4))
+
+
+def top_k(points: DataFrame, query: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """As ``nearest``, ranked by the exact score and shown with four places."""
+    return _rounded(nearest(points, query, k, metric))
+
+
 def search(points: DataFrame, query: DataFrame, k: int = 10, repo: str | None = None, branch: str | None = None, language: str | None = None) -> DataFrame:
     """Top k by L2, then one row for each file and start line; texts of 500 characters."""
-    hits = top_k(where_metadata(points, repo=repo, branch=branch, language=language), query, k)
+    hits = nearest(where_metadata(points, repo=repo, branch=branch, language=language), query, k)
     best = Window.partitionBy("file", "start_line").orderBy("score", "id")
-    own = hits.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    own = _rounded(hits.withColumn("_r", F.row_number().over(best)).where("_r = 1"))
     return own.select("id", "score", "file", "symbol", "symbol_type", "start_line", "end_line", "language", F.substring("text", 1, 500).alias("text"))
 
 
 def read_symbol(points: DataFrame, query: DataFrame, name: str) -> DataFrame:
     """Of the five nearest symbols: the exact name, else the first that contains it, else the nearest."""
-    five = top_k(where_metadata(points, symbol_type=list(SYMBOL_TYPES)), query, 5)
+    five = nearest(where_metadata(points, symbol_type=list(SYMBOL_TYPES)), query, 5)
     low = F.lower("symbol")
     tier = F.when(low == name.lower(), 0).when(low.contains(name.lower()), 1).otherwise(2)
-    return five.withColumn("tier", tier).orderBy("tier", "score", "id").limit(1)
+    return _rounded(five.withColumn("tier", tier).orderBy("tier", "score", "id").limit(1))
 
 
 def hybrid_fallback(local: DataFrame, shared: DataFrame) -> DataFrame:
@@ -56,38 +65,64 @@ def preview(hits: DataFrame, lines: int = 4) -> DataFrame:
     return hits.select("id", F.format_string("%.4f", F.col("score")).alias("score"), text.alias("preview"))
 
 
-def batch_top_k(points: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """query_id, id, score: the k nearest points (cosine) of every row of queries (query_id, vector).
+#: Bytes of query vectors that may be broadcast.
+BROADCAST_BYTES = 256 << 20
 
-    Queries are dealt in blocks and meet every partition of points as matrices; each keeps k candidates a query, which are
-    merged by query. Rows between the two steps: queries times k times partitions of points.
-    """
-    dim = points.select(F.size("vector").alias("n")).limit(1).collect()
-    if not dim:
-        return queries.select("query_id").where(F.lit(False)).withColumns({"id": F.lit(""), "score": F.lit(0.0)})
-    blocks = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // block))))
-    packed = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "vector"))).alias("queries"))
-    slabs = points.select("id", "vector").withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(max(1, points.count() // 20000))))
-    slabs = slabs.groupBy("slab").agg(F.collect_list(F.struct("id", "vector")).alias("points"))
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+def _matrix(rows: pa.StructArray) -> np.ndarray:
+    """Unit vectors of a slab or block; a zero vector stays one."""
+    x = np.asarray(rows.field("vector").flatten(), dtype=np.float64).reshape(len(rows), -1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
+
+def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of similarities the places of the k best, equal ones by id."""
+    n = min(k, sim.shape[1])
+    least = np.partition(sim, -n, axis=1)[:, -n]
+    out = []
+    for row, bound in zip(sim, least):
+        at = np.flatnonzero(row >= bound)  # all that equal the last one too
+        out.append(at[np.lexsort((ids[at], -row[at]))][:n])
+    return out
+
+
+def _meet(k: int):
     def run(batches):
         for batch in batches:
-            for qs, ps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = (unit(np.array([r["vector"] for r in rows], dtype=np.float64)) for rows in (qs, ps))
-                sim = a @ b.T
-                n = min(k, len(ps))
-                top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                ids = [[ps[j]["id"] for j in row] for row in top]
+            for i in range(batch.num_rows):
+                qs, ps = (batch.column(c).slice(i, 1).flatten() for c in (0, 1))
+                ids = np.array(ps.field("id").to_pylist(), dtype=object)
+                sim = np.round(_matrix(qs) @ _matrix(ps).T, 12)  # equal vectors get equal scores, wherever they stand
+                top = _best(sim, ids, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([q["query_id"] for q in qs], n), pa.int64()), pa.array([i for row in ids for i in row], pa.string()), pa.array(np.take_along_axis(sim, top, 1).ravel())],
+                    [
+                        pa.array(np.repeat(np.asarray(qs.field("query_id")), [len(x) for x in top]), pa.int64()),
+                        pa.array([j for x in top for j in ids[x]], pa.string()),
+                        pa.array(np.concatenate([row[x] for row, x in zip(sim, top)])),
+                    ],
                     ["query_id", "id", "score"],
                 )
 
-    pairs = slabs.crossJoin(packed.drop("block")).select("queries", "points")  # blocks against slabs
-    found = pairs.mapInArrow(run, "query_id long, id string, score double")
+    return run
+
+
+def batch_top_k(points: DataFrame, queries: DataFrame, k: int, block: int = 1024, slab: int = 20_000) -> DataFrame:
+    """query_id, id, score: the k nearest points (cosine) of every row of queries (query_id, vector); ties by id.
+
+    Queries are dealt in blocks and meet slabs of points as matrices; each keeps k candidates a query, which are
+    merged by query. Rows between the two steps: queries times k times slabs of points. Blocks are broadcast if they are counted to be
+    at most ``BROADCAST_BYTES``; beyond that, slabs and blocks are paired by shuffle.
+    """
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if not size["n"]:
+        return queries.select("query_id").where(F.lit(False)).withColumns({"id": F.lit(""), "score": F.lit(0.0)})
+    blocks = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-size["n"] // block))))
+    packed = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "vector"))).alias("queries"))
+    slabs = points.select("id", "vector").withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(max(1, points.count() // slab))))
+    slabs = slabs.groupBy("slab").agg(F.collect_list(F.struct("id", "vector")).alias("points"))
+    few = size["n"] * size["dim"] * 8 <= BROADCAST_BYTES
+    pairs = slabs.crossJoin(F.broadcast(packed) if few else packed).select("queries", "points")  # blocks against slabs
+    found = pairs.mapInArrow(_meet(k), "query_id long, id string, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("query_id", "id", F.round("score", 4).alias("score"))

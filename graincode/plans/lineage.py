@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df from the reliable checkpoint folder that the cluster names; only in local mode, where none is named, from one of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graincode-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graincode-"))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df to be broadcast if it is counted to have at most so many rows; otherwise as it is. df must be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from graincode.functions import scalars as fn
@@ -15,8 +17,8 @@ from .registry import query
 LINEAGE = ["feature", "develop"]
 V_COLS = "id, repo, branch, file, symbol, symbol_type, language, start_line, content_hash"
 COLS = V_COLS.split(", ")
-_L2 = "round(power(list_distance(vector::DOUBLE[], q::DOUBLE[]), 2), 4)"
-_COS = "round(list_inner_product(vector::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[]))), 4)"
+_L2 = "power(list_distance(vector::DOUBLE[], q::DOUBLE[]), 2)"
+_COS = "list_inner_product(vector::DOUBLE[], q::DOUBLE[]) / (sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) * sqrt(list_inner_product(q::DOUBLE[], q::DOUBLE[])))"
 
 
 def _tracked(spark, d):
@@ -67,13 +69,21 @@ def src_file_content(spark, d):
     return _tracked(spark, d).select("path", "content", F.octet_length("content").alias("bytes"))
 
 
-_EXT = "(['.py','.TS','.go','.rb','.md','.bin','','.proto','.H','.kts'])[(page_id % 10 + 1)::INT]"
-_CASES = " ".join(f"WHEN '{e}' THEN '{language}'" for language, names in languages.EXTENSIONS.items() for e in names.split())
+#: Fixed values, written out for the oracle apart from the code's own: extension and language.
+_KNOWN = """
+    ('.c', 'c'), ('.cc', 'cpp'), ('.cjs', 'javascript'), ('.cpp', 'cpp'), ('.cs', 'c_sharp'), ('.css', 'css'), ('.cxx', 'cpp'), ('.dart', 'dart'), ('.ex', 'elixir'),
+    ('.exs', 'elixir'), ('.go', 'go'), ('.gql', 'graphql'), ('.graphql', 'graphql'), ('.h', 'c'), ('.hh', 'cpp'), ('.hpp', 'cpp'), ('.htm', 'html'), ('.html', 'html'),
+    ('.java', 'java'), ('.js', 'javascript'), ('.json', 'json'), ('.jsx', 'javascript'), ('.kt', 'kotlin'), ('.kts', 'kotlin'), ('.less', 'less'), ('.lua', 'lua'),
+    ('.md', 'markdown'), ('.mjs', 'javascript'), ('.mts', 'typescript'), ('.php', 'php'), ('.proto', 'protobuf'), ('.py', 'python'), ('.rb', 'ruby'), ('.rs', 'rust'),
+    ('.sass', 'sass'), ('.sc', 'scala'), ('.scala', 'scala'), ('.scss', 'scss'), ('.sql', 'sql'), ('.svg', 'xml'), ('.swift', 'swift'), ('.ts', 'typescript'),
+    ('.tsx', 'typescript'), ('.xml', 'xml'), ('.yaml', 'yaml'), ('.yml', 'yaml'), ('.zig', 'zig')"""
+_ENDINGS = [*re.findall(r"'([.]\w+)',", _KNOWN), ".PY", ".Ts", ".bin", ""]
 
 
-@query(f"SELECT path, CASE lower(e) {_CASES} END AS language FROM (SELECT 'src/v1.2/f' || page_id || {_EXT} AS path, {_EXT} AS e FROM pages)")
+@query(f"""WITH known(e, language) AS (VALUES {_KNOWN}), paths AS (SELECT page_id, ({_ENDINGS})[(page_id % {len(_ENDINGS)} + 1)::INT] AS e FROM pages)
+SELECT 'src/v1.2/f' || page_id || paths.e AS path, language FROM paths LEFT JOIN known ON known.e = lower(paths.e)""")
 def src_detect_language(spark, d):
-    ext = F.element_at(F.array(*[F.lit(e) for e in (".py", ".TS", ".go", ".rb", ".md", ".bin", "", ".proto", ".H", ".kts")]), (F.col("page_id") % 10 + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("page_id") % len(_ENDINGS) + 1).cast("int"))
     t = p.table(spark, d, "pages").select(F.concat(F.lit("src/v1.2/f"), F.col("page_id").cast("string"), ext).alias("path"))
     return t.select("path", languages.detect_language(F.col("path")).alias("language"))
 
@@ -212,12 +222,12 @@ def json_request_parse(spark, d):
 # vector search
 
 
-@query(f"WITH {VECTORS} SELECT id, {_L2} AS score FROM vectors, probe ORDER BY 2, 1 LIMIT 10")
+@query(f"WITH {VECTORS}, h AS (SELECT id, {_L2} AS x FROM vectors, probe ORDER BY x, id LIMIT 10) SELECT id, round(x, 4) AS score FROM h")
 def vec_topk_l2(spark, d):
     return vector.top_k(p.vectors(spark, d), p.probe(spark, d), 10).select("id", "score")
 
 
-@query(f"WITH {VECTORS} SELECT id, {_COS} AS score FROM vectors, probe ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"WITH {VECTORS}, h AS (SELECT id, {_COS} AS x FROM vectors, probe ORDER BY x DESC, id LIMIT 10) SELECT id, round(x, 4) AS score FROM h")
 def vec_topk_cosine(spark, d):
     return vector.top_k(p.vectors(spark, d), p.probe(spark, d), 10, "cosine").select("id", "score")
 
@@ -232,27 +242,27 @@ def vec_filter_in(spark, d):
     return vector.where_metadata(p.vectors(spark, d), language=["de", "fr"], branch="main").select(*COLS)
 
 
-@query(f"""WITH {VECTORS}, hits AS (SELECT *, {_L2} AS score FROM vectors, probe WHERE language = 'en' ORDER BY score, id LIMIT 30)
-SELECT id, score, file, symbol, symbol_type, start_line, end_line, language, text[1:500] AS text FROM hits QUALIFY row_number() OVER (PARTITION BY file, start_line ORDER BY score, id) = 1""")
+@query(f"""WITH {VECTORS}, hits AS (SELECT *, {_L2} AS x FROM vectors, probe WHERE language = 'en' ORDER BY x, id LIMIT 30)
+SELECT id, round(x, 4) AS score, file, symbol, symbol_type, start_line, end_line, language, text[1:500] AS text FROM hits QUALIFY row_number() OVER (PARTITION BY file, start_line ORDER BY x, id) = 1""")
 def search(spark, d):
     return vector.search(p.vectors(spark, d), p.probe(spark, d), 30, language="en")
 
 
-@query(f"""WITH {VECTORS}, five AS (SELECT *, {_L2} AS score FROM vectors, probe WHERE symbol_type IN ('function','method','class','struct','interface','enum') ORDER BY score, id LIMIT 5)
-SELECT id, symbol, score, CASE WHEN lower(symbol) = 'sym2' THEN 0 WHEN contains(lower(symbol), 'sym2') THEN 1 ELSE 2 END AS tier FROM five ORDER BY tier, score, id LIMIT 1""")
+@query(f"""WITH {VECTORS}, five AS (SELECT *, {_L2} AS x FROM vectors, probe WHERE symbol_type IN ('function','method','class','struct','interface','enum') ORDER BY x, id LIMIT 5)
+SELECT id, symbol, round(x, 4) AS score, CASE WHEN lower(symbol) = 'sym2' THEN 0 WHEN contains(lower(symbol), 'sym2') THEN 1 ELSE 2 END AS tier FROM five ORDER BY tier, x, id LIMIT 1""")
 def read_symbol(spark, d):
     return vector.read_symbol(p.vectors(spark, d), p.probe(spark, d), "SYM2").select("id", "symbol", "score", "tier")
 
 
-@query(f"""WITH {VECTORS}, l AS (SELECT id, {_L2} AS score FROM vectors, probe WHERE repo = 'nowhere' ORDER BY 2, 1 LIMIT 5), s AS (SELECT id, {_COS} AS score FROM vectors, probe WHERE branch = 'develop' ORDER BY 2 DESC, 1 LIMIT 5)
-SELECT id, score, 'l2' AS metric FROM l UNION ALL SELECT id, score, 'cosine' FROM s WHERE NOT EXISTS (SELECT 1 FROM l)""")
+@query(f"""WITH {VECTORS}, l AS (SELECT id, {_L2} AS x FROM vectors, probe WHERE repo = 'nowhere' ORDER BY 2, 1 LIMIT 5), s AS (SELECT id, {_COS} AS x FROM vectors, probe WHERE branch = 'develop' ORDER BY 2 DESC, 1 LIMIT 5)
+SELECT id, round(x, 4) AS score, 'l2' AS metric FROM l UNION ALL SELECT id, round(x, 4), 'cosine' FROM s WHERE NOT EXISTS (SELECT 1 FROM l)""")
 def vec_hybrid_fallback(spark, d):
     v, q = p.vectors(spark, d), p.probe(spark, d)
     local = vector.top_k(vector.where_metadata(v, repo="nowhere"), q, 5).select("id", "score")
     return vector.hybrid_fallback(local, vector.top_k(vector.where_metadata(v, branch="develop"), q, 5, "cosine").select("id", "score"))
 
 
-@query(f"WITH {VECTORS}, h AS (SELECT id, text, {_L2} AS score FROM vectors, probe ORDER BY 3, 1 LIMIT 10) SELECT id, printf('%.4f', score) AS score, array_to_string(string_split(text, chr(10))[1:4], chr(10)) AS preview FROM h")
+@query(f"WITH {VECTORS}, h AS (SELECT id, text, {_L2} AS x FROM vectors, probe ORDER BY 3, 1 LIMIT 10) SELECT id, printf('%.4f', round(x, 4)) AS score, array_to_string(string_split(text, chr(10))[1:4], chr(10)) AS preview FROM h")
 def search_preview(spark, d):
     return vector.preview(vector.top_k(p.vectors(spark, d), p.probe(spark, d), 10))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graincode.functions import scalars as fn
 from graincode.operators import chunking, context, embedding, index_state, indexing, memory, parsing, sync, vector
-from graincode.sources.languages import EXTENSIONS, PARSED, RAW, support_matrix
+from graincode.sources.languages import support_matrix
 from graincode.streaming import operators as streams
 
 from . import projections as p
@@ -57,7 +57,7 @@ def mem_auto_title(spark, d):
     return _memories(spark, d).select("memory_id", "title")
 
 
-@query(f"""WITH {VECTORS}, {_MEM}, h AS (SELECT id, {_L2} AS score, vec_id FROM vectors, probe ORDER BY 2, 1 LIMIT 20),
+@query(f"""WITH {VECTORS}, {_MEM}, h AS (SELECT id, round(x, 4) AS score, vec_id FROM (SELECT id, {_L2} AS x, vec_id FROM vectors, probe ORDER BY 2, 1 LIMIT 20)),
 live AS (SELECT v.id, m.* FROM vectors v JOIN memories m ON m.memory_id = v.vec_id AND v.vec_id % 2 = 0 WHERE NOT m.deleted QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY memory_id) = 1)
 SELECT h.id, h.score, coalesce(title, '') AS title, coalesce(content, '') AS content, coalesce(memory_type, '') AS memory_type, live.id IS NOT NULL AS found FROM h LEFT JOIN live ON live.id = h.id""")
 def mem_recall(spark, d):
@@ -254,8 +254,8 @@ def build_context(spark, d):
 
     v, q = p.vectors(spark, d), p.probe(spark, d)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("score", "id"))  # over a top-k result
-    m = vector.top_k(v.where("branch = 'main'"), q, 5).withColumn("pos", rank)
-    h = vector.top_k(v.where("branch = 'develop'"), q, 30).withColumn("pos", rank).withColumn("text", F.substring("text", 1, 500))
+    m = vector.nearest(v.where("branch = 'main'"), q, 5).withColumn("pos", rank)
+    h = vector.nearest(v.where("branch = 'develop'"), q, 30).withColumn("pos", rank).withColumn("text", F.substring("text", 1, 500))
     return context.build_context(m, h)
 
 
@@ -408,7 +408,13 @@ def edges_imports(spark, d):
     return parsing.import_edges(parsing.imports_of(parsing.parse(_sources(spark, d))))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{'raw' if x in RAW else 'ast'}', {str(x in PARSED).lower()})" for x in EXTENSIONS) + ") AS t(language, kind, parsed)")
+@query("""SELECT * FROM (VALUES
+    ('c', 'ast', false), ('c_sharp', 'ast', false), ('cpp', 'ast', false), ('css', 'raw', false), ('dart', 'ast', false), ('elixir', 'ast', false), ('go', 'ast', true),
+    ('graphql', 'raw', false), ('html', 'raw', false), ('java', 'ast', true), ('javascript', 'ast', true), ('json', 'raw', false), ('kotlin', 'ast', false),
+    ('less', 'raw', false), ('lua', 'ast', false), ('markdown', 'raw', false), ('php', 'ast', true), ('protobuf', 'raw', false), ('python', 'ast', true),
+    ('ruby', 'ast', false), ('rust', 'ast', true), ('sass', 'raw', false), ('scala', 'ast', false), ('scss', 'raw', false), ('sql', 'raw', false),
+    ('swift', 'ast', false), ('typescript', 'ast', true), ('xml', 'raw', false), ('yaml', 'raw', false), ('zig', 'ast', false)
+) AS t(language, kind, parsed)""")
 def parse_support_matrix(spark, d):
     return support_matrix(spark)
 

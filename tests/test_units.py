@@ -2,6 +2,7 @@
 
 import random
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,19 +33,18 @@ def test_names(spark):
     assert one(spark, detect_language(F.lit("a/B.PY"))) == "python"
     assert one(spark, detect_language(F.lit("a/b.bin"))) is None
     assert one(spark, detect_language(F.lit(".py"))) is None
-    assert sum(len(e.split()) for e in EXTENSIONS.values()) == 47
+    assert sum(len(e) for e in EXTENSIONS.values()) == 47
 
 
 @pytest.mark.parametrize(
     "url, host, port",
     [
-        ("qdrant.example.com:6334", "qdrant.example.com", 6334),
-        ("qdrant.example.com", "qdrant.example.com", 6334),
-        ("localhost:9999", "localhost", 9999),
-        ("localhost:notaport", "localhost:notaport", 6334),
-        ("http://qdrant:6334", "qdrant", 6334),
-        ("https://qdrant.example.com:6334", "qdrant.example.com", 6334),
-        ("http://qdrant.example.com", "qdrant.example.com", 6334),
+        ("store.internal", "store.internal", 6334),
+        ("store.internal:7001", "store.internal", 7001),
+        ("10.1.2.3:80", "10.1.2.3", 80),
+        ("grpc-less-host:abc", "grpc-less-host:abc", 6334),
+        ("https://vectors.test", "vectors.test", 6334),
+        ("http://vectors.test:7002", "vectors.test", 7002),
     ],
 )
 def test_endpoints(spark, url, host, port):
@@ -332,3 +332,53 @@ def test_batch_search_of_nothing(spark):
     none = spark.createDataFrame([], "id string, vector array<float>")
     q = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<float>")
     assert vector.batch_top_k(none, q, 3).count() == 0
+
+
+NEAR = "id string, vector array<float>"
+
+
+def test_top_k_ranks_by_the_exact_score(spark):
+    points, q = spark.createDataFrame([("a", [0.0102]), ("b", [0.0101])], NEAR), spark.createDataFrame([([0.01],)], "q array<float>")
+    assert [(r["id"], r["score"]) for r in vector.top_k(points, q, 1).collect()] == [("b", 0.0)]
+    assert [r["id"] for r in vector.top_k(spark.createDataFrame([("z", [1.0]), ("y", [1.0])], NEAR), q, 1).collect()] == ["y"]
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_batch_search_breaks_ties_by_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", limit)
+    rng = random.Random(2)
+    equal = [rng.random() for _ in range(24)]
+    rows = [(f"p{i}", equal) for i in range(40, 100)] + [(f"a{i}", [rng.random() - 0.9 for _ in range(24)]) for i in range(50)] + [("zero", [0.0] * 24)]
+    queries = spark.createDataFrame([(1, equal), (2, [0.0] * 24)], "query_id long, vector array<float>")
+    got = vector.batch_top_k(spark.createDataFrame(rows, NEAR), queries, 3, slab=20).collect()
+    assert sorted(r["id"] for r in got if r["query_id"] == 1) == ["p40", "p41", "p42"]
+    assert sorted(r["id"] for r in got if r["query_id"] == 2) == ["a0", "a1", "a10"]
+
+
+def test_anchors_by_chance(spark):
+    rng, rows, want = random.Random(4), [], Counter()
+    for key in ("a", "b", None):
+        times = sorted(rng.randrange(0, 40_000) * 1_000_000 for _ in range(300))
+        anchor = None
+        for t in times:
+            if anchor is None or t - anchor >= 900_000_000:
+                anchor = t
+            want[key, anchor] += 1
+        rows += [(key, t) for t in times]
+    rng.shuffle(rows)
+    got = memory.anchors(spark.createDataFrame(rows, "k string, us long"), ["k"]).collect()
+    assert Counter({(r["k"], r["anchor"]): r["n"] for r in got}) == want
+
+
+def test_greedy_packing_by_chance(spark):
+    rng, rows, want = random.Random(7), [], set()
+    for key in ("a", "b"):
+        used = 0
+        for o in range(200):
+            c = rng.choice([0, 1, 5, 30, 70, 101])
+            rows.append((key, o, c))
+            if used + c <= 100:
+                used += c
+                want.add((key, o, c))
+    got = context.pack_greedy(spark.createDataFrame(rows, "g string, o int, c long"), ["g"], "o", "c", 100).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
