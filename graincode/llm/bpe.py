@@ -31,8 +31,8 @@ from .safe_cuts import parts
 
 #: Fixed value of the byte-level format: how text is split into words before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Parts in each of the two cache generations, some 300 bytes each.
-CACHE_WORDS = 600_000
+#: Parts in each of the two cache generations: of digests (some 300 bytes each) and of ids. A Python worker keeps them from task to task.
+CACHE_WORDS, CACHE_IDS = 400_000, 100_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -57,9 +57,9 @@ def _joined(values: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
 class Memo(dict):
     """What parts between safe cuts come to, made on demand, in two bounded generations. A part stands for itself with a space before it."""
 
-    def __init__(self, own: "Codec", value: Callable, joined: Callable):
+    def __init__(self, own: "Codec", value: Callable, joined: Callable, size: int):
         super().__init__()
-        self.own, self.value, self.joined, self.old, self.others = own, value, joined, {}, {}
+        self.own, self.value, self.joined, self.size, self.old, self.others = own, value, joined, size, {}, {}
 
     def __missing__(self, part: str):
         got = self.old.get(part)
@@ -67,7 +67,7 @@ class Memo(dict):
             plain = part.isalpha() and not self.own.lettered  # one word
             got = self.value(self.own.merge((" " + part).encode())) if plain else self.whole(" " + part)
         if len(part) <= 64:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[part] = got
@@ -90,7 +90,7 @@ class Memo(dict):
         if got is None:
             got = self.value(self.own.merge(word.encode()))
             if len(word) <= 64:
-                if len(self.others) >= CACHE_WORDS:
+                if len(self.others) >= self.size:
                     self.others = {}
                 self.others[word] = got
         return got
@@ -129,10 +129,10 @@ class Codec:
         self.words = regex.compile(WORD_PATTERN).findall
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.lettered = any(t.isalpha() for t in self.added)  # then words of letters may hold an added token
-        self.ids = Memo(self, tuple, lambda values: tuple(chain.from_iterable(values)))
+        self.ids = Memo(self, tuple, lambda values: tuple(chain.from_iterable(values)), CACHE_IDS)
         names = [str(i).encode() for i in range(len(self.strings))].__getitem__
         strings = self.strings.__getitem__
-        self.digests = Memo(self, lambda ids: (len(ids), b",".join(map(names, ids)), b"".join(map(strings, ids))), _joined)
+        self.digests = Memo(self, lambda ids: (len(ids), b",".join(map(names, ids)), b"".join(map(strings, ids))), _joined, CACHE_WORDS)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Token ids of one word. Queue entries are the merge's rank, shifted, and the position of the left symbol."""

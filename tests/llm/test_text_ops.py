@@ -164,12 +164,14 @@ def test_bpe_round_trip(spark):
 
 def test_bpe_small_cache(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHE_IDS", 3)
     own, lib = bpe.Codec(VOCABULARY), library()
     rng = random.Random(8)
     for _ in range(200):
         text = "".join(rng.choice(["ab", "c", " ", "  ", "\n", "é", "1", "'s", "<|", "endo", "!", "ß", "\u3000"]) for _ in range(rng.randrange(30)))
         ids = lib.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids and own.decode(ids) == text
+        assert own.digest(text)[:2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
 def test_decode_of_broken_bytes():
