@@ -114,3 +114,13 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+def iso_utc(time: Column) -> Column:
+    """A time as ISO text with microseconds and offset; the clock is the caller's. The session's time zone must be UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+
+
+def from_iso(text: Column) -> Column:
+    """The time of ISO or RFC 3339 text, with or without fractions of a second; null where it is none."""
+    return text.try_cast("timestamp")

@@ -1,8 +1,15 @@
-"""Embeddings: a provider protocol, and a deterministic hashing provider that is plain SQL."""
+"""Embeddings: a provider protocol, providers by name, and a deterministic hashing embedder that is plain SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json
+import re
+import urllib.request
+import warnings
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -27,9 +34,99 @@ class Provider(Protocol):
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
+    def embed_single(self, text: str) -> list[float]: ...
 
-def model_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in MODELS.items()], "key string, name string, dimension int, size_mb int")
+
+def post_json(url: str, body: dict, headers: dict[str, str]) -> dict:
+    request = urllib.request.Request(url, data=json.dumps(body).encode(), headers={"Content-Type": "application/json", **headers}, method="POST")
+    with urllib.request.urlopen(request, timeout=60) as answer:
+        return json.loads(answer.read())
+
+
+class HashProvider:
+    """The vectors of ``hash_embed``, one text at a time."""
+
+    model_name = "hash"
+
+    def __init__(self, dimension: int = 64):
+        self.dimension = dimension
+
+    def embed_single(self, text: str) -> list[float]:
+        x = np.zeros(self.dimension)
+        for word in re.findall(r"[a-z0-9]+", text.lower()):
+            digest = hashlib.sha1(word.encode()).hexdigest()
+            x[int(digest[:4], 16) % self.dimension] += 1.0 if digest[4] < "8" else -1.0
+        n = np.linalg.norm(x)
+        return (x / n if n else x).tolist()
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [self.embed_single(t) for t in texts]
+
+
+@dataclass
+class RemoteProvider:
+    """A model behind an address: texts are posted in batches, ``read`` takes the vectors out of an answer. post can be replaced."""
+
+    url: str
+    dimension: int
+    model_name: str
+    token: str = ""
+    batch: int = 512
+    texts_key: str = "texts"
+    extra: dict = field(default_factory=dict)
+    read: Callable[[dict], list] = lambda answer: answer["vectors"]
+    post: Callable[[str, dict, dict], dict] = post_json
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out, headers = [], {"Authorization": f"Bearer {self.token}"} if self.token else {}
+        for lo in range(0, len(texts), self.batch):
+            out += self.read(self.post(self.url, {self.texts_key: texts[lo : lo + self.batch], "model": self.model_name, **self.extra}, headers))
+        if out and len(out[0]) != self.dimension:
+            warnings.warn(f"{self.model_name} gives {len(out[0])} dimensions, not {self.dimension}", stacklevel=2)
+        return out
+
+    def embed_single(self, text: str) -> list[float]:
+        return self.embed([text])[0]
+
+
+def _in_order(answer: dict) -> list:
+    return [x["embedding"] for x in sorted(answer["data"], key=lambda x: x["index"])]
+
+
+#: Providers by name: each makes one from its settings. ``register`` adds others, such as a local model.
+FACTORIES: dict[str, Callable[[dict], Provider]] = {
+    "hash": lambda c: HashProvider(int(c.get("dimension", 64))),
+    "custom": lambda c: RemoteProvider(c["endpoint"].rstrip("/") + "/embed", int(c["dimension"]), c.get("model", "custom"), c.get("token", "")),
+    "hosted": lambda c: RemoteProvider(c["endpoint"], int(c["dimension"]), c["model"], c.get("token", ""), 512, "input", read=_in_order),
+    "hosted_documents": lambda c: RemoteProvider(c["endpoint"], int(c["dimension"]), c["model"], c.get("token", ""), 128, "input", {"input_type": "document"}, _in_order),
+}
+
+
+def register(name: str, factory: Callable[[dict], Provider]) -> None:
+    FACTORIES[name] = factory
+
+
+def create_provider(config: dict) -> Provider:
+    """The provider that config["provider"] names (hash where it names none); an unknown name is an error."""
+    name = config.get("provider", "hash")
+    if name not in FACTORIES:
+        raise ValueError(f"unknown provider {name}; there are {', '.join(sorted(FACTORIES))}")
+    return FACTORIES[name](config)
+
+
+def is_cached(name: str, folder: str) -> bool:
+    """Whether a model's files are in a cache folder of the usual layout."""
+    for own in (f"models--{name.replace('/', '--')}", f"models--sentence-transformers--{name.replace('/', '--')}"):
+        snapshots = Path(folder) / own / "snapshots"
+        if snapshots.is_dir() and any(snapshots.iterdir()):
+            return True
+    return False
+
+
+def model_list(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """key, name, dimension, size_mb and cached (in the folder, if one is given) of the local models."""
+    rows = [(k, *v, folder is not None and is_cached(v[0], folder)) for k, v in MODELS.items()]
+    return spark.createDataFrame(rows, "key string, name string, dimension int, size_mb int, cached boolean")
 
 
 def hash_embed(docs: DataFrame, keys: list[str], text: str, dimension: int = 64) -> DataFrame:

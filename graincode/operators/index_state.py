@@ -79,3 +79,38 @@ def recent_sessions(sessions: DataFrame, limit: int = 20) -> DataFrame:
 def recent_events(events: DataFrame, limit: int = 50) -> DataFrame:
     """Newest events, with defaults for what is missing; metadata is JSON text."""
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit).select("event_id", F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("props", F.lit("{}")).alias("metadata"), F.get_json_object("props", "$.k").alias("k"))
+
+
+class ActiveContext:
+    """The repo and branch that a session works in: defaults for what is not given. Searches and context assembly do not use it."""
+
+    def __init__(self, repo: str | None = None, branch: str | None = None):
+        self.repo, self.branch = repo, branch
+
+    def switch(self, repo: str | None = None, branch: str | None = None) -> "ActiveContext":
+        """What is given replaces what was; the rest stays."""
+        self.repo, self.branch = repo or self.repo, branch or self.branch
+        return self
+
+    def status(self, state: DataFrame, repo: str | None = None, branch: str | None = None) -> DataFrame:
+        return status(state, repo or self.repo, branch or self.branch)
+
+
+def put_records(records: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo", "branch", "file")) -> DataFrame:
+    """File records after new ones replace those of their keys."""
+    return records.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+
+def remove_records(records: DataFrame, gone: DataFrame, keys: tuple[str, ...] = ("repo", "branch", "file")) -> DataFrame:
+    return records.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def start_session(sessions: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """sessions (keys, session, started, ended) after new ones start: an open one of the same keys ends when the new one starts."""
+    own = sessions.join(new.select(*keys, F.col("started").alias("_now")), keys, "left")
+    return own.withColumn("ended", F.coalesce("ended", "_now")).drop("_now").unionByName(new)
+
+
+def end_session(sessions: DataFrame, session: str, at) -> DataFrame:
+    """An open session ends; one that has ended keeps its end."""
+    return sessions.withColumn("ended", F.when((F.col("session") == session) & F.col("ended").isNull(), F.lit(at)).otherwise(F.col("ended")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import content_hash
 from graincode.operators.chunking import chunk
+from graincode.sources.changes import exclude as exclude_globs
+from graincode.sources.changes import glob_to_regex
 from graincode.operators.parsing import call_edges, import_edges, imports_of, parse, symbols_of
 
 
@@ -42,3 +46,51 @@ def summary(chunks: DataFrame, records: DataFrame) -> DataFrame:
     """file_count, symbol_count and chunk_count of a run."""
     n = records.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("symbol_count"), F.lit(0)).alias("symbol_count"))
     return n.crossJoin(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("chunk_count"))))
+
+
+def run_mode(last: DataFrame, model: str, incremental: bool = True) -> str:
+    """full for a first run, another model than the last record's, or if asked for; else incremental. last: one row with model, or none."""
+    row = last.select("model").first()
+    return "incremental" if incremental and row is not None and row["model"] == model else "full"
+
+
+def selected(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, languages: list[str] | None = None, path: str = "file") -> DataFrame:
+    """Files that match one of the include globs (if any), none of the exclude globs, and are of one of the languages (if any)."""
+    if include:
+        files = files.where(reduce(Column.__or__, [F.col(path).rlike(glob_to_regex(g)) for g in include]))
+    if languages:
+        files = files.where(F.col("language").isin(languages))
+    return exclude_globs(files, exclude or [], path)
+
+
+def index_repo(files: DataFrame, records: DataFrame, last: DataFrame, model: str, changes: DataFrame | None = None, incremental: bool = True, split_raw: bool = False) -> dict[str, DataFrame | str]:
+    """One run over the files of a branch (file, language, content), as one plan.
+
+    records (file, language, symbol_count, content_hash) is what the last run left, changes (path, status, old_path) what happened since. A full
+    run parses every file whatever its hash, and files of records that are no longer there count as deleted. An incremental run
+    routes the changes: deleted files leave, renamed ones move and are parsed again if their hash differs, added and modified ones are parsed
+    if it does. A file that fails keeps its error and nothing else; the others go on.
+
+    Returns mode, chunks, edges and errors of the run, removed (files whose points and edges go: deleted, vanished, or parsed again), moved
+    (file, new_file), records after the run, and totals: one row with the counts of the run and of all records.
+    """
+    mode = run_mode(last, model, incremental and changes is not None)
+    none = records.select("file").where(F.lit(False))
+    if mode == "full":
+        before, work = records, needs_work(files, records, full=True)
+        moved = none.withColumn("new_file", F.col("file"))
+        deleted = records.join(files.select("file"), "file", "left_anti").select("file")
+    else:
+        before = apply_changes(records, changes)
+        touched = changes.where("status IN ('added', 'modified', 'renamed')").select(F.col("path").alias("file")).distinct()
+        work = needs_work(files.join(touched, "file", "left_semi"), before)
+        moved = changes.where("status = 'renamed'").select(F.col("old_path").alias("file"), F.col("path").alias("new_file")).distinct()
+        deleted = changes.where("status = 'deleted'").select(F.col("path").alias("file"))
+    done = index(work.select("file", "language", "content"), split_raw)
+    gone = deleted.union(work.select("file")).distinct()
+    after = before.join(gone, "file", "left_anti").unionByName(done["records"])
+    run = summary(done["chunks"], done["records"])
+    total = after.agg(F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("symbol_count"), F.lit(0)).alias("total_symbols"))
+    removed = deleted.join(files.select("file"), "file", "left_anti").agg(F.count(F.lit(1)).alias("deleted_files"))
+    totals = run.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(removed))  # three tables of one row
+    return {"mode": mode, "chunks": done["chunks"], "edges": done["edges"], "errors": done["errors"], "removed": gone, "moved": moved, "records": after, "totals": totals}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graincode.functions.scalars import auto_title, normalized_hash
+
 #: Fixed value: seconds from the first save during which equal saves are duplicates of it.
 DEDUP_SECONDS = 900
 
@@ -83,6 +88,34 @@ def topic_upsert(saves: DataFrame) -> DataFrame:
     return out.select("project", "scope", "topic_key", "_n.content", "_n.memory_type", "revision", "created")
 
 
+def remember(saves: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points for the vector store, rows for ``save_fold`` and rejected saves, of saves with memory_id, content, text, title, memory_type, scope, project, topic_key, tags, us.
+
+    content or text must be given; an empty title is made of the content. The vector is that of title and content and is written first;
+    its id follows from the hash of the content alone, so that equal contents share one. embed gives memory_id and vector of (memory_id, text).
+    """
+    blank = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    own = saves.withColumn("content", blank("content", F.coalesce("text", F.lit(""))))
+    good = own.where("content <> ''").withColumns({"title": blank("title", auto_title(F.col("content"))), "memory_type": blank("memory_type", F.lit("note")), "scope": blank("scope", F.lit("shared"))})
+    good = good.withColumn("hash", normalized_hash(F.col("content"))).withColumn("vector_id", F.concat(F.lit("mem_"), F.substring("hash", 1, 24)))
+    vectors = embed(good.select("memory_id", F.concat_ws(" ", "title", "content").alias("text")))
+    text = F.when(F.col("title") != "", F.concat_ws("\n", "title", "content")).otherwise(F.col("content"))
+    points = good.join(vectors, "memory_id").select(
+        F.col("vector_id").alias("id"), "vector", F.col("title").alias("symbol"), F.col("memory_type").alias("symbol_type"), F.lit("memory").alias("chunk_level"),
+        F.substring("hash", 1, 16).alias("content_hash"), F.col("scope").alias("memory_scope"), "memory_type", F.col("tags").alias("memory_tags"), "project", "us", text.alias("text"),
+    )
+    points = points.groupBy("id").agg(F.max_by(F.struct(*[c for c in points.columns if c != "id"]), "us").alias("p")).select("id", *[f"p.{c}" for c in points.columns if c not in ("id", "us")])
+    return points, good.drop("text"), own.where("content = ''").select("memory_id", F.lit("content or text is required").alias("error"))
+
+
+def where_memory(points: DataFrame, scope: str | None = None, memory_type: str | None = None, project: str | None = None) -> DataFrame:
+    """Points of memories, by scope (``all``, like none, is any), type and project."""
+    own = points.where(F.col("chunk_level") == "memory")
+    for name, value in (("memory_scope", None if scope == "all" else scope), ("memory_type", memory_type), ("project", project)):
+        own = own if value is None else own.where(F.col(name) == value)
+    return own
+
+
 def recall(hits: DataFrame, memories: DataFrame) -> DataFrame:
     """Vector hits with their live memory, of which there is one at most for a vector id; unmatched hits stay with empty fields."""
     live = memories.where(~F.col("deleted")).groupBy("vector_id").agg(F.min_by(F.struct("title", "content", "memory_type"), "memory_id").alias("m"))
@@ -90,16 +123,25 @@ def recall(hits: DataFrame, memories: DataFrame) -> DataFrame:
     return own.select("id", "score", *[F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in ("title", "content", "memory_type")], F.col("m").isNotNull().alias("found"))
 
 
-def text_search(memories: DataFrame, words: str, limit: int = 20, project: str | None = None, memory_type: str | None = None) -> DataFrame:
-    """Live memories whose title or content holds the words, newest first."""
-    own = memories.where(~F.col("deleted") & (F.col("title").ilike(f"%{words}%") | F.col("content").ilike(f"%{words}%")))
-    if project is not None:
-        own = own.where(F.col("project") == project)
-    if memory_type is not None:
-        own = own.where(F.col("memory_type") == memory_type)
+def text_search(memories: DataFrame, words: str, limit: int = 20, project: str | None = None, memory_type: str | None = None, scope: str | None = None) -> DataFrame:
+    """Live memories whose title, content or tags (where there are such) hold the words, newest first."""
+    places = [F.col(c).ilike(f"%{words}%") for c in ("title", "content", "tags") if c in memories.columns]
+    own = memories.where(~F.col("deleted") & reduce(Column.__or__, places))
+    for name, value in (("project", project), ("memory_type", memory_type), ("scope", scope)):
+        own = own if value is None else own.where(F.col(name) == value)
     return own.orderBy(F.desc("updated"), F.desc("memory_id")).limit(limit)
 
 
+def by_id(memories: DataFrame, memory_id: int) -> DataFrame:
+    """The live memory of an id."""
+    return memories.where(~F.col("deleted") & (F.col("memory_id") == memory_id))
+
+
+def hard_delete(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """Memories without those whose memory_id is in ids."""
+    return memories.join(ids.select("memory_id").distinct(), "memory_id", "left_anti")
+
+
 def recent(memories: DataFrame, limit: int = 20) -> DataFrame:
     return memories.where(~F.col("deleted")).orderBy(F.desc("created"), F.desc("memory_id")).limit(limit)
 

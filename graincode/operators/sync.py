@@ -22,9 +22,7 @@ def summary(planned: DataFrame) -> DataFrame:
 
 def branch_counts(rows: DataFrame, repo: str | None = None, branch: str | None = None) -> DataFrame:
     """Points of each branch that a push or pull moves."""
-    own = rows if repo is None else rows.where(F.col("repo") == repo)
-    own = own if branch is None else own.where(F.col("branch") == branch)
-    return own.groupBy("branch").agg(F.count(F.lit(1)).alias("points"))
+    return _scope(rows, repo, branch).groupBy("branch").agg(F.count(F.lit(1)).alias("points"))
 
 
 def apply(local: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,3 +31,19 @@ def apply(local: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     push = local.join(p.where("action = 'push'"), "id", "left_semi")
     pull = shared.join(p.where("action = 'pull'"), "id", "left_semi")
     return local.join(pull, "id", "left_anti").unionByName(pull), shared.join(push, "id", "left_anti").unionByName(push)
+
+
+def _scope(rows: DataFrame, repo: str | None, branch: str | None) -> DataFrame:
+    own = rows if repo is None else rows.where(F.col("repo") == repo)
+    return own if branch is None else own.where(F.col("branch") == branch)
+
+
+def push(local: DataFrame, shared: DataFrame, repo: str | None = None, branch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The shared store after all local points of a repo (and branch) are written to it, and the points of each branch that moved."""
+    moved = _scope(local, repo, branch)
+    return shared.join(moved.select("id"), "id", "left_anti").unionByName(moved), branch_counts(moved)
+
+
+def pull(local: DataFrame, shared: DataFrame, repo: str | None = None, branch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The local store after all shared points of a repo (and branch) are written to it, and the points of each branch that moved."""
+    return push(shared, local, repo, branch)

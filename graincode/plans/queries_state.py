@@ -432,7 +432,8 @@ def embed_hash(spark, d):
     return out.select("doc_id", F.round(F.coalesce(F.element_at("vector", 1), F.lit(0.0)), 4).alias("v0"), F.round(F.coalesce(F.element_at("vector", 64), F.lit(0.0)), 4).alias("v63"), F.size("vector").alias("dimension"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', {dim}::INT, {mb}::INT)" for k, (n, dim, mb) in embedding.MODELS.items()) + ") AS t(key, name, dimension, size_mb)")
+@query("""SELECT * FROM (VALUES ('minilm-l6', 'all-MiniLM-L6-v2', 384::INT, 22::INT, false), ('minilm-l12', 'all-MiniLM-L12-v2', 384::INT, 33::INT, false),
+    ('bge-small', 'BAAI/bge-small-en-v1.5', 384::INT, 33::INT, false), ('bge-base', 'BAAI/bge-base-en-v1.5', 768::INT, 110::INT, false)) AS t(key, name, dimension, size_mb, cached)""")
 def model_list(spark, d):
     return embedding.model_list(spark)
 

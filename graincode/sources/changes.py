@@ -65,4 +65,4 @@ def exclude(files: DataFrame, globs: list[str], path: str = "path") -> DataFrame
 def read_tree(spark, root: str) -> DataFrame:
     """path and content of all files under a folder that Spark can read; bytes that are no UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.select("path", F.decode("content", "UTF-8").alias("content"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import deterministic_id, uuid5
+from graincode.sources.config import Settings
 
 DEFAULTS = {"symbol": "", "symbol_type": "", "language": "", "content_hash": "", "is_deletion": False}
 
@@ -54,44 +58,146 @@ def to_shared(points: DataFrame) -> DataFrame:
     return points.withColumns({"original_id": F.col("id"), "id": uuid5(F.col("id"))})
 
 
+class WriteConflict(RuntimeError):
+    """Another writer made the next version first; what is there is as that one left it, and the change can be made again."""
+
+
 class VersionedTable:
-    """Versions in folders of one path, and the current one named by the newest pointer row; readers keep what they read.
+    """Rows in ``BUCKETS`` buckets by their keys, in Parquet; a version is a manifest that names the folder of each bucket.
 
-    Works on any file system that Spark writes to; a failed write leaves the table as it was.
+    A change writes the buckets that it touches, and then the next manifest, which is made only if it is not there yet: of two writers one
+    gets WriteConflict, a failed write leaves the table as it was, and readers keep what they read. Works on any file system that Spark writes to.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("repo", "branch")):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+
+    def _at(self, name: str):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _manifest(self) -> tuple[int, dict[str, str]]:
+        """Number of the current version (0: none), and the folder of each bucket that has rows."""
+        fs, at = self._at("manifests")
+        last = max([x.getPath().getName() for x in fs.listStatus(at)], default=None) if fs.exists(at) else None
+        if last is None:
+            return 0, {}
+        text = self.spark.read.text(f"{self.path}/manifests/{last}", wholetext=True).first()[0]
+        return int(last.split(".")[0]), json.loads(text)
 
-    def _current(self) -> str | None:
+    def _commit(self, n: int, folders: dict[str, str]) -> None:
+        fs, at = self._at(f"manifests/{n:012d}.json")
         try:
-            row = self.spark.read.json(f"{self.path}/_pointers").orderBy(F.desc("n")).first()
+            out = fs.create(at, False)
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
+            if "AlreadyExists" in str(e):
+                raise WriteConflict(str(at)) from e
             raise
-        return None if row is None else row["version"]
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
 
-    def read(self) -> DataFrame | None:
-        version = self._current()
-        return None if version is None else self.spark.read.parquet(f"{self.path}/{version}")
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.BUCKETS)).cast("int")
+
+    def _load(self, folders: dict[str, str], schema) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(*sorted(folders.values())) if folders else None
 
-    def replace(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*partition_by).parquet(f"{self.path}/{version}")
-        last = self._current()
-        n = 0 if last is None else self.spark.read.json(f"{self.path}/_pointers").agg(F.max("n")).first()[0] + 1
-        self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.path}/_pointers")
+    def _schema(self, folders: dict[str, str]):
+        return self.spark.read.parquet(next(iter(folders.values()))).schema if folders else None
+
+    def read(self) -> DataFrame | None:
+        folders = self._manifest()[1]
+        return self._load(folders, self._schema(folders))
+
+    def count(self) -> int:
+        rows = self.read()
+        return 0 if rows is None else rows.count()
+
+    def _change(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame], schema=None) -> None:
+        """Replace the buckets of the keys in touched by change of their rows."""
+        n, folders = self._manifest()
+        schema = schema or self._schema(folders)
+        buckets = {str(r[0]) for r in touched.select(self._bucket()).distinct().collect()}  # BUCKETS at most
+        if not buckets or schema is None:
+            return
+        old = self._load({b: f for b, f in folders.items() if b in buckets}, schema)
+        version = f"data/{uuid.uuid4().hex}"
+        rows = change(self.spark.createDataFrame([], schema) if old is None else old).select(*schema.names)
+        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        made = {b: f"{version}/_bucket={b}" for b in buckets}
+        new = {b: f"{self.path}/{f}" for b, f in made.items() if (lambda x: x[0].exists(x[1]))(self._at(f))}
+        self._commit(n + 1, {b: f for b, f in folders.items() if b not in buckets} | new)
 
     def upsert(self, new: DataFrame, order: str | None = None) -> None:
-        old = self.read()
-        self.replace(upsert(new.limit(0), new, order) if old is None else upsert(old, new, order))
+        """Replace rows by id; rows of an id have the same keys in every version."""
+        self._change(new, lambda old: upsert(old, new, order), None if self._manifest()[1] else with_defaults(new).schema)
+
+    def delete_files(self, gone: DataFrame) -> None:
+        self._change(gone, lambda old: delete_files(old, gone))
+
+    def rename_files(self, renames: DataFrame) -> None:
+        self._change(renames, lambda old: rename_files(old, renames))
+
+    def drop(self) -> None:
+        fs, at = self._at("")
+        fs.delete(at, True)
+
+    def vacuum(self) -> int:
+        """Remove the folders that the current version does not name (readers of older versions lose them); how many there were."""
+        named = {f.split("/data/")[1].split("/")[0] for f in self._manifest()[1].values()}
+        fs, at = self._at("data")
+        gone = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName() not in named] if fs.exists(at) else []
+        for x in gone:
+            fs.delete(x, True)
+        return len(gone)
+
+
+class HybridTable:
+    """Two stores that are written in turn, local first; changes that the shared one fails to take wait in a bounded log, oldest first."""
+
+    def __init__(self, local: VersionedTable, shared: VersionedTable, cap: int = 10_000):
+        self.local, self.shared, self.log = local, shared, deque(maxlen=cap)
+
+    def _both(self, name: str, batch: DataFrame) -> None:
+        getattr(self.local, name)(batch)
+        try:
+            getattr(self.shared, name)(batch)
+        except Exception as e:  # noqa: BLE001  the shared store may be down in any way
+            self.log.append((name, batch, str(e)))
+
+    def upsert(self, batch: DataFrame) -> None:
+        self._both("upsert", batch)
+
+    def delete_files(self, gone: DataFrame) -> None:
+        self._both("delete_files", gone)
+
+    def rename_files(self, renames: DataFrame) -> None:
+        self._both("rename_files", renames)
+
+    def flush(self) -> int:
+        """Make the waiting changes, in order, up to the first that fails again; how many were made."""
+        done = 0
+        while self.log:
+            name, batch, _ = self.log[0]
+            try:
+                getattr(self.shared, name)(batch)
+            except Exception as e:  # noqa: BLE001
+                self.log[0] = (name, batch, str(e))
+                break
+            self.log.popleft()
+            done += 1
+        return done
+
+    def read(self) -> DataFrame | None:
+        return self.local.read()
 
 
-def write_through(batch: DataFrame, local: VersionedTable, shared: VersionedTable, log: list) -> None:
-    """Local first; a failure of the shared store is put on the log to be tried again."""
-    local.upsert(batch)
-    try:
-        shared.upsert(batch)
-    except Exception as e:  # noqa: BLE001  the shared store may be down in any way
-        log.append(("upsert", batch, str(e)))
+def open_store(spark: SparkSession, own: Settings) -> VersionedTable | HybridTable:
+    """The store that checked settings name. The shared one is a table at an address that Spark can write to."""
+    own = own.check()
+    if own.mode == "hybrid":
+        return HybridTable(VersionedTable(spark, own.local_path), VersionedTable(spark, own.shared_url))
+    return VersionedTable(spark, own.local_path if own.mode == "local" else own.shared_url)

@@ -5,16 +5,30 @@ Each operator has a batch form, and a streaming form whose final result is the s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Seconds of quiet that end a burst, and entries that wait for a retry at most.
 QUIET_SECONDS, QUEUE_CAP = 5, 10_000
 
 
+#: Endings of names that are never watched, and folders that are left out.
+IGNORED_ENDINGS = ("~", ".swp", ".tmp")
+IGNORED_FOLDERS = ("node_modules", "vendor", ".git", "__pycache__", "dist", "build", ".next", ".nuxt", "target", ".gradle")
+
+
+def watchable(path: Column, folders: tuple[str, ...] = IGNORED_FOLDERS) -> Column:
+    """Whether a path counts: its name starts with no dot and has none of the endings, and none of its folders is left out."""
+    name = F.substring_index(path, "/", -1)
+    ending = reduce(Column.__or__, [name.endswith(e) for e in IGNORED_ENDINGS])
+    return ~(name.startswith(".") | ending | F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(f) for f in folders])))
+
+
 def debounce(events: DataFrame, keys: list[str], quiet: str = f"{QUIET_SECONDS} seconds", time: str = "ts", path: str = "path") -> DataFrame:
     """One row for each burst of events of a key: a burst ends when nothing comes for ``quiet``. Works on batches and streams."""
     window = F.session_window(F.col(time), quiet)
@@ -62,6 +76,15 @@ def latest_anchors(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.groupBy(*keys, "anchor").agg(F.max("n").alias("n"))
 
 
+def run_anchor_stream(saves: DataFrame, keys: list[str], folder: str, seconds: int = 900, time: str = "us") -> DataFrame:
+    """Final rows of ``anchor_stream`` over all that a stream has now. folder is shared by the driver and all executors."""
+    out = f"{folder.rstrip('/')}/anchors-{uuid.uuid4().hex}"
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")  # noqa: E731  a batch that is run again replaces its rows
+    stream = anchor_stream(saves, keys, seconds, time).writeStream.outputMode("update").foreachBatch(keep)
+    stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return latest_anchors(saves.sparkSession.read.parquet(f"{out}/rows"), keys)
+
+
 def bounded_queue(log: DataFrame, keys: list[str], order: str = "seq", cap: int = QUEUE_CAP) -> DataFrame:
     """The newest cap entries of each queue: older ones are dropped."""
     own = log.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))

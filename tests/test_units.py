@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graincode.functions import scalars as fn
-from graincode.operators import chunking, context, graph, index_state, memory, overlay, parsing, sync, vector
-from graincode.sources import changes, config, store
+from graincode.operators import chunking, context, embedding, graph, index_state, indexing, memory, overlay, parsing, sync, vector
+from graincode.sources import changes, config, repository, store
 from graincode.sources.languages import EXTENSIONS, detect_language
 from graincode.streaming import operators as streams
 
@@ -313,19 +313,164 @@ def test_python_parser_and_errors(spark):
     assert got["d.md"]["symbols"] == [] and got["e.py"]["symbols"] == [] and got["e.py"]["error"] is None
 
 
+KINDS = "id string, repo string, branch string, file string, start_line int, vector array<float>, symbol string"
+
+
+def points(spark, *rows):
+    return spark.createDataFrame([(i, r, b, f, 1, [1.0, 0.0], s) for i, r, b, f, s in rows], KINDS)
+
+
 def test_store(spark, tmp_path):
-    kinds = "id string, repo string, branch string, file string, start_line int, vector array<float>, symbol string"
-    old = spark.createDataFrame([("1", "r", "b", "f", 1, [1.0, 0.0], None)], kinds)
-    new = spark.createDataFrame([("1", "r", "b", "f", 1, [0.0, 1.0], "s"), ("2", "r", "b", "g", 1, [0.0, 1.0], None)], kinds)
     t = store.VersionedTable(spark, str(tmp_path / "t"))
-    assert t.read() is None
-    t.upsert(old)
-    t.upsert(new)
-    assert sorted((r["id"], r["symbol"]) for r in t.read().collect()) == [("1", "s"), ("2", "")]
+    assert t.read() is None and t.count() == 0
+    t.upsert(points(spark, ("1", "r", "b", "f", None), ("3", "r2", "b", "f", "x")))
+    first, other = t.read(), dict(t._manifest()[1])
+    t.upsert(points(spark, ("1", "r", "b", "f", "s"), ("2", "r", "b", "g", None)))
+    assert sorted((r["id"], r["symbol"]) for r in t.read().collect()) == [("1", "s"), ("2", ""), ("3", "x")]
+    assert sorted((r["id"], r["symbol"]) for r in first.collect()) == [("1", ""), ("3", "x")]  # readers keep what they read
+    assert len(set(other.values()) & set(t._manifest()[1].values())) == 1  # only the touched bucket was written
+    gone = spark.createDataFrame([("r", "b", "f"), ("r2", "b", "f")], "repo string, branch string, file string")
+    t.rename_files(spark.createDataFrame([("r", "b", "g", "h")], "repo string, branch string, file string, new_file string"))
+    t.delete_files(gone)
+    assert [(r["file"], r["symbol"]) for r in t.read().collect()] == [("h", "")] and t.count() == 1
+    assert t.vacuum() > 0 and t.count() == 1
     with pytest.raises(Exception, match="dimension"):
-        store.require_dimension(new, 3).collect()
-    moved = store.rename_files(new, spark.createDataFrame([("r", "b", "f", "h")], "repo string, branch string, file string, new_file string"))
-    assert {r["file"] for r in moved.collect()} == {"h", "g"}
+        store.require_dimension(points(spark, ("1", "r", "b", "f", None)), 3).collect()
+    t.drop()
+    assert t.read() is None
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    one, two = (store.VersionedTable(spark, str(tmp_path / "t")) for _ in range(2))
+    one.upsert(points(spark, ("1", "r", "b", "f", "a")))
+    stale = two._manifest()
+    one.upsert(points(spark, ("2", "r", "b", "f", "b")))
+    monkeypatch.setattr(two, "_manifest", lambda: stale)
+    with pytest.raises(store.WriteConflict):
+        two.upsert(points(spark, ("3", "r", "b", "f", "c")))
+    assert sorted(r["id"] for r in one.read().collect()) == ["1", "2"]
+
+
+def test_hybrid_store_waits_and_flushes(spark, tmp_path, monkeypatch):
+    own = config.Settings("hybrid", str(tmp_path / "l"), str(tmp_path / "s"))
+    both = store.open_store(spark, own)
+    assert isinstance(both, store.HybridTable) and isinstance(store.open_store(spark, config.Settings("local", "x")), store.VersionedTable)
+    both.upsert(points(spark, ("1", "r", "b", "f", "a")))
+    up, down = both.shared.upsert, lambda batch: (_ for _ in ()).throw(OSError("down"))
+    monkeypatch.setattr(both.shared, "upsert", down)
+    both.upsert(points(spark, ("2", "r", "b", "g", "b")))
+    both.delete_files(spark.createDataFrame([("r", "b", "f")], "repo string, branch string, file string"))
+    assert [x[0] for x in both.log] == ["upsert"] and both.flush() == 0 and both.read().count() == 1
+    monkeypatch.setattr(both.shared, "upsert", up)
+    assert both.flush() == 1 and not both.log and [r["id"] for r in both.shared.read().collect()] == ["2"]
+
+
+def test_settings(tmp_path):
+    text = "# settings\nstate_dir: /s  # here\nstorage:\n  mode: Shared\n  shared_url: 'h:1'\nindexing:\n  exclude:\n    - \"a/**\"\n    - b\n  n: 3\nflags: [true, x]\n"
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "own.yaml").write_text(text)
+    found = config.find_config(str(tmp_path / "a" / "b"), ("own.yaml",))
+    assert found == (tmp_path / "a" / "own.yaml").resolve() and config.find_config(str(tmp_path), ("none.yaml",)) is None
+    file = config.load_config(found)
+    assert file == {"state_dir": "/s", "storage": {"mode": "Shared", "shared_url": "h:1"}, "indexing": {"exclude": ["a/**", "b"], "n": 3}, "flags": [True, "x"]}
+    assert config.settings({"GRAINCODE_TOKEN": "t"}, file) == config.Settings("shared", "/s/vectors", "h:1", "t", ("a/**", "b"))
+    assert config.settings({"GRAINCODE_MODE": "LOCAL", "GRAINCODE_LOCAL_PATH": ""}, file).local_path == "/s/vectors"
+    assert config.settings({}, None, home="/h") == config.Settings("local", "/h/.local/share/graincode/vectors")
+    for env, what in (({"GRAINCODE_MODE": "shared"}, "shared_url"), ({"GRAINCODE_MODE": "shared", "GRAINCODE_SHARED_URL": "h"}, "token"), ({"GRAINCODE_MODE": "cloud"}, "unknown mode")):
+        with pytest.raises(ValueError, match=what):
+            config.settings(env)
+    assert config.parse_yaml("") == {} and config.parse_yaml("a:\n- 1\n- 2\nb: c") == {"a": [1, 2], "b": "c"}
+    with pytest.raises(ValueError):
+        config.parse_yaml("a: 1\n   nonsense")
+
+
+def test_repository(spark, tmp_path):
+    said = {"rev-parse --abbrev-ref HEAD": "topic\n", "rev-parse HEAD": "c1\n", "status --porcelain": " M a.py\n?? n.txt\nR  x -> y\n", "rev-parse --verify main": "c0\n", "merge-base topic main": "c0\n",
+            "ls-tree -r --name-only HEAD": "a.py\nb.py\n", "diff --name-status -M c0 HEAD": "M\ta.py\nR100\tx\ty\n", "diff --name-status -M HEAD": "D\tb.py\n", "ls-files --others --exclude-standard": "n.txt\n", "show c1:a.py": "text"}
+
+    def run(*args):
+        if " ".join(args) not in said:
+            raise RuntimeError("no such thing")
+        return said[" ".join(args)]
+
+    r = repository.Repository("/x", run)
+    assert r.state() == repository.State("c1", "topic", False, ("a.py", "n.txt", "y"))
+    rows = lambda df: {tuple(x) for x in df.collect()}
+    assert rows(r.changes(spark, None)) == {("a.py", "added", None), ("b.py", "added", None)}
+    assert rows(r.changes(spark, "c0")) == {("a.py", "modified", None), ("y", "renamed", "x")}
+    assert rows(r.uncommitted(spark)) == {("b.py", "deleted", None), ("n.txt", "added", None)}
+    assert r.content("a.py", "c1") == "text" and r.content("z", "c1") is None
+    assert r.lineage() == [("topic", 0), ("main", 1)]
+    said |= {"rev-parse --abbrev-ref HEAD": "HEAD\n", "rev-parse --short HEAD": "c1\n"}
+    assert r.lineage() == [("c1", 0)] and r.state().detached
+    with pytest.raises(RuntimeError):
+        repository.Repository(str(tmp_path)).state()
+    assert "--incremental" in repository.post_commit_hook("index")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "f.txt").write_bytes(b"a\xffb")
+    assert [r["content"] for r in changes.read_tree(spark, str(tmp_path)).collect()] == ["a\ufffdb"]
+
+
+def test_providers(spark, tmp_path):
+    sent = []
+
+    def post(url, body, headers):
+        sent.append((url, len(body.get("texts", body.get("input"))), headers, body.get("input_type")))
+        n = len(body.get("texts", body.get("input")))
+        return {"vectors": [[3.0, 4.0]] * n} if "texts" in body else {"data": [{"index": i, "embedding": [float(i), 0.0]} for i in reversed(range(n))]}
+
+    custom = embedding.create_provider({"provider": "custom", "endpoint": "http://h/", "dimension": 3, "token": "t"})
+    custom.post = post
+    with pytest.warns(UserWarning, match="2 dimensions"):
+        assert custom.embed(["a", "b"]) == [[3.0, 4.0]] * 2 and custom.embed_single("a") == [3.0, 4.0] and custom.embed([]) == []
+    assert sent[0] == ("http://h/embed", 2, {"Authorization": "Bearer t"}, None)
+    hosted = embedding.create_provider({"provider": "hosted_documents", "endpoint": "http://e", "dimension": 2, "model": "m"})
+    hosted.post = post
+    assert [v[0] for v in hosted.embed(["x"] * 130)] == [*map(float, range(128)), 0.0, 1.0] and [s[1] for s in sent[-2:]] == [128, 2] and sent[-1][3] == "document"
+    with pytest.raises(ValueError, match="unknown provider"):
+        embedding.create_provider({"provider": "none"})
+    embedding.register("two", lambda c: hosted)
+    assert embedding.create_provider({"provider": "two"}) is hosted
+    made = spark.createDataFrame([("b c",), (None,)], "text string").select(embedding.embed_with(embedding.HashProvider, F.col("text")).alias("v")).collect()
+    assert abs(sum(x * x for x in made[0]["v"]) - 1) < 1e-6 and not any(made[1]["v"])
+    assert not embedding.is_cached("a/b", str(tmp_path))
+    (tmp_path / "models--a--b" / "snapshots" / "s").mkdir(parents=True)
+    assert embedding.is_cached("a/b", str(tmp_path))
+
+
+def test_active_context(spark):
+    now = index_state.ActiveContext().switch("r", "b").switch(branch="c")
+    assert (now.repo, now.branch) == ("r", "c") and (now.switch("s").repo, now.branch) == ("s", "c")
+
+
+def test_sessions(spark):
+    kinds = "owner long, session string, started long, ended long"
+    had = spark.createDataFrame([(1, "a", 1, None), (1, "b", 0, 1), (2, "c", 1, None)], kinds)
+    got = index_state.start_session(had, spark.createDataFrame([(1, "d", 5, None)], kinds), ["owner"])
+    assert {(r["session"], r["ended"]) for r in got.collect()} == {("a", 5), ("b", 1), ("c", None), ("d", None)}
+    assert {(r["session"], r["ended"]) for r in index_state.end_session(got, "d", 9).collect()} >= {("d", 9), ("a", 5)}
+
+
+def test_dates(spark):
+    t = F.lit("2025-03-04T05:06:07.000089Z").try_cast("timestamp")
+    assert one(spark, fn.iso_utc(t)) == "2025-03-04T05:06:07.000089+00:00"
+    assert one(spark, F.unix_micros(fn.from_iso(F.lit("2025-03-04T06:06:07+01:00")))) == one(spark, F.unix_micros(t)) - 89
+    assert one(spark, fn.from_iso(F.lit("no date"))) is None
+
+
+def test_index_modes(spark):
+    last = spark.createDataFrame([("m",)], "model string")
+    assert [indexing.run_mode(x, m, i) for x, m, i in ((last.limit(0), "m", True), (last, "m", True), (last, "n", True), (last, "m", False))] == ["full", "incremental", "full", "full"]
+    kinds = "file string, language string, symbol_count int, content_hash string"
+    files = spark.createDataFrame([("a.py", "python", "def a(): pass"), ("new.py", "python", "def n(): pass"), ("bad.py", "python", "def (")], "file string, language string, content string")
+    same = files.where("file = 'a.py'").select(fn.content_hash(F.col("content"))).first()[0]
+    records = spark.createDataFrame([("a.py", "python", 1, same), ("old.py", "python", 5, "h"), ("gone.py", "python", 7, "h"), ("bad.py", "python", 2, "h")], kinds)
+    moves = spark.createDataFrame([("new.py", "renamed", "old.py"), ("gone.py", "deleted", None), ("a.py", "modified", None), ("bad.py", "modified", None)], "path string, status string, old_path string")
+    run = indexing.index_repo(files, records, last, "m", moves)
+    t = run["totals"].first()
+    assert (run["mode"], t["file_count"], t["symbol_count"], t["total_files"], t["total_symbols"], t["deleted_files"]) == ("incremental", 1, 1, 2, 2, 1)
+    assert {r["file"] for r in run["removed"].collect()} == {"gone.py", "new.py", "bad.py"} and {tuple(r) for r in run["moved"].collect()} == {("old.py", "new.py")}
+    assert {r["file"] for r in run["errors"].collect()} == {"bad.py"} and {r["file"] for r in run["records"].collect()} == {"a.py", "new.py"}
 
 
 def test_batch_search_of_nothing(spark):
