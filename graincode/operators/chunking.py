@@ -82,8 +82,7 @@ def _split_points(lines: Column, tokens: Column) -> Column:
         to = F.when(end < n, F.coalesce(pulled, end)).otherwise(n).cast("int")
         return F.when(start < n, F.concat(acc, F.array(to))).otherwise(acc)
 
-    # the shortest step is target - 4 lines, six at least
-    steps = F.sequence(F.lit(1), F.floor(n / 6).cast("int") + 1)
+    steps = F.sequence(F.lit(1), F.floor(n / (target - reach + 1)).cast("int") + 1)  # no step is shorter
     return F.aggregate(steps, F.array().cast("array<int>"), step)
 
 

@@ -98,6 +98,20 @@ def _end(lines: list[str], at: int) -> int:
     return len(lines) - 1 if opened else at
 
 
+class _Around:
+    """The symbols around a line, the innermost last, for lines that are asked for in order."""
+
+    def __init__(self, symbols: list[list]):
+        self.todo, self.open = sorted(symbols, key=lambda s: s[6], reverse=True), []
+
+    def at(self, line: int) -> list[list]:
+        while self.todo and self.todo[-1][6] <= line:
+            self.open.append(self.todo.pop())
+        while self.open and self.open[-1][7] < line:
+            self.open.pop()
+        return self.open
+
+
 def parse_patterns(source: str, language: str) -> tuple[list, list, list, list]:
     """Symbols, imports, exports and calls by line patterns."""
     lines, symbols = source.split("\n"), []
@@ -108,12 +122,11 @@ def parse_patterns(source: str, language: str) -> tuple[list, list, list, list]:
                 groups, end = m.groupdict(), _end(lines, i)
                 symbols.append([groups["name"], kind, groups.get("parent"), _signature(kind, groups["name"], groups.get("params") or ""), None, "\n".join(lines[i : end + 1]), i + 1, end + 1])
                 break
-    outer = [s for s in symbols if s[1] in ("class", "struct", "interface", "enum")]
+    around = _Around([s for s in symbols if s[1] in ("class", "struct", "interface", "enum")])
     for s in symbols:
         if s[1] == "method" and s[2] is None:
-            around = [o for o in outer if o[6] < s[6] and s[7] <= o[7]]
-            s[2] = max(around, key=lambda o: o[6])[0] if around else None
-            s[1] = s[1] if around else "function"
+            owner = next((o for o in reversed(around.at(s[6])) if o[6] < s[6] and s[7] <= o[7]), None)
+            s[1], s[2] = ("method", owner[0]) if owner else ("function", None)
     find, imports = re.compile(IMPORTS[language]), []
     for i, line in enumerate(lines):
         if m := find.match(line):
@@ -121,12 +134,11 @@ def parse_patterns(source: str, language: str) -> tuple[list, list, list, list]:
             names = [n.strip() for n in re.sub(r"[{}]", "", g.get("names") or "").split(",") if n.strip()]
             imports.append((g["module"].strip(), g.get("alias"), names, i + 1))
     exports = [a or b for a, b in EXPORT.findall(source)] if language in ("javascript", "typescript") else []
-    starts, calls = {s[6] for s in symbols}, []
-    for i, line in enumerate(lines):
-        names = [n for n in _CALLED.findall(line) if n not in _KEYWORDS]
-        around = [s for s in symbols if s[1] in ("function", "method") and s[6] <= i + 1 <= s[7]]
-        owner = max(around, key=lambda s: s[6])[0] if around else None
-        calls.extend((owner, n, i + 1) for n in names if not (i + 1 in starts and any(s[6] == i + 1 and s[0] == n for s in symbols)))
+    named, calls = {(s[6], s[0]) for s in symbols}, []
+    around = _Around([s for s in symbols if s[1] in ("function", "method")])
+    for i, line in enumerate(lines, 1):
+        owner = around.at(i)
+        calls.extend((owner[-1][0] if owner else None, n, i) for n in _CALLED.findall(line) if n not in _KEYWORDS and (i, n) not in named)
     return [tuple(s) for s in symbols], imports, exports, calls
 
 

@@ -143,10 +143,10 @@ def mem_search_tags(spark, d):
     return memory.text_search(m.withColumn("tags", F.replace("tags", F.lit("TAG17"), F.lit("z"))), "tag7", scope="shared").select("memory_id", "title")
 
 
-@query(f"""WITH {VECTORS}, m AS (SELECT * FROM vectors WHERE vec_id % 2 = 0 AND symbol_type IN ('method', 'class', 'struct', 'enum', 'module') AND repo = 'src3') SELECT id, round(x, 4) AS score FROM (SELECT id, {_L2} AS x FROM m, probe ORDER BY x, id LIMIT 15)""")
+@query(f"""WITH {VECTORS}, m AS (SELECT * FROM vectors WHERE vec_id % 2 = 0 AND symbol_type IN ('method', 'class', 'struct', 'enum', 'module') AND repo = 'src2') SELECT id, round(x, 4) AS score FROM (SELECT id, {_L2} AS x FROM m, probe ORDER BY x, id LIMIT 15)""")
 def mem_recall_filtered(spark, d):
     v = p.vectors(spark, d).withColumns({"chunk_level": F.when(F.col("vec_id") % 2 == 0, "memory").otherwise("function"), "memory_scope": F.lit("shared"), "project": F.col("repo"), "memory_type": F.when(F.col("symbol_type").isin("method", "class", "struct", "enum", "module"), "decision").otherwise("note")})
-    return vector.top_k(memory.where_memory(v, "all", "decision", "src3"), p.probe(spark, d), 15).select("id", "score")
+    return vector.top_k(memory.where_memory(v, "all", "decision", "src2"), p.probe(spark, d), 15).select("id", "score")
 
 
 # sessions and records
