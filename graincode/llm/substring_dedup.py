@@ -3,14 +3,18 @@
 Method: Count-min prefilter. Every window of ``window`` words is represented by its anchor, the smallest hash of the
 ``ANCHOR`` consecutive words in it. Equal windows have equal anchors, so the number of times an anchor is met is never less than
 the number of documents that hold any of its windows. Each partition counts its anchors in a Count-min sketch of its own; the
-sketches are merged block by block on the executors, and cells counted twice or more remain as bits. A second pass groups, by a
+sketches are merged on the executors, block by block in two steps, and cells counted twice or more remain as bits. A second pass groups, by a
 96-bit hash of all ``window`` words, exactly those windows whose anchor is estimated as repeated: collisions in the sketch only
-add candidates, none is lost. When the sketch is full (its size is bounded by ``MAX_BITS``) the same plan still gives whole
-results and only the prefilter's gain shrinks.
+add candidates, none is lost. The sketch has at least four cells for each anchor, so that about one unrepeated anchor in twenty passes.
+
+Up to ``MAX_BITS`` the sketch goes to all executors. Beyond that it stays where it is: a cell is a row of a table that is dealt by cell,
+with as many cells as there are hashes, anchors are joined to it by shuffle, and documents get the list of their own repeated ones.
+Both ways feed the same second pass, and a test runs both.
 
 Defined cases: a null text has no words; a text shorter than the window, and an empty one, loses nothing; a row with a null
 id neither loses words nor makes others lose them; rows that share an id never act on each other, and every input row gives one
-output row; a window repeated only inside one document stays. Columns other than the id and the text are not read.
+output row; a window repeated only inside one document stays; a text of any length is read whole; an empty table gives no rows. Columns other than the id and
+the text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import cut
 from .textnum import Words, blobs_of, mix, ngrams, signed, slices, sliding_min
 
 ANCHOR = 10
 SKETCH_ROWS = 2
 MIN_BITS, MAX_BITS = 16, 27
 BLOCK = 1 << 16
+DEALS = 512
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,40 +76,98 @@ def _partial_sketch(bits: int, window: int):
     return run
 
 
-def _merge(pdf):
-    """One block of the merged sketch: bits of the cells that were met twice or more."""
-    total = None
-    for cells in pdf["cells"]:
-        one = np.frombuffer(zlib.decompress(cells), dtype=np.uint8)
-        total = one.copy() if total is None else np.minimum(total + one, 2)
-    pdf = pdf.iloc[:1].copy()
-    pdf["cells"] = [zlib.compress(np.packbits(total >= 2).tobytes(), 1)]
-    return pdf
+def _merge(last: bool):
+    """One block of some sketches: the sums up to 2, or (last) the bits of the cells that were met twice or more."""
+
+    def run(pdf):
+        total = None
+        for cells in pdf["cells"]:
+            one = np.frombuffer(zlib.decompress(cells), dtype=np.uint8)
+            total = one.copy() if total is None else np.minimum(total + one, 2)
+        pdf = pdf.iloc[:1].copy()
+        pdf["cells"] = [zlib.compress((np.packbits(total >= 2) if last else total).tobytes(), 1)]
+        return pdf
+
+    return run
 
 
-def build_sketch(docs: DataFrame, text_col: str, window: int) -> tuple[int, np.ndarray]:
-    """The merged sketch, as bits. At most 2 * 2**MAX_BITS / 8 bytes (32 MB) come to the driver."""
+def sketch_bits(docs: DataFrame, text_col: str, window: int) -> int:
+    """Cells of a row of the sketch, as a power of two: four for each anchor that texts of this size have, at least."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     anchors = size / 6 * 2 / (window - min(ANCHOR, window) + 2)
-    bits = int(np.clip(np.ceil(np.log2(4 * anchors + 1)), MIN_BITS, MAX_BITS))
+    return max(MIN_BITS, int(np.ceil(np.log2(4 * anchors + 1))))
+
+
+def build_sketch(docs: DataFrame, text_col: str, window: int, bits: int) -> np.ndarray:
+    """The merged sketch, as bits. At most 2 * 2**MAX_BITS / 8 bytes (32 MB) come to the driver.
+
+    Sketches are merged in two steps, so that no task holds more than ``DEALS`` blocks, or a ``DEALS``-th of the partitions' ones.
+    """
     partial = docs.select(F.col(text_col).alias("text")).mapInArrow(_partial_sketch(bits, window), "block int, cells binary")
-    merged = partial.groupBy("block").applyInPandas(_merge, "block int, cells binary")
+    dealt = partial.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(DEALS)))
+    merged = dealt.groupBy("block", "deal").applyInPandas(_merge(False), "block int, cells binary, deal int")
+    merged = merged.select("block", "cells").groupBy("block").applyInPandas(_merge(True), "block int, cells binary")
     block = min(BLOCK, 1 << bits)
     out = np.zeros(SKETCH_ROWS * (1 << bits) // 8, dtype=np.uint8)
     for row in merged.toLocalIterator():
         part = np.frombuffer(zlib.decompress(bytes(row["cells"])), dtype=np.uint8)
         out[row["block"] * block // 8 :][: len(part)] = part
-    return bits, out.reshape(SKETCH_ROWS, -1)
+    return out
+
 
+def _met(bits: int, shared):
+    """Whether anchors are met twice or more, by the sketch that all executors have. The second argument of what is returned is not used."""
 
-def _candidates(words: Words, window: int, bits: int, sketch: np.ndarray) -> np.ndarray:
+    def of(anchor: np.ndarray, _):
+        sketch = np.frombuffer(shared.value, dtype=np.uint8).reshape(SKETCH_ROWS, -1)
+        hit = np.ones(len(anchor), dtype=bool)
+        for row in range(SKETCH_ROWS):
+            cell = _cells(anchor, row, bits)
+            hit &= (sketch[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+        return hit
+
+    return of
+
+
+def _listed(anchor: np.ndarray, anchors: pa.ListArray):
+    """Whether anchors are among those of the texts' own lists. One text may take another's: that only adds candidates."""
+    return np.isin(anchor, np.asarray(anchors.flatten()).view(np.uint64))
+
+
+def _candidates(words: Words, window: int, met, lists) -> np.ndarray:
     """Starts of the windows that the sketch estimates as repeated."""
     at, anchor = _anchors(words, window)
-    hit = np.ones(len(at), dtype=bool)
-    for row in range(SKETCH_ROWS):
-        cell = _cells(anchor, row, bits)
-        hit &= (sketch[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    return at[hit]
+    return at[met(anchor, lists)]
+
+
+def _own_anchors(window: int):
+    """Of each text the distinct anchors, as (doc, tag, anchor)."""
+
+    def run(batches):
+        for part in (x for batch in batches for x in slices(batch, 1)):
+            blobs = blobs_of(part.column(1))
+            words = Words(blobs)
+            at, anchor = _anchors(words, window)
+            doc = words.doc[at]
+            order = np.lexsort((anchor, doc))
+            doc, anchor = doc[order], anchor[order]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            tag = np.array([_tag(x) for x in blobs], dtype=np.int64)
+            ids = part.column(0).take(pa.array(doc[new]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(tag[doc[new]], pa.int64()), pa.array(signed(anchor[new]))], ["doc", "tag", "anchor"])
+
+    return run
+
+
+def _with_lists(slim: DataFrame, window: int) -> DataFrame:
+    """doc, text and the text's repeated anchors, counted in a table that is dealt by anchor."""
+    own = cut(slim.where("doc IS NOT NULL").mapInArrow(_own_anchors(window), "doc long, tag long, anchor long"))
+    often = cut(own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    lists = own.join(often, "anchor").groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_set("anchor").alias("anchors"))
+    tagged = slim.withColumn("tag", F.crc32(F.coalesce("text", F.lit(""))))
+    both = tagged.join(lists, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
+    return cut(both.select("doc", "text", F.coalesce("anchors", F.expr("CAST(array() AS array<bigint>)")).alias("anchors")))
 
 
 def _tag(blob: bytes) -> int:
@@ -111,15 +175,14 @@ def _tag(blob: bytes) -> int:
     return zlib.crc32(blob)
 
 
-def _windows(bits: int, window: int, shared):
+def _windows(window: int, met):
     """Of each candidate window: 96 bits of hash, document, and position packed with the text's tag."""
 
     def run(batches):
-        sketch = np.frombuffer(shared.value, dtype=np.uint8).reshape(SKETCH_ROWS, -1)
         for part in (x for batch in batches for x in slices(batch, 1)):
             ids, blobs = np.asarray(part.column(0)), blobs_of(part.column(1))
             words = Words(blobs)
-            at = _candidates(words, window, bits, sketch)
+            at = _candidates(words, window, met, part.column(2))
             if not len(at):
                 continue
             doc = words.doc[at]
@@ -138,16 +201,15 @@ def _windows(bits: int, window: int, shared):
     return run
 
 
-def _split(bits: int, window: int, shared, repeated: bool):
+def _split(window: int, met, repeated: bool):
     """Rows that have candidate windows (with their text), or the finished rows of those that have none."""
 
     def run(batches):
-        sketch = np.frombuffer(shared.value, dtype=np.uint8).reshape(SKETCH_ROWS, -1)
         for part in (x for batch in batches for x in slices(batch, 1)):
             blobs = blobs_of(part.column(1))
             words = Words(blobs)
             touched = np.zeros(len(blobs), dtype=bool)
-            touched[words.doc[_candidates(words, window, bits, sketch)]] = True
+            touched[words.doc[_candidates(words, window, met, part.column(2))]] = True
             touched &= ~np.asarray(part.column(0).is_null())
             keep = np.flatnonzero(touched == repeated)
             ids = part.column(0).take(pa.array(keep))
@@ -184,16 +246,20 @@ def _remove(window: int):
 
 def remove_repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_words, n_removed and kept_text (the words that stay, joined by one space)."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    bits, sketch = build_sketch(slim, "text", window)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
-    windows = slim.where("doc IS NOT NULL").mapInArrow(_windows(bits, window, shared), "h long, g int, doc long, at long")
-    repeated = windows.groupBy("h", "g").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "g", "least")
-    # the hot key, if any, is on the left: AQE splits it, and the right side has one row a key
+    slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    bits = sketch_bits(slim, "text", window)
+    if bits <= MAX_BITS:
+        met = _met(bits, docs.sparkSession.sparkContext.broadcast(build_sketch(slim, "text", window, bits).tobytes()))
+        texts = slim.withColumn("anchors", F.expr("CAST(NULL AS array<bigint>)"))
+    else:
+        met, texts = _listed, _with_lists(slim, window)
+    windows = texts.where("doc IS NOT NULL").mapInArrow(_windows(window, met), "h long, g int, doc long, at long")
+    repeated = cut(windows.groupBy("h", "g").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "g", "least"))
+    # both sides are dealt for the join alone, so that AQE can split a hot key of the left one; the right one has one row a key
     gone = windows.join(repeated, ["h", "g"]).where("doc > least").select("doc", F.shiftright("at", 31).alias("tag"), F.col("at").bitwiseAND((1 << 31) - 1).cast("int").alias("at"))
     starts = gone.groupBy("doc", "tag").agg(F.collect_list("at").alias("starts"))
-    touched = slim.mapInArrow(_split(bits, window, shared, True), "doc long, tag long, blob binary")
+    touched = texts.mapInArrow(_split(window, met, True), "doc long, tag long, blob binary")
     out = "doc long, n_words long, n_removed long, kept_text string"
     removed = touched.join(starts, ["doc", "tag"], "left").select("doc", "blob", "starts").mapInArrow(_remove(window), out)
-    finished = slim.mapInArrow(_split(bits, window, shared, False), out)
+    finished = texts.mapInArrow(_split(window, met, False), out)
     return finished.unionByName(removed).withColumnRenamed("doc", id_col)

@@ -70,11 +70,14 @@ def test_substring_dedup(spark, window):
     assert Counter(tuple(r) for r in got.collect()) == plain_substring(list(zip(ids, texts)), window)
 
 
-def test_substring_dedup_full_sketch(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "MAX_BITS", substring_dedup.MIN_BITS)  # a full sketch loses nothing
-    texts = [prose(k % 40, 200, 1000) for k in range(80)]
-    got = substring_dedup.remove_repeated_spans(frame(spark, texts), 50)
-    assert Counter(tuple(r) for r in got.collect()) == plain_substring(list(enumerate(texts)), 50)
+@pytest.mark.parametrize("setting, value", [("sketch_bits", lambda *_: 8), ("MAX_BITS", 0), ("DEALS", 1)])
+def test_substring_dedup_full_or_dealt_sketch(spark, monkeypatch, setting, value):
+    """A full sketch loses nothing, and neither does one that is a table dealt by anchor."""
+    monkeypatch.setattr(substring_dedup, setting, value)
+    texts = [prose(k % 40, 200, 1000) for k in range(80)] + [*corpus(), None, "q " * 70]
+    ids = [*range(len(texts) - 2), 4, None]
+    got = substring_dedup.remove_repeated_spans(frame(spark, texts, ids), 50)
+    assert Counter(tuple(r) for r in got.collect()) == plain_substring(list(zip(ids, texts)), 50)
 
 
 def test_substring_dedup_of_nothing(spark):
