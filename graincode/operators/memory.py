@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graincode.functions.scalars import auto_title, normalized_hash
 
@@ -46,38 +50,85 @@ def anchors(saves: DataFrame, keys: list[str], seconds: int = DEDUP_SECONDS, tim
 _FOLD = "project string, scope string, row long, first_event long, hash string, topic_key string, created long, updated long, revision long, duplicates long"
 
 
+class _Fold:
+    """Rows of one (project, scope) that a later save may still change: those with a topic, and those created less than ``gap`` ago."""
+
+    def __init__(self, key: tuple, gap: int):
+        self.key, self.gap, self.count = key, gap, 0
+        self.topics: dict[str, dict] = {}
+        self.hashes: dict[str, list[dict]] = {}  # recent rows by their hash, in order of creation
+        self.recent: deque[dict] = deque()
+
+    def expire(self, us: int) -> Iterator[dict]:
+        """Forget rows created ``gap`` or more before; those without a topic are final."""
+        while self.recent and self.recent[0]["created"] <= us - self.gap:
+            row = self.recent.popleft()
+            left = [r for r in self.hashes[row["hash"]] if r is not row]
+            if left:
+                self.hashes[row["hash"]] = left
+            else:
+                del self.hashes[row["hash"]]
+            if row["topic_key"] is None:
+                yield row
+
+    def _hashed(self, row: dict, h: str) -> None:
+        if row["created"] > row["updated"] - self.gap:  # recent: found by its new hash from now on
+            self.hashes[row["hash"]] = [r for r in self.hashes[row["hash"]] if r is not row]
+            if not self.hashes[row["hash"]]:
+                del self.hashes[row["hash"]]
+            self.hashes[h] = sorted([*self.hashes.get(h, ()), row], key=lambda r: (r["created"], r["row"]))
+        row["hash"] = h
+
+    def save(self, us: int, event: int, h: str, topic: str | None) -> None:
+        row = self.topics.get(topic) if topic else None
+        if row is not None:
+            row["updated"], row["revision"] = us, row["revision"] + 1
+            self._hashed(row, h)
+        elif h in self.hashes:
+            row = self.hashes[h][-1]
+            row["updated"], row["duplicates"] = us, row["duplicates"] + 1
+        else:
+            row = dict(zip(_FOLD_NAMES, (*self.key, self.count, event, h, topic or None, us, us, 1, 0)))
+            self.count += 1
+            self.hashes[h] = [row]
+            self.recent.append(row)
+            if topic:
+                self.topics[topic] = row
+
+    def rest(self) -> list[dict]:
+        return [*self.topics.values(), *(r for r in self.recent if r["topic_key"] is None)]
+
+
+_FOLD_NAMES = [c.split()[0] for c in _FOLD.split(", ")]
+
+
 def save_fold(saves: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
     """Rows after all saves, by (project, scope) in order of (us, event_id).
 
     A save with a topic that a row already has overwrites that row and raises its revision (its creation time stays); else a row
     with the same hash created less than ``seconds`` before counts a duplicate (a new topic is then not stored); else it is a new row.
-    The state is one row a topic and the recent ones a hash; groups are folded in Arrow batches, without text.
+    Sorted saves, without text, stream through the fold: it holds one row a topic and the rows of the last ``seconds``, not a project.
     """
     gap = seconds * 1_000_000
 
-    def fold(keys, pdf):
-        import pandas as pd
-
-        rows, topics, hashes = [], {}, {}
-        for us, event, h, topic in pdf.sort_values(["us", "event_id"])[["us", "event_id", "hash", "topic_key"]].itertuples(index=False):
-            topic = topic if isinstance(topic, str) and topic else None
-            if topic is not None and topic in topics:
-                row = rows[topics[topic]]
-                row["hash"], row["updated"], row["revision"] = h, us, row["revision"] + 1
-                hashes.setdefault(h, []).append(topics[topic])
-                continue
-            near = [i for i in hashes.get(h, ()) if rows[i]["hash"] == h and rows[i]["created"] > us - gap]
-            if near:
-                row = rows[max(near, key=lambda i: (rows[i]["created"], i))]
-                row["updated"], row["duplicates"] = us, row["duplicates"] + 1
-                continue
-            if topic is not None:
-                topics[topic] = len(rows)
-            hashes[h] = [i for i in hashes.get(h, ()) if rows[i]["created"] > us - gap] + [len(rows)]
-            rows.append({"row": len(rows), "first_event": event, "hash": h, "topic_key": topic, "created": us, "updated": us, "revision": 1, "duplicates": 0})
-        return pd.DataFrame([{"project": keys[0], "scope": keys[1], **r} for r in rows], columns=[c.split()[0] for c in _FOLD.split(", ")])
-
-    return saves.select("project", "scope", "us", "event_id", "hash", "topic_key").groupBy("project", "scope").applyInPandas(fold, _FOLD)
+    def run(batches):
+        fold, done = None, []
+        for batch in batches:
+            for project, scope, us, event, h, topic in zip(*(c.to_pylist() for c in batch.columns)):
+                if fold is None or fold.key != (project, scope):
+                    done += fold.rest() if fold else []
+                    fold = _Fold((project, scope), gap)
+                done += fold.expire(us)
+                fold.save(us, event, h, topic)
+            yield pa.RecordBatch.from_pylist(done, schema)
+            done = []
+        if fold:
+            yield pa.RecordBatch.from_pylist(fold.rest(), schema)
+
+    schema = to_arrow_schema(StructType.fromDDL(_FOLD))
+    order = ["project", "scope", "us", "event_id"]
+    dealt = saves.select(*order, "hash", "topic_key").repartition("project", "scope").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, _FOLD)
 
 
 def topic_upsert(saves: DataFrame) -> DataFrame:

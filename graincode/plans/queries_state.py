@@ -36,7 +36,17 @@ def mem_anchor_dedup(spark, d):
     return memory.anchors(p.saves(spark, d), ["project"], 6 * 3600)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAVES}, s AS (SELECT project, scope, us, event_id, hash, topic_key, row_number() OVER (PARTITION BY project, scope ORDER BY us, event_id) AS i FROM saves),
+f(project, scope, i, l) AS (SELECT DISTINCT project, scope, 0::BIGINT, []::STRUCT(e BIGINT, h VARCHAR, k VARCHAR, c BIGINT, u BIGINT, r BIGINT, d BIGINT)[] FROM s
+    UNION ALL SELECT project, scope, i, CASE WHEN t > 0 THEN list_transform(l, lambda x, j: CASE WHEN j = t THEN {{'e': x.e, 'h': hash, 'k': x.k, 'c': x.c, 'u': us, 'r': x.r + 1, 'd': x.d}} ELSE x END)
+        WHEN n > 0 THEN list_transform(l, lambda x, j: CASE WHEN j = n THEN {{'e': x.e, 'h': x.h, 'k': x.k, 'c': x.c, 'u': us, 'r': x.r, 'd': x.d + 1}} ELSE x END)
+        ELSE list_append(l, {{'e': event_id, 'h': hash, 'k': topic_key, 'c': us, 'u': us, 'r': 1::BIGINT, 'd': 0::BIGINT}}) END
+    FROM (SELECT s.*, f.l, CASE WHEN topic_key IS NULL THEN 0 ELSE coalesce(list_position(list_transform(l, lambda x: x.k), topic_key), 0) END AS t,
+            coalesce(list_max(list_transform(l, lambda x, j: CASE WHEN x.h = hash AND x.c > us - 21600000000 THEN j ELSE 0 END)), 0) AS n
+        FROM f JOIN s ON s.project = f.project AND s.scope = f.scope AND s.i = f.i + 1)),
+last AS (SELECT project, scope, l FROM f QUALIFY row_number() OVER (PARTITION BY project, scope ORDER BY i DESC) = 1),
+each AS (SELECT project, scope, unnest(l) AS x, (generate_subscripts(l, 1) - 1)::BIGINT AS row FROM last)
+SELECT project, scope, row, x.e AS first_event, x.h AS hash, x.k AS topic_key, x.c AS created, x.u AS updated, x.r AS revision, x.d AS duplicates FROM each""")
 def mem_save_fold(spark, d):
     return memory.save_fold(p.saves(spark, d), 6 * 3600)
 
