@@ -27,6 +27,7 @@ whatever their names.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ WORDS = BUCKETS // 4  # registers go as 64-bit words
 _BUCKET_BITS = BUCKETS.bit_length() - 1
 #: The chance to miss a pair at the threshold, at most.
 MISS = 1e-7
-#: Groups in which a set's shingles are counted for the bound of a pair.
-GROUPS = 64
+#: Groups in which a set's shingles are counted for the bound of a pair, and the fewer ones of a bound that is tried first.
+GROUPS, COARSE = 64, 8
 #: Rows that go to Python at once.
 BATCH_ROWS = 500
 #: Ids that may be broadcast to pick texts.
@@ -226,17 +227,21 @@ def _bounds(apart: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
     counts = items.join(across, "s").groupBy("rep", "n", F.pmod("s", F.lit(GROUPS)).cast("int").alias("g")).agg(F.count(F.lit(1)).cast("int").alias("c"))
     whole = counts.groupBy("rep", "n").agg(F.sum("c").alias("e"), F.map_from_entries(F.collect_list(F.struct("g", "c"))).alias("of"))
     groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.coalesce(F.try_element_at("of", g), F.lit(0)))
-    return cut(whole.where(f"100 * e >= {percent} * n").select("rep", "n", "e", groups.alias("groups")))
+    whole = whole.where(f"100 * e >= {percent} * n").select("rep", "n", "e", groups.alias("groups"))
+    coarse = [reduce(Column.__add__, [F.get("groups", F.lit(g)) for g in range(k, GROUPS, COARSE)]).alias(f"c{k}") for k in range(COARSE)]
+    return cut(whole.select("*", *coarse))
 
 
 def _possible(apart: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
     """Pairs a < b of a band, of different components, that the bounds allow to be linked; none of a far member and one linked to the hub."""
     own = apart.join(bounds, "rep")
-    x, y = (own.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "comp", "kind", "n", "e", "groups")]) for side in "ab")
+    x, y = (own.select("band", *[F.col(c).alias(f"{c}_{side}") for c in own.columns if c != "band"]) for side in "ab")
     enough = lambda both: 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
     most = F.aggregate(F.zip_with("groups_a", "groups_b", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    rough = reduce(Column.__add__, [F.least(f"c{k}_a", f"c{k}_b") for k in range(COARSE)])
     apart_kinds = F.abs(F.col("kind_a") - F.col("kind_b")) < 2
-    pairs = x.join(y, "band").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & apart_kinds & enough(F.least("e_a", "e_b")) & enough(most))
+    different = (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & apart_kinds
+    pairs = x.join(y, "band").where(different & enough(F.least("e_a", "e_b")) & enough(rough) & enough(most))  # from the cheapest test to the dearest
     return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
