@@ -1,7 +1,10 @@
 """Classifiers: accuracy on rows held out, sums against brute force, and odd inputs."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -52,6 +55,42 @@ def test_linear_time_score_equals_pairs():
         assert abs(got[t] - (0.3 + m.weights[i] @ x + pairs)) < 1e-4
 
 
+def plain_features(text, stated):
+    """Index to value, from the definitions, a word and a character at a time."""
+    m, out = quality_fm, {}
+    raw = (text or "").encode()
+    split = lambda b: [w for w in re.split(rb"[\x20\x09-\x0D]+", b) if w]
+    counts = Counter(int(m.Words([w]).hash[0]) >> (64 - m.WORD_BITS) for w in split(raw.lower()))
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+    out = {i: math.log1p(n) / norm for i, n in counts.items()}
+    words, size = split(raw), len(raw) + 1
+    count = lambda chars: sum(b in chars for b in raw)
+    n, one = len(words), max(len(words), 1)
+    upper, lower, wide = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"abcdefghijklmnopqrstuvwxyz"), sum(b >= 0x80 for b in raw)
+    letters, lines = max(upper + lower + wide, 1), raw.count(b"\n") + 1
+    stats = [
+        math.log2(n + 1) / 20, sum(map(len, words)) / one / 20, upper / letters, letters / size, count(b"0123456789") / size, count(b"!?") / one, count(b"|<>{}[]=") / one, count(b"#*$%&@^~_+") / one,
+        len(set(words)) / one, sum(x == y for x, y in zip(words, words[1:])) / one, lines / one, wide / size, math.log2(size + 1) / 30,
+    ]
+    for k, x in enumerate(stats):
+        for b in range(round(math.sqrt(min(max(x, 0), 1)) * (m.BINS - 1)) + 1):
+            out[(1 << m.WORD_BITS) + k * (m.BINS + 1) + b] = 0.5
+    at = (1 << m.WORD_BITS) + len(stats) * (m.BINS + 1)
+    for b in [m.BINS] if stated is None else range(round(min(1.0, math.log2(max(stated, 0) + 1) / 30) * (m.BINS - 1)) + 1):
+        out[at + b] = 0.5
+    return out
+
+
+def test_features_equal_brute_force():
+    rng = random.Random(9)
+    texts = ["", "a", "A b a  A\n\nß É!! 12|", "x x x y", *(good(rng) for _ in range(5)), *(junk(rng) for _ in range(5))]
+    stated = [None, 0, 5, -3, *(rng.randrange(10**6) for _ in range(10))]
+    doc, index, value = quality_fm.features([t.encode() for t in texts], stated)
+    for t, (text, n) in enumerate(zip(texts, stated)):
+        got, want = dict(zip(index[doc == t].tolist(), value[doc == t].tolist())), plain_features(text, n)
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want), text
+
+
 def toxic(rng):
     return good(rng) + " " + rng.choice(["you are an idiot", "a moron indeed", "such scumbags there", "lowei" + rng.choice(["chen", "ent", "ß"]) + " here"]) + ". " + good(rng)
 
