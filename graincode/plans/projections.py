@@ -71,11 +71,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "imports").otherwise("references")
     return li.select(
-        F.concat(F.lit("n"), (F.col("l_suppkey") % 50).cast("string")).alias("source"),
-        F.concat(F.lit("n"), (F.col("l_partkey") % 50).cast("string")).alias("target"),
+        F.concat(F.lit("n"), F.col("l_suppkey").cast("string")).alias("source"),
+        F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("target"),
         kind.alias("kind"),
-        F.concat(F.lit("o"), (F.col("l_orderkey") % 1000).cast("string")).alias("source_file"),
-        F.concat(F.lit("o"), (F.col("l_partkey") % 1000).cast("string")).alias("target_file"),
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source_file"),
+        F.concat(F.lit("o"), F.col("l_partkey").cast("string")).alias("target_file"),
         F.col("l_linenumber").cast("int").alias("line"),
         F.concat(F.col("l_linestatus"), F.when(F.col("l_partkey") % 2 == 0, "/").otherwise("")).alias("repo"),
         F.lit("main").alias("branch"),
@@ -83,9 +83,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EDGES = """edges AS (SELECT 'n' || (l_suppkey % 50) AS source, 'n' || (l_partkey % 50) AS target,
-    CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'references' END AS kind, 'o' || (l_orderkey % 1000) AS source_file,
-    'o' || (l_partkey % 1000) AS target_file, l_linenumber::INT AS line, l_linestatus || CASE WHEN l_partkey % 2 = 0 THEN '/' ELSE '' END AS repo, 'main' AS branch,
+EDGES = """edges AS (SELECT 'n' || l_suppkey AS source, 'n' || l_partkey AS target,
+    CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'references' END AS kind, 'o' || l_orderkey AS source_file,
+    'o' || l_partkey AS target_file, l_linenumber::INT AS line, l_linestatus || CASE WHEN l_partkey % 2 = 0 THEN '/' ELSE '' END AS repo, 'main' AS branch,
     {'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey, 'e': l_extendedprice, 'f': l_quantity} AS ord FROM lineitem)"""
 
 

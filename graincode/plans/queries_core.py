@@ -330,9 +330,9 @@ def graph_dependents(spark, d):
     return graph.dependents(_graph(spark, d), "o7")
 
 
-@query(f"WITH {_TRIMMED} SELECT DISTINCT target_file FROM upserted WHERE kind = 'imports' AND source_file = 'o7'")
+@query(f"WITH {_TRIMMED} SELECT DISTINCT target_file FROM upserted WHERE kind = 'imports' AND source_file = 'o20'")
 def graph_dependencies(spark, d):
-    return graph.dependencies(_graph(spark, d), "o7")
+    return graph.dependencies(_graph(spark, d), "o20")
 
 
 @query(f"WITH {_TRIMMED} SELECT {_EKEY}, line FROM upserted WHERE source ILIKE '%N4%' OR target ILIKE '%N4%'")
