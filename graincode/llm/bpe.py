@@ -18,7 +18,8 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -187,13 +188,24 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec for each file and Python worker. Its values hold no cycles, and looking for some in large caches takes long."""
+    """One codec for each file and Python worker."""
     if path not in _codecs:
-        gc.disable()
         _codecs[path] = Codec(path)
     return _codecs[path]
 
 
+@contextmanager
+def _no_collection() -> Iterator[None]:
+    """Values of caches hold no cycles, and looking for some in large caches takes long; after the task the worker collects again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _with(df: DataFrame, source: str, as_col: str, kind: str, make: Callable, as_string: bool) -> DataFrame:
     """df with as_col (in place of one of that name): make gives a function of the column source of a batch."""
     kept = [f for f in df.schema.fields if f.name.lower() != as_col.lower()]
@@ -239,7 +251,8 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # few texts as Python strings at once
                 part = batch.slice(at, 256)
-                n, enc, dec = zip(*[own.digest(text or "") for text in part.column(1).to_pylist()])
+                with _no_collection():
+                    n, enc, dec = zip(*[own.digest(text or "") for text in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -259,14 +272,15 @@ def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
             at = 0
             while at < len(texts):
                 to, size, flat, edge, same = at, 0, [], [0], []
-                while to < len(texts) and (to == at or size < 1 << 20):
-                    text = texts[to].as_py() or ""
-                    ids = own.encode(text)
-                    same.append(own.decode(ids) == text)
-                    flat.append(np.array(ids, dtype=np.int32))
-                    edge.append(edge[-1] + len(ids))
-                    size += len(text)
-                    to += 1
+                with _no_collection():
+                    while to < len(texts) and (to == at or size < 1 << 20):
+                        text = texts[to].as_py() or ""
+                        ids = own.encode(text)
+                        same.append(own.decode(ids) == text)
+                        flat.append(np.array(ids, dtype=np.int32))
+                        edge.append(edge[-1] + len(ids))
+                        size += len(text)
+                        to += 1
                 lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(flat)))
                 made = [pa.array(np.diff(edge).astype(np.int64)), lists, pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns[:n], *made], [*[f.name for f in kept], "n_tokens", "ids", "round_trip"])
