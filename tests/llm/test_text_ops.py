@@ -414,7 +414,7 @@ RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 URLS = [
     (None, "", "", None), ("no scheme", "", "", None), ("http://A.Com", "a.com", "", None), ("http://a.com/x?y#z", "a.com", "/x", "com/"), ("x://example.com/en/1#t", "example.com", "/en/1", "example.com/en/"),
     ("x://b.www.Example.com/en/", "b.www.example.com", "/en/", "www.example.com/en/"), ("x://xexample.com/en/", "xexample.com", "/en/", "com/"), ("x://a.net/es/?a://b", "a.net", "/es/", "net/es/"), ("x://net/fr", "net", "/fr", None),
-    ("x://org/é\n/q", "org", "/é\n/q", None), ("://", "", "", None),
+    ("x://org/é\n/q", "org", "/é\n/q", None), ("://", "", "", None), ("x://long.org/" + "ab" * 30_000, "long.org", "/" + "ab" * 30_000, None),
 ]
 
 
@@ -486,7 +486,7 @@ def test_url_models_need_both_classes(spark):
     assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_decontamination", "op6_minhash_dedup", "op9_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_decontamination", "op6_minhash_dedup", "op7_quality_rules", "op9_line_dedup"])
 def test_same_rows_as_sql(spark, name):
     import duckdb
 
