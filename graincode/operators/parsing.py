@@ -44,6 +44,11 @@ IMPORTS: dict[str, str] = {
     "rust": r"^\s*(?:pub\s+)?use\s+(?P<module>[^;]+);",
 }
 IMPORTS["typescript"] = IMPORTS["javascript"]
+#: For languages without patterns of their own, where a fallback is asked for: what most languages with braces write.
+FALLBACK = "fallback"
+PATTERNS[FALLBACK] = (("class", rf"^\s*(?:\w+\s+)*(?:class|object|module)\s+{_NAME}"), ("struct", rf"^\s*(?:\w+\s+)*struct\s+{_NAME}"), ("interface", rf"^\s*(?:\w+\s+)*(?:interface|trait|protocol)\s+{_NAME}"), ("enum", rf"^\s*(?:\w+\s+)*enum\s+{_NAME}"),
+                      ("method", rf"^\s+(?:\w+\s+)*(?:func|fun|def|fn|function)\s+{_NAME}\s*{_PARAMS}"), ("function", rf"^(?:\w+\s+)*(?:func|fun|def|fn|function)\s+{_NAME}\s*{_PARAMS}"))
+IMPORTS[FALLBACK] = r"^\s*(?:import|using|require|#include|use)\s+[\"'<]?(?P<module>[\w./:-]+)"
 EXPORT = re.compile(r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class)\s+(\w+)|^\s*export\s+default\s+(\w+)\s*;?\s*$", re.M)
 _CALLED = re.compile(r"(?<![\w.])(?:[\w]+(?:\.|::|->))*(\w+)\s*\(")
 _KEYWORDS = frozenset("if for while switch catch return function func fn def class new match use elif except with and or not in print".split()) - {"print"}
@@ -151,26 +156,32 @@ def parse_raw(source: str, file: str) -> tuple[list, list, list, list]:
     return [(stem, "file", None, f"file {name}", None, source, 1, source.count("\n") + 1)], [], [], []
 
 
-def _one(file: str, language: str | None, source: str | None):
+def _one(file: str, language: str | None, source: str | None, fallback: frozenset[str]):
     try:
+        language = FALLBACK if language in fallback and language not in PATTERNS and language != "python" else language
         if language == "python":
             return (*parse_python(source or ""), None)
-        if language in PATTERNS:
+        if language in PATTERNS and (language != FALLBACK or fallback):
             return (*parse_patterns(source or "", language), None)
         return (*parse_raw(source or "", file), None)
     except (SyntaxError, ValueError, RecursionError) as e:
         return [], [], [], [], f"{type(e).__name__}: {e}"
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """files (file, language, content) to one row a file, with nested results and error. A null content is an empty file."""
+def parse(files: DataFrame, fallback: tuple[str, ...] = ()) -> DataFrame:
+    """files (file, language, content) to one row a file, with nested results and error. A null content is an empty file.
+
+    Languages of fallback that have no patterns of their own are read by general ones, with a class, struct, interface or enum as the
+    parent of what is inside it; without it they are raw text.
+    """
+    walked = frozenset(fallback)
     schema = to_arrow_schema(StructType.fromDDL(PARSED))
 
     def run(batches):
         for batch in batches:
             rows = []
             for file, language, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                symbols, imports, exports, calls, error = _one(file, language, source)
+                symbols, imports, exports, calls, error = _one(file, language, source, walked)
                 rows.append(
                     {
                         "file": file, "language": language, "exports": exports, "error": error,

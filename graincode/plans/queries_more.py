@@ -86,6 +86,17 @@ def parse_more_calls(spark, d):
     return parsing.call_edges(parsing.parse(_more(spark, d))).select("source", "target", "source_file", "line")
 
 
+@query("""WITH s(ord, name, kind, parent, start_line, end_line) AS (VALUES (0, 'K%', 'class', NULL, 3, 7), (1, 'run', 'method', 'K%', 4, 6), (2, 'helper', 'function', NULL, 9, 11))
+SELECT 'k' || p_partkey || '.kt' AS file, ord::INT AS ord, replace(name, '%', p_partkey::VARCHAR) AS name, kind, replace(parent, '%', p_partkey::VARCHAR) AS parent, start_line::INT AS start_line, end_line::INT AS end_line, 'a.b' AS module FROM part, s""")
+def parse_fallback(spark, d):
+    n = F.col("p_partkey").cast("string")
+    code = F.replace(F.lit("import a.b\n\nopen class K%d {\n  override fun run(x: Int): Int {\n    return helper(x)\n  }\n}\n\nfun helper(v: Int): Int {\n  return v\n}\n"), F.lit("%d"), n)
+    files = p.table(spark, d, "part").select(F.concat(F.lit("k"), n, F.lit(".kt")).alias("file"), F.lit("kotlin").alias("language"), code.alias("content"))
+    parsed = parsing.parse(files, ("kotlin",))
+    imports = parsing.imports_of(parsed).select("file", "module")
+    return parsing.symbols_of(parsed).select("file", "ord", "name", "kind", "parent", "start_line", "end_line").join(imports, "file")
+
+
 # embedding
 
 

@@ -334,6 +334,7 @@ def test_store(spark, tmp_path):
     t.delete_files(gone)
     assert [(r["file"], r["symbol"]) for r in t.read().collect()] == [("h", "")] and t.count() == 1
     assert t.vacuum() > 0 and t.count() == 1
+    assert [(r["original_id"], r["id"]) for r in store.to_shared(points(spark, ("1", "r", "b", "f", None))).collect()] == [("1", str(uuid.uuid5(uuid.UUID(fn.POINT_NAMESPACE), "1")))]
     with pytest.raises(Exception, match="dimension"):
         store.require_dimension(points(spark, ("1", "r", "b", "f", None)), 3).collect()
     t.drop()
