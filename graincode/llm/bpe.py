@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
 from .safe_cuts import parts
 
 #: Fixed value of the byte-level format: how text is split into words before merging.
@@ -216,6 +217,7 @@ def _with(df: DataFrame, source: str, as_col: str, kind: str, make: Callable, as
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], of(batch.column(n))], [*[f.name for f in kept], as_col])
 
+    text_batches(df.sparkSession)
     picked = df.select(*[F.col(f"`{f.name}`") for f in kept], (read.cast("string") if as_string else read).alias("_read"))
     return picked.mapInArrow(run, _schema(kept, f"`{as_col}` {kind}"))
 
@@ -255,6 +257,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                     n, enc, dec = zip(*[own.digest(text or "") for text in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
@@ -262,6 +265,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
 def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, ids (array<int>) and round_trip (whether decoding the ids gives the text again), which replace columns of these names."""
+    text_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name.lower() not in ("n_tokens", "ids", "round_trip")]
     text, n = F.col(f"`{text_col}`").cast("string").alias("_text"), len(kept)  # the text to encode goes last, whatever it is called
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_rows
+from .runtime import text_batches
 from .textnum import Words, blobs_of, pieces
 
 #: Labelled rows to learn from, at most.
@@ -144,6 +145,7 @@ def _extract(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    text_batches(docs.sparkSession)
     slim = _slim(docs, id_col, text_col)
     sample = training_rows(slim, labels.select(F.col(id_col).cast("string").alias("id"), label), label, folds, held, rows, "id").select("id", "text", "n_chars", "y")
     got = sample.mapInArrow(_extract, "id string, y int, index array<int>, value array<float>").toArrow().sort_by("id")
@@ -158,6 +160,7 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", as_col: str = "score") -> DataFrame:
     """docs with as_col, in [0, 1]."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     kept = [f for f in docs.schema.fields if f.name.lower() != as_col.lower()]
     n = len(kept)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
 from .textnum import Words, blobs_of, ngrams, pieces
 
 SYMBOLS = "#*$%&|<>"
@@ -111,6 +112,7 @@ def _run(batches):
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, the measurements and fail_bits, a bit for every rule."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     measured = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_run, f"id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = " | ".join(f"IF({sql}, {1 << i}L, 0L)" for i, (_, sql) in enumerate(RULES))

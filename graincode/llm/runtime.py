@@ -48,13 +48,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a batch of texts for Python, where the session has not set a number of its own.
+TEXT_ROWS = 1000
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python by TEXT_ROWS rows, if it still has Spark's default, with which a batch of texts holds tens of MB twice.
+
+    What an operator returns runs later, so the setting stays; one that the user made is left alone.
+    """
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Smaller Arrow batches for what is run (not only planned) inside; the session's own setting holds again after."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)

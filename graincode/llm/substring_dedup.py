@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut
+from .runtime import cut, text_batches
 from .textnum import Words, blobs_of, mix, ngrams, signed, slices, sliding_min
 
 ANCHOR = 10
@@ -246,6 +246,7 @@ def _remove(window: int):
 
 def remove_repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_words, n_removed and kept_text (the words that stay, joined by one space)."""
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     bits = sketch_bits(slim, "text", window)
     if bits <= MAX_BITS:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_rows
-from .runtime import cut
+from .runtime import cut, text_batches
 
 #: Labelled rows to learn from, and words after a negation that it covers.
 TRAIN_ROWS, SCOPE = 10_000, 3
@@ -245,6 +245,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = training_rows(slim, labels.select(F.col(id_col).cast("string").alias("id"), label), label, folds, held, rows, "id").select("text", "y", "id")
     distinct = cut(sample.groupBy(F.coalesce("text", F.lit("")).alias("text"), "y").agg(F.min("id").alias("id")))  # copies of a text are no evidence; at most ``rows`` rows
@@ -283,6 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 def score(docs: DataFrame, model: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and score in [0, 1]."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.insults, model.weights, model.bias))
 
     def run(batches):
