@@ -34,7 +34,7 @@ from .safe_cuts import parts
 #: Fixed value of the byte-level format: how text is split into words before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts in each of the two cache generations: of digests (some 300 bytes each) and of ids. A Python worker keeps them from task to task.
-CACHE_WORDS, CACHE_IDS = 400_000, 100_000
+CACHE_WORDS, CACHE_IDS = 400_000, 50_000
 
 
 def _byte_letters() -> dict[str, int]:
