@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_batches
+from .runtime import releasing, text_batches
 from .safe_cuts import parts
 
 #: Fixed value of the byte-level format: how text is split into words before merging.
@@ -219,7 +219,7 @@ def _with(df: DataFrame, source: str, as_col: str, kind: str, make: Callable, as
 
     text_batches(df.sparkSession)
     picked = df.select(*[F.col(f"`{f.name}`") for f in kept], (read.cast("string") if as_string else read).alias("_read"))
-    return picked.mapInArrow(run, _schema(kept, f"`{as_col}` {kind}"))
+    return picked.mapInArrow(releasing(run), _schema(kept, f"`{as_col}` {kind}"))
 
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", as_col: str = "ids") -> DataFrame:
@@ -259,7 +259,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
 
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -290,7 +290,7 @@ def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns[:n], *made], [*[f.name for f in kept], "n_tokens", "ids", "round_trip"])
                 at = to
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(run, _schema(kept, "n_tokens long, ids array<int>, round_trip boolean"))
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(releasing(run), _schema(kept, "n_tokens long, ids array<int>, round_trip boolean"))
 
 
 def _schema(fields, more: str) -> str:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_rows, broadcast_if, cut, fresh
+from .runtime import arrow_rows, broadcast_if, cut, fresh, releasing
 from .textnum import Words, blobs_of, mix, ngrams, signed, slices
 
 BUCKETS, MANTISSA = 512, 10
@@ -165,7 +165,7 @@ def _judged(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
     """a, b, linked of the distinct candidate pairs (a, b) that are near: at most twice as far apart as linked ones, on full sets."""
     one, two = (cand.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
     sketched = pairs.join(one.drop("sa"), "a").join(two.drop("sb"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    close = cut(sketched.mapInArrow(_promising(percent / 100 - MARGIN, (2 * percent - 100) / 100 - 0.02), "a long, b long"))
+    close = cut(sketched.mapInArrow(releasing(_promising(percent / 100 - MARGIN, (2 * percent - 100) / 100 - 0.02)), "a long, b long"))
     full = close.join(one.drop("ra"), "a").join(two.drop("rb"), "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
     full = full.withColumn("union", F.expr("na + nb - both"))
     return full.where(f"100 * both >= {2 * percent - 100} * union").select("a", "b", F.expr(f"100 * both >= {percent} * union").alias("linked"))
@@ -272,7 +272,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     """Per row: doc, tag of the text, n and least, the smallest id of the component."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        rows = cut(slim.mapInArrow(_signatures(shingle, band_size(percent)), "doc long, tag long, n long, k1 long, k2 long, bands array<bigint>"))
+        rows = cut(slim.mapInArrow(releasing(_signatures(shingle, band_size(percent))), "doc long, tag long, n long, k1 long, k2 long, bands array<bigint>"))
     usable = rows.where("n > 0 AND doc IS NOT NULL")
     sets = usable.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "tag")).alias("least"), F.first("bands").alias("bands"))
     sets = cut(sets.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "n", "least.doc", "least.tag", "bands"))  # the ids hold from here on
@@ -289,7 +289,7 @@ def _linked(members: DataFrame, sets: DataFrame, slim: DataFrame, shingle: int,
     ids = cut(members.select("rep").distinct().join(sets.select("rep", "doc", "tag"), "rep"))
     texts = slim.select("doc", _tag(F.col("text")).alias("tag"), "text").join(broadcast_if(ids, BROADCAST_IDS), ["doc", "tag"]).select("rep", "text")
     with arrow_rows(slim.sparkSession, BATCH_ROWS):
-        cand = cut(texts.mapInArrow(_sketches(shingle), "rep long, n long, registers array<bigint>, shingles array<bigint>"))
+        cand = cut(texts.mapInArrow(releasing(_sketches(shingle)), "rep long, n long, registers array<bigint>, shingles array<bigint>"))
         if cand.count() > ids.count():  # repeated rows of one document
             cand = cut(cand.dropDuplicates(["rep"]))
         starred = cut(_with_hubs(members))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_rows
-from .runtime import text_batches
+from .runtime import release_memory, releasing, text_batches
 from .textnum import Words, blobs_of, pieces
 
 #: Labelled rows to learn from, at most.
@@ -148,9 +148,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     text_batches(docs.sparkSession)
     slim = _slim(docs, id_col, text_col)
     sample = training_rows(slim, labels.select(F.col(id_col).cast("string").alias("id"), label), label, folds, held, rows, "id").select("id", "text", "n_chars", "y")
-    got = sample.mapInArrow(_extract, "id string, y int, index array<int>, value array<float>").toArrow().sort_by("id")
-    pairs = list(zip(got["index"].to_pylist(), got["value"].to_pylist()))
-    return fit([(np.array(i, dtype=np.int64), np.array(x, dtype=np.float32)) for i, x in pairs], np.asarray(got["y"]).astype(float))
+    got = sample.mapInArrow(releasing(_extract), "id string, y int, index array<int>, value array<float>").toArrow().sort_by("id")
+    index, value = (got[c].combine_chunks() for c in ("index", "value"))
+    edge = np.asarray(index.offsets)
+    flat = [(np.asarray(index.values)[a:b].astype(np.int64), np.asarray(value.values)[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+    machine = fit(flat, np.asarray(got["y"]).astype(float))
+    del got, index, value, flat
+    release_memory()
+    return machine
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,7 +180,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], scores], [*[f.name for f in kept], as_col])
 
     read = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").cast("string").alias("_text"), stated.alias("_stated"))  # what is read goes last, by place
-    return read.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{as_col}` double")
+    return read.mapInArrow(releasing(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{as_col}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,27 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(TEXT_ROWS))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; a process otherwise holds on to what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """A function of batches that releases memory when its task ends: Python workers outlive tasks and stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Smaller Arrow batches for what is run (not only planned) inside; the session's own setting holds again after."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, text_batches
+from .runtime import cut, releasing, text_batches
 from .textnum import Words, blobs_of, mix, ngrams, signed, slices, sliding_min
 
 ANCHOR = 10
@@ -103,7 +103,7 @@ def build_sketch(docs: DataFrame, text_col: str, window: int, bits: int) -> np.n
 
     Sketches are merged in two steps, so that no task holds more than ``DEALS`` blocks, or a ``DEALS``-th of the partitions' ones.
     """
-    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(_partial_sketch(bits, window), "block int, cells binary")
+    partial = docs.select(F.col(text_col).alias("text")).mapInArrow(releasing(_partial_sketch(bits, window)), "block int, cells binary")
     dealt = partial.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(DEALS)))
     merged = dealt.groupBy("block", "deal").applyInPandas(_merge(False), "block int, cells binary, deal int")
     merged = merged.select("block", "cells").groupBy("block").applyInPandas(_merge(True), "block int, cells binary")
@@ -254,13 +254,13 @@ def remove_repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_
         texts = slim.withColumn("anchors", F.expr("CAST(NULL AS array<bigint>)"))
     else:
         met, texts = _listed, _with_lists(slim, window)
-    windows = texts.where("doc IS NOT NULL").mapInArrow(_windows(window, met), "h long, g int, doc long, at long")
+    windows = texts.where("doc IS NOT NULL").mapInArrow(releasing(_windows(window, met)), "h long, g int, doc long, at long")
     repeated = cut(windows.groupBy("h", "g").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "g", "least"))
     # both sides are dealt for the join alone, so that AQE can split a hot key of the left one; the right one has one row a key
     gone = windows.join(repeated, ["h", "g"]).where("doc > least").select("doc", F.shiftright("at", 31).alias("tag"), F.col("at").bitwiseAND((1 << 31) - 1).cast("int").alias("at"))
     starts = gone.groupBy("doc", "tag").agg(F.collect_list("at").alias("starts"))
-    touched = texts.mapInArrow(_split(window, met, True), "doc long, tag long, blob binary")
+    touched = texts.mapInArrow(releasing(_split(window, met, True)), "doc long, tag long, blob binary")
     out = "doc long, n_words long, n_removed long, kept_text string"
-    removed = touched.join(starts, ["doc", "tag"], "left").select("doc", "blob", "starts").mapInArrow(_remove(window), out)
-    finished = texts.mapInArrow(_split(window, met, False), out)
+    removed = touched.join(starts, ["doc", "tag"], "left").select("doc", "blob", "starts").mapInArrow(releasing(_remove(window)), out)
+    finished = texts.mapInArrow(releasing(_split(window, met, False)), out)
     return finished.unionByName(removed).withColumnRenamed("doc", id_col)

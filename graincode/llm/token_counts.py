@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_batches
+from .runtime import releasing, text_batches
 from .safe_cuts import parts
 
 #: Bytes of one call, bytes of texts whose parts are held at once, and remembered lengths.
@@ -91,5 +91,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
-    out = slim.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    out = slim.mapInArrow(releasing(run), f"id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
     return out.withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_rows
-from .runtime import cut, text_batches
+from .runtime import cut, releasing, text_batches
 
 #: Labelled rows to learn from, and words after a negation that it covers.
 TRAIN_ROWS, SCOPE = 10_000, 3
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: Grammar, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t.as_py() or "") for t in batch.column(1)], pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
