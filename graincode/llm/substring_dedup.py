@@ -3,7 +3,7 @@
 Method: Count-min prefilter. Every window of ``window`` words is represented by its anchor, the smallest hash of the
 ``ANCHOR`` consecutive words in it. Equal windows have equal anchors, so the number of times an anchor is met is never less than
 the number of documents that hold any of its windows. Each partition counts its anchors in a Count-min sketch of its own; the
-sketches are merged on the executors, block by block in two steps, and cells counted twice or more remain as bits. A second pass groups, by a
+sketches are merged on the executors, block by block, and cells counted twice or more remain as bits. A second pass groups, by a
 96-bit hash of all ``window`` words, exactly those windows whose anchor is estimated as repeated: collisions in the sketch only
 add candidates, none is lost. The sketch has at least four cells for each anchor, so that about one unrepeated anchor in twenty passes.
 
@@ -33,7 +33,6 @@ ANCHOR = 10
 SKETCH_ROWS = 2
 MIN_BITS, MAX_BITS = 16, 27
 BLOCK = 1 << 16
-DEALS = 512
 
 
 def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,19 +75,24 @@ def _partial_sketch(bits: int, window: int):
     return run
 
 
-def _merge(last: bool):
-    """One block of some sketches: the sums up to 2, or (last) the bits of the cells that were met twice or more."""
+def _merge(batches):
+    """Merge blocks that come sorted, one running sum at a time: bits of the cells that were met twice or more."""
 
-    def run(pdf):
-        total = None
-        for cells in pdf["cells"]:
-            one = np.frombuffer(zlib.decompress(cells), dtype=np.uint8)
-            total = one.copy() if total is None else np.minimum(total + one, 2)
-        pdf = pdf.iloc[:1].copy()
-        pdf["cells"] = [zlib.compress((np.packbits(total >= 2) if last else total).tobytes(), 1)]
-        return pdf
+    def done(block, total):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(total >= 2).tobytes(), 1)], pa.binary())], ["block", "cells"])
 
-    return run
+    at, total = None, None
+    for batch in batches:
+        for block, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+            one = np.frombuffer(zlib.decompress(cells.as_py()), dtype=np.uint8)
+            if block == at:
+                np.minimum(total + one, 2, out=total)
+                continue
+            if total is not None:
+                yield done(at, total)
+            at, total = block, one.copy()
+    if total is not None:
+        yield done(at, total)
 
 
 def sketch_bits(docs: DataFrame, text_col: str, window: int) -> int:
@@ -101,12 +105,10 @@ def sketch_bits(docs: DataFrame, text_col: str, window: int) -> int:
 def build_sketch(docs: DataFrame, text_col: str, window: int, bits: int) -> np.ndarray:
     """The merged sketch, as bits. At most 2 * 2**MAX_BITS / 8 bytes (32 MB) come to the driver.
 
-    Sketches are merged in two steps, so that no task holds more than ``DEALS`` blocks, or a ``DEALS``-th of the partitions' ones.
+    Blocks of all partitions stream, sorted, through the merge, which holds one of them however many partitions there are.
     """
     partial = docs.select(F.col(text_col).alias("text")).mapInArrow(releasing(_partial_sketch(bits, window)), "block int, cells binary")
-    dealt = partial.withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(DEALS)))
-    merged = dealt.groupBy("block", "deal").applyInPandas(_merge(False), "block int, cells binary, deal int")
-    merged = merged.select("block", "cells").groupBy("block").applyInPandas(_merge(True), "block int, cells binary")
+    merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(releasing(_merge), "block int, cells binary")
     block = min(BLOCK, 1 << bits)
     out = np.zeros(SKETCH_ROWS * (1 << bits) // 8, dtype=np.uint8)
     for row in merged.toLocalIterator():
@@ -255,8 +257,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_
     else:
         met, texts = _listed, _with_lists(slim, window)
     windows = texts.where("doc IS NOT NULL").mapInArrow(releasing(_windows(window, met)), "h long, g int, doc long, at long")
-    repeated = cut(windows.groupBy("h", "g").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "g", "least"))
-    # both sides are dealt for the join alone, so that AQE can split a hot key of the left one; the right one has one row a key
+    repeated = windows.groupBy("h", "g").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h", "g", "least")
     gone = windows.join(repeated, ["h", "g"]).where("doc > least").select("doc", F.shiftright("at", 31).alias("tag"), F.col("at").bitwiseAND((1 << 31) - 1).cast("int").alias("at"))
     starts = gone.groupBy("doc", "tag").agg(F.collect_list("at").alias("starts"))
     touched = texts.mapInArrow(releasing(_split(window, met, True)), "doc long, tag long, blob binary")

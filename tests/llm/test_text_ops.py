@@ -70,7 +70,7 @@ def test_substring_dedup(spark, window):
     assert Counter(tuple(r) for r in got.collect()) == plain_substring(list(zip(ids, texts)), window)
 
 
-@pytest.mark.parametrize("setting, value", [("sketch_bits", lambda *_: 8), ("MAX_BITS", 0), ("DEALS", 1)])
+@pytest.mark.parametrize("setting, value", [("sketch_bits", lambda *_: 8), ("MAX_BITS", 0)])
 def test_substring_dedup_full_or_dealt_sketch(spark, monkeypatch, setting, value):
     """A full sketch loses nothing, and neither does one that is a table dealt by anchor."""
     monkeypatch.setattr(substring_dedup, setting, value)
