@@ -74,5 +74,40 @@ ledger AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 *
                       + 8 * (2 * n_dup_lines > n_lines AND n_dup_lines >= 10)::BIGINT + 16 * (word_chars > 40 * n_words)::BIGINT
                       + 32 * (10 * n_upper > 7 * n_letters AND n_letters >= 40)::BIGINT + 64 * (2 * n_exclaim > n_words AND n_words >= 10)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM ledger
+""",
+    "op11_hard_negatives": r"""
+WITH own AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+             FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb, list_inner_product(a.v, b.v)::BIGINT AS s
+           FROM own a JOIN own b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT a, b AS p, s AS ps FROM scored WHERE la = lb QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+neg AS (SELECT pos.a, p, ps, b, s, row_number() OVER (PARTITION BY pos.a, p ORDER BY s DESC, b) AS rank
+        FROM pos JOIN scored USING (a) WHERE la <> lb AND 80 * ps <= 100 * s AND 100 * s <= 100 * ps)
+SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score FROM neg WHERE rank <= 5
+""",
+    "op13_filter_audit": rf"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+bits AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+         FROM docs LEFT JOIN marks USING (doc_id)),
+hist AS (SELECT part, mask, count(*) AS n, count_if(good) AS g, count_if(toxic) AS x FROM bits GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+           FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i-1]), 0)::INT AS before FROM orders, generate_series(1, 5) AS g(i)),
+made AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+         FROM hist, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM made
 """,
 }

@@ -86,11 +86,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import integer_vectors, mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = integer_vectors(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0, 256, "vec_id", "embedding")
+    return mine(rows, positives=5, negatives=5, floor=80)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import cut_documents, pack
+
+    return pack(cut_documents(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2, capacity=1024), 1024)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_substring_dedup, op2_quality_classifier, op3_decontamination, op4_bpe_round_trip, op5_toxicity, op6_minhash_dedup, op7_quality_rules, op8_token_counts, op9_line_dedup, op10_url_filter)
-    }
+    own = (op1_substring_dedup, op2_quality_classifier, op3_decontamination, op4_bpe_round_trip, op5_toxicity, op6_minhash_dedup, op7_quality_rules)
+    own += (op8_token_counts, op9_line_dedup, op10_url_filter, op11_hard_negatives, op12_best_fit_packing, op13_filter_audit)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
