@@ -12,8 +12,8 @@ what is shuffled is those, whatever label or vector a third of all rows share. S
 
 Defined cases: rows with a null label, vector or component, or a component that is not finite, take no part, nor do rows without an id; components
 become integers by floor(scale * x), and scores must fit a long (otherwise the run ends with an error); a shorter vector counts as filled up
-with zeros; rows that are equal in id, label and vector count once, other rows that share an id each take part, also as anchors; equal
-scores go by the smaller id; an empty table gives no rows; other columns are not read; an anchor without positives or a positive without
+with zeros; rows that are equal in id, label and vector count once, other rows that share an id each take part, also as anchors, but not with
+each other; equal scores go by the smaller id; an empty table gives no rows; other columns are not read; an anchor without positives or a positive without
 negatives in its range gives no rows.
 """
 
@@ -171,12 +171,9 @@ class Slab:
         least = np.sqrt(max(square - 2 * high, 0)) - slack
         if (np.maximum(self.low - dq, dq - self.high) > most).any() or (self.high + dq < least).any():
             return None
-        alive = np.ones(self.n, dtype=bool)
-        for p in np.argsort(dq)[:4] if most < np.inf else ():  # near pivots tell most
-            alive &= np.abs(self.dists[p] - dq[p]) <= most
+        alive = (np.abs(self.dists - dq[:, None]) <= most).all(axis=0)
         if least > 0:
-            for p in np.argsort(dq)[:2]:
-                alive &= self.dists[p] + dq[p] >= least
+            alive &= (self.dists + dq[:, None] >= least).all(axis=0)
         return alive
 
 
@@ -319,7 +316,7 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, floor: int = 8
         alive = slab.survivors(a.dq, a.square, min(lows), max(a.caps), slack)
         if alive is None:
             return
-        at = np.flatnonzero(alive & (slab.labels != a.label))
+        at = np.flatnonzero(alive & (slab.labels != a.label) & (slab.ids != a.id))
         scores = slab.scores(a.q, at)
         for cap, low in zip(a.caps, lows):
             fit = (scores >= low) & (scores <= cap)
