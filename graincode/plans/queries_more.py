@@ -247,7 +247,7 @@ def stream_watch_filter(spark, d):
 
 @query(ORACLES["mem_anchor_dedup"])
 def stream_anchor_dedup(spark, d):
-    """The events read as a stream, through keyed state, to the same rows as the batch form."""
-    events = spark.readStream.schema(p.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")  # a pattern: a file by itself is no folder to watch
-    saves = events.select(F.col("user_id").cast("string").alias("project"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return streams.run_anchor_stream(saves, ["project"], checkpoint_folder(spark), 6 * 3600)
+    """The saves as a stream of four micro-batches, up to two hours out of order, through state with timers, to the same rows as the batch form."""
+    own = p.saves(spark, d).select("project", "us", (F.col("us") + F.pmod(F.xxhash64("event_id"), F.lit(7_200_000_000))).alias("comes"))
+    stream = streams.replay(own, checkpoint_folder(spark), F.col("comes"), 4)
+    return streams.run_anchor_stream(stream, ["project"], checkpoint_folder(spark), "2 hours", 6 * 3600)

@@ -6,12 +6,15 @@ Each operator has a batch form, and a streaming form whose final result is the s
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Seconds of quiet that end a burst, and entries that wait for a retry at most.
 QUIET_SECONDS, QUEUE_CAP = 5, 10_000
@@ -40,49 +43,118 @@ def debounce_stream(events: DataFrame, keys: list[str], quiet: str, delay: str,
     return debounce(events.withWatermark(time, delay), keys, quiet, time, path)
 
 
-_STATE = "anchor long, n long"
+#: Microseconds of a time after all saves (in 2255, which pandas can still tell): a save of it closes what is open.
+END_OF_TIME = 9_000_000_000_000_000
 
 
-def anchor_stream(saves: DataFrame, keys: list[str], seconds: int = 900, time: str = "us") -> DataFrame:
-    """keys, anchor, n: the open row of each key after each micro-batch, and every row that a batch closes (update mode).
+class AnchorProcessor(StatefulProcessor):
+    """Anchors of one key over event time. State: the anchor that is sure and its count, the times it does not cover, and the timer.
 
-    The state of a key is its anchor and count; saves of a batch are folded in order of time. Saves must not come in a later
-    batch than newer saves of their key.
+    The earliest time is sure to be an anchor once the watermark has passed it; what falls into its window is then only counted. A timer at
+    the window's end hands the row on, and takes the next time as the anchor. The state of a key goes with its last timer.
     """
-    gap = seconds * 1_000_000
-
-    def fold(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times = sorted(t for f in frames for t in f[time].tolist())
-        anchor, n = state.get if state.exists else (None, 0)
-        rows = []
-        for t in times:
-            if anchor is not None and t - anchor < gap:
-                n += 1
-                continue
-            if anchor is not None:
-                rows.append((*key, anchor, n))
-            anchor, n = t, 1
-        if anchor is not None:
-            rows.append((*key, anchor, n))
-            state.update((anchor, n))
-        yield pd.DataFrame(rows, columns=[*keys, "anchor", "n"])
 
+    def __init__(self, keys: list[str], gap: int, time: str):
+        self.keys, self.gap, self.time = keys, gap, time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "anchor long, n long, times array<long>, timer long")
+
+    def _settle(self, key: tuple, new: list[int], watermark_ms: int) -> pd.DataFrame:
+        """Hand on the rows whose windows the watermark has passed, and wait for the end of the next one."""
+        anchor, n, times, timer = self.state.get() if self.state.exists() else (None, 0, [], None)
+        passed, done = watermark_ms * 1000, []  # no save of this time or before comes any more
+        if anchor is not None:
+            n += sum(t < anchor + self.gap for t in new)
+            new = [t for t in new if t >= anchor + self.gap]
+        times = sorted([*times, *new])
+        while True:
+            if anchor is None and times and times[0] <= passed:
+                anchor = times[0]
+                n = bisect_left(times, anchor + self.gap)
+                times = times[n:]
+            if anchor is None or anchor + self.gap - 1 > passed:
+                break
+            done.append((*key, anchor, n))
+            anchor, n = None, 0
+        first = anchor if anchor is not None else times[0] if times else None
+        due = None if first is None else -(-(first + self.gap) // 1000)
+        if due != timer and timer is not None and timer > watermark_ms:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+        else:
+            if due != timer:
+                self.handle.registerTimer(due)
+            self.state.update((anchor, n, times, due))
+        return pd.DataFrame(done, columns=[*self.keys, "anchor", "n"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [t for frame in rows for t in frame[self.time].tolist() if t < END_OF_TIME]
+        if new:
+            yield self._settle(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._settle(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def anchor_stream(saves: DataFrame, keys: list[str], delay: str, seconds: int = 900, time: str = "us") -> DataFrame:
+    """keys, anchor, n: a row for each anchor, once the watermark has passed the end of its window (append mode).
+
+    Saves may come in any order, in one batch or several, if they are at most ``delay`` late; later ones are left out, as every
+    operator with a watermark does. A query over this needs the RocksDB state store (``rocksdb_state``).
+    """
     kinds = ", ".join(f"{k} {saves.schema[k].dataType.simpleString()}" for k in keys)
-    return saves.select(*keys, time).groupBy(*keys).applyInPandasWithState(fold, f"{kinds}, anchor long, n long", _STATE, "update", "NoTimeout")
+    timed = saves.select(*keys, time, F.timestamp_micros(time).alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(AnchorProcessor(keys, seconds * 1_000_000, time), f"{kinds}, anchor long, n long", "Append", "EventTime")
 
 
-def latest_anchors(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Final rows of what anchor_stream wrote: counts of an anchor only grow."""
-    return updates.groupBy(*keys, "anchor").agg(F.max("n").alias("n"))
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_anchor_stream(saves: DataFrame, keys: list[str], folder: str, seconds: int = 900, time: str = "us") -> DataFrame:
-    """Final rows of ``anchor_stream`` over all that a stream has now. folder is shared by the driver and all executors."""
-    out = f"{folder.rstrip('/')}/anchors-{uuid.uuid4().hex}"
-    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")  # noqa: E731  a batch that is run again replaces its rows
-    stream = anchor_stream(saves, keys, seconds, time).writeStream.outputMode("update").foreachBatch(keep)
-    stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return latest_anchors(saves.sparkSession.read.parquet(f"{out}/rows"), keys)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep state in RocksDB, which timers need; the session's own setting holds again after."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def run_anchor_stream(saves: DataFrame, keys: list[str], folder: str, delay: str, seconds: int = 900, time: str = "us") -> DataFrame:
+    """All rows of ``anchor_stream`` over what a stream of saves has now. folder is shared by the driver and all executors.
+
+    The query runs to the end of its input, and once more on a save of ``END_OF_TIME``, at which every timer is due.
+    """
+    spark, out = saves.sparkSession, f"{folder.rstrip('/')}/anchors-{uuid.uuid4().hex}"
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in saves.select(*keys, time).schema.fields]
+    none = [None] * len(keys)
+    spark.createDataFrame([(*none, 0)], ", ".join(kinds)).limit(0).write.parquet(f"{out}/end")
+    last = spark.readStream.schema(", ".join(kinds)).parquet(f"{out}/end")
+    rows = anchor_stream(saves.select(*keys, time).unionByName(last), keys, delay, seconds, time)
+    for closing in (False, True):
+        if closing:
+            spark.createDataFrame([(*none, END_OF_TIME)], ", ".join(kinds)).write.mode("append").parquet(f"{out}/end")
+        with rocksdb_state(spark):
+            run = rows.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+def replay(rows: DataFrame, folder: str, order: Column, parts: int) -> DataFrame:
+    """rows as a stream of ``parts`` micro-batches, cut by ``order``: written to folder, which the driver and all executors share, one after the other."""
+    out = f"{folder.rstrip('/')}/replay-{uuid.uuid4().hex}"
+    cuts = rows.select(F.percentile_approx(order, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000)).alias("c")).first()["c"] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        own = rows if low is None else rows.where(order > low)
+        (own if high is None else own.where(order <= high)).write.mode("append").parquet(out)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
 
 
 def bounded_queue(log: DataFrame, keys: list[str], order: str = "seq", cap: int = QUEUE_CAP) -> DataFrame:
