@@ -1,14 +1,16 @@
 """Parsing of source files to symbols, imports, exports, calls and edges.
 
-Python is parsed exactly, by its own grammar; Go, Java, JavaScript, TypeScript, PHP and Rust by line patterns (an approximation: bodies
-end at the matching brace, or at the line); all other text is one symbol. A file that cannot be parsed gives a row with ``error`` and the
-other files go on.
+Python is parsed exactly, by its own grammar; Go, Java, JavaScript, TypeScript, PHP and Rust are scanned: a lexer with a stack takes out
+strings, templates, heredocs and comments, brackets are matched over what is left, and patterns over that code (heads and imports may
+run over several lines) give symbols whose blocks end at their own bracket. All other text is one symbol. A file that cannot be
+parsed gives a row with ``error`` and the other files go on.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,35 +25,53 @@ _IMPORT = "struct<ord:int,module:string,alias:string,names:array<string>,line:in
 _CALL = "struct<caller:string,callee:string,line:int>"
 PARSED = f"file string, language string, symbols array<{_SYMBOL}>, imports array<{_IMPORT}>, exports array<string>, calls array<{_CALL}>, error string"
 
-#: Symbol patterns of each language: kind and expression with groups name and params.
-_NAME, _PARAMS = r"(?P<name>\w+)", r"(?P<params>\([^)]*\))"
-PATTERNS: dict[str, tuple[tuple[str, str], ...]] = {
-    "go": (("function", rf"^func\s+{_NAME}\s*{_PARAMS}"), ("method", rf"^func\s+\((?:\w+\s+)?\*?(?P<parent>\w+)\)\s*{_NAME}\s*{_PARAMS}"), ("struct", rf"^type\s+{_NAME}\s+struct\b"), ("interface", rf"^type\s+{_NAME}\s+interface\b")),
-    "java": (("class", rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*class\s+{_NAME}"), ("interface", rf"^\s*(?:public\s+)?interface\s+{_NAME}"), ("enum", rf"^\s*(?:public\s+)?enum\s+{_NAME}"),
-             ("method", rf"^\s+(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)*[\w<>\[\], ]+\s+{_NAME}\s*{_PARAMS}\s*(?:throws [\w, ]+)?\{{")),
-    "javascript": (("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}\s*{_PARAMS}"), ("class", rf"^\s*(?:export\s+)?(?:default\s+)?class\s+{_NAME}"),
-                   ("function", rf"^\s*(?:export\s+)?const\s+{_NAME}\s*=\s*(?:async\s*)?{_PARAMS}\s*=>"), ("method", rf"^\s+(?:async\s+|static\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b){_NAME}\s*{_PARAMS}\s*\{{")),
-    "php": (("function", rf"^function\s+{_NAME}\s*{_PARAMS}"), ("class", rf"^\s*(?:abstract\s+|final\s+)?class\s+{_NAME}"), ("interface", rf"^\s*(?:interface|trait)\s+{_NAME}"), ("method", rf"^\s+(?:(?:public|private|protected|static)\s+)*function\s+{_NAME}\s*{_PARAMS}")),
-    "rust": (("function", rf"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+{_NAME}\s*(?:<[^>]*>)?{_PARAMS}"), ("struct", rf"^\s*(?:pub\s+)?struct\s+{_NAME}"), ("enum", rf"^\s*(?:pub\s+)?enum\s+{_NAME}"), ("interface", rf"^\s*(?:pub\s+)?trait\s+{_NAME}"),
-             ("class", rf"^\s*impl(?:<[^>]*>)?\s+(?:\w+\s+for\s+)?{_NAME}"), ("method", rf"^\s+(?:pub\s+)?(?:async\s+)?fn\s+{_NAME}\s*(?:<[^>]*>)?{_PARAMS}")),
+#: What is no code, by language: comments, and the forms of strings. Templates and comments that nest are followed by a stack.
+_COMMENT, _DOUBLE, _SINGLE = r"//[^\n]*|/\*.*?\*/", r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
+_LEXERS: dict[str, str] = {
+    "go": rf"(?P<c>{_COMMENT})|{_DOUBLE}|`[^`]*`|{_SINGLE}",
+    "java": rf'(?P<c>{_COMMENT})|"""(?:\\.|.)*?"""|{_DOUBLE}|{_SINGLE}',
+    "javascript": rf"(?P<c>{_COMMENT})|{_DOUBLE}|{_SINGLE}|(?P<t>`)|(?P<b>[{{}}])|(?<=[=(,:;!&|?\[{{}}\n])[ \t]*/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])*/[a-z]*",
+    "php": rf"(?P<c>{_COMMENT}|#(?!\[)[^\n]*)|<<<[ \t]*(?P<q>[\"']?)(?P<id>\w+)(?P=q)\n.*?^[ \t]*(?P=id)\b|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'",
+    "rust": rf"(?P<c>//[^\n]*)|(?P<n>/\*)|\bb?r(?P<h>#*)\".*?\"(?P=h)|\"(?:\\.|[^\"\\])*\"|'(?:\\u\{{\w+\}}|\\x\w\w|\\.|[^'\\\n])'",
+}
+_LEXERS["typescript"] = _LEXERS["javascript"]
+FALLBACK = "fallback"  # for languages without patterns of their own, where asked for: what most languages with braces write
+_LEXERS[FALLBACK] = rf'(?P<c>{_COMMENT})|"""(?:\\.|.)*?"""|{_DOUBLE}|\'(?:\\.|[^\'\\\n])\''
+_TEMPLATE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*(`|\$\{|\Z)", re.S)
+
+#: Symbol patterns of each language: kind, a head that ends with the name, and what must follow the parameters ('' where there are none).
+_NAME, _ANY, _BODY = r"(?P<name>[\w$]+)", r"", r"\s*(?::[^;{{}}=]*(?:\{{[^}}]*\}}[^;{{}}=]*)?)?\{{".replace("{{", "{").replace("}}", "}")
+_JAVA = r"(?:@\w+(?:\([^)]*\))?\s+|(?:public|private|protected|static|final|synchronized|abstract|default|native|sealed)\s+)*"
+_JS = r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?"
+_NOT = r"(?!(?:if|for|while|switch|catch|return|function|new|else|do|match|loop)\b)"
+_PUB = r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"?\s*\w*\"?\s+)?"
+PATTERNS: dict[str, tuple[tuple[str, str, str | None], ...]] = {
+    "go": (("function", rf"^func\s+{_NAME}", _ANY), ("method", rf"^func\s+\(\s*(?:\w+\s+)?\*?(?P<parent>\w+)(?:\[[^\]]*\])?\s*\)\s*{_NAME}", _ANY), ("struct", rf"^type\s+{_NAME}(?:\[[^\]]*\])?\s+struct\b", None), ("interface", rf"^type\s+{_NAME}(?:\[[^\]]*\])?\s+interface\b", None)),
+    "java": (("class", rf"^[ \t]*{_JAVA}(?:class|record)\s+{_NAME}", None), ("interface", rf"^[ \t]*{_JAVA}@?interface\s+{_NAME}", None), ("enum", rf"^[ \t]*{_JAVA}enum\s+{_NAME}", None),
+             ("method", rf"^[ \t]+{_JAVA}(?:<[^>()]*>\s*)?(?!(?:new|return|else|throw|assert|case|yield|package|import)\b)[\w.]+(?:<[^;(){{}}=]*>)?(?:\[\])*\s+{_NOT}{_NAME}", r"\s*(?:throws\s+[\w., \n]+)?[{;]"), ("method", rf"^[ \t]+{_JAVA}{_NOT}(?P<name>[A-Z]\w*)", r"\s*(?:throws\s+[\w., \n]+)?\{")),
+    "javascript": (("function", rf"{_JS}(?:async\s+)?function\s*\*?\s*{_NAME}", _ANY), ("class", rf"{_JS}class\s+{_NAME}", None), ("function", rf"{_JS}(?:const|let|var)\s+{_NAME}\s*(?::[^=;]*)?=\s*(?:async\s*)?(?=[(<])", r"\s*(?::[^;{}=]*)?=>"),
+                   ("method", rf"^[ \t]+(?:(?:async|static|get|set|public|private|protected|readonly|override)\s+)*\*?{_NOT}{_NAME}(?=\s*[(<])", _BODY)),
+    "php": (("function", rf"^function\s+&?{_NAME}", _ANY), ("class", rf"^[ \t]*(?:(?:abstract|final|readonly)\s+)*class\s+{_NAME}", None), ("interface", rf"^[ \t]*(?:interface|trait)\s+{_NAME}", None), ("enum", rf"^[ \t]*enum\s+{_NAME}", None),
+            ("method", rf"^[ \t]+(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?{_NAME}", _ANY)),
+    "rust": (("function", rf"^{_PUB}fn\s+{_NAME}", _ANY), ("struct", rf"^[ \t]*{_PUB}struct\s+{_NAME}", None), ("enum", rf"^[ \t]*{_PUB}enum\s+{_NAME}", None), ("interface", rf"^[ \t]*{_PUB}trait\s+{_NAME}", None),
+             ("class", rf"^[ \t]*(?:unsafe\s+)?impl(?:<[^{{;]*?>)?\s+(?:[\w:]+(?:<[^{{;]*?>)?\s+for\s+)?&?(?:mut\s+)?(?:\w+::)*{_NAME}", None), ("method", rf"^[ \t]+{_PUB}fn\s+{_NAME}", _ANY)),
 }
-PATTERNS["typescript"] = (*PATTERNS["javascript"], ("interface", rf"^\s*(?:export\s+)?interface\s+{_NAME}"), ("type_alias", rf"^\s*(?:export\s+)?type\s+{_NAME}\s*="), ("enum", rf"^\s*(?:export\s+)?enum\s+{_NAME}"))
+PATTERNS["typescript"] = (*PATTERNS["javascript"], ("method", rf"^[ \t]+(?:readonly\s+)?{_NOT}{_NAME}(?=\s*[(<])", r"\s*:[^;{}=]*(?:\{[^}]*\}[^;{}=]*)?;"), ("interface", rf"{_JS}interface\s+{_NAME}", None), ("type_alias", rf"{_JS}type\s+{_NAME}(?:<[^=]*>)?\s*=", None), ("enum", rf"{_JS}(?:const\s+)?enum\s+{_NAME}", None))
+PATTERNS[FALLBACK] = (("class", rf"^[ \t]*(?:\w+\s+)*(?:class|object|module)\s+{_NAME}", None), ("struct", rf"^[ \t]*(?:\w+\s+)*struct\s+{_NAME}", None), ("interface", rf"^[ \t]*(?:\w+\s+)*(?:interface|trait|protocol)\s+{_NAME}", None), ("enum", rf"^[ \t]*(?:\w+\s+)*enum\s+{_NAME}", None),
+                      ("method", rf"^[ \t]+(?:\w+\s+)*(?:func|fun|def|fn|function)\s+{_NAME}", _ANY), ("function", rf"^(?:\w+\s+)*(?:func|fun|def|fn|function)\s+{_NAME}", _ANY))
+#: Imports, over text without comments: they may run over several lines.
 IMPORTS: dict[str, str] = {
-    "go": r'^\s*(?:import\s+)?(?:(?P<alias>\w+)\s+)?"(?P<module>[^"]+)"\s*$',
-    "java": r"^\s*import\s+(?:static\s+)?(?P<module>[\w.*]+)\s*;",
-    "javascript": r"""^\s*import\s+(?:(?P<names>[^'"]+?)\s+from\s+)?['"](?P<module>[^'"]+)['"]""",
-    "php": r"^\s*use\s+(?P<module>[\w\\]+)(?:\s+as\s+(?P<alias>\w+))?\s*;",
-    "rust": r"^\s*(?:pub\s+)?use\s+(?P<module>[^;]+);",
+    "go": r'^[ \t]*(?:import\s+)?(?:(?P<alias>[\w.]+)[ \t]+)?"(?P<module>[^"\n]+)"',
+    "java": r"^[ \t]*import\s+(?:static\s+)?(?P<module>[\w.]+(?:\.\*)?)\s*;",
+    "javascript": r"""^[ \t]*import\s+(?:type\s+)?(?:(?P<names>[^'";]+?)\s+from\s+)?['"](?P<module>[^'"\n]+)['"]""",
+    "php": r"^[ \t]*use\s+(?:function\s+|const\s+)?(?P<module>[\w\\]+?)(?:\\\{(?P<names>[^}]*)\}|\s+as\s+(?P<alias>\w+))?\s*;",
+    "rust": r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<module>[^;]+);",
+    FALLBACK: r"^[ \t]*(?:import|using|require|#include|use)\s+[\"'<]?(?P<module>[\w./:-]+)",
 }
 IMPORTS["typescript"] = IMPORTS["javascript"]
-#: For languages without patterns of their own, where a fallback is asked for: what most languages with braces write.
-FALLBACK = "fallback"
-PATTERNS[FALLBACK] = (("class", rf"^\s*(?:\w+\s+)*(?:class|object|module)\s+{_NAME}"), ("struct", rf"^\s*(?:\w+\s+)*struct\s+{_NAME}"), ("interface", rf"^\s*(?:\w+\s+)*(?:interface|trait|protocol)\s+{_NAME}"), ("enum", rf"^\s*(?:\w+\s+)*enum\s+{_NAME}"),
-                      ("method", rf"^\s+(?:\w+\s+)*(?:func|fun|def|fn|function)\s+{_NAME}\s*{_PARAMS}"), ("function", rf"^(?:\w+\s+)*(?:func|fun|def|fn|function)\s+{_NAME}\s*{_PARAMS}"))
-IMPORTS[FALLBACK] = r"^\s*(?:import|using|require|#include|use)\s+[\"'<]?(?P<module>[\w./:-]+)"
 EXPORT = re.compile(r"^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class)\s+(\w+)|^\s*export\s+default\s+(\w+)\s*;?\s*$", re.M)
 _CALLED = re.compile(r"(?<![\w.])(?:[\w]+(?:\.|::|->))*(\w+)\s*\(")
-_KEYWORDS = frozenset("if for while switch catch return function func fn def class new match use elif except with and or not in print".split()) - {"print"}
+_KEYWORDS = frozenset("if for while switch catch return function func fn def class new match use elif except with and or not in print import async await pub throw Fn FnMut FnOnce typeof yield".split()) - {"print"}
 
 
 def _signature(kind: str, name: str, params: str, returns: str = "") -> str:
@@ -90,17 +110,105 @@ def parse_python(source: str) -> tuple[list, list, list, list]:
     return symbols, imports, [], calls
 
 
-def _end(lines: list[str], at: int) -> int:
-    """Last line of the block that opens at a line: where its braces are even again."""
-    depth, opened = 0, False
-    for i in range(at, len(lines)):
-        depth += lines[i].count("{") - lines[i].count("}")
-        opened = opened or "{" in lines[i]
-        if opened and depth <= 0:
-            return i
-        if not opened and i > at:
-            return at
-    return len(lines) - 1 if opened else at
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def code_only(source: str, language: str) -> tuple[str, str]:
+    """source with strings and comments blanked, and with comments alone blanked: places and lines stay."""
+    lexer, bare, full, at = re.compile(_LEXERS[language], re.S | re.M), [], [], 0
+    open_at: list[int] = []  # depth of braces at which each open template goes on
+    depth, template = 0, False
+
+    def put(text: str, code: bool, string: bool = False) -> None:
+        full.append(text if code else _blank(text))
+        bare.append(text if code or string else _blank(text))
+
+    while at < len(source):
+        if template:  # the text of a template, up to its end or to an expression in it
+            m = _TEMPLATE.match(source, at)
+            put(m[0], False, True)
+            at, template = m.end(), False
+            if m[1] == "${":
+                open_at.append(depth)
+            continue
+        m = lexer.search(source, at)
+        put(source[at : m.start() if m else len(source)], True)
+        if m is None:
+            break
+        at, kind = m.end(), m.lastgroup
+        if kind == "b":
+            if m[0] == "}" and open_at and open_at[-1] == depth:
+                open_at.pop()
+                template = True
+                put(m[0], False, True)
+            else:
+                depth += 1 if m[0] == "{" else -1
+                put(m[0], True)
+        elif kind == "t":
+            template = True
+            put(m[0], False, True)
+        elif kind == "n":  # comments that nest
+            level, end = 1, at
+            while level and (n := re.compile(r"/\*|\*/").search(source, end)):
+                level, end = level + (1 if n[0] == "/*" else -1), n.end()
+            end = len(source) if level else end
+            put(source[m.start() : end], False)
+            at = end
+        else:
+            put(m[0], False, kind != "c")
+    return "".join(full), "".join(bare)
+
+
+def brackets(code: str) -> dict[int, int]:
+    """Where each bracket closes; one that is never closed is left out."""
+    pairs, stack, closing = {}, [], {")": "(", "]": "[", "}": "{"}
+    for m in re.finditer(r"[()\[\]{}]", code):
+        if m[0] not in closing:
+            stack.append((m[0], m.start()))
+            continue
+        for k in range(len(stack) - 1, -1, -1):  # what was left open inside stays open
+            if stack[k][0] == closing[m[0]]:
+                pairs[stack[k][1]] = m.start()
+                del stack[k:]
+                break
+    return pairs
+
+
+_STOP = re.compile(r"[{;(\[\n]")
+_GOES_ON = re.compile(r"\s*(?:[{)\],.:?&|=]|->|where\b|implements\b|extends\b)")
+#: Languages in which a statement may end with its line.
+_LINES_END = ("go", "javascript", "typescript", FALLBACK)
+
+
+def _end(code: str, at: int, pairs: dict[int, int], by_line: bool) -> int:
+    """Place of the last character of what begins before at: the end of its block, its semicolon, or (by_line) the end of a line after which nothing of it comes."""
+    while m := _STOP.search(code, at):
+        if m[0] == "{":
+            return pairs.get(m.start(), len(code) - 1)
+        if m[0] == ";":
+            return m.start()
+        if m[0] == "\n" and by_line and not (_GOES_ON.match(code, m.end()) or code[max(at, m.start() - 200) : m.start()].rstrip().endswith(("=", "=>", ",", "|", "&"))):
+            return m.start() - 1
+        at = pairs.get(m.start(), m.start()) + 1
+    return len(code) - 1
+
+
+def _flat(text: str) -> str:
+    """A text of several lines as one, without space inside its brackets and a comma at their ends."""
+    return re.sub(r",? ?([)}\]])", r"\1", re.sub(r"([({\[]) ", r"\1", " ".join(text.split())))
+
+
+def _params(code: str, at: int, pairs: dict[int, int]) -> tuple[int, int] | None:
+    """Place of the parentheses after a name and what generic parameters it has."""
+    if m := re.compile(r"\s*<").match(code, at):
+        level, k = 1, m.end()
+        while k < len(code) and level and code[k] not in "{;":
+            level += {"<": 1, ">": -1}.get(code[k], 0) if code[k - 1 : k + 1] not in ("->", "=>") else 0
+            k += 1
+        at = k
+    m = re.compile(r"\s*\(").match(code, at)
+    return (m.end() - 1, pairs[m.end() - 1]) if m and m.end() - 1 in pairs else None
 
 
 class _Around:
@@ -118,32 +226,54 @@ class _Around:
 
 
 def parse_patterns(source: str, language: str) -> tuple[list, list, list, list]:
-    """Symbols, imports, exports and calls by line patterns."""
-    lines, symbols = source.split("\n"), []
-    compiled = [(kind, re.compile(p)) for kind, p in PATTERNS[language]]
-    for i, line in enumerate(lines):
-        for kind, pattern in compiled:
-            if m := pattern.match(line):
-                groups, end = m.groupdict(), _end(lines, i)
-                symbols.append([groups["name"], kind, groups.get("parent"), _signature(kind, groups["name"], groups.get("params") or ""), None, "\n".join(lines[i : end + 1]), i + 1, end + 1])
-                break
+    """Symbols, imports, exports and calls by patterns over the code alone; blocks end at their own bracket."""
+    code, bare = code_only(source, language)
+    pairs, found = brackets(code), {}
+    starts = [0, *(m.end() for m in re.finditer("\n", source))]
+    line = lambda at: bisect_right(starts, at)
+    lines, by_line = source.split("\n"), language in _LINES_END
+    for kind, head, tail in PATTERNS[language]:
+        for m in re.finditer(head, code, re.M):
+            own, params = line(m.start("name")), None
+            if tail is not None:
+                params = _params(code, m.end(), pairs)
+                t = re.compile(tail).match(code, params[1] + 1) if params else None
+                if t is None:
+                    continue
+                after = t.end() - 1 if t[0].endswith("{") else params[1] + 1
+                if ":" in t[0] and re.compile(r"\s*[;,]").match(code, pairs.get(after, after) + 1):
+                    continue  # a type, not a body
+            if own not in found:
+                begin = line(m.start() + len(m[0]) - len(m[0].lstrip()))
+                last = line(_end(code, after if params else m.end("name"), pairs, by_line))
+                shown = _flat(source[params[0] : params[1] + 1]) if params else ""
+                name = m["name"]
+                found[own] = [name, kind, m.groupdict().get("parent"), _signature(kind, name, shown), None, "\n".join(lines[begin - 1 : last]), begin, last]
+    symbols = [found[k] for k in sorted(found)]
     around = _Around([s for s in symbols if s[1] in ("class", "struct", "interface", "enum")])
+    functions = _Around([s for s in symbols if s[1] in ("function", "method")])
     for s in symbols:
         if s[1] == "method" and s[2] is None:
             owner = next((o for o in reversed(around.at(s[6])) if o[6] < s[6] and s[7] <= o[7]), None)
             s[1], s[2] = ("method", owner[0]) if owner else ("function", None)
-    find, imports = re.compile(IMPORTS[language]), []
-    for i, line in enumerate(lines):
-        if m := find.match(line):
-            g = m.groupdict()
-            names = [n.strip() for n in re.sub(r"[{}]", "", g.get("names") or "").split(",") if n.strip()]
-            imports.append((g["module"].strip(), g.get("alias"), names, i + 1))
-    exports = [a or b for a, b in EXPORT.findall(source)] if language in ("javascript", "typescript") else []
-    named, calls = {(s[6], s[0]) for s in symbols}, []
-    around = _Around([s for s in symbols if s[1] in ("function", "method")])
-    for i, line in enumerate(lines, 1):
-        owner = around.at(i)
-        calls.extend((owner[-1][0] if owner else None, n, i) for n in _CALLED.findall(line) if n not in _KEYWORDS and (i, n) not in named)
+    imports, group = [], None
+    if language == "go":
+        group = [(m.end() - 1, pairs.get(m.end() - 1, len(code))) for m in re.finditer(r"^import\s*\(", code, re.M)]
+    inside = _Around([s for s in symbols if s[1] in ("class", "interface", "enum")])
+    for m in re.finditer(IMPORTS[language], bare, re.M):
+        word = m.start() + len(m[0]) - len(m[0].lstrip())
+        if group is not None and not bare.startswith("import", word) and not any(a < word < b for a, b in group):
+            continue  # a string in a line of its own
+        if code[word] == " " and bare.startswith(("import", "use", "pub"), word) or language == "php" and inside.at(line(word)):
+            continue  # inside a string; a trait that a class uses
+        g = m.groupdict()
+        names = [" ".join(n.split()) for n in re.sub(r"[{}]", "", g.get("names") or "").split(",") if n.strip()]
+        imports.append((_flat(g["module"]), g.get("alias"), names, line(word)))
+    exports = [a or b for a, b in EXPORT.findall(code)] if language in ("javascript", "typescript") else []
+    named, calls = {(line_, name) for line_, (name, *_) in found.items()}, []
+    for i, text in enumerate(code.split("\n"), 1):
+        owner = functions.at(i)
+        calls.extend((owner[-1][0] if owner else None, n, i) for n in _CALLED.findall(text) if n not in _KEYWORDS and (i, n) not in named)
     return [tuple(s) for s in symbols], imports, exports, calls
 
 

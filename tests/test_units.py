@@ -128,22 +128,6 @@ def test_memory_saves_by_chance(spark):
     assert sorted((r["project"], r["created"], r["hash"], r["topic_key"] or "", r["revision"], r["duplicates"]) for r in got) == plain_saves(rows, 900 * 10**6)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(3)
-    rows = sorted((rng.randrange(50_000) * 10**6, rng.choice("ab")) for _ in range(300))
-    source, out = tmp_path / "in", str(tmp_path / "out")
-    schema = "us long, project string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(source / "*"))
-    for i in range(3):
-        spark.createDataFrame(rows[i * 100 : (i + 1) * 100], schema).coalesce(1).write.parquet(str(source / f"p{i}"))
-    sink = lambda df, n: df.write.mode("append").parquet(out)
-    q = streams.anchor_stream(stream, ["project"]).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {tuple(r) for r in streams.latest_anchors(spark.read.parquet(out), ["project"]).collect()}
-    want = {tuple(r) for r in memory.anchors(spark.createDataFrame(rows, schema), ["project"]).collect()}
-    assert got == want
-
-
 def test_debounce_stream(spark, tmp_path):
     rows = [(t, "r", f"f{t}") for t in (0, 3, 6, 20, 22, 60)]
     spark.createDataFrame(rows, "t long, repo string, path string").select(F.timestamp_seconds("t").alias("ts"), "repo", "path").coalesce(1).write.parquet(str(tmp_path / "in"))
