@@ -6,8 +6,9 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -18,36 +19,61 @@ from graincode.functions.scalars import auto_title, normalized_hash
 DEDUP_SECONDS = 900
 
 
-def _bursts(saves: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
-    """keys, t and burst: a save ``gap`` or more after the one before starts a burst, and is an anchor whatever came before."""
-    order = Window.partitionBy(*keys).orderBy("t")
-    own = saves.select(*keys, F.col(time).alias("t")).withColumn("_new", F.coalesce(F.col("t") - F.lag("t").over(order) >= gap, F.lit(True)).cast("int"))
-    return own.select(*keys, "t", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("burst"))
-
-
 def anchors(saves: DataFrame, keys: list[str], seconds: int = DEDUP_SECONDS, time: str = "us") -> DataFrame:
     """keys, anchor and n: a save starts a row when it comes ``seconds`` or more after the anchor of the one before; others add to n.
 
-    Sorted windows cut the saves of a key into bursts, which never share a row; a fold over the sorted times of a burst (8 bytes a save)
-    copies what it has only where a new anchor starts.
+    Keys and times stream, sorted, through a fold that jumps from anchor to anchor and holds one of them: a key of any number of saves
+    takes the memory of a batch.
     """
     gap = seconds * 1_000_000
-    none = F.array().cast("array<struct<anchor:bigint,n:bigint>>")
-    zero = F.struct(none.alias("done"), F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("n"))
-
-    def last(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct(acc["anchor"].alias("anchor"), acc["n"].alias("n"))))).otherwise(acc["done"])
-
-    def step(acc: Column, t: Column) -> Column:
-        more = F.struct(acc["done"].alias("done"), acc["anchor"].alias("anchor"), (acc["n"] + 1).alias("n"))
-        new = F.struct(last(acc).alias("done"), t.alias("anchor"), F.lit(1).cast("long").alias("n"))
-        return F.when((acc["n"] > 0) & (t - acc["anchor"] < gap), more).otherwise(new)
+    kinds = ", ".join(f"`{k}` {saves.schema[k].dataType.simpleString()}" for k in keys)
 
-    times = _bursts(saves, keys, time, gap).groupBy(*keys, "burst").agg(F.array_sort(F.collect_list(F.col("t").cast("long"))).alias("_t"))
-    return times.select(*keys, F.inline(F.aggregate("_t", zero, step, last)))
-
-
-_FOLD = "project string, scope string, row long, first_event long, hash string, topic_key string, created long, updated long, revision long, duplicates long"
+    def run(batches):
+        key, anchor, n = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times, mark = np.asarray(batch.column(len(keys))), np.asarray(batch.column(len(keys) + 1))
+            edges = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), len(mark)]
+            rows, found = [], []
+
+            def close():
+                rows.append(key)
+                found.append((anchor, n))
+
+            for a, b in zip(edges, edges[1:]):
+                own = tuple(batch.column(c)[a].as_py() for c in range(len(keys)))
+                if own != key:
+                    if anchor is not None:
+                        close()
+                    key, anchor, n = own, None, 0
+                while a < b:
+                    if anchor is None:
+                        anchor = int(times[a])
+                    to = a + int(np.searchsorted(times[a:b], anchor + gap))
+                    n += to - a
+                    a = to
+                    if a < b:
+                        close()
+                        anchor, n = None, 0
+            yield _anchor_rows(rows, found, schema)
+        if anchor is not None:
+            yield _anchor_rows([key], [(anchor, n)], schema)
+
+    schema = to_arrow_schema(StructType.fromDDL(f"{kinds}, anchor long, n long"))
+    mark = F.xxhash64(*keys)  # keys that share it and lie side by side are told apart only if the whole sort puts them apart: it leads the order
+    picked = saves.select(*keys, F.col(time).cast("long").alias("_t"), mark.alias("_mark"))
+    return picked.repartition(*keys).sortWithinPartitions("_mark", *keys, "_t").mapInArrow(run, f"{kinds}, anchor long, n long")
+
+
+def _anchor_rows(keys: list[tuple], found: list[tuple[int, int]], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [*zip(*keys), *zip(*found)] if keys else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+#: A row of the fold. first_event made it, content_event gave the content that it has now; changed tells rows that the saves made or changed.
+_FOLD = "project string, scope string, row long, first_event long, content_event long, hash string, topic_key string, created long, updated long, revision long, duplicates long, changed boolean"
+_FOLD_NAMES = [c.split()[0] for c in _FOLD.split(", ")]
 
 
 class _Fold:
@@ -68,9 +94,12 @@ class _Fold:
                 self.hashes[row["hash"]] = left
             else:
                 del self.hashes[row["hash"]]
-            if row["topic_key"] is None:
+            if not self._by_topic(row):
                 yield row
 
+    def _by_topic(self, row: dict) -> bool:
+        return row["topic_key"] is not None and self.topics.get(row["topic_key"]) is row
+
     def _hashed(self, row: dict, h: str) -> None:
         if row["created"] > row["updated"] - self.gap:  # recent: found by its new hash from now on
             self.hashes[row["hash"]] = [r for r in self.hashes[row["hash"]] if r is not row]
@@ -79,56 +108,111 @@ class _Fold:
             self.hashes[h] = sorted([*self.hashes.get(h, ()), row], key=lambda r: (r["created"], r["row"]))
         row["hash"] = h
 
+    def load(self, row: dict) -> Iterator[dict]:
+        """A row from before the saves. Rows come in order of creation; of rows with one topic the newest is found by it."""
+        self.count = max(self.count, row["row"] + 1)
+        yield from self.expire(row["created"])
+        self.hashes.setdefault(row["hash"], []).append(row)
+        self.recent.append(row)
+        if row["topic_key"]:
+            before = self.topics.get(row["topic_key"])
+            self.topics[row["topic_key"]] = row
+            if before is not None and not any(before is r for r in self.hashes.get(before["hash"], ())):
+                yield before
+
     def save(self, us: int, event: int, h: str, topic: str | None) -> None:
         row = self.topics.get(topic) if topic else None
         if row is not None:
-            row["updated"], row["revision"] = us, row["revision"] + 1
+            row["updated"], row["revision"], row["content_event"] = us, row["revision"] + 1, event
             self._hashed(row, h)
         elif h in self.hashes:
             row = self.hashes[h][-1]
             row["updated"], row["duplicates"] = us, row["duplicates"] + 1
         else:
-            row = dict(zip(_FOLD_NAMES, (*self.key, self.count, event, h, topic or None, us, us, 1, 0)))
+            row = dict(zip(_FOLD_NAMES, (*self.key, self.count, event, event, h, topic or None, us, us, 1, 0)))
             self.count += 1
             self.hashes[h] = [row]
             self.recent.append(row)
             if topic:
                 self.topics[topic] = row
+        row["changed"] = True
 
     def rest(self) -> list[dict]:
-        return [*self.topics.values(), *(r for r in self.recent if r["topic_key"] is None)]
-
-
-_FOLD_NAMES = [c.split()[0] for c in _FOLD.split(", ")]
+        return [*self.topics.values(), *(r for r in self.recent if not self._by_topic(r))]
 
 
-def save_fold(saves: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
-    """Rows after all saves, by (project, scope) in order of (us, event_id).
+def save_fold(saves: DataFrame, seconds: int = DEDUP_SECONDS, stored: DataFrame | None = None) -> DataFrame:
+    """Rows after all saves, by (project, scope) in order of (us, event_id), with the rows that were stored before them.
 
     A save with a topic that a row already has overwrites that row and raises its revision (its creation time stays); else a row
     with the same hash created less than ``seconds`` before counts a duplicate (a new topic is then not stored); else it is a new row.
     Sorted saves, without text, stream through the fold: it holds one row a topic and the rows of the last ``seconds``, not a project.
+    Stored rows are live rows as this returns them; those that no save can meet any more pass by the fold.
     """
     gap = seconds * 1_000_000
+    mine = saves.select("project", "scope", F.lit(1).alias("kind"), F.col("us").alias("at"), F.col("event_id").alias("seq"), "hash", "topic_key")
+    names = _FOLD_NAMES[2:11]
+    own, still = mine.withColumn("old", F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':') for c in _FOLD.split(', ')[2:11])}>")), None
+    if stored is not None:
+        start = saves.agg(F.min("us")).first()[0]
+        past = F.coalesce("topic_key", F.lit("")).eqNullSafe("") & (F.col("created") <= (start or 0) - gap) if start is not None else F.lit(True)
+        still = stored.where(past).select(*_FOLD_NAMES[:11], F.lit(False).alias("changed"))
+        old = stored.where(~past).select("project", "scope", F.lit(0).alias("kind"), F.col("created").alias("at"), F.col("row").alias("seq"), "hash", "topic_key", F.struct(*names).alias("old"))
+        own = own.unionByName(old)
 
     def run(batches):
         fold, done = None, []
         for batch in batches:
-            for project, scope, us, event, h, topic in zip(*(c.to_pylist() for c in batch.columns)):
+            for project, scope, kind, at, seq, h, topic, old in zip(*(c.to_pylist() for c in batch.columns)):
                 if fold is None or fold.key != (project, scope):
                     done += fold.rest() if fold else []
                     fold = _Fold((project, scope), gap)
-                done += fold.expire(us)
-                fold.save(us, event, h, topic)
+                if kind == 0:
+                    done += fold.load({"project": project, "scope": scope, **old, "changed": False})
+                    continue
+                done += fold.expire(at)
+                fold.save(at, seq, h, topic)
             yield pa.RecordBatch.from_pylist(done, schema)
             done = []
         if fold:
             yield pa.RecordBatch.from_pylist(fold.rest(), schema)
 
     schema = to_arrow_schema(StructType.fromDDL(_FOLD))
-    order = ["project", "scope", "us", "event_id"]
-    dealt = saves.select(*order, "hash", "topic_key").repartition("project", "scope").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, _FOLD)
+    dealt = own.repartition("project", "scope").sortWithinPartitions("project", "scope", "kind", "at", "seq")
+    out = dealt.mapInArrow(run, _FOLD)
+    return out if still is None else out.unionByName(still)
+
+
+#: What a save gives a row; project, scope and topic stay those of the row.
+SAVED_FIELDS = ("title", "content", "memory_type", "tags", "author", "repo", "branch", "files")
+
+
+def vector_id(h: Column) -> Column:
+    return F.concat(F.lit("mem_"), F.substring(h, 1, 24))
+
+
+def save_rows(saves: DataFrame, seconds: int = DEDUP_SECONDS, stored: DataFrame | None = None) -> DataFrame:
+    """Whole rows after saves (with those of ``SAVED_FIELDS`` that they have): what ``save_fold`` gives, every field of the save whose content a row holds, vector_id.
+
+    Texts do not go through the fold: a changed row takes its fields from its save by event, an unchanged one from the stored row.
+    """
+    fields = [c for c in SAVED_FIELDS if c in saves.columns]
+    folded = save_fold(saves, seconds, None if stored is None else stored.drop(*fields, "vector_id"))
+    new = saves.select(F.col("event_id").alias("content_event"), F.struct(*fields).alias("_new"))
+    rows = folded.join(new, "content_event", "left")
+    if stored is not None:
+        old = stored.select("project", "scope", "row", F.struct(*fields).alias("_old"))
+        rows = rows.join(old, ["project", "scope", "row"], "left").withColumn("_new", F.coalesce("_new", "_old"))
+    return rows.select(*_FOLD_NAMES, *[F.col(f"_new.{c}").alias(c) for c in fields], vector_id(F.col("hash")).alias("vector_id"))
+
+
+def orphan_vectors(saves: DataFrame, after: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Ids of vectors that no row holds after saves: of contents that a topic save replaced, now or among the stored rows. Every save writes
+    its vector, and equal contents share one whatever their project, so an id goes only when the last row that holds it is gone."""
+    written = saves.select(vector_id(F.col("hash")).alias("vector_id"))
+    if stored is not None:
+        written = written.unionByName(stored.select("vector_id"))
+    return written.distinct().join(after.select("vector_id").distinct(), "vector_id", "left_anti")
 
 
 def topic_upsert(saves: DataFrame) -> DataFrame:
@@ -209,12 +293,17 @@ def soft_delete(memories: DataFrame, ids: DataFrame) -> DataFrame:
     return memories.join(marks, "memory_id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
+#: Fixed value: the columns that an update may change.
+UPDATABLE = ("title", "content", "memory_type", "tags", "files", "topic_key")
+
+
 def partial_update(memories: DataFrame, changes: DataFrame) -> DataFrame:
-    """Non-null fields of changes (memory_id, title, content, memory_type) replace those of rows, whose revision rises."""
-    new = changes.select("memory_id", *[F.col(c).alias(f"_{c}") for c in ("title", "content", "memory_type")], F.lit(1).alias("_one"))
+    """Non-null fields of changes (memory_id and any of ``UPDATABLE``) replace those of rows, whose revision rises; hash and vector stay."""
+    fields = [c for c in UPDATABLE if c in changes.columns and c in memories.columns]
+    new = changes.select("memory_id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(1).alias("_one"))
     own = memories.join(new, "memory_id", "left")
-    out = own.withColumns({c: F.coalesce(f"_{c}", c) for c in ("title", "content", "memory_type")} | {"revision": F.col("revision") + F.coalesce("_one", F.lit(0))})
-    return out.drop("_title", "_content", "_memory_type", "_one")
+    out = own.withColumns({c: F.coalesce(f"_{c}", c) for c in fields} | {"revision": F.col("revision") + F.coalesce("_one", F.lit(0))})
+    return out.drop(*[f"_{c}" for c in fields], "_one")
 
 
 def stats(memories: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import cosine, squared_l2
+from graincode.plans.lineage import broadcast_if, cut
 
 #: What counts as a symbol for read_symbol.
 SYMBOL_TYPES = ("function", "method", "class", "struct", "interface", "enum")
@@ -37,9 +38,33 @@ def top_k(points: DataFrame, query: DataFrame, k: int, metric: str = "l2") -> Da
     return _rounded(nearest(points, query, k, metric))
 
 
-def search(points: DataFrame, query: DataFrame, k: int = 10, repo: str | None = None, branch: str | None = None, language: str | None = None) -> DataFrame:
-    """Top k by L2, then one row for each file and start line; texts of 500 characters."""
-    hits = nearest(where_metadata(points, repo=repo, branch=branch, language=language), query, k)
+def lineage_nearest(points: DataFrame, query: DataFrame, k: int, lineage: list[str], metric: str = "l2", widen: int = 4) -> DataFrame:
+    """The k best points that are seen on a branch lineage (nearest branch first), with score: all of a file (repo, file) is seen from the
+    first branch of the lineage that has a row of it, and not at all where that row is a deletion.
+
+    A round takes the ``widen`` times k best points of any branch (every partition keeps that many at most), and looks up the
+    branches of their files alone. If k of them are seen these are the answer, as every point that is left out ranks behind; otherwise the next
+    round takes ``widen`` times more. No round shuffles points or resolves files that did not come near.
+    """
+    place = F.array_position(F.array(*[F.lit(b) for b in lineage]), F.col("branch"))
+    own = points.where(F.col("branch").isin(lineage)).withColumn("_place", place)
+    live, most = own.where(~F.coalesce("is_deletion", F.lit(False))), k * widen
+    while True:
+        hits = cut(nearest(live, query, most, metric))
+        near = broadcast_if(hits.select("repo", "file").distinct())
+        first = own.join(near, ["repo", "file"], "left_semi").groupBy("repo", "file").agg(F.min("_place").alias("_first"))
+        seen = cut(hits.join(broadcast_if(cut(first)), ["repo", "file"]).where("_place = _first").select(*points.columns, "score"))
+        if seen.count() >= k or hits.count() < most:
+            return seen.orderBy(F.asc("score") if metric == "l2" else F.desc("score"), "id").limit(k)
+        most *= widen
+
+
+def search(points: DataFrame, query: DataFrame, k: int = 10, repo: str | None = None, branch: str | None = None, language: str | None = None, lineage: list[str] | None = None) -> DataFrame:
+    """Top k by L2, then one row for each file and start line; texts of 500 characters. A lineage, where given, takes the place of the branch."""
+    if lineage is None:
+        hits = nearest(where_metadata(points, repo=repo, branch=branch, language=language), query, k)
+    else:
+        hits = lineage_nearest(where_metadata(points, repo=repo, language=language), query, k, lineage)
     best = Window.partitionBy("file", "start_line").orderBy("score", "id")
     own = _rounded(hits.withColumn("_r", F.row_number().over(best)).where("_r = 1"))
     return own.select("id", "score", "file", "symbol", "symbol_type", "start_line", "end_line", "language", F.substring("text", 1, 500).alias("text"))

@@ -48,7 +48,7 @@ last AS (SELECT project, scope, l FROM f QUALIFY row_number() OVER (PARTITION BY
 each AS (SELECT project, scope, unnest(l) AS x, (generate_subscripts(l, 1) - 1)::BIGINT AS row FROM last)
 SELECT project, scope, row, x.e AS first_event, x.h AS hash, x.k AS topic_key, x.c AS created, x.u AS updated, x.r AS revision, x.d AS duplicates FROM each""")
 def mem_save_fold(spark, d):
-    return memory.save_fold(p.saves(spark, d), 6 * 3600)
+    return memory.save_fold(p.saves(spark, d), 6 * 3600).drop("content_event", "changed")
 
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS hash FROM documents")
