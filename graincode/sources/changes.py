@@ -11,13 +11,17 @@ def full_listing(tracked: DataFrame) -> DataFrame:
     return tracked.select("path", F.lit("added").alias("status"), F.lit(None).cast("string").alias("old_path"))
 
 
+def from_status(code: Column, first: Column, second: Column) -> list[Column]:
+    """path, status, old_path of a diff entry: A, M, D, R (old, new), C (the copy is added); null for other codes."""
+    letter = F.substring(code, 1, 1)
+    status = F.when(letter.isin("A", "C"), "added").when(letter == "M", "modified").when(letter == "D", "deleted").when(letter == "R", "renamed")
+    return [F.when(letter.isin("R", "C"), second).otherwise(first).alias("path"), status.alias("status"), F.when(letter == "R", first).alias("old_path")]
+
+
 def parse_name_status(lines: DataFrame, column: str = "line") -> DataFrame:
-    """path, status, old_path of diff lines: A, M, D, R (old, new), C (the copy is added); other codes are left out."""
+    """path, status, old_path of diff lines with tabs between the fields; lines of other codes are left out."""
     part = lambda n: F.try_element_at(F.split(column, "\t", -1), F.lit(n))
-    code = F.substring(part(1), 1, 1)
-    status = F.when(code.isin("A", "C"), "added").when(code == "M", "modified").when(code == "D", "deleted").when(code == "R", "renamed")
-    path = F.when(code.isin("R", "C"), part(3)).otherwise(part(2))
-    return lines.select(path.alias("path"), status.alias("status"), F.when(code == "R", part(2)).alias("old_path")).where("status IS NOT NULL AND path IS NOT NULL")
+    return lines.select(*from_status(part(1), part(2), part(3))).where("status IS NOT NULL AND path IS NOT NULL")
 
 
 def dirty(diff: DataFrame, untracked: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graincode.sources.changes import dirty, full_listing, parse_name_status
+from graincode.sources.changes import dirty, from_status, full_listing
 
 #: Branches that can be the root of a lineage, in order; seconds that a command may take.
 ROOTS, TIMEOUT = ("main", "master"), 30
@@ -46,27 +46,39 @@ class Repository:
             raise RuntimeError(f"git {args[0]}: {done.stderr.decode(errors='replace').strip()}")
         return done.stdout.decode(errors="replace")
 
-    def _lines(self, *args: str) -> list[str]:
-        return [x for x in self.run(*args).split("\n") if x]
+    def _fields(self, *args: str) -> list[str]:
+        """Fields of an output that ends each with a NUL, so that any path comes as it is."""
+        return self.run(*args).split("\0")[:-1]
 
-    def _frame(self, spark: SparkSession, lines: list[str], column: str) -> DataFrame:
-        return spark.createDataFrame([(x,) for x in lines], f"{column} string")
+    def _paths(self, spark: SparkSession, *args: str) -> DataFrame:
+        return spark.createDataFrame([(x,) for x in self._fields(*args)], "path string")
+
+    def _diff(self, spark: SparkSession, *commits: str) -> DataFrame:
+        fields, rows = iter(self._fields("diff", "--name-status", "-z", "-M", *commits)), []
+        for code in fields:
+            rows.append((code, next(fields), next(fields) if code[:1] in "RC" else None))
+        made = spark.createDataFrame(rows, "code string, first string, second string")
+        return made.select(*from_status(F.col("code"), F.col("first"), F.col("second"))).where("status IS NOT NULL")
 
     def state(self) -> State:
+        """Commit, branch and dirty files: of folders that are not tracked every file, of a rename the new path."""
         branch = self.run("rev-parse", "--abbrev-ref", "HEAD").strip()
-        short = [x[3:].rsplit(" -> ", 1)[-1] for x in self._lines("status", "--porcelain") if len(x) > 3]
+        fields, short = iter(self._fields("status", "--porcelain", "-z", "-u")), []
+        for entry in fields:
+            short.append(entry[3:])
+            if set(entry[:2]) & set("RC"):
+                next(fields)  # the old path
         return State(self.run("rev-parse", "HEAD").strip(), branch, branch == "HEAD", tuple(short))
 
     def changes(self, spark: SparkSession, old: str | None, new: str = "HEAD") -> DataFrame:
         """path, status, old_path between two commits; without an old one every tracked path is added."""
         if old is None:
-            return full_listing(self._frame(spark, self._lines("ls-tree", "-r", "--name-only", new), "path"))
-        return parse_name_status(self._frame(spark, self._lines("diff", "--name-status", "-M", old, new), "line"))
+            return full_listing(self._paths(spark, "ls-tree", "-r", "-z", "--name-only", new))
+        return self._diff(spark, old, new)
 
     def uncommitted(self, spark: SparkSession) -> DataFrame:
         """Changes of the working tree against the last commit, and untracked files."""
-        diff = parse_name_status(self._frame(spark, self._lines("diff", "--name-status", "-M", "HEAD"), "line"))
-        return dirty(diff, self._frame(spark, self._lines("ls-files", "--others", "--exclude-standard"), "path"))
+        return dirty(self._diff(spark, "HEAD"), self._paths(spark, "ls-files", "-z", "--others", "--exclude-standard"))
 
     def content(self, path: str, commit: str) -> str | None:
         """A file at a commit; null where it is not there."""

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections import deque
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,44 +66,56 @@ class WriteConflict(RuntimeError):
 
 
 class VersionedTable:
-    """Rows in ``BUCKETS`` buckets by their keys, in Parquet; a version is a manifest that names the folder of each bucket.
+    """Rows in buckets by their keys, in Parquet; a version is a manifest that names the folder of each bucket.
 
-    A change writes the buckets that it touches, and then the next manifest, which is made only if it is not there yet: of two writers one
-    gets WriteConflict, a failed write leaves the table as it was, and readers keep what they read. Works on any file system that Spark writes to.
+    A change writes the buckets that it touches, then its manifest under a name of its own, and then renames that to the next version, which
+    must not be there yet: of two writers one gets WriteConflict. A writer that dies at any point leaves the version before it, and a manifest
+    that is not whole is passed over. Needs a file system that renames files in one step, as HDFS does. Readers keep what they read.
     """
 
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("repo", "branch")):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("repo", "branch"), buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys, buckets
 
     def _at(self, name: str):
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _names(self) -> list[str]:
+        fs, at = self._at("manifests")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted((n for n in names if re.fullmatch(r"\d{12}\.json", n)), reverse=True)
+
     def _manifest(self) -> tuple[int, dict[str, str]]:
         """Number of the current version (0: none), and the folder of each bucket that has rows."""
-        fs, at = self._at("manifests")
-        last = max([x.getPath().getName() for x in fs.listStatus(at)], default=None) if fs.exists(at) else None
-        if last is None:
-            return 0, {}
-        text = self.spark.read.text(f"{self.path}/manifests/{last}", wholetext=True).first()[0]
-        return int(last.split(".")[0]), json.loads(text)
+        names = self._names()
+        for name in names:
+            rows = self.spark.read.text(f"{self.path}/manifests/{name}", wholetext=True).head(1)
+            try:
+                folders = json.loads(rows[0][0] if rows else "")
+            except ValueError:
+                continue
+            return int(names[0].split(".")[0]), folders
+        return (int(names[0].split(".")[0]) if names else 0), {}
 
     def _commit(self, n: int, folders: dict[str, str]) -> None:
-        fs, at = self._at(f"manifests/{n:012d}.json")
+        fs, own = self._at(f"manifests/_{uuid.uuid4().hex}")
+        _, at = self._at(f"manifests/{n:012d}.json")
+        out = fs.create(own, False)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # none: what is there is not replaced
         try:
-            out = fs.create(at, False)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(own, at, options)
         except Exception as e:
+            fs.delete(own, False)
             if "AlreadyExists" in str(e):
                 raise WriteConflict(str(at)) from e
             raise
-        out.write(bytearray(json.dumps(folders).encode()))
-        out.close()
 
     def _bucket(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def _load(self, folders: dict[str, str], schema) -> DataFrame | None:
         return self.spark.read.schema(schema).parquet(*sorted(folders.values())) if folders else None
@@ -120,13 +135,14 @@ class VersionedTable:
         """Replace the buckets of the keys in touched by change of their rows."""
         n, folders = self._manifest()
         schema = schema or self._schema(folders)
-        buckets = {str(r[0]) for r in touched.select(self._bucket()).distinct().collect()}  # BUCKETS at most
+        buckets = {str(r[0]) for r in touched.select(self._bucket()).distinct().collect()}  # self.buckets at most
         if not buckets or schema is None:
             return
         old = self._load({b: f for b, f in folders.items() if b in buckets}, schema)
         version = f"data/{uuid.uuid4().hex}"
         rows = change(self.spark.createDataFrame([], schema) if old is None else old).select(*schema.names)
-        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        dealt = rows.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket")  # a bucket of many rows goes to several tasks
+        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
         made = {b: f"{version}/_bucket={b}" for b in buckets}
         new = {b: f"{self.path}/{f}" for b, f in made.items() if (lambda x: x[0].exists(x[1]))(self._at(f))}
         self._commit(n + 1, {b: f for b, f in folders.items() if b not in buckets} | new)
@@ -155,6 +171,10 @@ class VersionedTable:
         return len(gone)
 
 
+#: What a store that cannot be reached raises: of the system, or of Spark's side.
+DOWN = (OSError, PySparkException, Py4JError)
+
+
 class HybridTable:
     """Two stores that are written in turn, local first; changes that the shared one fails to take wait in a bounded log, oldest first."""
 
@@ -165,7 +185,9 @@ class HybridTable:
         getattr(self.local, name)(batch)
         try:
             getattr(self.shared, name)(batch)
-        except Exception as e:  # noqa: BLE001  the shared store may be down in any way
+        except DOWN as e:
+            if isinstance(e, (AnalysisException, WriteConflict)):
+                raise  # a wrong batch or another writer, not a store that is down
             self.log.append((name, batch, str(e)))
 
     def upsert(self, batch: DataFrame) -> None:
@@ -184,7 +206,7 @@ class HybridTable:
             name, batch, _ = self.log[0]
             try:
                 getattr(self.shared, name)(batch)
-            except Exception as e:  # noqa: BLE001
+            except DOWN as e:
                 self.log[0] = (name, batch, str(e))
                 break
             self.log.popleft()

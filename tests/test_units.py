@@ -5,6 +5,7 @@ import uuid
 from collections import Counter
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from graincode.functions import scalars as fn
@@ -336,6 +337,53 @@ def test_two_writers(spark, tmp_path, monkeypatch):
     assert sorted(r["id"] for r in one.read().collect()) == ["1", "2"]
 
 
+def test_died_writers(spark, tmp_path):
+    """A writer that dies before or while it writes its manifest leaves the version before, also for the next writers."""
+    t = store.VersionedTable(spark, str(tmp_path / "t"), buckets=4)
+    t.upsert(points(spark, ("1", "r", "b", "f", "a")))
+    (tmp_path / "t" / "manifests" / "000000000002.json").write_text("")
+    (tmp_path / "t" / "manifests" / "000000000003.json").write_text('{"0": "half')
+    (tmp_path / "t" / "manifests" / "_left").write_text("x")
+    assert t.count() == 1
+    t.upsert(points(spark, ("2", "r", "b", "f", "b")))
+    assert sorted(r["id"] for r in t.read().collect()) == ["1", "2"] and t._manifest()[0] == 4
+
+
+def test_hybrid_store_does_not_queue_what_is_wrong(spark, tmp_path):
+    both = store.open_store(spark, config.Settings("hybrid", str(tmp_path / "l"), str(tmp_path / "s")))
+    both.upsert(points(spark, ("1", "r", "b", "f", "a")))
+    with pytest.raises(AnalysisException):
+        both.shared.upsert(spark.range(1))
+    with pytest.raises(AnalysisException):
+        both.upsert(points(spark, ("2", "r", "b", "f", "a")).drop("repo"))
+    assert not both.log
+
+
+def test_real_repository(spark, tmp_path):
+    """Paths that are not ASCII, folders that are not tracked, names with spaces, tabs and arrows."""
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    names = ["é.py", "a b.py", "t\tab.py", "old name.py", "x -> y.py"]
+    for n in names:
+        (tmp_path / n).write_text(n * 20)
+    git("add", ".")
+    git("commit", "-q", "-m", "one")
+    r = repository.Repository(str(tmp_path))
+    assert {x["path"] for x in r.changes(spark, None).collect()} == set(names) and r.state().dirty == ()
+    git("mv", "old name.py", "new name.py")
+    (tmp_path / "é.py").write_text("changed")
+    (tmp_path / "new" / "deep").mkdir(parents=True)
+    (tmp_path / "new" / "deep" / "f é.py").write_text("x")
+    assert set(r.state().dirty) == {"new name.py", "é.py", "new/deep/f é.py"}
+    assert {tuple(x) for x in r.uncommitted(spark).collect()} == {("new name.py", "renamed", "old name.py"), ("é.py", "modified", None), ("new/deep/f é.py", "added", None)}
+    git("add", ".")
+    git("commit", "-q", "-m", "two")
+    assert {tuple(x)[:2] for x in r.changes(spark, "HEAD~1").collect()} == {("new name.py", "renamed"), ("é.py", "modified"), ("new/deep/f é.py", "added")}
+    assert r.content("é.py", "HEAD~1") == "é.py" * 20
+
+
 def test_hybrid_store_waits_and_flushes(spark, tmp_path, monkeypatch):
     own = config.Settings("hybrid", str(tmp_path / "l"), str(tmp_path / "s"))
     both = store.open_store(spark, own)
@@ -370,8 +418,8 @@ def test_settings(tmp_path):
 
 
 def test_repository(spark, tmp_path):
-    said = {"rev-parse --abbrev-ref HEAD": "topic\n", "rev-parse HEAD": "c1\n", "status --porcelain": " M a.py\n?? n.txt\nR  x -> y\n", "rev-parse --verify main": "c0\n", "merge-base topic main": "c0\n",
-            "ls-tree -r --name-only HEAD": "a.py\nb.py\n", "diff --name-status -M c0 HEAD": "M\ta.py\nR100\tx\ty\n", "diff --name-status -M HEAD": "D\tb.py\n", "ls-files --others --exclude-standard": "n.txt\n", "show c1:a.py": "text"}
+    said = {"rev-parse --abbrev-ref HEAD": "topic\n", "rev-parse HEAD": "c1\n", "status --porcelain -z -u": " M a.py\0?? n.txt\0R  y\0x\0", "rev-parse --verify main": "c0\n", "merge-base topic main": "c0\n",
+            "ls-tree -r -z --name-only HEAD": "a.py\0b.py\0", "diff --name-status -z -M c0 HEAD": "M\0a.py\0R100\0x\0y\0", "diff --name-status -z -M HEAD": "D\0b.py\0", "ls-files -z --others --exclude-standard": "n.txt\0", "show c1:a.py": "text"}
 
     def run(*args):
         if " ".join(args) not in said:
