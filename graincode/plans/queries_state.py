@@ -10,6 +10,7 @@ from graincode.sources.languages import support_matrix
 from graincode.streaming import operators as streams
 
 from . import projections as p
+from .lineage import checkpoint_folder
 from .projections import FILES, INDEX_STATE, SAVES, STORES, VECTORS
 from .queries_core import _L2
 from .registry import query
@@ -490,7 +491,10 @@ def _watch(spark, d):
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
 SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 6 HOUR) AS fires, string_agg(DISTINCT path, ',' ORDER BY path) AS paths, count(*) AS events FROM s GROUP BY user_id, g""")
 def stream_debounce(spark, d):
-    out = streams.debounce(_watch(spark, d), ["user_id"], "6 hours")
+    """The events as a stream of four micro-batches, up to an hour out of order."""
+    own = _watch(spark, d).withColumn("comes", F.unix_micros("ts") + F.pmod(F.xxhash64("path", "ts"), F.lit(3_600_000_000)))
+    stream = streams.replay(own, checkpoint_folder(spark), F.col("comes"), 4)
+    out = streams.run_debounce_stream(stream, ["user_id"], "6 hours", "1 hour", checkpoint_folder(spark))
     return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("fires").alias("fires"), F.array_join("paths", ",").alias("paths"), "events")
 
 

@@ -1,14 +1,20 @@
-"""Queries of searches over a lineage, whole memory rows, replays and sinks."""
+"""Queries of searches over a lineage, whole memory rows, replays, trees and sinks."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graincode.operators import memory, vector
+from graincode.sources import point_sink, tree
+from graincode.streaming import operators as streams
 
 from . import projections as p
-from .lineage import cut
-from .projections import SAVES, VECTORS
+from .lineage import checkpoint_folder, cut
+from .projections import SAVES, STORES, VECTORS
 from .queries_core import _L2
 from .queries_state import _MEM, _memories
 from .registry import query
@@ -90,3 +96,106 @@ def mem_update_fields(spark, d):
     n = F.col("memory_id")
     new = m.where(n % 7 == 0).select("memory_id", F.lit("x").alias("tags"), F.when(n % 21 == 0, "f.py").alias("files"), F.when(n % 14 == 0, "moved").alias("topic_key"))
     return memory.partial_update(m, new).select("memory_id", "tags", "files", "topic_key", "revision")
+
+
+# retries: odd events check the health of a user's store, even ones are operations; those above 95 fail at their first attempt
+
+
+def _send(store: str, seq: int, operation: str, attempt: int) -> None:
+    if attempt == 0 and float(operation) > 95:
+        raise OSError("not now")
+
+
+@query("""WITH RECURSIVE own AS (SELECT user_id::VARCHAR AS store, event_id AS seq, event_id % 2 = 1 AS is_check, value, least(event_id * 6 // (SELECT max(event_id) FROM events), 5) AS b FROM events),
+known AS (SELECT *, coalesce(last_value(CASE WHEN is_check THEN value >= 50 END IGNORE NULLS) OVER (PARTITION BY store ORDER BY seq), true) AS up FROM own),
+batches AS (SELECT store, g.b, coalesce(list({'s': seq, 'bad': value > 95, 'up': up} ORDER BY seq) FILTER (NOT is_check AND known.b = g.b), []) AS ops,
+        coalesce(bool_or(is_check AND value < 50 AND known.b = g.b), false) AS fell, coalesce(arg_max(value >= 50, seq) FILTER (is_check AND known.b <= g.b), true) AS now
+    FROM known, generate_series(0, 5) AS g(b) GROUP BY ALL),
+steps AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY store ORDER BY b), true) AS was FROM batches),
+f(store, b, wait, sent) AS (SELECT DISTINCT store, -1::BIGINT, []::STRUCT(s BIGINT, bad BOOLEAN)[], []::STRUCT(s BIGINT, state VARCHAR, b BIGINT)[] FROM known
+    UNION ALL SELECT store, b, CASE WHEN NOT rise THEN q WHEN pos IS NULL THEN [] ELSE list_transform(q[pos:], lambda x, i: {'s': x.s, 'bad': x.bad AND i > 1}) END,
+        sent || direct || CASE WHEN rise THEN list_transform(q[1:coalesce(pos - 1, len(q))], lambda x: {'s': x.s, 'state': 'flushed', 'b': b}) ELSE [] END
+    FROM (SELECT *, list_position(list_transform(q, lambda x: x.bad), true) AS pos FROM (SELECT f.store, s.b, f.sent, s.now AND (NOT s.was OR s.fell) AS rise,
+        f.wait || list_transform(list_filter(s.ops, lambda x: NOT x.up OR x.bad), lambda x: {'s': x.s, 'bad': x.bad AND NOT x.up}) AS q,
+        list_transform(list_filter(s.ops, lambda x: x.up AND NOT x.bad), lambda x: {'s': x.s, 'state': 'direct', 'b': s.b}) AS direct FROM f JOIN steps s ON s.store = f.store AND s.b = f.b + 1)))
+SELECT store, x.s AS seq, x.state AS state, x.b::INT AS batch FROM (SELECT store, unnest(sent) AS x FROM f WHERE b = 5)
+UNION ALL SELECT store, x.s, 'waiting', NULL FROM (SELECT store, unnest(wait) AS x FROM f WHERE b = 5)""")
+def retry_replay(spark, d):
+    """Six micro-batches of checks and operations through the log: what was applied at once, by which flush, and what still waits."""
+    e = p.table(spark, d, "events")
+    last = e.agg(F.max("event_id")).first()[0]
+    check = F.col("event_id") % 2 == 1
+    rows = e.select(F.col("user_id").cast("string").alias("store"), F.col("event_id").alias("seq"), F.when(check, F.col("value") >= 50).alias("healthy"), F.when(~check, F.col("value").cast("string")).alias("operation"))
+    stream = streams.replay(rows, checkpoint_folder(spark), F.col("seq"), 6, [-(-last * k // 6) - 1 for k in range(1, 6)])
+    return streams.RetryLog(spark, checkpoint_folder(spark), _send).run(stream)
+
+
+# trees: every document as a file, written by the tasks into the shared folder, which here must be a mounted one
+
+
+def _mounted(spark) -> str:
+    folder = checkpoint_folder(spark)
+    if "://" in folder.removeprefix("file://"):
+        raise ValueError("the shared folder is not a mounted one")
+    return f"{folder.removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+
+
+def _tree_of(spark, d):
+    root = _mounted(spark)
+
+    def put(batches):
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                at = f"{root}/{path}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(f"{at}.{uuid.uuid4().hex}", "w", newline="") as f:
+                    f.write(text or "")
+                os.replace(f.name, at)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/d"), (F.col("doc_id") % 7).cast("string"), F.lit("/é "), F.col("doc_id").cast("string"), F.lit(".md"))
+    p.table(spark, d, "documents").select(path.alias("path"), "text").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    tree.register(spark)
+    return root
+
+
+@query("SELECT source || '/' || lang || '/d' || (doc_id % 7) || '/é ' || doc_id || '.md' AS path, strlen(text)::BIGINT AS bytes, sha256(text) AS hash FROM documents")
+def src_tree_source(spark, d):
+    """Listing and contents of a tree, read by tasks in ranges of paths."""
+    t = spark.read.format("source_tree").option("ranges", "12").load(_tree_of(spark, d))
+    return t.select("path", "bytes", F.sha2("content", 256).alias("hash"))
+
+
+# pushing in batches: batches with an id that begins with 00 fail
+
+
+class PickyClient(point_sink.FolderClient):
+    def upsert(self, rows):
+        if any(r["id"].startswith("00") for r in rows):
+            raise OSError("00")
+        super().upsert(rows)
+
+
+_BATCHED = f"""WITH {STORES}, b AS (SELECT *, ('0x' || id[1:2])::INT % 16 AS slot FROM local), n AS (SELECT *, (row_number() OVER (PARTITION BY branch, slot ORDER BY id) - 1) // 1000 AS part FROM b),
+batches AS (SELECT branch, slot, part, count(*) AS n, bool_or(starts_with(id, '00')) AS failed FROM n GROUP BY ALL)"""
+
+
+def _pushed(spark, d):
+    local = p.stores(spark, d)[0].withColumn("slot", (F.conv(F.substring("id", 1, 2), 16, 10).cast("int") % 16))
+    folder = checkpoint_folder(spark)
+    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    target = f"{folder}/pushed-{uuid.uuid4().hex}"
+    report = point_sink.push_batches(local, folder, {"client": f"{__name__}:PickyClient", "target": target}, ("branch", "slot"))
+    return report, target
+
+
+@query(f"""{_BATCHED} SELECT branch, coalesce(sum(n) FILTER (NOT failed), 0)::BIGINT AS points, coalesce(sum(n) FILTER (failed), 0)::BIGINT AS failed_points, count(*) FILTER (NOT failed) AS batches,
+    count(*) FILTER (failed) AS failed_batches, CASE WHEN bool_or(failed) THEN '00' ELSE '' END AS error FROM batches GROUP BY branch""")
+def sync_push_batches(spark, d):
+    return _pushed(spark, d)[0].select("branch", "points", "failed_points", "batches", "failed_batches", F.coalesce(F.try_element_at("errors", F.lit(1)), F.lit("")).alias("error"))
+
+
+@query(f"""{_BATCHED} SELECT id, n.branch, content_hash FROM n JOIN batches b ON b.branch = n.branch AND b.slot = n.slot AND b.part = n.part WHERE NOT failed""")
+def sync_push_stored(spark, d):
+    """What the store holds after that."""
+    return spark.read.parquet(_pushed(spark, d)[1]).select("id", "branch", "content_hash")
