@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graincode.functions.scalars import trim_slashes
+from graincode.functions.scalars import file_stem, repo_name, trim_slashes
+from graincode.operators.vector import nearest
 from graincode.plans.lineage import broadcast_if, cut
 
 KEY = ["source", "target", "kind", "repo", "branch", "source_file"]
@@ -74,6 +75,19 @@ def get_references(edges: DataFrame, symbol: str, file_stem: str | None, repo: s
     return first.orderBy("_o").limit(limit).drop("_o").withColumn("total", F.lit(first.count()))
 
 
+def locate(points: DataFrame, query: DataFrame, symbol: str) -> str | None:
+    """Stem of the file of the point of a symbol that is nearest to the query; none if there is no such point."""
+    hit = nearest(points.where(F.col("symbol") == symbol), query, 1).select(file_stem(F.col("file")).alias("stem")).first()
+    return None if hit is None else hit["stem"]
+
+
+def references(edges: DataFrame, points: DataFrame, query: DataFrame, symbol: str, repo: str = "", branch: str | None = None, order: str = "ord") -> DataFrame:
+    """``get_references`` of a symbol and of the stem of its file, which is looked up among the points first. Repos go by their last part."""
+    own = edges if branch is None else edges.where(F.col("branch") == branch)
+    name = repo.rstrip("/").rsplit("/", 1)[-1]
+    return get_references(own.withColumn("repo", repo_name(F.col("repo"))), symbol, locate(points, query, symbol), name, order)
+
+
 def subgraph(edges: DataFrame, symbol: str, depth: int = 2) -> DataFrame:
     """Edges met by breadth-first rounds in both directions, with the round (an edge may be met again in a later one).
 

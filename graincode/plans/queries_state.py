@@ -10,7 +10,7 @@ from graincode.sources.languages import support_matrix
 from graincode.streaming import operators as streams
 
 from . import projections as p
-from .lineage import checkpoint_folder
+from .lineage import checkpoint_folder, cut
 from .projections import FILES, INDEX_STATE, SAVES, STORES, VECTORS
 from .queries_core import _L2
 from .registry import query
@@ -251,23 +251,38 @@ def ctx_file_hints(spark, d):
     return context.file_hints(p.table(spark, d, "pages").select("page_id", text.alias("text")), ["page_id"], "text")
 
 
-@query(f"""WITH RECURSIVE {VECTORS}, m AS (SELECT row_number() OVER (ORDER BY score, id) AS pos, '// [memory] ' || text || chr(10) || chr(10) AS note, score
-    FROM (SELECT id, text, {_L2} AS score FROM vectors, probe WHERE branch = 'main' ORDER BY score, id LIMIT 5)),
-mc AS (SELECT row_number() OVER (ORDER BY pos) AS i, pos, note, (strlen(note) // 4)::BIGINT AS cost FROM m WHERE score < 1.5),
-g(i, pos, note, cost, used, keep) AS (SELECT 0, 0, '', 0::BIGINT, 0::BIGINT, false UNION ALL
-    SELECT mc.i, mc.pos, mc.note, mc.cost, CASE WHEN used + mc.cost <= 4096 THEN used + mc.cost ELSE used END, used + mc.cost <= 4096 FROM g JOIN mc ON mc.i = g.i + 1),
-h AS (SELECT row_number() OVER (ORDER BY score, id) AS pos, '// ' || file || ':' || start_line || chr(10) || text[1:500] || chr(10) || chr(10) AS note
+@query(f"""WITH RECURSIVE {VECTORS}, near AS (SELECT row_number() OVER (ORDER BY score, id) AS pos, text, score
+    FROM (SELECT id, text[1:300] || ' see src/app' || (vec_id % 7) || '.ts.' AS text, {_L2} AS score FROM vectors, probe WHERE branch = 'main' ORDER BY score, id LIMIT 5)),
+m AS (SELECT pos, text, '// [memory] ' || text || chr(10) || chr(10) AS note FROM near WHERE score < 1.5 AND text <> ''),
+w AS (SELECT pos AS memory, unnest(generate_series(1, len(l))) AS ord, trim(unnest(l), ',.;:()[]{{}}"''`') AS hint FROM (SELECT pos, regexp_split_to_array(text, '\\s+') AS l FROM m)),
+hints AS (SELECT memory, ord, hint, false AS slash FROM w WHERE regexp_matches(hint, '\\.(ts|js|java|html|css|service|component|interface)$') UNION ALL SELECT memory, ord, hint, true FROM w WHERE contains(hint, '/') AND strlen(hint) > 3),
+cells AS (SELECT hint, ('0x' || h[1:4])::INT % 64 AS i, sum(CASE WHEN h[5:5] < '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS x
+    FROM (SELECT hint, sha1(unnest(list_filter(regexp_split_to_array(lower(hint), '[^a-z0-9]+'), lambda x: x <> ''))) AS h FROM (SELECT DISTINCT hint FROM hints)) GROUP BY ALL),
+norms AS (SELECT hint, sqrt(sum(x * x)) AS n FROM cells GROUP BY hint),
+embedded AS (SELECT d.hint, list(CASE WHEN n > 0 THEN coalesce(x, 0) / n ELSE 0 END ORDER BY r.i) AS q FROM (SELECT DISTINCT hint FROM hints) d CROSS JOIN range(64) AS r(i) LEFT JOIN cells c ON c.hint = d.hint AND c.i = r.i LEFT JOIN norms n ON n.hint = d.hint GROUP BY d.hint),
+found AS (SELECT hint, id, file, start_line, text[1:500] AS text, power(list_distance(vector::DOUBLE[], embedded.q::DOUBLE[]), 2) AS score FROM vectors, embedded WHERE branch = 'develop' QUALIFY row_number() OVER (PARTITION BY hint ORDER BY score, id) <= 3),
+one AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY hint, file, start_line ORDER BY score, id) = 1),
+hinted AS (SELECT row_number() OVER (ORDER BY memory, ord, slash, score, id) AS pos, '// ' || file || ':' || start_line || chr(10) || text || chr(10) || chr(10) AS note FROM hints JOIN one USING (hint)),
+both_ AS (SELECT 'memory' AS part, pos, note, 0 AS o FROM m UNION ALL SELECT 'hint', pos, note, 1 FROM hinted),
+mc AS (SELECT row_number() OVER (ORDER BY o, pos) AS i, part, pos, note, (strlen(note) // 4)::BIGINT AS cost FROM both_),
+g(i, part, pos, note, cost, used, keep) AS (SELECT 0, '', 0, '', 0::BIGINT, 0::BIGINT, false UNION ALL
+    SELECT mc.i, mc.part, mc.pos, mc.note, mc.cost, CASE WHEN used + mc.cost <= 4096 THEN used + mc.cost ELSE used END, used + mc.cost <= 4096 FROM g JOIN mc ON mc.i = g.i + 1),
+there AS (SELECT coalesce(string_agg(note, '' ORDER BY i), '') AS t, coalesce(sum(cost), 0) AS before FROM g WHERE keep),
+h AS (SELECT row_number() OVER (ORDER BY score, id) AS pos, file, '// ' || file || ':' || start_line || chr(10) || text[1:500] || chr(10) || chr(10) AS note
     FROM (SELECT id, file, start_line, text, {_L2} AS score FROM vectors, probe WHERE branch = 'develop' ORDER BY score, id LIMIT 30)),
-u AS (SELECT pos, note, (strlen(note) // 4)::BIGINT AS cost, (sum(strlen(note) // 4) OVER (ORDER BY pos))::BIGINT + (SELECT coalesce(sum(cost), 0) FROM g WHERE keep) AS used FROM h)
-SELECT 'memory' AS part, pos, note, cost FROM g WHERE keep UNION ALL SELECT 'code', pos, note, cost FROM u WHERE used <= 4096""")
+u AS (SELECT pos, note, (strlen(note) // 4)::BIGINT AS cost, (sum(strlen(note) // 4) OVER (ORDER BY pos))::BIGINT + before AS used FROM h, there WHERE NOT contains(t, '// ' || file || ':'))
+SELECT part, pos, note, cost FROM g WHERE keep UNION ALL SELECT 'code', pos, note, cost FROM u WHERE used <= 4096""")
 def build_context(spark, d):
+    """All three parts: memories, chunks of the files that they name, found by the hashing embedder, and hits."""
     from pyspark.sql import Window
 
     v, q = p.vectors(spark, d), p.probe(spark, d)
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("score", "id"))  # over a top-k result
-    m = vector.nearest(v.where("branch = 'main'"), q, 5).withColumn("pos", rank)
+    named = F.concat(F.substring("text", 1, 300), F.lit(" see src/app"), (F.col("vec_id") % 7).cast("string"), F.lit(".ts."))
+    m = cut(vector.nearest(v.where("branch = 'main'").withColumn("text", named), q, 5).withColumn("pos", rank))
     h = vector.nearest(v.where("branch = 'develop'"), q, 30).withColumn("pos", rank).withColumn("text", F.substring("text", 1, 500))
-    return context.build_context(m, h)
+    embed = lambda hints: embedding.hash_embed(hints, ["hint"], "hint").withColumnRenamed("vector", "q")
+    return context.build_context(m, h, hinted=context.hint_hits(m, v.where("branch = 'develop'"), embed))
 
 
 # chunking: the lines of each document are symbols of a class and around it
@@ -419,15 +434,20 @@ def edges_imports(spark, d):
     return parsing.import_edges(parsing.imports_of(parsing.parse(_sources(spark, d))))
 
 
-@query("""SELECT * FROM (VALUES
+@query("""WITH t(language, kind, parsed) AS (VALUES
     ('c', 'ast', false), ('c_sharp', 'ast', false), ('cpp', 'ast', false), ('css', 'raw', false), ('dart', 'ast', false), ('elixir', 'ast', false), ('go', 'ast', true),
     ('graphql', 'raw', false), ('html', 'raw', false), ('java', 'ast', true), ('javascript', 'ast', true), ('json', 'raw', false), ('kotlin', 'ast', false),
     ('less', 'raw', false), ('lua', 'ast', false), ('markdown', 'raw', false), ('php', 'ast', true), ('protobuf', 'raw', false), ('python', 'ast', true),
     ('ruby', 'ast', false), ('rust', 'ast', true), ('sass', 'raw', false), ('scala', 'ast', false), ('scss', 'raw', false), ('sql', 'raw', false),
-    ('swift', 'ast', false), ('typescript', 'ast', true), ('xml', 'raw', false), ('yaml', 'raw', false), ('zig', 'ast', false)
-) AS t(language, kind, parsed)""")
+    ('swift', 'ast', false), ('typescript', 'ast', true), ('xml', 'raw', false), ('yaml', 'raw', false), ('zig', 'ast', false)),
+p AS (SELECT page_id, (['c', 'php', 'python', 'lua', 'yaml', 'klingon', 'go', NULL])[(page_id % 8 + 1)::INT] AS language FROM pages)
+SELECT page_id, p.language, coalesce(kind, 'none') AS kind, coalesce(parsed, false) AS parsed FROM p LEFT JOIN t ON t.language = p.language""")
 def parse_support_matrix(spark, d):
-    return support_matrix(spark)
+    """How the language of each file is read: parsed, as raw text, or not at all."""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("c", "php", "python", "lua", "yaml", "klingon", "go", None)]), (F.col("page_id") % 8 + 1).cast("int"))
+    files = p.table(spark, d, "pages").select("page_id", name.alias("language"))
+    out = files.join(F.broadcast(support_matrix(spark)), "language", "left")  # thirty rows
+    return out.select("page_id", "language", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("parsed", F.lit(False)).alias("parsed"))
 
 
 # embedding
@@ -443,10 +463,17 @@ def embed_hash(spark, d):
     return out.select("doc_id", F.round(F.coalesce(F.element_at("vector", 1), F.lit(0.0)), 4).alias("v0"), F.round(F.coalesce(F.element_at("vector", 64), F.lit(0.0)), 4).alias("v63"), F.size("vector").alias("dimension"))
 
 
-@query("""SELECT * FROM (VALUES ('minilm-l6', 'all-MiniLM-L6-v2', 384::INT, 22::INT, false), ('minilm-l12', 'all-MiniLM-L12-v2', 384::INT, 33::INT, false),
-    ('bge-small', 'BAAI/bge-small-en-v1.5', 384::INT, 33::INT, false), ('bge-base', 'BAAI/bge-base-en-v1.5', 768::INT, 110::INT, false)) AS t(key, name, dimension, size_mb, cached)""")
+@query("""WITH t(key, name, dimension, size_mb, cached) AS (VALUES ('minilm-l6', 'all-MiniLM-L6-v2', 384::INT, 22::INT, false), ('minilm-l12', 'all-MiniLM-L12-v2', 384::INT, 33::INT, false),
+    ('bge-small', 'BAAI/bge-small-en-v1.5', 384::INT, 33::INT, false), ('bge-base', 'BAAI/bge-base-en-v1.5', 768::INT, 110::INT, false)),
+e AS (SELECT vec_id, (['minilm-l6', 'bge-base', 'BAAI/bge-small-en-v1.5', 'none'])[(vec_id % 4 + 1)::INT] AS model, len(embedding) * (1 + 5 * (vec_id % 3 = 0)::INT) AS size FROM embeddings)
+SELECT vec_id, model, t.key AS key, t.dimension AS dimension, coalesce(t.dimension = size, false) AS fits FROM e LEFT JOIN t ON t.key = model OR t.name = model""")
 def model_list(spark, d):
-    return embedding.model_list(spark)
+    """The model of each vector by key or name, and whether the vector has its dimension."""
+    model = F.element_at(F.array(*[F.lit(x) for x in ("minilm-l6", "bge-base", "BAAI/bge-small-en-v1.5", "none")]), (F.col("vec_id") % 4 + 1).cast("int"))
+    e = p.table(spark, d, "embeddings").select("vec_id", model.alias("model"), (F.size("embedding") * (1 + 5 * (F.col("vec_id") % 3 == 0).cast("int"))).alias("size"))
+    known = embedding.model_list(spark)
+    named = known.select(F.explode(F.array("key", "name")).alias("model"), "key", "dimension")
+    return e.join(F.broadcast(named), "model", "left").select("vec_id", "model", "key", "dimension", F.coalesce(F.col("dimension") == F.col("size"), F.lit(False)).alias("fits"))
 
 
 # indexing

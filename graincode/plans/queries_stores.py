@@ -8,14 +8,14 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graincode.operators import memory, vector
+from graincode.operators import graph, memory, vector
 from graincode.sources import point_sink, tree
 from graincode.streaming import operators as streams
 
 from . import projections as p
 from .lineage import checkpoint_folder, cut
 from .projections import SAVES, STORES, VECTORS
-from .queries_core import _L2
+from .queries_core import _L2, _TRIMMED, _graph
 from .queries_state import _MEM, _memories
 from .registry import query
 
@@ -199,3 +199,17 @@ def sync_push_batches(spark, d):
 def sync_push_stored(spark, d):
     """What the store holds after that."""
     return spark.read.parquet(_pushed(spark, d)[1]).select("id", "branch", "content_hash")
+
+
+# references of a symbol whose file is looked up among the points
+
+
+@query(f"""WITH {_TRIMMED}, {VECTORS}, located AS (SELECT 'n' || (vec_id % 30 + 10) AS stem FROM vectors, probe WHERE vec_id % 10 = 7 ORDER BY {_L2}, id LIMIT 1),
+found AS (SELECT *, 1 AS pass FROM upserted WHERE (source ILIKE '%n7%' OR target ILIKE '%n7%') AND contains(repo, 'F')
+    UNION ALL SELECT u.*, 2 FROM upserted u, located WHERE (source ILIKE '%' || stem || '%' OR target ILIKE '%' || stem || '%') AND contains(repo, 'F')),
+one AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY source_file, line, kind ORDER BY pass, ord) = 1)
+SELECT source_file, line, kind, source, target, repo, pass, (SELECT count(*) FROM one) AS total FROM one ORDER BY pass, ord LIMIT 200""")
+def get_references_located(spark, d):
+    n = F.col("vec_id")
+    points = p.vectors(spark, d).withColumns({"symbol": F.concat(F.lit("n"), (n % 10).cast("string")), "file": F.concat(F.lit("src/n"), (n % 30 + 10).cast("string"), F.lit(".md"))})
+    return graph.references(_graph(spark, d), points, p.probe(spark, d), "n7", "/repos/F/")
