@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graincode.functions.scalars import content_hash
+from graincode.functions.scalars import content_hash, deterministic_id, sha_prefix
 from graincode.operators.chunking import chunk
 from graincode.sources.changes import exclude as exclude_globs
 from graincode.sources.changes import glob_to_regex
 from graincode.operators.parsing import call_edges, import_edges, imports_of, parse, symbols_of
+from graincode.plans.lineage import cut
+from graincode.sources.store import VersionedTable
 
 
 def needs_work(files: DataFrame, known: DataFrame, full: bool = False) -> DataFrame:
@@ -31,10 +34,10 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     return own.withColumn("file", F.coalesce("_to", "file")).drop("_to")
 
 
-def index(files: DataFrame, split_raw: bool = False) -> dict[str, DataFrame]:
-    """chunks, edges, records and errors of files (file, language, content)."""
+def index(files: DataFrame, split_raw: bool = False, keep: bool = False) -> dict[str, DataFrame]:
+    """chunks, edges, records and errors of files (file, language, content). keep: what is parsed is written once, for several uses."""
     own = files.withColumn("content_hash", content_hash(F.col("content")))
-    parsed = parse(own)
+    parsed = cut(parse(own)) if keep else parse(own)
     symbols, imports = symbols_of(parsed), imports_of(parsed)
     edges = call_edges(parsed).unionByName(import_edges(imports))
     good = parsed.where("error IS NULL")
@@ -63,7 +66,7 @@ def selected(files: DataFrame, include: list[str] | None = None, exclude: list[s
     return exclude_globs(files, exclude or [], path)
 
 
-def index_repo(files: DataFrame, records: DataFrame, last: DataFrame, model: str, changes: DataFrame | None = None, incremental: bool = True, split_raw: bool = False) -> dict[str, DataFrame | str]:
+def index_repo(files: DataFrame, records: DataFrame, last: DataFrame, model: str, changes: DataFrame | None = None, incremental: bool = True, split_raw: bool = False, keep: bool = False) -> dict[str, DataFrame | str]:
     """One run over the files of a branch (file, language, content), as one plan.
 
     records (file, language, symbol_count, content_hash) is what the last run left, changes (path, status, old_path) what happened since. A full
@@ -86,7 +89,7 @@ def index_repo(files: DataFrame, records: DataFrame, last: DataFrame, model: str
         work = needs_work(files.join(touched, "file", "left_semi"), before)
         moved = changes.where("status = 'renamed'").select(F.col("old_path").alias("file"), F.col("path").alias("new_file")).distinct()
         deleted = changes.where("status = 'deleted'").select(F.col("path").alias("file"))
-    done = index(work.select("file", "language", "content"), split_raw)
+    done = index(work.select("file", "language", "content"), split_raw, keep)
     gone = deleted.union(work.select("file")).distinct()
     after = before.join(gone, "file", "left_anti").unionByName(done["records"])
     run = summary(done["chunks"], done["records"])
@@ -94,3 +97,44 @@ def index_repo(files: DataFrame, records: DataFrame, last: DataFrame, model: str
     removed = deleted.join(files.select("file"), "file", "left_anti").agg(F.count(F.lit(1)).alias("deleted_files"))
     totals = run.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(removed))  # three tables of one row
     return {"mode": mode, "chunks": done["chunks"], "edges": done["edges"], "errors": done["errors"], "removed": gone, "moved": moved, "records": after, "totals": totals}
+
+
+#: Order of chunk levels: of chunks of a file that begin in one line, and so share an id, the last stays.
+LEVELS = ("file", "class", "function", "block")
+
+
+def points_of(chunks: DataFrame, repo: str, branch: str, embed: Callable[[DataFrame], DataFrame], commit: str = "") -> DataFrame:
+    """Points of the chunks of a branch; embed gives id and vector of (id, text)."""
+    level = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level")), F.lit(0))
+    ranked = chunks.withColumns({"repo": F.lit(repo), "branch": F.lit(branch), "commit": F.lit(commit), "_rank": level})
+    ranked = ranked.withColumn("id", deterministic_id(F.col("repo"), F.col("branch"), F.col("file"), F.col("start_line")))
+    names = [c for c in ranked.columns if c not in ("id", "_rank")]
+    one = cut(ranked.groupBy("id").agg(F.max_by(F.struct(*names), F.struct("_rank", "end_line", "text")).alias("_p")).select("id", *[f"_p.{c}" for c in names]))
+    made = one.join(embed(one.select("id", "text")), "id").withColumnRenamed("level", "chunk_level")
+    return made.withColumns({"content_hash": content_hash(F.col("text")), "is_deletion": F.lit(False)})
+
+
+def rename_edges(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edges of files that have moved (repo, branch, file, new_file): their sources begin with the new path, their ids follow."""
+    own = edges.join(moves.select("repo", "branch", "file", "new_file"), ["repo", "branch", "file"], "left")
+    inside = F.col("new_file").isNotNull() & F.startswith("source", F.concat("file", F.lit("::")))
+    source = F.when(inside, F.concat("new_file", F.substring(F.col("source"), F.char_length("file") + 1, F.char_length("source")))).otherwise(F.col("source"))
+    return edge_rows(own.withColumn("source", source).withColumn("file", F.coalesce("new_file", "file")).drop("new_file"))
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """Edges (source, target, kind, repo, branch, file, line) with the id that their key gives."""
+    return edges.withColumn("id", sha_prefix(F.concat_ws(":", "source", "target", "kind", "repo", "branch", "file"), 32)).select("id", "source", "target", "kind", "repo", "branch", "file", "line")
+
+
+def store_run(run: dict[str, DataFrame | str], repo: str, branch: str, embed: Callable[[DataFrame], DataFrame], points: VersionedTable, edges: VersionedTable, records: VersionedTable, commit: str = "") -> None:
+    """Write an ``index_repo`` run (made with keep) to its stores: files that went or were parsed again lose their points and edges, moved ones
+    keep them under their new path, new ones are added. Records come last, so that a run that dies halfway is made again by the next one."""
+    at = {"repo": F.lit(repo), "branch": F.lit(branch)}
+    gone, moved = run["removed"].withColumns(at), run["moved"].withColumns(at)
+    points.replace_files(gone, moved, points_of(run["chunks"], repo, branch, embed, commit))
+    edges.replace_files(gone, moved, edge_rows(run["edges"].withColumnRenamed("source_file", "file").withColumns(at)), move=rename_edges)
+    after = run["records"].withColumns(at | {"last_commit": F.lit(commit)}).withColumn("id", sha_prefix(F.concat_ws(":", "repo", "branch", "file"), 32))
+    before = records.read()
+    left = gone.limit(0) if before is None else before.where((F.col("repo") == repo) & (F.col("branch") == branch)).join(after.select("file"), "file", "left_anti").select("repo", "branch", "file")
+    records.replace_files(left, moved.limit(0), after, move=lambda old, moves: old)

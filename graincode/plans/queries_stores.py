@@ -8,15 +8,16 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graincode.operators import graph, memory, vector
+from graincode.operators import embedding, graph, indexing, memory, vector
 from graincode.sources import point_sink, tree
+from graincode.sources.store import VersionedTable
 from graincode.streaming import operators as streams
 
 from . import projections as p
 from .lineage import checkpoint_folder, cut
 from .projections import SAVES, STORES, VECTORS
 from .queries_core import _L2, _TRIMMED, _graph
-from .queries_state import _MEM, _memories
+from .queries_state import _MEM, _memories, _sources
 from .registry import query
 
 # searches over a branch lineage: most rows of feature are deletions, so that they hide rows of develop and main
@@ -213,3 +214,32 @@ def get_references_located(spark, d):
     n = F.col("vec_id")
     points = p.vectors(spark, d).withColumns({"symbol": F.concat(F.lit("n"), (n % 10).cast("string")), "file": F.concat(F.lit("src/n"), (n % 30 + 10).cast("string"), F.lit(".md"))})
     return graph.references(_graph(spark, d), points, p.probe(spark, d), "n7", "/repos/F/")
+
+
+# index runs that end in stores: a full one, then one with files deleted, renamed and changed
+
+
+@query("""SELECT CASE WHEN p_partkey % 5 = 1 THEN 'moved/f' ELSE 'src/python/f' END || p_partkey AS file, 4::BIGINT AS points, (5 + (p_partkey % 5 = 2)::INT)::BIGINT AS edges,
+    CASE WHEN p_partkey % 5 = 1 THEN 'moved/f' ELSE 'src/python/f' END || p_partkey || '::<module>' AS first_source, (4 + (p_partkey % 5 = 2)::INT)::BIGINT AS symbols, CASE WHEN p_partkey % 5 = 2 THEN 'c2' ELSE 'c1' END AS commit
+FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 5 <> 0""")
+def index_repo_stored(spark, d):
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    stores = [VersionedTable(spark, f"{folder}/{x}", buckets=8) for x in ("points", "edges", "records")]
+    embed = lambda texts: embedding.hash_embed(texts, ["id"], "text")
+    files = _sources(spark, d).where("language = 'python'")
+    n = F.regexp_extract("file", r"(\d+)$", 1).cast("long")
+    last = "model string, last_commit string"
+    none = spark.createDataFrame([], "file string, language string, symbol_count int, content_hash string")
+    first = indexing.index_repo(files, none, spark.createDataFrame([], last), "m", keep=True)
+    indexing.store_run(first, "r", "main", embed, *stores, commit="c1")
+    path = F.when(n % 5 == 1, F.concat(F.lit("moved/f"), n.cast("string"))).otherwise(F.col("file"))
+    now = files.where(n % 5 != 0).select(path.alias("file"), "language", F.when(n % 5 == 2, F.concat("content", F.lit("\ndef extra():\n    helper(1)\n"))).otherwise(F.col("content")).alias("content"))
+    status = F.when(n % 5 == 0, "deleted").when(n % 5 == 1, "renamed").otherwise("modified")
+    changes = files.where(n % 5 < 3).select(path.alias("path"), status.alias("status"), F.when(n % 5 == 1, F.col("file")).alias("old_path"))
+    known = stores[2].read().select("file", "language", "symbol_count", "content_hash")
+    second = indexing.index_repo(now, known, spark.createDataFrame([("m", "c1")], last), "m", changes, keep=True)
+    indexing.store_run(second, "r", "main", embed, *stores, commit="c2")
+    points, edges, records = (s.read() for s in stores)
+    out = points.groupBy("file").agg(F.count(F.lit(1)).alias("points"), F.max("commit").alias("commit"))
+    out = out.join(edges.groupBy("file").agg(F.count(F.lit(1)).alias("edges"), F.min("source").alias("first_source")), "file", "full")
+    return out.join(records.select("file", F.col("symbol_count").cast("long").alias("symbols")), "file", "full").select("file", "points", "edges", "first_source", "symbols", "commit")

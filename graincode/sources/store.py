@@ -157,6 +157,13 @@ class VersionedTable:
     def rename_files(self, renames: DataFrame) -> None:
         self._change(renames, lambda old: rename_files(old, renames))
 
+    def replace_files(self, gone: DataFrame, moves: DataFrame, new: DataFrame, order: str | None = None, move: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
+        """One version in which files (repo, branch, file) are gone, others have moved (with new_file), and new rows are there."""
+        keys = list(self.keys)
+        touched = gone.select(*keys).union(moves.select(*keys)).union(new.select(*keys))
+        schema = None if self._manifest()[1] else with_defaults(new).drop(*[order] if order else []).schema
+        self._change(touched, lambda old: upsert((move or rename_files)(delete_files(old, gone), moves), new, order), schema)
+
     def drop(self) -> None:
         fs, at = self._at("")
         fs.delete(at, True)
