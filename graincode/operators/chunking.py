@@ -66,13 +66,13 @@ def symbol_chunks(symbols: DataFrame) -> DataFrame:
     return symbols.select("file", F.lit("function").alias("level"), F.col("name").alias("symbol"), F.col("kind").alias("symbol_type"), "start_line", "end_line", text.alias("text"))
 
 
-def _split_points(lines: Column, tokens: Column) -> Column:
-    """Ends of the blocks: about n / (tokens / MAX_TOKENS) lines each, pulled to a blank line near the end."""
-    n = F.size(lines)
+def _split_points(blanks: Column, tokens: Column) -> Column:
+    """Ends of the blocks: about n / (tokens / MAX_TOKENS) lines each, pulled to a blank line near the end. blanks: whether each line is blank."""
+    n = F.size(blanks)
     parts = F.greatest(F.lit(1), F.floor(tokens / MAX_TOKENS).cast("int"))
     target = F.greatest(F.lit(10), F.floor(n / parts).cast("int"))
     reach = F.least(F.lit(5), F.floor(target / 3).cast("int"))
-    blank = lambda i: F.coalesce(F.try_element_at(lines, i + 1).rlike(r"(?U)^\s*$"), F.lit(False))
+    blank = lambda i: F.coalesce(F.try_element_at(blanks, i + 1), F.lit(False))
 
     def step(acc: Column, _: Column) -> Column:
         start = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
@@ -89,12 +89,18 @@ def _split_points(lines: Column, tokens: Column) -> Column:
 def split_large(symbols: DataFrame) -> DataFrame:
     """Blocks of symbols; a symbol of one line is one chunk."""
     own = symbols.withColumn("_lines", F.split("code", "\n", -1))
-    many = own.where(F.size("_lines") > 1).withColumn("_ends", _split_points(F.col("_lines"), token_estimate(F.col("code"))))
-    at = many.select("*", F.posexplode("_ends").alias("part", "to")).withColumn("_from", F.when(F.col("part") == 0, 0).otherwise(F.try_element_at("_ends", F.col("part"))))
-    body = F.array_join(F.slice("_lines", F.col("_from") + 1, F.col("to") - F.col("_from")), "\n")
+    many = own.where(F.size("_lines") > 1).withColumn("_blank", F.transform("_lines", lambda x: x.rlike(r"(?U)^\s*$")))
+    many = many.withColumn("_ends", _split_points(F.col("_blank"), token_estimate(F.col("code"))))
+
+    def block(to: Column, part: Column) -> Column:
+        start = F.when(part == 0, 0).otherwise(F.try_element_at("_ends", part))
+        return F.struct(part.alias("part"), start.alias("_from"), to.alias("to"), F.array_join(F.slice("_lines", start + 1, to - start), "\n").alias("body"))
+
+    kept = ["file", "parent", "name", "kind", "start_line"]
+    at = many.select(*kept, F.element_at("_lines", 1).alias("_line"), F.inline(F.transform("_ends", block)))  # only a block's own text goes on
     head = _header(F.lit(" > "), F.col("name"))
-    first = F.concat(F.lit("# "), head, F.lit("\n"), body)
-    later = F.concat(F.lit("# "), head, F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")\n"), F.element_at("_lines", 1), F.lit("\n# ...\n"), body)
+    first = F.concat(F.lit("# "), head, F.lit("\n"), "body")
+    later = F.concat(F.lit("# "), head, F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(")\n"), "_line", F.lit("\n# ...\n"), "body")
     blocks = at.select(
         "file", F.lit("block").alias("level"), F.concat("name", F.lit("["), F.col("part").cast("string"), F.lit("]")).alias("symbol"), F.col("kind").alias("symbol_type"),
         (F.col("start_line") + F.col("_from")).cast("int").alias("start_line"), (F.col("start_line") + F.col("to") - 1).cast("int").alias("end_line"),
