@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import file_stem, repo_name, trim_slashes
 from graincode.operators.vector import nearest
-from graincode.plans.lineage import broadcast_if, cut
+from graincode.functions.shared import broadcast_if, cut
 
 KEY = ["source", "target", "kind", "repo", "branch", "source_file"]
 
@@ -88,24 +88,73 @@ def references(edges: DataFrame, points: DataFrame, query: DataFrame, symbol: st
     return get_references(own.withColumn("repo", repo_name(F.col("repo"))), symbol, locate(points, query, symbol), name, order)
 
 
-def subgraph(edges: DataFrame, symbol: str, depth: int = 2) -> DataFrame:
-    """Edges met by breadth-first rounds in both directions, with the round (an edge may be met again in a later one).
+def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges one end of which is among nodes (node), each once: semi-joins, which Spark makes before edges are folded or shuffled."""
+    near = broadcast_if(nodes.select("node"))
+    out = edges.join(near.select(F.col("node").alias("source")), "source", "left_semi")
+    return out.unionByName(edges.join(near.select(F.col("node").alias("target")), "target", "left_semi").join(near.select(F.col("node").alias("source")), "source", "left_anti")).select(*edges.columns)
 
-    The first round is a filter. A later one scans the edges once, against the frontier (nodes that the round before met first), which is
-    broadcast if it is counted to be small enough; what a round finds is written once, and read for the next frontier and for the result.
-    """
-    touched = edges.where((F.col("source") == symbol) | (F.col("target") == symbol)).withColumn("round", F.lit(1))
-    seen, out = edges.sparkSession.range(1).select(F.lit(symbol).alias("node")), None
+
+def _rounds(touch, spark: SparkSession, symbol: str, depth: int) -> DataFrame:
+    """Breadth-first rounds: touch gives the edges at a frontier, a frame of nodes that the round before met first."""
+    frontier = spark.createDataFrame([(symbol,)], "node string")
+    seen, out = frontier, None
     for step in range(1, depth + 1):
-        if step > 1:
-            near = broadcast_if(frontier)
-            ends = [near.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}")) for c in ("source", "target")]
-            met = edges.join(ends[0], "source", "left").join(ends[1], "target", "left").where("_source OR _target")
-            touched = met.select(*edges.columns, F.lit(step).alias("round"))
+        touched = touch(frontier).withColumn("round", F.lit(step))
         if step < depth:
             touched = cut(touched)
             reached = touched.select(F.explode(F.array("source", "target")).alias("node")).distinct()
             frontier = cut(reached.join(seen, "node", "left_anti"))
-            seen = seen.unionByName(frontier)
+            seen = cut(seen.unionByName(frontier))
         out = touched if out is None else out.unionByName(touched)
     return out
+
+
+def subgraph(edges: DataFrame, symbol: str, depth: int = 2) -> DataFrame:
+    """Edges met by breadth-first rounds in both directions, with the round (an edge may be met again in a later one).
+
+    The first round is a filter, later ones meet the frontier, which is broadcast if it is counted to be small enough; what a round
+    finds is written once, and read for the next frontier and for the result.
+    """
+
+    def touch(frontier: DataFrame) -> DataFrame:
+        first = frontier.head(2)
+        if len(first) == 1:
+            return edges.where((F.col("source") == first[0]["node"]) | (F.col("target") == first[0]["node"]))
+        return touching(edges, frontier)
+
+    return _rounds(touch, edges.sparkSession, symbol, depth)
+
+
+class Adjacency:
+    """Edges stored by node, in buckets of both ends, so that a round reads the buckets of its frontier alone.
+
+    Every edge is in the folder of its source's bucket and in that of its target's. A round asks for the buckets that the frontier falls into, at most
+    ``buckets`` numbers, and for the nodes in them; an edge both ends of which are in the frontier is told by its source.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self, node: str) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(self.buckets)).cast("int")
+
+    def write(self, edges: DataFrame) -> None:
+        ends = F.array(F.struct(F.col("source").alias("node"), F.lit("source").alias("end")), F.struct(F.col("target").alias("node"), F.lit("target").alias("end")))
+        rows = edges.withColumn("_e", F.explode(ends)).select("_e.*", *edges.columns).withColumn("bucket", self._bucket("node"))
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "node").write.partitionBy("bucket").mode("overwrite").parquet(self.path)
+
+    def touching(self, nodes: DataFrame) -> DataFrame:
+        """Edges one end of which is among nodes, each once."""
+        own = nodes.select("node").withColumn("bucket", self._bucket("node"))
+        places = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # at most self.buckets
+        near = broadcast_if(own)
+        rows = self.spark.read.parquet(self.path).where(F.col("bucket").isin(places))
+        found = rows.join(near, ["bucket", "node"], "left_semi")
+        twice = near.select(F.col("node").alias("source"))
+        out = found.where("end = 'source'").unionByName(found.where("end = 'target'").join(twice, "source", "left_anti"))
+        return out.drop("bucket", "node", "end")
+
+    def subgraph(self, symbol: str, depth: int = 2) -> DataFrame:
+        """As ``subgraph`` of the stored edges."""
+        return _rounds(self.touching, self.spark, symbol, depth)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import repo_name, trim_slashes
-from graincode.plans.lineage import cut
+from graincode.functions.shared import cut
 
 
 def last_records(state: DataFrame) -> DataFrame:

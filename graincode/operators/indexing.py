@@ -13,7 +13,7 @@ from graincode.operators.chunking import chunk
 from graincode.sources.changes import exclude as exclude_globs
 from graincode.sources.changes import glob_to_regex
 from graincode.operators.parsing import call_edges, import_edges, imports_of, parse, symbols_of
-from graincode.plans.lineage import cut
+from graincode.functions.shared import cut
 from graincode.sources.store import VersionedTable
 
 

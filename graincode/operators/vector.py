@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import cosine, squared_l2
-from graincode.plans.lineage import broadcast_if, cut
+from graincode.functions.shared import broadcast_if, cut
 
 #: What counts as a symbol for read_symbol.
 SYMBOL_TYPES = ("function", "method", "class", "struct", "interface", "enum")

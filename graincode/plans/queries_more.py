@@ -10,7 +10,7 @@ from graincode.sources import config, repository
 from graincode.streaming import operators as streams
 
 from . import projections as p
-from .lineage import checkpoint_folder
+from graincode.functions.shared import checkpoint_folder
 from .projections import FILES, SAVES, STORES, VECTORS
 from .queries_core import _L2
 from .queries_state import _MEM, _memories, _sources

@@ -10,7 +10,7 @@ from graincode.sources.languages import support_matrix
 from graincode.streaming import operators as streams
 
 from . import projections as p
-from .lineage import checkpoint_folder, cut
+from graincode.functions.shared import checkpoint_folder, cut
 from .projections import FILES, INDEX_STATE, SAVES, STORES, VECTORS
 from .queries_core import _L2
 from .registry import query

@@ -14,11 +14,11 @@ from graincode.sources.store import VersionedTable
 from graincode.streaming import operators as streams
 
 from . import projections as p
-from .lineage import checkpoint_folder, cut
+from graincode.functions.shared import checkpoint_folder, cut
 from .projections import SAVES, STORES, VECTORS
 from .queries_core import _L2, _TRIMMED, _graph
 from .queries_state import _MEM, _memories, _sources
-from .registry import query
+from .registry import ORACLES, query
 
 # searches over a branch lineage: most rows of feature are deletions, so that they hide rows of develop and main
 
@@ -243,3 +243,13 @@ def index_repo_stored(spark, d):
     out = points.groupBy("file").agg(F.count(F.lit(1)).alias("points"), F.max("commit").alias("commit"))
     out = out.join(edges.groupBy("file").agg(F.count(F.lit(1)).alias("edges"), F.min("source").alias("first_source")), "file", "full")
     return out.join(records.select("file", F.col("symbol_count").cast("long").alias("symbols")), "file", "full").select("file", "points", "edges", "first_source", "symbols", "commit")
+
+
+# the neighbourhood of a symbol over stored adjacency
+
+
+@query(ORACLES["graph_subgraph"])
+def graph_subgraph_stored(spark, d):
+    own = graph.Adjacency(spark, f"{checkpoint_folder(spark)}/adjacency-{uuid.uuid4().hex}")
+    own.write(_graph(spark, d).select(*graph.KEY, "line"))
+    return own.subgraph("n7", 2).select(*graph.KEY, "line", "round")
