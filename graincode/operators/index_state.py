@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graincode.functions.scalars import repo_name, trim_slashes
 from graincode.functions.shared import cut
+from graincode.operators.graph import references
+from graincode.operators.vector import read_symbol, where_metadata
 
 
 def last_records(state: DataFrame) -> DataFrame:
@@ -82,7 +84,10 @@ def recent_events(events: DataFrame, limit: int = 50) -> DataFrame:
 
 
 class ActiveContext:
-    """The repo and branch that a session works in: defaults for what is not given. Searches and context assembly do not use it."""
+    """The repo and branch that a session works in: defaults, for what is not given, of index status, symbol look-up and references.
+
+    Searches and context assembly do not use it.
+    """
 
     def __init__(self, repo: str | None = None, branch: str | None = None):
         self.repo, self.branch = repo, branch
@@ -95,6 +100,12 @@ class ActiveContext:
     def status(self, state: DataFrame, repo: str | None = None, branch: str | None = None) -> DataFrame:
         return status(state, repo or self.repo, branch or self.branch)
 
+    def read_symbol(self, points: DataFrame, query: DataFrame, name: str, repo: str | None = None, branch: str | None = None) -> DataFrame:
+        return read_symbol(where_metadata(points, repo=repo or self.repo, branch=branch or self.branch), query, name)
+
+    def references(self, edges: DataFrame, points: DataFrame, query: DataFrame, symbol: str, repo: str | None = None, branch: str | None = None, order: str = "ord") -> DataFrame:
+        return references(edges, points, query, symbol, repo or self.repo or "", branch or self.branch, order)
+
 
 def put_records(records: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo", "branch", "file")) -> DataFrame:
     """File records after new ones replace those of their keys."""

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graincode.sources import tree
 from graincode.sources.changes import dirty, from_status, full_listing
 
 #: Branches that can be the root of a lineage, in order; seconds that a command may take.
@@ -70,10 +71,16 @@ class Repository:
                 next(fields)  # the old path
         return State(self.run("rev-parse", "HEAD").strip(), branch, branch == "HEAD", tuple(short))
 
+    def files(self, spark: SparkSession, commit: str | None = None, content: bool = True) -> DataFrame:
+        """path, bytes and content of all files of the working tree, or of a commit: listed and read by tasks, in ranges of paths."""
+        tree.register(spark)
+        options = {"content": str(content).lower()} | ({"commit": commit} if commit else {})
+        return spark.read.format(tree.TreeSource.name()).options(**options).load(self.path)
+
     def changes(self, spark: SparkSession, old: str | None, new: str = "HEAD") -> DataFrame:
         """path, status, old_path between two commits; without an old one every tracked path is added."""
         if old is None:
-            return full_listing(self._paths(spark, "ls-tree", "-r", "-z", "--name-only", new))
+            return full_listing(self.files(spark, new, content=False))
         return self._diff(spark, old, new)
 
     def uncommitted(self, spark: SparkSession) -> DataFrame:

@@ -382,6 +382,8 @@ def test_real_repository(spark, tmp_path):
     git("commit", "-q", "-m", "two")
     assert {tuple(x)[:2] for x in r.changes(spark, "HEAD~1").collect()} == {("new name.py", "renamed"), ("é.py", "modified"), ("new/deep/f é.py", "added")}
     assert r.content("é.py", "HEAD~1") == "é.py" * 20
+    assert {x["path"]: x["content"] for x in r.files(spark, "HEAD~1").collect()} == {n: n * 20 for n in names}
+    assert {x["path"]: x["content"] for x in r.files(spark).collect()}["é.py"] == "changed"
 
 
 def test_hybrid_store_waits_and_flushes(spark, tmp_path, monkeypatch):
@@ -419,7 +421,7 @@ def test_settings(tmp_path):
 
 def test_repository(spark, tmp_path):
     said = {"rev-parse --abbrev-ref HEAD": "topic\n", "rev-parse HEAD": "c1\n", "status --porcelain -z -u": " M a.py\0?? n.txt\0R  y\0x\0", "rev-parse --verify main": "c0\n", "merge-base topic main": "c0\n",
-            "ls-tree -r -z --name-only HEAD": "a.py\0b.py\0", "diff --name-status -z -M c0 HEAD": "M\0a.py\0R100\0x\0y\0", "diff --name-status -z -M HEAD": "D\0b.py\0", "ls-files -z --others --exclude-standard": "n.txt\0", "show c1:a.py": "text"}
+            "diff --name-status -z -M c0 HEAD": "M\0a.py\0R100\0x\0y\0", "diff --name-status -z -M HEAD": "D\0b.py\0", "ls-files -z --others --exclude-standard": "n.txt\0", "show c1:a.py": "text"}
 
     def run(*args):
         if " ".join(args) not in said:
@@ -429,7 +431,6 @@ def test_repository(spark, tmp_path):
     r = repository.Repository("/x", run)
     assert r.state() == repository.State("c1", "topic", False, ("a.py", "n.txt", "y"))
     rows = lambda df: {tuple(x) for x in df.collect()}
-    assert rows(r.changes(spark, None)) == {("a.py", "added", None), ("b.py", "added", None)}
     assert rows(r.changes(spark, "c0")) == {("a.py", "modified", None), ("y", "renamed", "x")}
     assert rows(r.uncommitted(spark)) == {("b.py", "deleted", None), ("n.txt", "added", None)}
     assert r.content("a.py", "c1") == "text" and r.content("z", "c1") is None
@@ -476,6 +477,39 @@ def test_active_context(spark):
     assert (now.repo, now.branch) == ("r", "c") and (now.switch("s").repo, now.branch) == ("s", "c")
 
 
+def test_active_context_of_symbols(spark):
+    rows = [("1", "a", "main", "src/n5.py", "f", "function", [0.0]), ("2", "a", "dev", "src/n6.py", "f", "function", [0.1]), ("3", "b", "main", "src/n7.py", "f", "function", [0.2])]
+    points = spark.createDataFrame(rows, "id string, repo string, branch string, file string, symbol string, symbol_type string, vector array<double>")
+    edges = spark.createDataFrame([("x::f", "y", "calls", r, b, f"{r}{b}", k, k) for k, (r, b) in enumerate([("/p/a", "main"), ("/p/a", "dev"), ("/p/b", "main")])] + [("z", "./n6", "imports", "/p/a", "dev", "w", 9, 9)],
+                                  "source string, target string, kind string, repo string, branch string, source_file string, line int, ord int")
+    query, own = spark.createDataFrame([([0.0],)], "q array<double>"), index_state.ActiveContext("a", "dev")
+    assert own.read_symbol(points, query, "F").first()["id"] == "2" and own.read_symbol(points, query, "f", "b", "main").first()["id"] == "3"
+    seen = lambda df: {r["source_file"] for r in df.collect()}
+    assert seen(own.references(edges, points.where("branch = 'dev'"), query, "f")) == {"/p/adev", "w"}
+    assert seen(own.references(edges, points, query, "f", "/p/b/", "main")) == {"/p/bmain"}
+    assert seen(index_state.ActiveContext().references(edges, points, query, "f")) == {"/p/amain", "/p/adev", "/p/bmain"}
+
+
+def test_adjacency(spark, tmp_path):
+    """The rows of the rounds over all edges, with edges between nodes of a frontier, loops and repeated edges, from the frontier's buckets alone."""
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", i) for i in range(60)] + [("n1", "n1", 99), ("n1", "n2", 98), ("n1", "n2", 98)]
+    edges = spark.createDataFrame(rows, "source string, target string, line int")
+    own = graph.Adjacency(spark, str(tmp_path / "adj"), buckets=8)
+    own.write(edges)
+    plain, seen, front = Counter(), {"n1"}, {"n1"}
+    for step in (1, 2, 3):
+        met = [r for r in rows if r[0] in front or r[1] in front]
+        plain.update((*r, step) for r in met)
+        front = {x for r in met for x in r[:2]} - seen
+        seen |= front
+    for found in (own.subgraph("n1", 3), graph.subgraph(edges, "n1", 3)):
+        assert Counter(tuple(r) for r in found.collect()) == plain
+    assert own.subgraph("nothing", 2).count() == graph.subgraph(edges, "nothing", 2).count() == 0
+    one = own.touching(spark.createDataFrame([("n1",)], "node string"))
+    assert "PartitionFilters: [" in one._jdf.queryExecution().toString() and "bucket" in one._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_sessions(spark):
     kinds = "owner long, session string, started long, ended long"
     had = spark.createDataFrame([(1, "a", 1, None), (1, "b", 0, 1), (2, "c", 1, None)], kinds)
