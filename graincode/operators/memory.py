@@ -8,12 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from graincode.functions.scalars import auto_title, normalized_hash
+from graincode.functions.shared import cut
 
 #: Fixed value: seconds from the first save during which equal saves are duplicates of it.
 DEDUP_SECONDS = 900
@@ -71,6 +72,57 @@ def _anchor_rows(keys: list[tuple], found: list[tuple[int, int]], schema: pa.Sch
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _same(keys: list[str], *more: str) -> Column:
+    """Whether the frames named l and r agree in keys, nulls too, and in more columns."""
+    return reduce(Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col(f"l.{c}") == F.col(f"r.{c}") for c in more])
+
+
+def anchors_spread(saves: DataFrame, keys: list[str], seconds: int = DEDUP_SECONDS, time: str = "us") -> DataFrame:
+    """As ``anchors``, for keys too large for one task: the work of a key is spread over slots of time as long as a window.
+
+    Every time points to the first one that is a window or more behind it, which lies in the next slot or is the first after that. Times after a pause of a
+    window are anchors whatever came before; from these, pointers of doubling length mark the rest in as many rounds as the longest chain has
+    binary digits. A round joins by key and time, so that no key is hot; what a round makes is written to the shared folder.
+    """
+    gap = seconds * 1_000_000
+    slot = lambda c: F.floor(F.col(c) / gap).cast("long")
+    times = cut(saves.groupBy(*keys, F.col(time).cast("long").alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.floor(F.col("t") / gap).cast("long")))
+    in_slot = lambda *order: Window.partitionBy(*keys, "slot").orderBy(*order)
+    edges = cut(times.groupBy(*keys, "slot").agg(F.min("t").alias("first"), F.max("t").alias("last")))
+    # the pointer of each time
+    probes = times.select(*keys, (F.col("t") + gap).alias("at"), F.lit(1).alias("kind"), "t").withColumn("slot", slot("at"))
+    both = times.select(*keys, F.col("t").alias("at"), F.lit(0).alias("kind"), "t", "slot").unionByName(probes)
+    there = F.min(F.when(F.col("kind") == 0, F.col("at"))).over(in_slot(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("there", there).where("kind = 1").select(*keys, "slot", "t", "there")
+    slots = edges.select(*keys, "slot", "first").unionByName(edges.select(*keys, (F.col("slot") + 1).alias("slot"), F.lit(None).cast("long").alias("first")))
+    slots = slots.groupBy(*keys, "slot").agg(F.min("first").alias("first"))
+    later = F.min("first").over(Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.select(*keys, "slot", later.alias("later"))  # of a key as many as it has slots, whatever its saves
+    jump = near.alias("l").join(slots.alias("r"), _same(keys, "slot"), "left").select(*[f"l.{k}" for k in keys], "l.t", F.coalesce("l.there", "r.later").alias("to"))
+    jump = cut(jump.where("to IS NOT NULL"))
+    # times after a pause
+    before = edges.select(*keys, (F.col("slot") + 1).alias("slot"), F.col("last").alias("end"))
+    own = times.withColumn("_prev", F.lag("t").over(in_slot("t")))
+    heads = own.alias("l").join(before.alias("r"), _same(keys, "slot"), "left").where(F.coalesce(F.col("l.t") - F.coalesce("l._prev", "r.end") >= gap, F.lit(True)))
+    marked = cut(heads.select(*[f"l.{k}" for k in keys], "l.t"))
+    count = marked.count()
+    while True:
+        met = marked.alias("l").join(jump.alias("r"), _same(keys, "t")).select(*[f"l.{k}" for k in keys], F.col("r.to").alias("t"))
+        marked = cut(marked.unionByName(met).distinct())
+        last, count = count, marked.count()
+        if count == last:
+            break
+        farther = jump.select(*keys, F.col("t").alias("to"), F.col("to").alias("far"))
+        jump = cut(jump.alias("l").join(farther.alias("r"), _same(keys, "to")).select(*[f"l.{k}" for k in keys], "l.t", F.col("r.far").alias("to")))
+    # every time goes to the last anchor before it
+    points = marked.withColumns({"slot": slot("t"), "anchor": F.col("t"), "n": F.lit(0).cast("long")})
+    ends = points.groupBy(*keys, (F.col("slot") + 1).alias("slot")).agg(F.max("anchor").alias("carried"))
+    rows = times.withColumn("anchor", F.lit(None).cast("long")).unionByName(points)
+    found = rows.withColumn("anchor", F.last("anchor", ignorenulls=True).over(in_slot("t", F.col("anchor").isNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    given = found.alias("l").join(ends.alias("r"), _same(keys, "slot"), "left").select(*[f"l.{k}" for k in keys], F.coalesce("l.anchor", "r.carried").alias("anchor"), "l.n")
+    return given.groupBy(*keys, "anchor").agg(F.sum("n").alias("n"))
+
+
 #: A row of the fold. first_event made it, content_event gave the content that it has now; changed tells rows that the saves made or changed.
 _FOLD = "project string, scope string, row long, first_event long, content_event long, hash string, topic_key string, created long, updated long, revision long, duplicates long, changed boolean"
 _FOLD_NAMES = [c.split()[0] for c in _FOLD.split(", ")]

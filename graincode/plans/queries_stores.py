@@ -90,6 +90,12 @@ def mem_orphan_vectors(spark, d):
     return gone.join(after, "vector_id", "left_anti").unionByName(memory.orphan_vectors(late, after, first)).distinct()
 
 
+@query(ORACLES["mem_anchor_dedup"])
+def mem_anchor_spread(spark, d):
+    """The rows of mem_anchor_dedup, each key spread over tasks."""
+    return memory.anchors_spread(p.saves(spark, d), ["project"], 6 * 3600)
+
+
 @query(f"""WITH {_MEM} SELECT memory_id, CASE WHEN memory_id % 7 = 0 THEN 'x' ELSE 'a,b' END AS tags, CASE WHEN memory_id % 21 = 0 THEN 'f.py' ELSE '' END AS files,
     CASE WHEN memory_id % 14 = 0 THEN 'moved' ELSE topic_key END AS topic_key, CASE WHEN memory_id % 7 = 0 THEN 2 ELSE 1 END::INT AS revision FROM memories""")
 def mem_update_fields(spark, d):

@@ -84,6 +84,18 @@ def test_anchors_stream_through_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_anchors_spread_over_tasks(spark, seed):
+    """Long chains, pauses, times at the very end of a window, equal times and null keys."""
+    rng = random.Random(seed)
+    rows = [("hot", rng.randrange(0, 200_000) * 10**6) for _ in range(1500)] + [("edge", k * 900 * 10**6) for k in range(40)] + [("edge", 900 * 10**6 - 1), ("x", -5), ("x", -5), (None, 7)]
+    rows += [("pause", t * 10**6) for t in (0, 899, 900, 1799, 1800, 10_000, 10_899, 50_000)]
+    saves = spark.createDataFrame(rows, "k string, us long")
+    got = memory.anchors_spread(saves, ["k"])
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in memory.anchors(saves, ["k"]).collect())
+    assert memory.anchors_spread(saves.limit(0), ["k"]).count() == 0
+
+
 def test_stream_with_timers(spark, tmp_path):
     """Saves up to 30 minutes out of order over four micro-batches: the rows of the batch form, each once, and no state left."""
     rng = random.Random(3)
