@@ -105,7 +105,7 @@ def test_stream_with_timers(spark, tmp_path):
     got = streams.run_anchor_stream(streams.replay(saves, str(tmp_path), F.col("comes"), 4), ["project"], str(tmp_path), "30 minutes")
     assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in memory.anchors(saves, ["project"]).collect())
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
-    (state,) = glob.glob(str(tmp_path / "anchors-*" / "state"))
+    (state,) = glob.glob(str(tmp_path / "run-*" / "state"))
     with streams.rocksdb_state(spark):
         assert spark.read.format("statestore").option("path", state).option("stateVarName", "open").load().count() == 0
 
