@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,16 +71,41 @@ def test_substring_dedup(spark, window):
     assert Counter(tuple(r) for r in got.collect()) == plain_substring(list(zip(ids, texts)), window)
 
 
-@pytest.mark.parametrize("setting, value", [("sketch_bits", lambda *_: 8), ("MAX_BITS", 0)])
-def test_substring_dedup_full_or_dealt_sketch(spark, monkeypatch, setting, value):
-    """A full sketch loses nothing, and neither does one that is a table dealt by anchor."""
-    monkeypatch.setattr(substring_dedup, setting, value)
+SKETCHES = {
+    "full": {"sketch_bits": lambda *_: 8},
+    "four ranges": {"sketch_bits": lambda *_: 24},
+    "dealt": {"MAX_BITS": 0},
+    "four ranges dealt, full, to several tasks": {"sketch_bits": lambda *_: 24, "MAX_BITS": 0, "DEAL": 100},
+    "hot windows": {"HOT_ROWS": 1},
+}
+
+
+@pytest.mark.parametrize("settings", SKETCHES.values(), ids=SKETCHES)
+def test_substring_dedup_by_any_sketch(spark, monkeypatch, settings):
+    """A full sketch loses nothing, and neither do ranges, a sketch that stays where it is, and windows that are broadcast."""
+    for name, value in settings.items():
+        monkeypatch.setattr(substring_dedup, name, value)
     texts = [prose(k % 40, 200, 1000) for k in range(80)] + [*corpus(), None, "q " * 70]
     ids = [*range(len(texts) - 2), 4, None]
     got = substring_dedup.remove_repeated_spans(frame(spark, texts, ids), 50)
     assert Counter(tuple(r) for r in got.collect()) == plain_substring(list(zip(ids, texts)), 50)
 
 
+@pytest.mark.parametrize("bits", [16, 23])
+def test_dealt_sketch_estimates(spark, monkeypatch, bits):
+    """The merged sketch decides which anchors count as repeated, beyond the broadcast too: none is lost, and few that are met once pass."""
+    monkeypatch.setattr(substring_dedup, "DEAL", 500)
+    texts = [prose(k, 300, 100_000) for k in range(300)] + [prose(k, 300, 100_000) for k in range(30)]
+    slim = frame(spark, texts).select(F.col("doc_id").cast("long").alias("doc"), "text").repartition(5)
+    own = [r for b in [pa.record_batch({"doc": range(len(texts)), "text": texts})] for part in substring_dedup._own_anchors(50, bits)(iter([b])) for r in part.column(2).to_pylist()]
+    met = Counter(own)
+    repeated = {x for x, n in met.items() if n > 1}
+    est = [r.anchor for r in substring_dedup._estimated(slim, 50, bits).collect()]
+    wrong = [x for x in est if x not in repeated]
+    assert Counter(x for x in est if x in repeated) == {x: met[x] for x in repeated}
+    assert len(wrong) <= (len(met) - len(repeated)) / 100
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.remove_repeated_spans(frame(spark, [])).count() == 0
 
