@@ -263,10 +263,14 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, ids (array<int>) and round_trip (whether decoding the ids gives the text again), which replace columns of these names."""
+def encode_checked(docs: DataFrame, vocabulary: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with n_tokens, ids (array<int>) and round_trip (whether decoding the ids gives the text again), which replace columns of these names.
+
+    Without keep_text the text goes to Python once and does not come back.
+    """
     text_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name.lower() not in ("n_tokens", "ids", "round_trip")]
+    gone = {"n_tokens", "ids", "round_trip"} | (set() if keep_text else {text_col.lower()})
+    kept = [f for f in docs.schema.fields if f.name.lower() not in gone]
     text, n = F.col(f"`{text_col}`").cast("string").alias("_text"), len(kept)  # the text to encode goes last, whatever it is called
 
     def run(batches):
