@@ -3,7 +3,8 @@
 quality: documents that the classifier rejects (score under 0.3) leave. lines: lines found in ten documents or more leave, text
 and n_chars follow (a null text stays null). near_dedup: one document of each group of near duplicates stays, the one of the
 smallest id; near means that the sets of five-word shingles have a Jaccard similarity of 0.8 or more. decontaminate: documents
-that hold a window of ten words of the benchmark leave. tokens: byte-level BPE ids.
+that hold a window of ten words of the benchmark leave. tokens: n_tokens, byte-level BPE ids and whether they decode to the text
+(round_trip) take the place of the text, and of columns of these names; all other columns stay.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_checked(docs.select("doc_id", "text", "lang", "source"), vocabulary_path()).drop("text")
+    return encode_checked(docs, vocabulary_path(), keep_text=False)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokens", tokens)]
