@@ -91,7 +91,7 @@ def plain_pipeline(rows, items, machine):
     out = {}
     for i, t in texts:
         ids = lib.encode(t or "", add_special_tokens=False).ids
-        out[i] = (own[i][2], own[i][3], len(ids), ids, True)
+        out[i] = (own[i][2], own[i][3], len(ids), ids, True, own[i][4] if own[i][1] == t else len(t))
     return stages, common, out
 
 
@@ -109,7 +109,7 @@ def test_run_equals_plain_python(spark, tmp_path, monkeypatch):
     assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > sizes[4] > 20 and common == {"common line here"}, (sizes, common)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(got) == len(want)
-    assert {r["doc_id"]: (r["lang"], r["source"], r["n_tokens"], list(r["ids"]), r["round_trip"]) for r in got} == want
+    assert {r["doc_id"]: (r["lang"], r["source"], r["n_tokens"], list(r["ids"]), r["round_trip"], r["n_chars"]) for r in got} == want
 
 
 def spark_column(frame, name):
@@ -136,9 +136,13 @@ def test_odd_rows(spark, monkeypatch, name):
 
         lib = Tokenizer.from_file(plain.VOCABULARY)
         ids = [tuple(lib.encode(r[1] or "", add_special_tokens=False).ids) for r in ODD]
-        want = [(r[0], r[2], r[3], len(x), x, True) for r, x in zip(ODD, ids)]
-        rows = [(r["doc_id"], r["lang"], r["source"], r["n_tokens"], tuple(r["ids"]), r["round_trip"]) for r in got.collect()]
+        made = ["n_tokens", "ids", "round_trip"]
+        others = [(c, v) for c, v in CLASH if c.lower() not in made]
+        want = [(r[0], *r[2:], *(v for _, v in others), len(x), x, True) for r, x in zip(ODD, ids)]
+        rows = [tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in got.collect()]
         assert Counter(rows) == Counter(want)
+        assert got.columns == [c for c in docs.columns if c.lower() not in ("text", *made)] + made
+        assert {r["n_tokens"] for r in stage(spark, docs.select("doc_id", "text"), SF).collect()} == {len(x) for x in ids}
     else:
         extra = tuple(v for _, v in CLASH)
         want = Counter((*r, *extra) for r in (ODD[:4] if name == "near_dedup" else ODD))
