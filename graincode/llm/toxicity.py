@@ -1,12 +1,14 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Method: five transducers. A letter transducer reads a word and writes INSULT or THREAT with the term's weight, or TARGET, INTENT, NEGATION, REPORT or
-OTHER. Over a clause, negation marks what follows within ``SCOPE`` words, reported speech the rest of the clause, intent the
-threats after it, and a target, which reads the clause in both directions, every insult and threat of it. Each arc that marks has a weight. The
-clause transducers are composed, weights multiplied, to one machine for each direction. A clause is matched by a pattern, not by a
-word: an insult, or a threat that is aimed at a target or intended; a threat word by itself matches nothing. An insult without a
-target is the weakest pattern (it stays one because labels mark such texts; see the README). A matched clause counts, for its
-pattern, the weight of its best path. A text's score is the logistic function of the weighted patterns.
+Method: weighted transducers. A letter transducer reads a word and writes INSULT or THREAT with the term's weight, or TARGET, INTENT, NEGATION,
+REPORT, DETERMINER, COPULA or OTHER. Over a clause, negation marks what follows within ``SCOPE`` words, reported speech the rest of the clause, intent
+the threats after it, and a target, which reads the clause in both directions, every insult and threat of it. An insult is framed if a
+determiner stands at most two words before it, a copula at most ``SCOPE``, or if at most two words stand on either side of it in its clause (an
+exclamation, a form of address); it is listed after another insult of its clause, and comes again after an earlier clause with one: this state alone is
+carried from clause to clause. Each arc that marks has a weight. The clause transducers are composed, weights multiplied, to one machine for each
+direction. A clause is matched by a pattern, not by a word: an insult that is aimed, framed, listed or comes again, or a threat that is aimed or
+intended. A word by itself, insult or threat, matches nothing. A matched clause counts, for its pattern, the weight of its best path. A text's score
+is the logistic function of the weighted patterns.
 
 Insults are learned: a word's weight is the probability that it is one, from the number of different places (the words before and
 after) in which toxic texts hold it, or of distinct toxic texts if there are fewer, and the number of distinct clean texts that do. Copies of a
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +40,24 @@ TRAIN_ROWS, SCOPE = 10_000, 3
 #: How rare insults are among words, the share of places of an insult that are toxic, places that it needs, and the least weight of a term.
 PRIOR, TOXIC_PLACES, MIN_PLACES, MIN_WEIGHT = 2e-4, 0.97, 3, 0.3
 #: What the marks count, until labels say otherwise.
-ARCS = {"negated": 0.5, "reported": 0.6, "aimed": 1.2, "intended": 1.2}
+ARCS = {"negated": 0.5, "reported": 0.6, "aimed": 1.2, "intended": 1.2, "framed": 1.0, "listed": 1.2, "again": 1.0}
 #: Closed word classes in English, German, French and Spanish.
 NEGATIONS = "not never no isn aren don cannot nicht kein keine nie niemals pas jamais non nunca jamás tampoco".split()
 REPORTS = "said says wrote writes quoted quotes reported claimed sagte schrieb zitierte dit écrit cité dijo escribió citó".split()
 TARGETS = "you your yours u du dich dein ihr euch sie tu toi ton vous votre tú tus usted ustedes".split()
 INTENTS = "will gonna going shall ll should must werde werden soll muss vais allons doit voy vamos debe".split()
+DETERMINERS = "a an such what this these those ein eine einen solch solche un une quel quelle una unos qué".split()
+COPULAS = "is are am was were be been bist sind seid war waren ist est êtes sont était eres soy son era".split()
 THREATS = "kill murder hurt destroy attack shoot stab töten umbringen schlagen tuer frapper détruire matar golpear destruir".split()
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
-_KINDS = ("INSULT", "THREAT", "TARGET", "INTENT", "NEGATION", "REPORT", "OTHER")
+_KINDS = ("INSULT", "THREAT", "TARGET", "INTENT", "NEGATION", "REPORT", "DETERMINER", "COPULA", "OTHER")
 _HEADS = ("INSULT", "THREAT")
+#: Marks of which a clause's insult, or threat, needs one.
+NEEDS = {"INSULT": {"aimed", "framed", "listed", "again"}, "THREAT": {"aimed", "intended"}}
+#: Marks that an insult, or a threat, can have.
+_CAN = {"INSULT": [m for m in ARCS if m != "intended"], "THREAT": ["negated", "reported", "aimed", "intended"]}
 
 
 def _name(kind: str, marks) -> str:
@@ -56,10 +65,7 @@ def _name(kind: str, marks) -> str:
 
 
 PATTERNS = tuple(
-    _name(kind, marks)
-    for kind in _HEADS
-    for marks in [[m for i, m in enumerate(ARCS) if bits >> i & 1] for bits in range(1 << len(ARCS))]
-    if (kind == "THREAT" and ("aimed" in marks or "intended" in marks)) or (kind == "INSULT" and "intended" not in marks)
+    _name(kind, marks) for kind in _HEADS for bits in range(1 << len(_CAN[kind])) for marks in [{m for i, m in enumerate(_CAN[kind]) if bits >> i & 1}] if marks & NEEDS[kind]
 )
 
 
@@ -79,9 +85,10 @@ class Transducer:
 
         return Transducer((self.start, other.start), step)
 
-    def table(self, symbols) -> dict:
-        """All reachable transitions, so that running it is one look-up a word."""
-        moves, todo, seen = {}, [self.start], {self.start}
+    def table(self, symbols, *starts) -> dict:
+        """All transitions that are reachable from its start or the given ones, so that running it is one look-up a word."""
+        starts = starts or (self.start,)
+        moves, todo, seen = {}, [*starts], {*starts}
         while todo:
             state = todo.pop()
             for symbol in symbols:
@@ -114,39 +121,71 @@ def _latch(trigger: str, mark: str, heads: tuple[str, ...] = _HEADS):
     return step
 
 
+def _late(after: int, symbol):
+    """Read backwards: tells the forward machine which insults have at most two words after them."""
+    out = (symbol[0], (*symbol[1], "late")) if symbol[0] == "INSULT" and after <= 2 else symbol
+    return min(after + 1, 3), out, 1.0
+
+
+def _frame(state: tuple[int, int], symbol):
+    """State: words before (three stand for more), and words that a determiner or copula still covers."""
+    before, open_ = state
+    kind, weight, out = symbol[0], 1.0, symbol
+    if kind == "INSULT":
+        out = kind, tuple(m for m in symbol[1] if m != "late")
+        if open_ or (before <= 2 and "late" in symbol[1]):
+            out, weight = _marked(out, "framed")
+    return (min(before + 1, 3), {"DETERMINER": max(2, open_ - 1), "COPULA": SCOPE}.get(kind, max(0, open_ - 1))), out, weight
+
+
+def _again(earlier: bool, symbol):
+    """Marks insults where an earlier clause held one; the state changes between clauses only."""
+    out, weight = _marked(symbol, "again") if earlier and symbol[0] == "INSULT" else (symbol, 1.0)
+    return earlier, out, weight
+
+
 class Machine:
-    """The composed grammar: one machine reads a clause backwards (targets that follow), one forwards (the rest)."""
+    """The composed grammar: one machine reads a clause backwards (targets and words that follow), one forwards (the rest)."""
 
     def __init__(self):
         aim = _latch("TARGET", "aimed")
-        self.back = Transducer(False, aim)
+        self.back = Transducer(False, aim).then(Transducer(0, _late))
         forth = Transducer(False, aim)
-        for start, step in ((0, _negation), (False, _latch("REPORT", "reported")), (False, _latch("INTENT", "intended", ("THREAT",)))):
+        for start, step in (
+            (0, _negation), (False, _latch("REPORT", "reported")), (False, _latch("INTENT", "intended", ("THREAT",))),
+            ((0, 0), _frame), (False, _latch("INSULT", "listed", ("INSULT",))),
+        ):
             forth = forth.then(Transducer(start, step))
-        self.forth = forth
-        plain = [(k, ()) for k in _KINDS]
-        self.back_moves = self.back.table(plain)
-        self.forth_moves = self.forth.table(sorted({out for _, out, _ in self.back_moves.values()}))
+        self.starts = [(forth.start, earlier) for earlier in (False, True)]
+        self.forth = forth.then(Transducer(False, _again))
+        self.back_moves = self.back.table([(k, ()) for k in _KINDS])
+        self.forth_moves = self.forth.table(sorted({out for _, out, _ in self.back_moves.values()}), *self.starts)
 
-    def run(self, symbols: list) -> list:
-        """(kind, marks) and the weight of the arcs, of each symbol of a clause."""
+    def run(self, symbols: list, earlier: bool = False) -> list:
+        """(kind, marks) and the weight of the arcs, of each symbol of a clause; earlier: whether a clause before it held an insult."""
         state, out = self.back.start, []
         for s in reversed(symbols):
             state, symbol, weight = self.back_moves[state, s]
             out.append((symbol, weight))
-        state, both = self.forth.start, []
+        state, both = self.starts[earlier], []
         for s, before in reversed(out):
             state, symbol, weight = self.forth_moves[state, s]
             both.append((symbol, before * weight))
         return both
 
 
+@cache
+def machine() -> Machine:
+    """The composed tables, made once a process: they hold no learned value."""
+    return Machine()
+
+
 class Lexicon:
     """The letter transducer: reads a word, and writes a symbol and a weight."""
 
     def __init__(self, insults: dict[str, float]):
         self.insults, self.moves, self.final = insults, {}, {}
-        for kind, words in (("TARGET", TARGETS), ("INTENT", INTENTS), ("NEGATION", NEGATIONS), ("REPORT", REPORTS), ("THREAT", THREATS)):
+        for kind, words in (("TARGET", TARGETS), ("INTENT", INTENTS), ("NEGATION", NEGATIONS), ("REPORT", REPORTS), ("DETERMINER", DETERMINERS), ("COPULA", COPULAS), ("THREAT", THREATS)):
             for w in words:
                 self._add(w, kind, 1.0)
         for w, weight in sorted(insults.items()):
@@ -173,12 +212,12 @@ _OTHER = ("OTHER", ()), 1.0
 
 class Grammar:
     def __init__(self, insults: dict[str, float], weights: np.ndarray | None = None, bias: float = 0.0):
-        self.lexicon, self.machine, self.weights, self.bias = Lexicon(insults), Machine(), weights, bias
+        self.lexicon, self.machine, self.weights, self.bias = Lexicon(insults), machine(), weights, bias
 
     def patterns(self, text: str) -> Counter:
         """Matched patterns of all clauses of a text, each with the weight of its terms' best path."""
         out: Counter = Counter()
-        text, heads = text.lower(), self.lexicon.heads
+        text, heads, earlier = text.lower(), self.lexicon.heads, False
         if heads.isdisjoint(WORD.findall(text)):
             return out
         for clause in CLAUSE.findall(text):
@@ -186,10 +225,11 @@ class Grammar:
             if heads.isdisjoint(words):
                 continue
             read, best = [self.lexicon.read(w) for w in words], {}
-            for ((kind, marks), _), (_, weight) in zip(self.machine.run([s for s, _ in read]), read):
-                if kind == "INSULT" or kind == "THREAT" and ("aimed" in marks or "intended" in marks):
+            for ((kind, marks), _), (_, weight) in zip(self.machine.run([s for s, _ in read], earlier), read):
+                if kind in NEEDS and not NEEDS[kind].isdisjoint(marks):
                     name = _name(kind, marks)
                     best[name] = max(best.get(name, 0.0), weight)
+            earlier = earlier or any(s[0] == "INSULT" for s, _ in read)
             out.update(best)
         return out
 
@@ -268,7 +308,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
     in_clean = {r["term"]: r["n"] for r in distinct.where("y = 0").select("text").mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     share = toxic / (toxic + clean)
-    closed = {*TARGETS, *INTENTS, *NEGATIONS, *REPORTS, *THREATS}
+    closed = {*TARGETS, *INTENTS, *NEGATIONS, *REPORTS, *DETERMINERS, *COPULAS, *THREATS}
     insults = {t: w for t, n in terms.items() if t not in closed and (w := insult_weight(n, in_clean.get(t, 0), share)) >= MIN_WEIGHT}
     model = Grammar(insults)
 

@@ -139,30 +139,47 @@ def test_toxicity_without_labels(spark):
 
 def test_patterns():
     g = toxicity.Grammar({"idiot": 1.0, "loweichen": 0.5})
-    assert dict(g.patterns("What an IDIOT. Fine")) == {"insult": 1}
-    assert dict(g.patterns("he is not an idiot")) == {"insult_negated": 1}
-    assert dict(g.patterns("not at all in the end an idiot")) == {"insult": 1}
-    assert dict(g.patterns("she said idiot; idiot")) == {"insult_reported": 1, "insult": 1}
-    assert dict(g.patterns("you loweichen, you never idiot")) == {"insult_aimed": 0.5, "insult_negated_aimed": 1}
-    assert dict(g.patterns("idiot, you")) == {"insult_aimed": 1}
-    assert dict(g.patterns("idiot and loweichen")) == {"insult": 1}  # the best path of a clause
+    assert dict(g.patterns("What an IDIOT. Fine")) == {"insult_framed": 1}
+    assert dict(g.patterns("he is not an idiot")) == {"insult_negated_framed": 1}
+    assert dict(g.patterns("not at all in the end an idiot")) == {"insult_framed": 1}
+    assert dict(g.patterns("she said idiot; idiot")) == {"insult_reported_framed": 1, "insult_framed_again": 1}
+    assert dict(g.patterns("you loweichen, you never idiot")) == {"insult_aimed": 0.5, "insult_negated_aimed_listed": 1}  # three words follow the first
+    assert dict(g.patterns("idiot, you")) == {"insult_aimed_framed": 1}
+    assert dict(g.patterns("they were all so very idiot that day")) == {}  # the copula is too far off
+    assert dict(g.patterns("they went on very idiot and loweichen that long day")) == {"insult_listed": 0.5}
+    assert dict(g.patterns("and so on idiot went the day")) == {}  # a word by itself
+    assert dict(g.patterns("and so on idiot went the day. Then. and so on loweichen went the day")) == {"insult_again": 0.5}
     assert dict(g.patterns("idiotic halowei")) == {} and dict(g.patterns("kill it")) == {}
     assert dict(g.patterns("I will kill it. kill you")) == {"threat_intended": 1, "threat_aimed": 1}
     assert dict(g.patterns("he said you must not kill")) == {"threat_negated_reported_aimed_intended": 1}
+    assert set(g.patterns("you are an idiot. idiot, idiot! kill you, idiot")) <= set(toxicity.PATTERNS)
+
+
+def test_lone_words_score_as_none(spark):
+    """A learned insult that no clause pattern holds leaves a text at the base score; the same word in a frame does not."""
+    docs, labels, _ = labelled(spark, toxic, good, "toxic")
+    model = toxicity.learn(docs, labels)
+    assert "idiot" in model.lexicon.insults
+    assert model.score("and so on idiot went the day") == model.score("") < 0.3 <= model.score("and so on what an idiot went the day")
 
 
 def test_composition_equals_brute_force():
     """The composed tables against the marks written out by their definitions, for random clauses."""
-    rng, machine = random.Random(4), toxicity.Machine()
-    for _ in range(400):
-        kinds = [rng.choice(["INSULT", "THREAT", "TARGET", "INTENT", "NEGATION", "REPORT", "OTHER", "OTHER"]) for _ in range(rng.randrange(1, 12))]
-        for i, ((kind, marks), weight) in enumerate(machine.run([(k, ()) for k in kinds])):
+    rng, machine = random.Random(4), toxicity.machine()
+    for _ in range(600):
+        kinds, earlier = [rng.choice([*toxicity._KINDS, "INSULT", "OTHER", "OTHER"]) for _ in range(rng.randrange(1, 12))], rng.random() < 0.3
+        for i, ((kind, marks), weight) in enumerate(machine.run([(k, ()) for k in kinds], earlier)):
             want = set()
             if kind in ("INSULT", "THREAT"):
                 want |= {"aimed"} if "TARGET" in kinds else set()
                 want |= {"negated"} if "NEGATION" in kinds[max(0, i - toxicity.SCOPE) : i] else set()
                 want |= {"reported"} if "REPORT" in kinds[:i] else set()
                 want |= {"intended"} if kind == "THREAT" and "INTENT" in kinds[:i] else set()
+            if kind == "INSULT":
+                framed = "DETERMINER" in kinds[max(0, i - 2) : i] or "COPULA" in kinds[max(0, i - toxicity.SCOPE) : i] or (i <= 2 and len(kinds) - 1 - i <= 2)
+                want |= {"framed"} if framed else set()
+                want |= {"listed"} if "INSULT" in kinds[:i] else set()
+                want |= {"again"} if earlier else set()
             assert kind == kinds[i] and set(marks) == want and len(marks) == len(want)
             assert abs(weight - np.prod([toxicity.ARCS[m] for m in want])) < 1e-12
 
@@ -170,5 +187,5 @@ def test_composition_equals_brute_force():
 def test_lexicon_reads_letter_by_letter():
     lex = toxicity.Lexicon({"ab": 0.4, "abc": 0.6, "b": 1.0})
     assert [lex.read(w) for w in ("a", "ab", "abc", "abcd", "b", "", "you")] == [
-        (("OTHER", ()), 1.0), (("INSULT", ()), 0.4), (("INSULT", ()), 0.6), (("OTHER", ()), 1.0), (("INSULT", ()), 1.0), (("OTHER", ()), 1.0), (("TARGET", ()), 1.0),
+        (("DETERMINER", ()), 1.0), (("INSULT", ()), 0.4), (("INSULT", ()), 0.6), (("OTHER", ()), 1.0), (("INSULT", ()), 1.0), (("OTHER", ()), 1.0), (("TARGET", ()), 1.0),
     ]
