@@ -311,6 +311,31 @@ def test_near_duplicates_in_large_bands(spark):
     assert Counter(tuple(r) for r in near_duplicates(frame(spark, texts), 5, 85).collect()) == want
 
 
+def exact_pair(k: int, union: int, both: int) -> tuple[str, str]:
+    """Two texts whose sets of five-word shingles share exactly ``both`` of ``union``; no word of them is in another pair."""
+    left = (union - both) // 2
+    common = [f"c{k}x{i}" for i in range(both + 4)]
+    return " ".join([*common, *(f"l{k}x{i}" for i in range(left))]), " ".join([*common, *(f"r{k}x{i}" for i in range(union - both - left))])
+
+
+def test_near_duplicates_find_every_pair_at_the_threshold(spark):
+    """A thousand pairs of exactly the threshold's similarity go through all steps and are linked; pairs one shingle under it are not."""
+    for percent in (80, 85):
+        texts, linked = [], []
+        for union in (20, 60, 100, 200):
+            for k in range(300):
+                close = k < 250
+                pair = exact_pair(len(linked), union, percent * union // 100 - (not close))
+                a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in pair)
+                assert (100 * len(a & b) >= percent * len(a | b)) == close and (not close or 100 * len(a & b) == percent * len(a | b))
+                texts += pair
+                linked.append(close)
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, texts), 5, percent).collect()}
+        assert sum(linked) == 1000 and len(got) == len(texts)
+        assert [got[2 * p + 1] == 2 * p for p in range(len(linked))] == linked
+        assert all(got[2 * p] == 2 * p for p in range(len(linked)))
+
+
 def test_near_duplicates_recall():
     """Pairs at the threshold share a band, for small and large sets."""
     import numpy as np
