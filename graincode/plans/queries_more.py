@@ -10,7 +10,7 @@ from graincode.sources import config, repository
 from graincode.streaming import operators as streams
 
 from . import projections as p
-from graincode.functions.shared import checkpoint_folder
+from graincode.functions.shared import checkpoint_folder, spread
 from .projections import FILES, SAVES, STORES, VECTORS
 from .queries_core import _L2
 from .queries_state import _MEM, _memories, _sources
@@ -59,7 +59,7 @@ _MORE = {
 def _more(spark, d):
     n = F.col("p_partkey").cast("string")
     rows = F.array(*[F.struct(F.lit(k).alias("language"), F.lit(v).alias("template")) for k, v in _MORE.items()])
-    t = p.table(spark, d, "part").select("p_partkey", F.inline(rows))
+    t = spread(p.table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.inline(rows))
     return t.select(F.concat(F.lit("src/"), "language", F.lit("/f"), n).alias("file"), "language", F.replace("template", F.lit("%d"), n).alias("content"))
 
 
@@ -71,19 +71,19 @@ _FILED = "'src/' || language || '/f' || p_partkey AS file"
     ('javascript', 0, 'K%', 'class', NULL, 3, 7), ('javascript', 1, 'run', 'method', 'K%', 4, 6), ('javascript', 2, 'arrow', 'function', NULL, 9, 11), ('javascript', 3, 'helper', 'function', NULL, 13, 15))
 SELECT {_FILED}, ord::INT AS ord, replace(name, '%', p_partkey::VARCHAR) AS name, kind, replace(parent, '%', p_partkey::VARCHAR) AS parent, start_line::INT AS start_line, end_line::INT AS end_line FROM part, s""")
 def parse_more_symbols(spark, d):
-    return parsing.symbols_of(parsing.parse(_more(spark, d))).select("file", "ord", "name", "kind", "parent", "start_line", "end_line")
+    return parsing.symbols_of(parsing.parse(_more(spark, d), parts=("symbols",))).select("file", "ord", "name", "kind", "parent", "start_line", "end_line")
 
 
 @query(f"""WITH i(language, module, alias, names, line) AS (VALUES ('php', 'App\\m%', 'M', '', 2), ('rust', 'a::m%', NULL, '', 1), ('javascript', './m%', NULL, 'a,b', 1))
 SELECT {_FILED}, replace(module, '%', p_partkey::VARCHAR) AS module, alias, names, line::INT AS line FROM part, i""")
 def parse_more_imports(spark, d):
-    return parsing.imports_of(parsing.parse(_more(spark, d))).select("file", "module", "alias", F.array_join("names", ",").alias("names"), "line")
+    return parsing.imports_of(parsing.parse(_more(spark, d), parts=("imports",))).select("file", "module", "alias", F.array_join("names", ",").alias("names"), "line")
 
 
 @query(f"""WITH c(language, caller, callee, line) AS (VALUES ('php', 'run', 'helper', 9), ('php', 'helper', 'trim', 14), ('rust', 'run', 'helper', 9), ('rust', 'helper', 'abs', 14), ('javascript', 'run', 'helper', 5), ('javascript', 'helper', 'arrow', 14))
 SELECT 'src/' || language || '/f' || p_partkey || '::' || caller AS source, callee AS target, {_FILED.replace("AS file", "AS source_file")}, line::INT AS line FROM part, c""")
 def parse_more_calls(spark, d):
-    return parsing.call_edges(parsing.parse(_more(spark, d))).select("source", "target", "source_file", "line")
+    return parsing.call_edges(parsing.parse(_more(spark, d), parts=("calls",))).select("source", "target", "source_file", "line")
 
 
 @query("""WITH s(ord, name, kind, parent, start_line, end_line) AS (VALUES (0, 'K%', 'class', NULL, 3, 7), (1, 'run', 'method', 'K%', 4, 6), (2, 'helper', 'function', NULL, 9, 11))
@@ -91,10 +91,10 @@ SELECT 'k' || p_partkey || '.kt' AS file, ord::INT AS ord, replace(name, '%', p_
 def parse_fallback(spark, d):
     n = F.col("p_partkey").cast("string")
     code = F.replace(F.lit("import a.b\n\nopen class K%d {\n  override fun run(x: Int): Int {\n    return helper(x)\n  }\n}\n\nfun helper(v: Int): Int {\n  return v\n}\n"), F.lit("%d"), n)
-    files = p.table(spark, d, "part").select(F.concat(F.lit("k"), n, F.lit(".kt")).alias("file"), F.lit("kotlin").alias("language"), code.alias("content"))
-    parsed = parsing.parse(files, ("kotlin",))
-    imports = parsing.imports_of(parsed).select("file", "module")
-    return parsing.symbols_of(parsed).select("file", "ord", "name", "kind", "parent", "start_line", "end_line").join(imports, "file")
+    files = spread(p.table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("k"), n, F.lit(".kt")).alias("file"), F.lit("kotlin").alias("language"), code.alias("content"))
+    parsed = parsing.parse(files, ("kotlin",), ("symbols", "imports"))
+    each = parsed.select("file", F.col("imports.module").alias("module"), F.inline("symbols"))
+    return each.select("file", "ord", "name", "kind", "parent", "start_line", "end_line", F.explode("module").alias("module"))
 
 
 # embedding

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graincode.functions.shared import spread
 from graincode.operators import parsing
 
 from . import projections as p
@@ -186,7 +187,7 @@ pub(crate) async fn helper(v: i32) -> i32 {
 def _sources(spark, d):
     n = F.col("p_partkey").cast("string")
     rows = F.array(*[F.struct(F.lit(k).alias("language"), F.lit(v).alias("template")) for k, v in SOURCES.items()])
-    t = p.table(spark, d, "part").select("p_partkey", F.inline(rows))
+    t = spread(p.table(spark, d, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.inline(rows))
     return t.select(F.concat(F.lit("scan/"), "language", F.lit("/f"), n).alias("file"), "language", F.replace("template", F.lit("%d"), n).alias("content"))
 
 
@@ -207,7 +208,7 @@ def _sources(spark, d):
 SELECT 'scan/' || language || '/f' || p_partkey AS file, ord::INT AS ord, replace(name, '%', p_partkey::VARCHAR) AS name, kind, replace(parent, '%', p_partkey::VARCHAR) AS parent, replace(signature, '%', p_partkey::VARCHAR) AS signature,
     start_line::INT AS start_line, end_line::INT AS end_line FROM part, s""")
 def parse_scan_symbols(spark, d):
-    return parsing.symbols_of(parsing.parse(_sources(spark, d))).select("file", "ord", "name", "kind", "parent", "signature", "start_line", "end_line")
+    return parsing.symbols_of(parsing.parse(_sources(spark, d), parts=("symbols",))).select("file", "ord", "name", "kind", "parent", "signature", "start_line", "end_line")
 
 
 @query(r"""WITH i(language, module, alias, names, line) AS (VALUES
@@ -216,7 +217,7 @@ def parse_scan_symbols(spark, d):
     ('php', 'App', NULL, 'M,N as O', 3), ('php', 'App\P', 'Q', '', 4), ('rust', 'std::{fmt, io}', NULL, '', 1))
 SELECT 'scan/' || language || '/f' || p_partkey AS file, replace(module, '%', p_partkey::VARCHAR) AS module, alias, names, line::INT AS line FROM part, i""")
 def parse_scan_imports(spark, d):
-    return parsing.imports_of(parsing.parse(_sources(spark, d))).select("file", "module", "alias", F.array_join("names", ",").alias("names"), "line")
+    return parsing.imports_of(parsing.parse(_sources(spark, d), parts=("imports",))).select("file", "module", "alias", F.array_join("names", ",").alias("names"), "line")
 
 
 @query(r"""WITH c(language, caller, callee, line) AS (VALUES
@@ -225,4 +226,4 @@ def parse_scan_imports(spark, d):
     ('php', 'helper', 'trim', 21), ('rust', 'run', 'helper', 19), ('rust', 'run', 'f', 19), ('rust', 'helper', 'abs', 23))
 SELECT 'scan/' || language || '/f' || p_partkey || '::' || caller AS source, callee AS target, 'scan/' || language || '/f' || p_partkey AS source_file, max(line)::INT AS line FROM part, c GROUP BY ALL""")
 def parse_scan_calls(spark, d):
-    return parsing.call_edges(parsing.parse(_sources(spark, d))).select("source", "target", "source_file", "line")
+    return parsing.call_edges(parsing.parse(_sources(spark, d), parts=("calls",))).select("source", "target", "source_file", "line")
