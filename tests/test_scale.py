@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from graincode.operators import parsing
+from graincode.operators import indexing, parsing
 from graincode.plans import queries_more, queries_scan, queries_state
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,10 @@ def test_columns_asked_for(spark):
     got = parsing.parse(files, parts=("imports",), more=("n",)).orderBy("n")
     assert got.columns == ["file", "language", "imports", "error", "n"]
     assert [(r["n"], [i["module"] for i in r["imports"]], r["error"] is None) for r in got.collect()] == [(1, ["os"], True), (2, [], True), (3, [], False)]
+
+
+def test_an_index_run_parses_once(spark):
+    """Chunks, records and counts read what was written, and do not parse again."""
+    done = indexing.index(queries_state._sources(spark, SF))
+    assert "MapInArrow" not in plan_of(indexing.summary(done["chunks"], done["records"])) and "MapInArrow" not in plan_of(done["edges"])
+    assert "MapInArrow" in plan_of(indexing.index(queries_state._sources(spark, SF), keep=False)["errors"])
