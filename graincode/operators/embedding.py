@@ -1,4 +1,4 @@
-"""Embeddings: a provider protocol, providers by name, and a deterministic hashing embedder that is plain SQL."""
+"""Embeddings: a provider protocol, providers by name, and a deterministic hashing embedder."""
 
 from __future__ import annotations
 
@@ -14,8 +14,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Local models by key: name, dimension, size in MB.
 MODELS = {
@@ -129,18 +132,44 @@ def model_list(spark: SparkSession, folder: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "key string, name string, dimension int, size_mb int, cached boolean")
 
 
+class _Cells(dict):
+    """Twice the coordinate of a word, and one more where its sign is minus; as many as ``CELLS`` words are remembered."""
+
+    def __init__(self, dimension: int):
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CELLS:
+            self.clear()
+        digest = hashlib.sha1(word.encode()).hexdigest()
+        self[word] = found = int(digest[:4], 16) % self.dimension * 2 + (digest[4] >= "8")
+        return found
+
+
+CELLS, _WORDS = 1 << 16, re.compile(r"[a-z0-9]+")
+
+
 def hash_embed(docs: DataFrame, keys: list[str], text: str, dimension: int = 64) -> DataFrame:
-    """keys and vector: words hashed to a signed coordinate, unit length; a text without words is all zeros."""
-    words = docs.select(*keys, F.explode(F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+", -1), lambda w: w != "")).alias("w"))
-    digest = F.sha1("w")
-    coordinate = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dimension
-    sign = F.when(F.substring(digest, 5, 1) < "8", 1.0).otherwise(-1.0)
-    cells = words.groupBy(*keys, coordinate.alias("i")).agg(F.sum(sign).alias("x"))
-    per = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    value = lambda i: F.when(F.col("n") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n")).otherwise(0.0)
-    per = per.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value).alias("vector"))
-    zeros = F.array_repeat(F.lit(0.0), dimension)
-    return docs.select(*keys).join(per, keys, "left").withColumn("vector", F.coalesce("vector", zeros))
+    """keys and vector: words hashed to a signed coordinate, unit length; a text without words, or none, is all zeros. Each row has its own vector, made where the row is."""
+    schema = StructType([*(docs.schema[k] for k in keys), StructField("vector", ArrayType(DoubleType()))])
+
+    def run(batches):
+        cells, arrow = _Cells(dimension), to_arrow_schema(schema)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(lo, 1_000)
+                x = np.zeros((batch.num_rows, dimension))
+                for i, t in enumerate(batch.column(len(keys))):
+                    words = _WORDS.findall(t.as_py() or "")
+                    if words:
+                        n = np.bincount([cells[w] for w in words], minlength=2 * dimension)
+                        x[i] = n[::2] - n[1::2]
+                n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dimension, pa.int32()), pa.array(x.ravel()), type=arrow.field("vector").type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], vectors], schema=arrow)
+
+    return docs.select(*keys, F.lower(F.col(text)).alias("_text")).mapInArrow(run, schema)
 
 
 def embed_with(factory, text: Column, batch: int = 32) -> Column:

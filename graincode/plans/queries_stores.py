@@ -14,7 +14,7 @@ from graincode.sources.store import VersionedTable
 from graincode.streaming import operators as streams
 
 from . import projections as p
-from graincode.functions.shared import checkpoint_folder, cut
+from graincode.functions.shared import checkpoint_folder, cut, shuffled
 from .projections import SAVES, STORES, VECTORS
 from .queries_core import _L2, _TRIMMED, _graph
 from .queries_state import _MEM, _memories, _sources
@@ -247,8 +247,8 @@ def index_repo_stored(spark, d):
     indexing.store_run(second, "r", "main", embed, *stores, commit="c2")
     points, edges, records = (s.read() for s in stores)
     out = points.groupBy("file").agg(F.count(F.lit(1)).alias("points"), F.max("commit").alias("commit"))
-    out = out.join(edges.groupBy("file").agg(F.count(F.lit(1)).alias("edges"), F.min("source").alias("first_source")), "file", "full")
-    return out.join(records.select("file", F.col("symbol_count").cast("long").alias("symbols")), "file", "full").select("file", "points", "edges", "first_source", "symbols", "commit")
+    out = out.join(shuffled(edges.groupBy("file").agg(F.count(F.lit(1)).alias("edges"), F.min("source").alias("first_source"))), "file", "full")
+    return out.join(shuffled(records.select("file", F.col("symbol_count").cast("long").alias("symbols"))), "file", "full").select("file", "points", "edges", "first_source", "symbols", "commit")
 
 
 # the neighbourhood of a symbol over stored adjacency

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graincode.functions.scalars import deterministic_id, uuid5
+from graincode.functions.shared import shuffled
 from graincode.sources.config import Settings
 
 DEFAULTS = {"symbol": "", "symbol_type": "", "language": "", "content_hash": "", "is_deletion": False}
@@ -35,17 +36,17 @@ def upsert(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFram
     if order is not None:
         rest = [c for c in new.columns if c != "id"]
         new = new.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("_n")).select("id", *[f"_n.{c}" for c in rest])
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    return old.join(shuffled(new.select("id")), "id", "left_anti").unionByName(new)
 
 
 def delete_files(points: DataFrame, gone: DataFrame) -> DataFrame:
     """Points without those of the (repo, branch, file) of gone."""
-    return points.join(gone.select("repo", "branch", "file").distinct(), ["repo", "branch", "file"], "left_anti")
+    return points.join(shuffled(gone.select("repo", "branch", "file").distinct()), ["repo", "branch", "file"], "left_anti")
 
 
 def rename_files(points: DataFrame, renames: DataFrame) -> DataFrame:
     """Points of renamed files (repo, branch, file, new_file) move with a new id; nothing is lost."""
-    own = points.join(renames.select("repo", "branch", "file", "new_file"), ["repo", "branch", "file"], "left")
+    own = points.join(shuffled(renames.select("repo", "branch", "file", "new_file")), ["repo", "branch", "file"], "left")
     moved = deterministic_id(F.col("repo"), F.col("branch"), F.col("new_file"), F.col("start_line"))
     return own.withColumns({"id": F.when(F.col("new_file").isNotNull(), moved).otherwise(F.col("id")), "file": F.coalesce("new_file", "file")}).drop("new_file")
 

@@ -1,10 +1,12 @@
 """Plans that must not fall to one task, one worker or one driver as tables grow."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graincode.operators import indexing, parsing
+from graincode.operators import embedding, indexing, parsing
 from graincode.plans import queries_more, queries_scan, queries_state
+from graincode.sources import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,24 @@ def test_an_index_run_parses_once(spark):
     done = indexing.index(queries_state._sources(spark, SF))
     assert "MapInArrow" not in plan_of(indexing.summary(done["chunks"], done["records"])) and "MapInArrow" not in plan_of(done["edges"])
     assert "MapInArrow" in plan_of(indexing.index(queries_state._sources(spark, SF), keep=False)["errors"])
+
+
+def test_joins_that_grow_stay_off_the_driver(spark):
+    """Sides that grow with the input are merged, however small they look: none is broadcast."""
+    files = queries_state._sources(spark, SF)
+    done = indexing.index(files)
+    one = spark.createDataFrame([("r", "b", "f", "g", 1, "i")], "repo string, branch string, file string, new_file string, start_line int, id string")
+    known = files.select("file", "language", F.lit(1).alias("symbol_count"), F.lit("x").alias("content_hash"))
+    changes = files.select(F.col("file").alias("path"), F.lit("renamed").alias("status"), F.col("file").alias("old_path"))
+    made = [done["chunks"], indexing.apply_changes(known, changes), indexing.needs_work(files, known), store.rename_files(one.drop("new_file"), one), store.delete_files(one, one), store.upsert(one, one)]
+    for df in made:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hash_embed_by_row(spark):
+    """The vectors of the provider, without a shuffle; null, empty and wordless texts are zeros."""
+    texts = ["a b a", "Ä-x K1\n", "", None, "...", "w " * 3000]
+    df = embedding.hash_embed(spark.createDataFrame(list(enumerate(texts)), "n long, t string"), ["n"], "t")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    own = embedding.HashProvider(64)
+    assert {r["n"]: r["vector"] for r in df.collect()} == {i: own.embed_single(t or "") for i, t in enumerate(texts)}
