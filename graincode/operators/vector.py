@@ -90,13 +90,13 @@ def preview(hits: DataFrame, lines: int = 4) -> DataFrame:
     return hits.select("id", F.format_string("%.4f", F.col("score")).alias("score"), text.alias("preview"))
 
 
-#: Bytes of query vectors that may be broadcast.
-BROADCAST_BYTES = 256 << 20
+#: Bytes of query vectors (as doubles) that a block may have, and queries of it whose similarities are held at once.
+BROADCAST_BYTES, PART = 256 << 20, 256
 
 
-def _matrix(rows: pa.StructArray) -> np.ndarray:
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     """Unit vectors of a slab or block; a zero vector stays one."""
-    x = np.asarray(rows.field("vector").flatten(), dtype=np.float64).reshape(len(rows), -1)
+    x = np.asarray(vectors.combine_chunks().flatten(), dtype=np.float64).reshape(len(vectors), -1)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
@@ -113,41 +113,39 @@ def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def _meet(k: int):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qs, ps = (batch.column(c).slice(i, 1).flatten() for c in (0, 1))
-                ids = np.array(ps.field("id").to_pylist(), dtype=object)
-                sim = np.round(_matrix(qs) @ _matrix(ps).T, 12)  # equal vectors get equal scores, wherever they stand
-                top = _best(sim, ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(np.asarray(qs.field("query_id")), [len(x) for x in top]), pa.int64()),
-                        pa.array([j for x in top for j in ids[x]], pa.string()),
-                        pa.array(np.concatenate([row[x] for row, x in zip(sim, top)])),
-                    ],
-                    ["query_id", "id", "score"],
-                )
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("score", pa.float64())])
+
+    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
+        if not points.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        ids, slab = np.array(points["id"].to_pylist(), dtype=object), _matrix(points["vector"]).T
+        out = []
+        for lo in range(0, queries.num_rows, PART):
+            qs = queries.slice(lo, PART)
+            sim = np.round(_matrix(qs["vector"]) @ slab, 12)  # equal vectors get equal scores, wherever they stand
+            top = _best(sim, ids, k)
+            own = np.repeat(qs["query_id"].to_numpy(), [len(x) for x in top])
+            out.append(pa.Table.from_arrays([pa.array(own, pa.int64()), pa.array([j for x in top for j in ids[x]], pa.string()), pa.array(np.concatenate([row[x] for row, x in zip(sim, top)]))], schema=schema))
+        return pa.concat_tables(out)
 
     return run
 
 
-def batch_top_k(points: DataFrame, queries: DataFrame, k: int, block: int = 1024, slab: int = 20_000) -> DataFrame:
+def batch_top_k(points: DataFrame, queries: DataFrame, k: int, block: int = 8192, slab: int = 20_000) -> DataFrame:
     """query_id, id, score: the k nearest points (cosine) of every row of queries (query_id, vector); ties by id.
 
-    Queries are dealt in blocks and meet slabs of points as matrices; each keeps k candidates a query, which are
-    merged by query. Rows between the two steps: queries times k times slabs of points. Blocks are broadcast if they are counted to be
-    at most ``BROADCAST_BYTES``; beyond that, slabs and blocks are paired by shuffle.
+    Queries are dealt in blocks and points in slabs, and each pair of them meets in a group of its own, so that a worker holds one slab, one block and
+    the similarities of ``PART`` queries, whatever the number of either. Each keeps k candidates a query, which are merged by query. Exact search needs
+    all pairs: points are shuffled once for each block, queries once for each slab. Rows between the two steps: queries times k times slabs.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     if not size["n"]:
         return queries.select("query_id").where(F.lit(False)).withColumns({"id": F.lit(""), "score": F.lit(0.0)})
-    blocks = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-size["n"] // block))))
-    packed = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "vector"))).alias("queries"))
-    slabs = points.select("id", "vector").withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(max(1, points.count() // slab))))
-    slabs = slabs.groupBy("slab").agg(F.collect_list(F.struct("id", "vector")).alias("points"))
-    few = size["n"] * size["dim"] * 8 <= BROADCAST_BYTES
-    pairs = slabs.crossJoin(F.broadcast(packed) if few else packed).select("queries", "points")  # blocks against slabs
-    found = pairs.mapInArrow(_meet(k), "query_id long, id string, score double")
+    block = max(1, min(block, BROADCAST_BYTES // (8 * max(1, size["dim"] or 1))))
+    blocks, slabs = -(-size["n"] // block), max(1, points.count() // slab)
+    every = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    own = points.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int").alias("slab"), every("block", blocks))
+    asked = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every("slab", slabs))
+    found = own.groupBy("slab", "block").cogroup(asked.groupBy("slab", "block")).applyInArrow(_meet(k), "query_id long, id string, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("query_id", "id", F.round("score", 4).alias("score"))

@@ -1,10 +1,12 @@
 """Plans that must not fall to one task, one worker or one driver as tables grow."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graincode.operators import embedding, indexing, parsing
+from graincode.operators import embedding, graph, indexing, parsing, vector
 from graincode.plans import queries_more, queries_scan, queries_state
 from graincode.sources import store
 
@@ -67,3 +69,27 @@ def test_hash_embed_by_row(spark):
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     own = embedding.HashProvider(64)
     assert {r["n"]: r["vector"] for r in df.collect()} == {i: own.embed_single(t or "") for i, t in enumerate(texts)}
+
+
+def test_batch_search_holds_one_pair(spark, monkeypatch):
+    """Blocks and slabs meet in groups of their own, not in one batch of all pairs; the rows are the same at any size of either."""
+    rng = random.Random(5)
+    vectors = [[rng.random() - 0.5 for _ in range(8)] for _ in range(300)]
+    points = spark.createDataFrame([(f"p{i}", v) for i, v in enumerate(vectors)], "id string, vector array<float>")
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(vectors) if i % 3 == 0], "query_id long, vector array<float>")
+    monkeypatch.setattr(vector, "PART", 16)
+    found = [sorted(tuple(r) for r in vector.batch_top_k(points, queries, 4, block=b, slab=s).collect()) for b, s in ((8192, 20_000), (30, 40))]
+    assert found[0] == found[1] and len(found[0]) == 400
+    plan = plan_of(vector.batch_top_k(points, queries, 4, block=30, slab=40))
+    assert "CoGroup" in plan and "collect_list" not in plan
+
+
+def test_edges_carry_their_order_once(spark, monkeypatch):
+    """Fields that a query does not ask for are not shuffled beside the order."""
+    assert plan_of(entry.queries()["graph_rename"](spark, SF)).count("ord2") == 0
+    written = []
+    kind = type(spark.range(1))
+    whole = kind.hint
+    monkeypatch.setattr(kind, "hint", lambda self, *a: (written.append(self.columns), whole(self, *a))[1])
+    entry.queries()["graph_subgraph_stored"](spark, SF)
+    assert sorted(written[0]) == sorted([*graph.KEY, "line", "bucket", "_first"])
