@@ -140,9 +140,11 @@ class Adjacency:
         return F.pmod(F.xxhash64(node), F.lit(self.buckets)).cast("int")
 
     def write(self, edges: DataFrame) -> None:
-        ends = F.array(F.struct(F.col("source").alias("node"), F.lit("source").alias("end")), F.struct(F.col("target").alias("node"), F.lit("target").alias("end")))
-        rows = edges.withColumn("_e", F.explode(ends)).select("_e.*", *edges.columns).withColumn("bucket", self._bucket("node"))
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "node").write.partitionBy("bucket").mode("overwrite").parquet(self.path)
+        first = F.explode(F.array(F.lit(True), F.lit(False))).alias("_first")
+        node = F.when(F.col("_first"), F.col("source")).otherwise(F.col("target"))  # made again after the shuffle, which moves an edge's own columns and its bucket
+        rows = edges.select("*", first).withColumn("node", node).withColumn("bucket", self._bucket("node")).drop("node").hint("rebalance", "bucket")
+        rows = rows.select(node.alias("node"), F.when(F.col("_first"), "source").otherwise("target").alias("end"), *edges.columns, "bucket")
+        rows.sortWithinPartitions("bucket", "node").write.partitionBy("bucket").mode("overwrite").parquet(self.path)
 
     def touching(self, nodes: DataFrame) -> DataFrame:
         """Edges one end of which is among nodes, each once."""

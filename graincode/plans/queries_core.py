@@ -300,7 +300,10 @@ _EKEY = "source, target, kind, repo, branch, source_file"
 _TRIMMED = EDGES + f", trimmed AS (SELECT source, target, kind, rtrim(repo, '/') AS repo, branch, source_file, target_file, line, ord FROM edges), upserted AS (SELECT * FROM trimmed QUALIFY row_number() OVER (PARTITION BY {_EKEY} ORDER BY ord DESC) = 1)"
 
 
-def _graph(spark, d):
+def _graph(spark, d, *more, ordered=False):
+    """Folded edges, with target_file and line or those of them that are named, and their order only where it is asked for: every field is shuffled."""
+    if not ordered:
+        return graph.upsert(None, p.edges(spark, d).select(*graph.KEY, *(more or ("target_file", "line")), "ord"), "ord")
     return graph.upsert(None, p.edges(spark, d).withColumn("ord2", F.col("ord")), "ord").withColumnRenamed("ord2", "ord")
 
 
@@ -317,12 +320,12 @@ def graph_rename(spark, d):
 
 @query(f"WITH {_TRIMMED} SELECT {_EKEY}, line FROM upserted WHERE kind = 'calls' AND target = 'n7'")
 def graph_callers(spark, d):
-    return graph.callers(_graph(spark, d), "n7").select(*graph.KEY, "line")
+    return graph.callers(_graph(spark, d, "line"), "n7").select(*graph.KEY, "line")
 
 
 @query(f"WITH {_TRIMMED} SELECT {_EKEY}, line FROM upserted WHERE kind = 'calls' AND source = 'n7'")
 def graph_callees(spark, d):
-    return graph.callees(_graph(spark, d), "n7").select(*graph.KEY, "line")
+    return graph.callees(_graph(spark, d, "line"), "n7").select(*graph.KEY, "line")
 
 
 @query(f"WITH {_TRIMMED} SELECT DISTINCT source_file FROM upserted WHERE kind = 'imports' AND target_file = 'o7'")
@@ -337,7 +340,7 @@ def graph_dependencies(spark, d):
 
 @query(f"WITH {_TRIMMED} SELECT {_EKEY}, line FROM upserted WHERE source ILIKE '%N4%' OR target ILIKE '%N4%'")
 def graph_find_refs(spark, d):
-    return graph.find_references(_graph(spark, d), "N4").select(*graph.KEY, "line")
+    return graph.find_references(_graph(spark, d, "line"), "N4").select(*graph.KEY, "line")
 
 
 @query(f"""WITH {_TRIMMED}, found AS (SELECT *, 1 AS pass FROM upserted WHERE (source ILIKE '%n7%' OR target ILIKE '%n7%') AND contains(repo, 'O')
@@ -345,14 +348,14 @@ def graph_find_refs(spark, d):
 one AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY source_file, line, kind ORDER BY pass, ord) = 1)
 SELECT source_file, line, kind, source, target, repo, pass, (SELECT count(*) FROM one) AS total FROM one ORDER BY pass, ord LIMIT 200""")
 def get_references(spark, d):
-    return graph.get_references(_graph(spark, d), "n7", "n12", "O")
+    return graph.get_references(_graph(spark, d, ordered=True), "n7", "n12", "O")
 
 
 @query(f"""WITH {_TRIMMED}, r1 AS (SELECT * FROM upserted WHERE source = 'n7' OR target = 'n7'), f2 AS (SELECT source AS node FROM r1 UNION SELECT target FROM r1 EXCEPT SELECT 'n7'),
 r2 AS (SELECT * FROM upserted WHERE source IN (SELECT node FROM f2) OR target IN (SELECT node FROM f2))
 SELECT {_EKEY}, line, 1 AS round FROM r1 UNION ALL SELECT {_EKEY}, line, 2 FROM r2""")
 def graph_subgraph(spark, d):
-    return graph.subgraph(_graph(spark, d).drop("ord"), "n7", 2).select(*graph.KEY, "line", "round")
+    return graph.subgraph(_graph(spark, d, "line"), "n7", 2).select(*graph.KEY, "line", "round")
 
 
 @query(f"WITH {_TRIMMED} SELECT source, target, kind, source_file, line, repo, branch, min(ord).a AS first FROM trimmed GROUP BY ALL")

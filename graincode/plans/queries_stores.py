@@ -219,7 +219,7 @@ SELECT source_file, line, kind, source, target, repo, pass, (SELECT count(*) FRO
 def get_references_located(spark, d):
     n = F.col("vec_id")
     points = p.vectors(spark, d).withColumns({"symbol": F.concat(F.lit("n"), (n % 10).cast("string")), "file": F.concat(F.lit("src/n"), (n % 30 + 10).cast("string"), F.lit(".md"))})
-    return graph.references(_graph(spark, d), points, p.probe(spark, d), "n7", "/repos/F/")
+    return graph.references(_graph(spark, d, ordered=True), points, p.probe(spark, d), "n7", "/repos/F/")
 
 
 # index runs that end in stores: a full one, then one with files deleted, renamed and changed
@@ -257,5 +257,5 @@ def index_repo_stored(spark, d):
 @query(ORACLES["graph_subgraph"])
 def graph_subgraph_stored(spark, d):
     own = graph.Adjacency(spark, f"{checkpoint_folder(spark)}/adjacency-{uuid.uuid4().hex}")
-    own.write(_graph(spark, d).select(*graph.KEY, "line"))
+    own.write(_graph(spark, d, "line").select(*graph.KEY, "line"))
     return own.subgraph("n7", 2).select(*graph.KEY, "line", "round")
