@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from graincode.functions.scalars import auto_title, normalized_hash
-from graincode.functions.shared import cut
+from graincode.functions.shared import kept
 
 #: Fixed value: seconds from the first save during which equal saves are duplicates of it.
 DEDUP_SECONDS = 900
@@ -86,9 +86,9 @@ def anchors_spread(saves: DataFrame, keys: list[str], seconds: int = DEDUP_SECON
     """
     gap = seconds * 1_000_000
     slot = lambda c: F.floor(F.col(c) / gap).cast("long")
-    times = cut(saves.groupBy(*keys, F.col(time).cast("long").alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.floor(F.col("t") / gap).cast("long")))
+    times = kept(saves.groupBy(*keys, F.col(time).cast("long").alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.floor(F.col("t") / gap).cast("long")))
     in_slot = lambda *order: Window.partitionBy(*keys, "slot").orderBy(*order)
-    edges = cut(times.groupBy(*keys, "slot").agg(F.min("t").alias("first"), F.max("t").alias("last")))
+    edges = kept(times.groupBy(*keys, "slot").agg(F.min("t").alias("first"), F.max("t").alias("last")))
     # the pointer of each time
     probes = times.select(*keys, (F.col("t") + gap).alias("at"), F.lit(1).alias("kind"), "t").withColumn("slot", slot("at"))
     both = times.select(*keys, F.col("t").alias("at"), F.lit(0).alias("kind"), "t", "slot").unionByName(probes)
@@ -99,21 +99,21 @@ def anchors_spread(saves: DataFrame, keys: list[str], seconds: int = DEDUP_SECON
     later = F.min("first").over(Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1))
     slots = slots.select(*keys, "slot", later.alias("later"))  # of a key as many as it has slots, whatever its saves
     jump = near.alias("l").join(slots.alias("r"), _same(keys, "slot"), "left").select(*[f"l.{k}" for k in keys], "l.t", F.coalesce("l.there", "r.later").alias("to"))
-    jump = cut(jump.where("to IS NOT NULL"))
+    jump = kept(jump.where("to IS NOT NULL"))
     # times after a pause
     before = edges.select(*keys, (F.col("slot") + 1).alias("slot"), F.col("last").alias("end"))
     own = times.withColumn("_prev", F.lag("t").over(in_slot("t")))
     heads = own.alias("l").join(before.alias("r"), _same(keys, "slot"), "left").where(F.coalesce(F.col("l.t") - F.coalesce("l._prev", "r.end") >= gap, F.lit(True)))
-    marked = cut(heads.select(*[f"l.{k}" for k in keys], "l.t"))
+    marked = kept(heads.select(*[f"l.{k}" for k in keys], "l.t"))
     count = marked.count()
     while True:
         met = marked.alias("l").join(jump.alias("r"), _same(keys, "t")).select(*[f"l.{k}" for k in keys], F.col("r.to").alias("t"))
-        marked = cut(marked.unionByName(met).distinct())
+        marked = kept(marked.unionByName(met).distinct())
         last, count = count, marked.count()
         if count == last:
             break
         farther = jump.select(*keys, F.col("t").alias("to"), F.col("to").alias("far"))
-        jump = cut(jump.alias("l").join(farther.alias("r"), _same(keys, "to")).select(*[f"l.{k}" for k in keys], "l.t", F.col("r.far").alias("to")))
+        jump = kept(jump.alias("l").join(farther.alias("r"), _same(keys, "to")).select(*[f"l.{k}" for k in keys], "l.t", F.col("r.far").alias("to")))
     # every time goes to the last anchor before it
     points = marked.withColumns({"slot": slot("t"), "anchor": F.col("t"), "n": F.lit(0).cast("long")})
     ends = points.groupBy(*keys, (F.col("slot") + 1).alias("slot")).agg(F.max("anchor").alias("carried"))
